@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from loredeck.llm.op1_url import op1_url_filter
 from loredeck.llm.op2_bpe import op2_byte_bpe
+from loredeck.llm.op3_quality import op3_quality
 from loredeck.llm.op5_token_files import op5_token_files
+from loredeck.llm.op6_language import op6_language_id
+from loredeck.llm.op9_toxicity import op9_toxicity
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_quality": op3_quality,
     "op5_token_files": op5_token_files,
+    "op6_language_id": op6_language_id,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLES: dict[str, str] = {}
