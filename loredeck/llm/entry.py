@@ -7,6 +7,7 @@ from loredeck.llm.op2_bpe import op2_byte_bpe
 from loredeck.llm.op3_quality import op3_quality
 from loredeck.llm.op5_token_files import op5_token_files
 from loredeck.llm.op6_language import op6_language_id
+from loredeck.llm.op7_jaccard import op7_ngram_join
 from loredeck.llm.op9_toxicity import op9_toxicity
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op5_token_files": op5_token_files,
     "op6_language_id": op6_language_id,
+    "op7_ngram_join": op7_ngram_join,
     "op9_toxicity": op9_toxicity,
 }
 ORACLES: dict[str, str] = {}
