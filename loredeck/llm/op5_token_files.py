@@ -131,17 +131,21 @@ def read_file(raw: bytes) -> tuple[list[int | None], np.ndarray, Codes]:
 class WordTokenizer:
     """Ids of a `tokenizers` file that never joins text across ASCII white space, with a bounded table of words seen."""
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 400_000):
         from tokenizers import Tokenizer
 
-        self.library, self.seen, self.keep = Tokenizer.from_file(path), {}, keep
+        self.library, self.keep = Tokenizer.from_file(path), keep
+        self.seen: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
-        """Packed little-endian unsigned 32-bit ids of each text."""
+        """Packed little-endian unsigned 32-bit ids of each text; the tokenizer lower-cases, but for special tokens."""
         if len(self.seen) > self.keep:
-            self.seen.clear()
-        split = [t.split() for t in texts]
+            self.older, self.seen = self.seen, {}
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         new = [w for w in set().union(*split) if w not in self.seen]
+        self.seen.update((w, self.older[w]) for w in new if w in self.older)
+        new = [w for w in new if w not in self.older]
         for part in batched(new, 4096):
             for w, e in zip(part, self.library.encode_batch([w.decode() for w in part], add_special_tokens=False)):
                 self.seen[w] = np.array(e.ids, "<u4").tobytes()
