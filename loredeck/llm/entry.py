@@ -8,6 +8,7 @@ from loredeck.llm.op3_quality import op3_quality
 from loredeck.llm.op5_token_files import op5_token_files
 from loredeck.llm.op6_language import op6_language_id
 from loredeck.llm.op7_jaccard import op7_ngram_join
+from loredeck.llm.op8_neighbours import op8_nearest
 from loredeck.llm.op9_toxicity import op9_toxicity
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_token_files": op5_token_files,
     "op6_language_id": op6_language_id,
     "op7_ngram_join": op7_ngram_join,
+    "op8_nearest": op8_nearest,
     "op9_toxicity": op9_toxicity,
 }
 ORACLES: dict[str, str] = {}

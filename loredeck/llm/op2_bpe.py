@@ -152,21 +152,23 @@ class BytePairs:
         packed = ids[kept].astype("<u4").tobytes()
         return [packed[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
-    def learn(self, pieces: list[str]) -> None:
-        """Add the ids of matches to `seen`."""
-        by_size: dict[int, list[tuple[str, bytes]]] = {}
-        for p in pieces:
-            raw = p.encode()
+    def packed(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed little-endian unsigned 32-bit ids of each match."""
+        out: list[bytes] = [b""] * len(pieces)
+        by_size: dict[int, list[int]] = {}
+        for k, raw in enumerate(pieces):
             rank = self.ranks.get(raw)
             if rank is not None:
-                self.seen[p] = rank.to_bytes(4, "little")
+                out[k] = rank.to_bytes(4, "little")
             elif len(raw) > 64:
-                self.seen[p] = np.array(self.merge(raw), "<u4").tobytes()
+                out[k] = np.array(self.merge(raw), "<u4").tobytes()
             else:
-                by_size.setdefault(1 << (len(raw) - 1).bit_length(), []).append((p, raw))
+                by_size.setdefault(1 << (len(raw) - 1).bit_length(), []).append(k)
         for size, found in by_size.items():
             for part in batched(found, (1 << 16) // size):
-                self.seen.update(zip([p for p, _ in part], self.merge_rows([raw for _, raw in part], size)))
+                for k, ids in zip(part, self.merge_rows([pieces[k] for k in part], size)):
+                    out[k] = ids
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
@@ -176,7 +178,8 @@ class BytePairs:
         if len(self.seen) > self.keep:
             self.seen.clear()
         split = [self.find(t) for t in texts]
-        self.learn([p for p in set().union(*split) if p not in self.seen])
+        new = [p for p in set().union(*split) if p not in self.seen]
+        self.seen.update(zip(new, self.packed([p.encode() for p in new])))
         ids = self.seen.__getitem__
         return [np.frombuffer(b"".join(map(ids, pieces)), "<u4") for pieces in split]
 
