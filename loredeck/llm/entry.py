@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from loredeck.llm.op1_url import op1_url_filter
+from loredeck.llm.op10_decontaminate import op10_decontaminate
 from loredeck.llm.op2_bpe import op2_byte_bpe
 from loredeck.llm.op3_quality import op3_quality
 from loredeck.llm.op5_token_files import op5_token_files
@@ -20,5 +21,6 @@ QUERIES = {
     "op7_ngram_join": op7_ngram_join,
     "op8_nearest": op8_nearest,
     "op9_toxicity": op9_toxicity,
+    "op10_decontaminate": op10_decontaminate,
 }
 ORACLES: dict[str, str] = {}
