@@ -6,6 +6,7 @@ from loredeck.llm.op1_url import op1_url_filter
 from loredeck.llm.op10_decontaminate import op10_decontaminate
 from loredeck.llm.op2_bpe import op2_byte_bpe
 from loredeck.llm.op3_quality import op3_quality
+from loredeck.llm.op4_attention_lm import op4_attention_lm
 from loredeck.llm.op5_token_files import op5_token_files
 from loredeck.llm.op6_language import op6_language_id
 from loredeck.llm.op7_jaccard import op7_ngram_join
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_quality": op3_quality,
+    "op4_attention_lm": op4_attention_lm,
     "op5_token_files": op5_token_files,
     "op6_language_id": op6_language_id,
     "op7_ngram_join": op7_ngram_join,
