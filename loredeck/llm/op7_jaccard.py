@@ -1,11 +1,12 @@
 """N-gram Jaccard join: every link of documents whose sets of five-word shingles overlap by 80 % or more.
 
 Sets are ordered by one global order, rare shingles first: shingles seen often (counted over all documents) come
-last, the rest by hash. Two linked sets must then share a shingle among the first n - ceil(0.8 n) + 1 of each, so
-only those prefixes are shuffled. Equal sets are one node from the start. Where a prefix shingle meets several
-nodes, they are first compared with one of them; links found are closed into components, and what is compared
-after that is every pair, sharing a prefix shingle, of nodes still apart. No link between components can be missed
-and copies are not expanded into pairs. Comparing is done against prefix trees: a node's partners, as globally ordered sets in
+last, the rest by hash. Two linked sets must share shingles among the first n - ceil(0.8 n) + 1 of each, the more
+the nearer their sizes are, so only those prefixes are shuffled and pairs that share too few are left. Equal sets
+are one node from the start. Where a prefix shingle meets a few nodes, it counts for every pair of them; where it
+meets many, they are first compared with one of them, links found are closed into components, and what is compared
+after that is every pair there of nodes still apart that can share enough. No link between components can be
+missed and copies are not expanded into pairs. Comparing is done against prefix trees: a node's partners, as globally ordered sets in
 a tree, are walked depth first, sharing the overlap of common beginnings, and a subtree is left as soon as the
 shingles that remain can't reach the overlap needed.
 
@@ -17,11 +18,13 @@ ignored.
 
 from __future__ import annotations
 
+import itertools
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loredeck.llm import words
@@ -32,9 +35,11 @@ WIDTH, PERCENT = 5, 80
 #: many the broadcast table of frequent shingles holds at most. They only settle the order, which any choice keeps exact.
 COUNT_AT_ONCE, LOCAL_COUNT, FREQUENT, FREQUENT_AT_MOST = 1 << 21, 4, 24, 1 << 18
 _HOT = np.int64(1 << 62)
+#: Nodes that a prefix shingle meets up to which it counts for every pair of them.
+FEW = 12
 #: Partners of a node that are compared in one tree, and nodes of a group.
 TREE_SETS, GROUP_SETS = 256, 512
-#: Bits of the filter of nodes whose sets are needed; a fuller filter only lets more sets through.
+#: Bits of the filter of documents whose sets are needed; a fuller filter only lets more sets through.
 BLOOM_BITS = 1 << 26
 
 
@@ -149,7 +154,7 @@ def scan(docs: DataFrame) -> tuple[DataFrame, Order]:
 
 
 def prefixes(docs: DataFrame, order: Order) -> DataFrame:
-    """Nodes that meet in a prefix shingle: shingle, node, n and the node they are first compared with."""
+    """Nodes that meet in prefix shingles: pairs of a few with the number shared, and (shingle not null) of many each with its lead."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,43 +176,72 @@ def prefixes(docs: DataFrame, order: Order) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.repeat(np.array(nodes, np.int64), length)), pa.array(np.repeat(np.array(sizes, np.int32), length))], names=["shingle", "node", "n"])
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # sorted by shingle, size and node: a group's first node leads until a set is too large for it; then that set leads
-        shingle = lead = lead_n = last = None
-        alone = True
-        for b in batches:
-            g, v, n = (b.column(c).to_numpy() for c in ("shingle", "node", "n"))
+        # sorted by shingle, size and node. Of many nodes the first leads until a set is too large for it; then that set leads
+        counts: Counter[tuple[int, int, int, int]] = Counter()
+        many: list[tuple[int, int, int, int, int]] = []
+        group: list[tuple[int, int]] = []
+        shingle = last = lead = None
+
+        def close() -> None:
+            if 1 < len(group) <= FEW:
+                counts.update((x[1], y[1], x[0], y[0]) if x[1] < y[1] else (y[1], x[1], y[0], x[0]) for x, y in itertools.combinations(group, 2) if 100 * x[0] >= PERCENT * y[0])
+
+        def rows() -> pa.RecordBatch:
+            small = [(*k, n, None) for k, n in counts.items()]
+            big = [(a, b, m, n, 0, s) for s, a, b, m, n in many]
+            counts.clear()
+            many.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*small, *big)], names=["a", "b", "n_a", "n_b", "shared", "shingle"])
+
+        for batch in batches:
+            g, v, n = (batch.column(c).to_numpy() for c in ("shingle", "node", "n"))
             near = np.zeros(len(g), bool)  # only rows next to one of the same shingle can meet anything
             near[1:] = g[1:] == g[:-1]
             near[:-1] |= near[1:].copy()
             near[[0, -1]] = True
-            out = []
             for s, x, m in zip(g[near].tolist(), v[near].tolist(), n[near].tolist()):
                 if s != shingle:
-                    shingle, lead, lead_n, last, alone = s, x, m, x, True
+                    close()
+                    shingle, last, group, lead = s, x, [(m, x)], None
                 elif x != last:
                     last = x
-                    if alone:
-                        out.append((s, lead, lead_n, lead))
-                        alone = False
-                    if 100 * lead_n < PERCENT * m:
-                        lead, lead_n = x, m
-                    out.append((s, x, m, lead))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int64()))], names=["shingle", "node", "n", "lead"])
+                    group.append((m, x))
+                    if len(group) == FEW + 1:
+                        waiting, lead = group, group[0]
+                    elif len(group) > FEW:
+                        waiting, group = group[-1:], group[: FEW + 1]
+                    else:
+                        continue
+                    for m, x in waiting:
+                        lead = lead if 100 * lead[0] >= PERCENT * m else (m, x)
+                        many.append((s, lead[1], x, lead[0], m))
+            if len(counts) + len(many) > 200_000:
+                yield rows()
+        close()
+        if counts or many:
+            yield rows()
 
     known = docs.filter("doc_id is not null").select("text")
     dealt = known.mapInArrow(emit, "shingle long, node long, n int").repartition("shingle").sortWithinPartitions("shingle", "n", "node")
-    return materialise(dealt.mapInArrow(meet, "shingle long, node long, n int, lead long"), "meetings")
+    return materialise(dealt.mapInArrow(meet, "a long, b long, n_a long, n_b long, shared long, shingle long"), "meetings")
+
+
+def share_needed(n_a: str, n_b: str) -> Column:
+    """The least number of shingles that linked sets of these sizes share in their prefixes."""
+    up = lambda x, k: F.floor((x + (k - 1)) / k)
+    a, b = F.col(n_a), F.col(n_b)
+    return up(PERCENT * (a + b), 100 + PERCENT) - up(PERCENT * F.greatest(a, b), 100) + 1
 
 
-def places(name: int) -> tuple[int, int]:
-    """A node's two bits in the filter."""
-    return name % BLOOM_BITS, (name // BLOOM_BITS) % BLOOM_BITS
+def places(doc_id: int) -> tuple[int, int]:
+    """A document's two bits in the filter."""
+    h = (doc_id * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & ((1 << 64) - 1)
+    return (h >> 7) % BLOOM_BITS, (h >> 35) % BLOOM_BITS
 
 
 def bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        at = np.array([i for name in b.column("node").to_pylist() for i in places(name)], np.int64)
+        at = np.array([i for d in b.column("doc_id").to_pylist() for i in places(d)], np.int64)
         yield pa.RecordBatch.from_arrays([pa.array((at >> 3).astype(np.int32)), pa.array((1 << (at & 7)).astype(np.int32))], names=["byte", "bits"])
 
 
@@ -218,36 +252,29 @@ def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def full_sets(docs: DataFrame, order: Order, nodes: DataFrame) -> DataFrame:
-    """node and ordered set (packed) of the nodes wanted."""
-    spark = docs.sparkSession
+    """node and ordered set (packed) of the nodes wanted, given with the doc_id of a document of each."""
     by_byte = nodes.mapInArrow(bits, "byte int, bits int").groupBy("byte").agg(F.bit_or("bits").alias("bits"))
     bloom = np.zeros(BLOOM_BITS // 8, np.uint8)  # of this size however many nodes there are
     for r in by_byte.mapInArrow(pack, "packed binary").toLocalIterator():
         x = np.frombuffer(r.packed, "<u4").reshape(2, -1)
         bloom[x[0]] = x[1]
-    shared = spark.sparkContext.broadcast((order, bloom))
+    shared = docs.sparkSession.sparkContext.broadcast((order, bloom))
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, bloom = shared.value
-        done: set[int] = set()
-        for b in slices(batches):
-            names, sets = [], []
-            for x in sets_of(b.column("text")):
-                name = node(x) if len(x) else None
-                if name is not None and name not in done and all(bloom[i >> 3] >> (i & 7) & 1 for i in places(name)):
-                    if len(done) > 200_000:
-                        done.clear()
-                    done.add(name)
-                    names.append(name)
-                    sets.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([order.sort(x).tobytes() for x in sets], pa.binary())], names=["node", "members"])
+        for b in batches:
+            wanted = [all(bloom[i >> 3] >> (i & 7) & 1 for i in places(d)) for d in b.column("doc_id").to_pylist()]
+            for part in slices([b.filter(pa.array(wanted, pa.bool_()))]):
+                sets = sets_of(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([node(x) if len(x) else None for x in sets], pa.int64()), pa.array([order.sort(x).tobytes() for x in sets], pa.binary())], names=["doc_id", "node", "members"])
 
-    wanted = docs.filter("doc_id is not null").select("text")
-    return materialise(wanted.mapInArrow(emit, "node long, members binary").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "full-sets")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").mapInArrow(emit, "doc_id long, node long, members binary")
+    return materialise(found.join(nodes, ["doc_id", "node"], "left_semi").dropDuplicates(["node"]), "full-sets")
 
 
 def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (lead, node), those linked. Partners of a lead are compared in groups of bounded size."""
+    """Of pairs (a, b), those linked. Partners of a node are compared in groups of bounded size."""
+    pairs = pairs.select(F.col("a").alias("lead"), F.col("b").alias("node"))
     counted = pairs.groupBy("lead").agg((F.floor(F.count("*") / GROUP_SETS) + 1).cast("int").alias("groups"))
     partners = pairs.join(counted, "lead").withColumn("part", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int")).join(sets, "node").select("lead", "part", F.lit(1).alias("kind"), "node", "members")
     leads = counted.select("lead", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part")).join(sets.withColumnRenamed("node", "lead"), "lead").select("lead", "part", F.lit(0).alias("kind"), F.col("lead").alias("node"), "members")
@@ -297,20 +324,35 @@ def linked_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     own, order = scan(docs)
     meetings = prefixes(docs, order)
-    first = meetings.filter("lead <> node").select("lead", "node").distinct()
-    first = materialise(first, "pairs")
-    sets = full_sets(docs, order, first.select("node").union(first.select("lead")).distinct())
+    many = meetings.filter("shingle is not null").select("shingle", F.col("b").alias("node"), F.col("n_b").alias("n"), F.col("a").alias("lead"), F.col("n_a").alias("lead_n"))
+    often = materialise(many.groupBy("node").agg(F.count("*").alias("often")), "often")  # prefix shingles of a node that meet many
+
+    def able(pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b, n_a, n_b, shared) those that can share enough in their prefixes."""
+        for s in ("a", "b"):
+            pairs = pairs.join(often.select(F.col("node").alias(s), F.col("often").alias(f"often_{s}")), s, "left")
+        return pairs.filter(F.col("shared") + F.least(F.coalesce("often_a", F.lit(0)), F.coalesce("often_b", F.lit(0))) >= share_needed("n_a", "n_b")).select("a", "b")
+
+    few = meetings.filter("shingle is null").drop("shingle")
+    small = F.col("lead") < F.col("node")
+    led = many.filter("lead <> node").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"), F.when(small, F.col("lead_n")).otherwise(F.col("n")).alias("n_a"), F.when(small, F.col("n")).otherwise(F.col("lead_n")).alias("n_b"), F.lit(0).cast("long").alias("shared")).distinct()
+    pairs = few.unionByName(led).groupBy("a", "b").agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.sum("shared").alias("shared"))
+    first = materialise(able(pairs), "pairs")
+    active = first.select(F.col("a").alias("node")).union(first.select("b")).union(many.select("node")).distinct()
+    sets = full_sets(docs, order, materialise(own.filter("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(active, "node", "left_semi"), "active"))
     found = materialise(links(first, sets), "links")
     label = components(found)
-    # pairs of nodes still apart that share a prefix shingle and weren't compared yet
-    placed = meetings.join(label, "node", "left").select("shingle", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    # pairs of nodes still apart that meet where many do, can share enough and weren't compared yet
+    placed = many.join(often, "node").join(label, "node", "left").select("shingle", "node", "n", "often", F.coalesce("comp", "node").alias("comp"))
     mixed = placed.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("shingle")
     apart = placed.join(mixed, "shingle", "left_semi")
-    left, right = (apart.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp"))) for s in ("a", "b"))
-    apart = left.join(right, "shingle").filter("comp_a < comp_b and 100 * n_a >= 80 * n_b and 100 * n_b >= 80 * n_a").select(F.col("node_a").alias("lead"), F.col("node_b").alias("node")).distinct()
-    apart = apart.join(first, ["lead", "node"], "left_anti").join(first.select(F.col("node").alias("lead"), F.col("lead").alias("node")), ["lead", "node"], "left_anti")
-    found = found.union(links(materialise(apart, "pairs"), sets))
-    label = components(found)
+    left, right = (apart.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "often", "comp"))) for s in ("a", "b"))
+    near = F.expr("node_a < node_b and comp_a <> comp_b and 100 * n_a >= 80 * n_b and 100 * n_b >= 80 * n_a")
+    apart = left.join(right, "shingle").filter(near & (F.least("often_a", "often_b") >= share_needed("n_a", "n_b"))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    apart = materialise(apart, "pairs")
+    if not apart.isEmpty():
+        found = found.union(links(apart, sets))
+        label = components(found)
     named = own.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = named.select("node", "comp").join(least, "comp").select("node", "component_id")
