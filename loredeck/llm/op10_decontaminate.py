@@ -31,6 +31,9 @@ from loredeck.llm.common import slices, table, text_bytes
 
 #: Buckets words are hashed to, latent dimensions, extra ones of the sketch, power iterations.
 BUCKETS, RANK, EXTRA, POWERS = 1 << 15, 128, 16, 2
+#: Buckets whose weighted latent vector is shorter than this part of the longest, common words, are left out of a
+#: window's latent vector.
+LEAST_WEIGHT = 0.03
 #: Words of half a window: windows of two halves start at every half.
 HALF = 16
 #: Passages of a block; least cosine of a candidate; shares of the passage that make a leak, alone and with its answer.
@@ -137,8 +140,8 @@ class Passages:
     ids: list[int | None]
     hashes: list[np.ndarray]
     idf: np.ndarray
-    weighted: np.ndarray  # bucket -> its latent vector times idf
-    used: np.ndarray  # buckets with a latent vector
+    place: np.ndarray  # bucket -> its row of `weighted`, -1 if it has no weight to speak of
+    weighted: np.ndarray  # latent vectors times idf
     latent: np.ndarray  # passages' latent vectors, of length one
 
     @classmethod
@@ -150,7 +153,11 @@ class Passages:
         np.add.at(latent, row, value[:, None] * basis[col])
         latent /= np.maximum(1e-9, np.linalg.norm(latent, axis=1))[:, None]
         weighted = (basis * idf[:, None]).astype(np.float32)
-        return cls(ids, [hashed[a:z] for a, z in zip(first, first[1:])], idf, weighted, (np.abs(weighted) > 1e-7).any(1), latent.astype(np.float32))
+        size = np.linalg.norm(weighted, axis=1)
+        used = np.flatnonzero(size > LEAST_WEIGHT * size.max()) if basis.shape[1] else np.zeros(0, np.int64)
+        place = np.full(BUCKETS, -1, np.int64)
+        place[used] = np.arange(len(used))
+        return cls(ids, [hashed[a:z] for a, z in zip(first, first[1:])], idf, place, weighted[used], latent.astype(np.float32))
 
     def candidates(self, hashed: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
         """Text, first and last word (in the text), passage and cosine of windows like a passage."""
@@ -160,11 +167,12 @@ class Passages:
         half = start[owner] + (np.arange(len(hashed)) - first[owner]) // HALF
         at = bucket(hashed)
         square = np.bincount(half, self.idf[at] ** 2, start[-1])
-        use = np.flatnonzero(self.used[at])
+        row = self.place[at]
+        use = np.flatnonzero(row >= 0)
         z = np.zeros((start[-1] + 1, self.weighted.shape[1]), np.float32)
         if len(use):
             new = np.flatnonzero(np.diff(half[use], prepend=-1))
-            z[half[use][new]] = np.add.reduceat(self.weighted[at[use]], new, axis=0)
+            z[half[use][new]] = np.add.reduceat(self.weighted[row[use]], new, axis=0)
         text = np.repeat(np.arange(len(first) - 1), halves)
         joined = np.append(text[1:] == text[:-1], False)
         window = z[:-1] + np.where(joined[:, None], z[1:], 0)
