@@ -74,8 +74,17 @@ class BytePairs:
         self.seen: dict[str, bytes] = {}
         self.keep = keep
         pairs = sorted((a << 32 | b, r) for t, r in self.ranks.items() for i in range(1, len(t)) if (a := self.ranks.get(t[:i])) is not None and (b := self.ranks.get(t[i:])) is not None)
-        self.pair_keys = np.array([k for k, _ in pairs] + [NONE], np.int64)
-        self.pair_ranks = np.array([r for _, r in pairs] + [NONE], np.int64)
+        keys, self.pair_ranks = np.array([k for k, _ in pairs], np.int64), np.array([r for _, r in pairs] + [NONE], np.int64)
+        self.slots = 1 << (4 * len(keys)).bit_length()
+        self.slot_keys, self.slot_pairs = np.full(self.slots, -1, np.int64), np.full(self.slots, len(keys), np.int64)
+        left, at = np.arange(len(keys)), self.slot(keys)
+        self.probes = 0
+        while len(left):  # those whose slot is taken go on to the next one
+            self.probes += 1
+            free = self.slot_keys[at] < 0
+            self.slot_keys[at[free]], self.slot_pairs[at[free]] = keys[left[free]], left[free]
+            lost = self.slot_keys[at] != keys[left]
+            left, at = left[lost], (at[lost] + 1) & (self.slots - 1)
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
 
     def merge(self, piece: bytes) -> list[int]:
@@ -106,10 +115,25 @@ class BytePairs:
             i = end[i]
         return ids
 
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key * -7046029254386353131) >> 40) & (self.slots - 1)
+
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids, NONE if they don't merge; a negative id never does."""
         key = a << 32 | b
-        at = np.searchsorted(self.pair_keys, key)
-        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NONE)
+        at = self.slot(key)
+        out = np.full(key.shape, len(self.pair_ranks) - 1)
+        open_ = np.arange(key.size)
+        flat, at, found = key.ravel(), at.ravel(), out.ravel()
+        for _ in range(self.probes):
+            there = self.slot_keys[at]
+            hit = there == flat[open_]
+            found[open_[hit]] = self.slot_pairs[at[hit]]
+            on = ~hit & (there >= 0)
+            open_, at = open_[on], (at[on] + 1) & (self.slots - 1)
+            if not len(open_):
+                break
+        return self.pair_ranks[out]
 
     def merge_rows(self, pieces: list[bytes], size: int) -> list[bytes]:
         """Packed ids of matches of at most `size` bytes, a power of two; row r of `tree` is the segment tree of match r."""
