@@ -33,7 +33,7 @@ from loredeck.llm.common import materialise, slices, table, text_bytes
 WIDTH, PERCENT = 5, 80
 #: Shingles counted together inside a task, the count there and in all from which one is known as frequent, and how
 #: many the broadcast table of frequent shingles holds at most. They only settle the order, which any choice keeps exact.
-COUNT_AT_ONCE, LOCAL_COUNT, FREQUENT, FREQUENT_AT_MOST = 1 << 21, 4, 24, 1 << 18
+COUNT_AT_ONCE, LOCAL_COUNT, FREQUENT, FREQUENT_AT_MOST = 1 << 22, 3, 12, 1 << 18
 _HOT = np.int64(1 << 62)
 #: Nodes that a prefix shingle meets up to which it counts for every pair of them.
 FEW = 12
@@ -338,9 +338,13 @@ def linked_components(docs: DataFrame) -> DataFrame:
     led = many.filter("lead <> node").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"), F.when(small, F.col("lead_n")).otherwise(F.col("n")).alias("n_a"), F.when(small, F.col("n")).otherwise(F.col("lead_n")).alias("n_b"), F.lit(0).cast("long").alias("shared")).distinct()
     pairs = few.unionByName(led).groupBy("a", "b").agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.sum("shared").alias("shared"))
     first = materialise(able(pairs), "pairs")
-    active = first.select(F.col("a").alias("node")).union(first.select("b")).union(many.select("node")).distinct()
-    sets = full_sets(docs, order, materialise(own.filter("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(active, "node", "left_semi"), "active"))
-    found = materialise(links(first, sets), "links")
+
+    def sets(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        named = own.filter("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+        return full_sets(docs, order, materialise(named.join(wanted, "node", "left_semi"), "wanted"))
+
+    found = materialise(links(first, sets(first)), "links")
     label = components(found)
     # pairs of nodes still apart that meet where many do, can share enough and weren't compared yet
     placed = many.join(often, "node").join(label, "node", "left").select("shingle", "node", "n", "often", F.coalesce("comp", "node").alias("comp"))
@@ -351,7 +355,7 @@ def linked_components(docs: DataFrame) -> DataFrame:
     apart = left.join(right, "shingle").filter(near & (F.least("often_a", "often_b") >= share_needed("n_a", "n_b"))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     apart = materialise(apart, "pairs")
     if not apart.isEmpty():
-        found = found.union(links(apart, sets))
+        found = found.union(links(apart, sets(apart)))
         label = components(found)
     named = own.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
