@@ -52,8 +52,8 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for k in range(LONGEST):  # n-grams that reach before the text's start read what stands there as 0
         shifted = np.zeros(len(code), np.uint32)
         shifted[k:] = code[: len(code) - k] if k else code
-        for j in range(k):
-            shifted[np.minimum(offsets[:-1] + j, max(0, len(code) - 1))] = 0
+        for j in range(k if len(code) else 0):
+            shifted[np.minimum(offsets[:-1] + j, len(code) - 1)] = 0
         key = key * np.uint32(0x01000193) + (shifted + np.uint32(1)) * np.uint32(0x9E3779B1)
         out[k] = (key ^ (key >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(32 - BUCKETS.bit_length() + 1)
     return out, offsets, seen[offsets[1:]] > seen[offsets[:-1]]
