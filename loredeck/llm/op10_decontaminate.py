@@ -33,7 +33,7 @@ from loredeck.llm.common import slices, table, text_bytes
 BUCKETS, RANK, EXTRA, POWERS = 1 << 15, 128, 16, 2
 #: Buckets whose weighted latent vector is shorter than this part of the longest, common words, are left out of a
 #: window's latent vector.
-LEAST_WEIGHT = 0.03
+LEAST_WEIGHT = 0.1
 #: Words of half a window: windows of two halves start at every half.
 HALF = 16
 #: Passages of a block; least cosine of a candidate; shares of the passage that make a leak, alone and with its answer.
@@ -166,7 +166,6 @@ class Passages:
         start = np.concatenate([[0], np.cumsum(halves)])  # each text's first half
         half = start[owner] + (np.arange(len(hashed)) - first[owner]) // HALF
         at = bucket(hashed)
-        square = np.bincount(half, self.idf[at] ** 2, start[-1])
         row = self.place[at]
         use = np.flatnonzero(row >= 0)
         z = np.zeros((start[-1] + 1, self.weighted.shape[1]), np.float32)
@@ -176,7 +175,11 @@ class Passages:
         text = np.repeat(np.arange(len(first) - 1), halves)
         joined = np.append(text[1:] == text[:-1], False)
         window = z[:-1] + np.where(joined[:, None], z[1:], 0)
-        norm = np.sqrt(square + np.where(joined, np.append(square[1:], 0), 0))
+        # a word's weight counts as often as it stands in the window, so a window of few words again and again is no match
+        second = joined[half - 1] & (half > 0)  # halves that end the window before, too
+        words_of = np.concatenate([half * BUCKETS + at, (half[second] - 1) * BUCKETS + at[second]])
+        words_of, times = np.unique(words_of, return_counts=True)
+        norm = np.sqrt(np.bincount(words_of // BUCKETS, (times * self.idf[words_of % BUCKETS]) ** 2, start[-1]))
         cosine = window @ self.latent.T / np.maximum(1e-9, norm)[:, None]
         w, item = np.nonzero(cosine >= LEAST_COSINE)
         begin = (w - start[text[w]]) * HALF
@@ -203,6 +206,8 @@ class Passages:
             part = jobs[k : k + 256]
             shares = common_share([self.hashes[i] for _, i, _, _ in part], [region for _, _, region, _ in part], self.idf)
             for (t, i, region, c), share in zip(part, shares):
+                if share < PARTLY:
+                    continue
                 tail = self.hashes[i][-max(1, round(ANSWER_PART * len(self.hashes[i]))) :]
                 answer = float(np.isin(tail, region).mean())
                 if share >= WHOLE or (share >= PARTLY and answer >= ANSWER_FOUND):
