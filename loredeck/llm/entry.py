@@ -9,6 +9,7 @@ from loredeck.llm.op3_quality import op3_quality
 from loredeck.llm.op4_attention_lm import op4_attention_lm
 from loredeck.llm.op5_token_files import op5_token_files
 from loredeck.llm.op6_language import op6_language_id
+from loredeck.llm.op7_jaccard import SQL as OP7_SQL
 from loredeck.llm.op7_jaccard import op7_ngram_join
 from loredeck.llm.op8_neighbours import op8_nearest
 from loredeck.llm.op9_toxicity import op9_toxicity
@@ -25,4 +26,4 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_ngram_join": OP7_SQL}
