@@ -173,13 +173,14 @@ def prefixes(docs: DataFrame, order: Order) -> DataFrame:
                 sizes.append(len(x))
             if parts:
                 length = [len(p) for p in parts]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.repeat(np.array(nodes, np.int64), length)), pa.array(np.repeat(np.array(sizes, np.int32), length))], names=["shingle", "node", "n"])
+                place = np.concatenate([np.arange(k, dtype=np.int32) for k in length])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.repeat(np.array(nodes, np.int64), length)), pa.array(np.repeat(np.array(sizes, np.int32), length)), pa.array(place)], names=["shingle", "node", "n", "place"])
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # sorted by shingle, size and node. Of many nodes the first leads until a set is too large for it; then that set leads
         counts: Counter[tuple[int, int, int, int]] = Counter()
-        many: list[tuple[int, int, int, int, int]] = []
-        group: list[tuple[int, int]] = []
+        many: list[tuple[int, int, int, int, int, int]] = []
+        group: list[tuple[int, int, int]] = []
         shingle = last = lead = None
 
         def close() -> None:
@@ -187,34 +188,34 @@ def prefixes(docs: DataFrame, order: Order) -> DataFrame:
                 counts.update((x[1], y[1], x[0], y[0]) if x[1] < y[1] else (y[1], x[1], y[0], x[0]) for x, y in itertools.combinations(group, 2) if 100 * x[0] >= PERCENT * y[0])
 
         def rows() -> pa.RecordBatch:
-            small = [(*k, n, None) for k, n in counts.items()]
-            big = [(a, b, m, n, 0, s) for s, a, b, m, n in many]
+            small = [(*k, n, None, None) for k, n in counts.items()]
+            big = [(a, b, m, n, 0, s, i) for s, a, b, m, n, i in many]
             counts.clear()
             many.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*small, *big)], names=["a", "b", "n_a", "n_b", "shared", "shingle"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*small, *big)], names=["a", "b", "n_a", "n_b", "shared", "shingle", "place"])
 
         for batch in batches:
-            g, v, n = (batch.column(c).to_numpy() for c in ("shingle", "node", "n"))
+            g, v, n, at = (batch.column(c).to_numpy() for c in ("shingle", "node", "n", "place"))
             near = np.zeros(len(g), bool)  # only rows next to one of the same shingle can meet anything
             near[1:] = g[1:] == g[:-1]
             near[:-1] |= near[1:].copy()
             near[[0, -1]] = True
-            for s, x, m in zip(g[near].tolist(), v[near].tolist(), n[near].tolist()):
+            for s, x, m, i in zip(g[near].tolist(), v[near].tolist(), n[near].tolist(), at[near].tolist()):
                 if s != shingle:
                     close()
-                    shingle, last, group, lead = s, x, [(m, x)], None
+                    shingle, last, group, lead = s, x, [(m, x, i)], None
                 elif x != last:
                     last = x
-                    group.append((m, x))
+                    group.append((m, x, i))
                     if len(group) == FEW + 1:
                         waiting, lead = group, group[0]
                     elif len(group) > FEW:
                         waiting, group = group[-1:], group[: FEW + 1]
                     else:
                         continue
-                    for m, x in waiting:
+                    for m, x, i in waiting:
                         lead = lead if 100 * lead[0] >= PERCENT * m else (m, x)
-                        many.append((s, lead[1], x, lead[0], m))
+                        many.append((s, lead[1], x, lead[0], m, i))
             if len(counts) + len(many) > 200_000:
                 yield rows()
         close()
@@ -222,8 +223,8 @@ def prefixes(docs: DataFrame, order: Order) -> DataFrame:
             yield rows()
 
     known = docs.filter("doc_id is not null").select("text")
-    dealt = known.mapInArrow(emit, "shingle long, node long, n int").repartition("shingle").sortWithinPartitions("shingle", "n", "node")
-    return materialise(dealt.mapInArrow(meet, "a long, b long, n_a long, n_b long, shared long, shingle long"), "meetings")
+    dealt = known.mapInArrow(emit, "shingle long, node long, n int, place int").repartition("shingle").sortWithinPartitions("shingle", "n", "node")
+    return materialise(dealt.mapInArrow(meet, "a long, b long, n_a long, n_b long, shared long, shingle long, place long"), "meetings")
 
 
 def share_needed(n_a: str, n_b: str) -> Column:
@@ -255,7 +256,7 @@ def full_sets(docs: DataFrame, order: Order, nodes: DataFrame) -> DataFrame:
     """node and ordered set (packed) of the nodes wanted, given with the doc_id of a document of each."""
     by_byte = nodes.mapInArrow(bits, "byte int, bits int").groupBy("byte").agg(F.bit_or("bits").alias("bits"))
     bloom = np.zeros(BLOOM_BITS // 8, np.uint8)  # of this size however many nodes there are
-    for r in by_byte.mapInArrow(pack, "packed binary").toLocalIterator():
+    for r in by_byte.mapInArrow(pack, "packed binary").collect():  # at most a cell for each byte of the filter
         x = np.frombuffer(r.packed, "<u4").reshape(2, -1)
         bloom[x[0]] = x[1]
     shared = docs.sparkSession.sparkContext.broadcast((order, bloom))
@@ -324,7 +325,7 @@ def linked_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     own, order = scan(docs)
     meetings = prefixes(docs, order)
-    many = meetings.filter("shingle is not null").select("shingle", F.col("b").alias("node"), F.col("n_b").alias("n"), F.col("a").alias("lead"), F.col("n_a").alias("lead_n"))
+    many = meetings.filter("shingle is not null").select("shingle", F.col("b").alias("node"), F.col("n_b").alias("n"), F.col("a").alias("lead"), F.col("n_a").alias("lead_n"), "place")
     often = materialise(many.groupBy("node").agg(F.count("*").alias("often")), "often")  # prefix shingles of a node that meet many
 
     def able(pairs: DataFrame) -> DataFrame:
@@ -333,7 +334,7 @@ def linked_components(docs: DataFrame) -> DataFrame:
             pairs = pairs.join(often.select(F.col("node").alias(s), F.col("often").alias(f"often_{s}")), s, "left")
         return pairs.filter(F.col("shared") + F.least(F.coalesce("often_a", F.lit(0)), F.coalesce("often_b", F.lit(0))) >= share_needed("n_a", "n_b")).select("a", "b")
 
-    few = meetings.filter("shingle is null").drop("shingle")
+    few = meetings.filter("shingle is null").drop("shingle", "place")
     small = F.col("lead") < F.col("node")
     led = many.filter("lead <> node").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"), F.when(small, F.col("lead_n")).otherwise(F.col("n")).alias("n_a"), F.when(small, F.col("n")).otherwise(F.col("lead_n")).alias("n_b"), F.lit(0).cast("long").alias("shared")).distinct()
     pairs = few.unionByName(led).groupBy("a", "b").agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.sum("shared").alias("shared"))
@@ -346,13 +347,17 @@ def linked_components(docs: DataFrame) -> DataFrame:
 
     found = materialise(links(first, sets(first)), "links")
     label = components(found)
-    # pairs of nodes still apart that meet where many do, can share enough and weren't compared yet
-    placed = many.join(often, "node").join(label, "node", "left").select("shingle", "node", "n", "often", F.coalesce("comp", "node").alias("comp"))
+    # pairs of nodes still apart that meet where many do, can share enough and weren't compared yet. Pairs that share
+    # k shingles of their prefixes meet in all but the last k - 1 of either, and their sizes are of one class or the next
+    placed = many.join(often, "node").join(label, "node", "left").select("shingle", "node", "n", "often", "place", F.coalesce("comp", "node").alias("comp"), F.floor(F.log("n") / np.log(100 / PERCENT)).alias("class"))
     mixed = placed.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("shingle")
     apart = placed.join(mixed, "shingle", "left_semi")
-    left, right = (apart.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "often", "comp"))) for s in ("a", "b"))
+    left, right = (apart.select("shingle", "class", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "often", "place", "comp"))) for s in ("a", "b"))
+    left = left.withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)))
     near = F.expr("node_a < node_b and comp_a <> comp_b and 100 * n_a >= 80 * n_b and 100 * n_b >= 80 * n_a")
-    apart = left.join(right, "shingle").filter(near & (F.least("often_a", "often_b") >= share_needed("n_a", "n_b"))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    k = share_needed("n_a", "n_b")
+    early = [F.col(f"place_{s}") <= F.col(f"n_{s}") - F.floor((PERCENT * F.col(f"n_{s}") + 99) / 100) + 1 - k for s in ("a", "b")]
+    apart = left.join(right, ["shingle", "class"]).filter(near & (F.least("often_a", "often_b") >= k) & early[0] & early[1]).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     apart = materialise(apart, "pairs")
     if not apart.isEmpty():
         found = found.union(links(apart, sets(apart)))
