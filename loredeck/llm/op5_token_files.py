@@ -131,7 +131,7 @@ def read_file(raw: bytes) -> tuple[list[int | None], np.ndarray, Codes]:
 class WordTokenizer:
     """Ids of a `tokenizers` file that never joins text across ASCII white space, with a bounded table of words seen."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 700_000):
         from tokenizers import Tokenizer
 
         self.library, self.keep = Tokenizer.from_file(path), keep
