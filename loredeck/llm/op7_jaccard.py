@@ -37,6 +37,8 @@ COUNT_AT_ONCE, LOCAL_COUNT, FREQUENT, FREQUENT_AT_MOST = 1 << 22, 3, 12, 1 << 18
 _HOT = np.int64(1 << 62)
 #: Nodes that a prefix shingle meets up to which it counts for every pair of them.
 FEW = 12
+#: Turns in which nodes still apart are compared with one of those they meet, before all pairs left are.
+TURNS = 2
 #: Partners of a node that are compared in one tree, and nodes of a group.
 TREE_SETS, GROUP_SETS = 256, 512
 #: Bits of the filter of documents whose sets are needed; a fuller filter only lets more sets through.
@@ -348,20 +350,31 @@ def linked_components(docs: DataFrame) -> DataFrame:
     found = materialise(links(first, sets(first)), "links")
     label = components(found)
     # pairs of nodes still apart that meet where many do, can share enough and weren't compared yet. Pairs that share
-    # k shingles of their prefixes meet in all but the last k - 1 of either, and their sizes are of one class or the next
-    placed = many.join(often, "node").join(label, "node", "left").select("shingle", "node", "n", "often", "place", F.coalesce("comp", "node").alias("comp"), F.floor(F.log("n") / np.log(100 / PERCENT)).alias("class"))
-    mixed = placed.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("shingle")
-    apart = placed.join(mixed, "shingle", "left_semi")
-    left, right = (apart.select("shingle", "class", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "often", "place", "comp"))) for s in ("a", "b"))
-    left = left.withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)))
-    near = F.expr("node_a < node_b and comp_a <> comp_b and 100 * n_a >= 80 * n_b and 100 * n_b >= 80 * n_a")
+    # k shingles of their prefixes meet in all but the last k - 1 of either, and their sizes are of one class or the next.
+    # First, in turns, with one node of each class only, chosen by chance, which joins most of what belongs together
+    compared = first
     k = share_needed("n_a", "n_b")
-    early = [F.col(f"place_{s}") <= F.col(f"n_{s}") - F.floor((PERCENT * F.col(f"n_{s}") + 99) / 100) + 1 - k for s in ("a", "b")]
-    apart = left.join(right, ["shingle", "class"]).filter(near & (F.least("often_a", "often_b") >= k) & early[0] & early[1]).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    apart = materialise(apart, "pairs")
-    if not apart.isEmpty():
-        found = found.union(links(apart, sets(apart)))
-        label = components(found)
+    near = F.expr("comp_a <> comp_b and 100 * n_a >= 80 * n_b and 100 * n_b >= 80 * n_a") & (F.least("often_a", "often_b") >= k)
+    for s in ("a", "b"):
+        near = near & (F.col(f"place_{s}") <= F.col(f"n_{s}") - F.floor((PERCENT * F.col(f"n_{s}") + 99) / 100) + 1 - k)
+    columns = ["node", "n", "often", "place", "comp"]
+    for turn in range(TURNS + 1):
+        placed = many.join(often, "node").join(label, "node", "left").select("shingle", "node", "n", "often", "place", F.coalesce("comp", "node").alias("comp"), F.floor(F.log("n") / np.log(100 / PERCENT)).alias("class"))
+        mixed = placed.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("shingle")
+        rows = materialise(placed.join(mixed, "shingle", "left_semi"), "apart")
+        left = rows.select("shingle", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"), *(F.col(c).alias(f"{c}_a") for c in columns))
+        if turn < TURNS:
+            chosen = rows.groupBy("shingle", "class").agg(F.min_by(F.struct(*columns), F.xxhash64(F.lit(turn), "node")).alias("r"))
+            right = chosen.select("shingle", "class", *(F.col(f"r.{c}").alias(f"{c}_b") for c in columns))
+        else:
+            right = rows.select("shingle", "class", *(F.col(c).alias(f"{c}_b") for c in columns))
+            near = near & (F.col("node_a") < F.col("node_b"))
+        apart = left.join(right, ["shingle", "class"]).filter(near).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
+        apart = materialise(apart, "pairs")
+        if apart.isEmpty():
+            continue
+        compared = compared.union(apart)
+        label = components(label.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(links(apart, sets(apart))))
     named = own.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = named.select("node", "comp").join(least, "comp").select("node", "component_id")
