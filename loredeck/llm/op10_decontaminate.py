@@ -31,9 +31,6 @@ from loredeck.llm.common import slices, table, text_bytes
 
 #: Buckets words are hashed to, latent dimensions, extra ones of the sketch, power iterations.
 BUCKETS, RANK, EXTRA, POWERS = 1 << 15, 128, 16, 2
-#: Buckets whose weighted latent vector is shorter than this part of the longest, common words, are left out of a
-#: window's latent vector.
-LEAST_WEIGHT = 0.1
 #: Words of half a window: windows of two halves start at every half.
 HALF = 16
 #: Passages of a block; least cosine of a candidate; shares of the passage that make a leak, alone and with its answer.
@@ -140,7 +137,7 @@ class Passages:
     ids: list[int | None]
     hashes: list[np.ndarray]
     idf: np.ndarray
-    place: np.ndarray  # bucket -> its row of `weighted`, -1 if it has no weight to speak of
+    place: np.ndarray  # bucket -> its row of `weighted`, -1 if no passage has it
     weighted: np.ndarray  # latent vectors times idf
     latent: np.ndarray  # passages' latent vectors, of length one
 
@@ -153,8 +150,7 @@ class Passages:
         np.add.at(latent, row, value[:, None] * basis[col])
         latent /= np.maximum(1e-9, np.linalg.norm(latent, axis=1))[:, None]
         weighted = (basis * idf[:, None]).astype(np.float32)
-        size = np.linalg.norm(weighted, axis=1)
-        used = np.flatnonzero(size > LEAST_WEIGHT * size.max()) if basis.shape[1] else np.zeros(0, np.int64)
+        used = np.flatnonzero(weighted.any(axis=1))  # the basis is spanned by passages, so buckets of none have no part in it
         place = np.full(BUCKETS, -1, np.int64)
         place[used] = np.arange(len(used))
         return cls(ids, [hashed[a:z] for a, z in zip(first, first[1:])], idf, place, weighted[used], latent.astype(np.float32))

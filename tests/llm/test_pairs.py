@@ -194,3 +194,22 @@ def test_basis_equals_the_exact_decomposition(leaks):
     a[row, col] = value
     exact = np.linalg.svd(a, full_matrices=False)[1][:5]
     assert np.allclose(np.linalg.norm(a @ basis, axis=0), exact, rtol=0.02)
+
+
+def test_every_word_of_a_passage_counts_in_a_window(spark):
+    """The cosine of a window is that of its whole latent vector, common words too."""
+    rng = random.Random(17)
+    common, rare = [f"c{i}" for i in range(12)], [f"r{i}" for i in range(4000)]
+    texts = [" ".join(rng.choice(common) if rng.random() < 0.7 else rng.choice(rare) for _ in range(32)) for _ in range(500)]
+    column = pa.array(texts, pa.string())
+    idf = np.where(np.isin(np.arange(op10_decontaminate.BUCKETS), op10_decontaminate.bucket(op10_decontaminate.word_hashes(pa.array(common))[0])), 0.3, 4.0)
+    basis = op10_decontaminate.latent_basis(spark.createDataFrame([(t,) for t in texts], "text string"), idf, rank=128)
+    block = op10_decontaminate.Passages.of(list(range(500)), texts, idf, basis)
+    row, col, value = op10_decontaminate.sparse_rows(column, idf)
+    kept = np.zeros((500, basis.shape[1]))
+    np.add.at(kept, row, value[:, None] * basis[col])
+    want = np.linalg.norm(kept, axis=1)
+    text, begin, _, item, cosine = block.candidates(*op10_decontaminate.word_hashes(column))
+    got = {t: c for t, a, i, c in zip(text, begin, item, cosine) if t == i and a == 0}
+    assert set(got) == set(np.flatnonzero(want >= op10_decontaminate.LEAST_COSINE + 1e-5))
+    assert np.allclose([want[t] for t in got], list(got.values()), atol=1e-4)
