@@ -1,14 +1,15 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Benchmark passages become TF-IDF vectors over hashed words, with document frequencies counted over all documents.
-A randomised SVD of these vectors, computed as Spark jobs over the passages, gives a small latent basis. Every
-document is read in overlapping windows of words; a window's latent vector is compared with every passage's, and
+A randomised SVD of these vectors, computed as Spark jobs over the passages of a block, gives the block a latent basis
+that keeps its passages whole, so a window equal to a passage has cosine one. Every document is read in overlapping windows of words; a window's latent vector is compared with every passage's, and
 pairs above a low cosine are candidates. A candidate counts as a leak if the words it shares with the passage in
 the same order, weighed by their rarity (longest common subsequence), make up most of the passage, or about half
 of it and the passage's answer, its last words, stands there too. So copies, cut copies and paraphrases are found,
 while passing similarity of topic isn't enough.
 
-Passages are handled in blocks of at most ITEM_BLOCK, so what is broadcast is bounded however long the benchmark is.
+Passages are handled in blocks of at most ITEM_BLOCK, each with its own basis, so what is broadcast is bounded and no
+passage is given up however long the benchmark is.
 
 Cases: null, empty or blank passages match nothing; null, empty or blank texts are clean; repeated documents and
 passages are judged one by one; a document or a passage with a null id is compared like any other (a null id is
@@ -29,12 +30,12 @@ from pyspark.sql import functions as F
 from loredeck.llm import words
 from loredeck.llm.common import slices, table, text_bytes
 
-#: Buckets words are hashed to, latent dimensions, extra ones of the sketch, power iterations.
-BUCKETS, RANK, EXTRA, POWERS = 1 << 15, 128, 16, 2
+#: Buckets words are hashed to, dimensions of the sketch beyond the rank, power iterations.
+BUCKETS, EXTRA, POWERS = 1 << 15, 16, 2
 #: Words of half a window: windows of two halves start at every half.
 HALF = 16
 #: Passages of a block; least cosine of a candidate; shares of the passage that make a leak, alone and with its answer.
-ITEM_BLOCK, LEAST_COSINE, WHOLE, PARTLY = 1024, 0.25, 0.75, 0.45
+ITEM_BLOCK, LEAST_COSINE, WHOLE, PARTLY = 256, 0.25, 0.75, 0.45
 #: Share of a passage's last words taken as its answer, and how much of the answer must be there.
 ANSWER_PART, ANSWER_FOUND = 0.2, 0.5
 MATCHES = "doc_id long, item_id long, score double, answer double, cosine double"
@@ -82,7 +83,7 @@ def sparse_rows(column: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return row, col, value / np.maximum(1e-12, np.sqrt(np.bincount(row, value**2, len(column)))[row])
 
 
-def latent_basis(items: DataFrame, idf: np.ndarray, rank: int = RANK, extra: int = EXTRA) -> np.ndarray:
+def latent_basis(items: DataFrame, idf: np.ndarray, rank: int, extra: int = EXTRA) -> np.ndarray:
     """Right singular vectors (buckets by rank) of the passages' TF-IDF matrix, by randomised subspace iteration."""
     context = items.sparkSession.sparkContext
     width = rank + extra
@@ -137,9 +138,8 @@ class Passages:
     ids: list[int | None]
     hashes: list[np.ndarray]
     idf: np.ndarray
-    place: np.ndarray  # bucket -> its row of `weighted`, -1 if no passage has it
-    weighted: np.ndarray  # latent vectors times idf
-    latent: np.ndarray  # passages' latent vectors, of length one
+    place: np.ndarray  # bucket -> its row of `likeness`, -1 if no passage has it
+    likeness: np.ndarray  # product of a bucket's latent vector times idf with each passage's latent vector of length one
 
     @classmethod
     def of(cls, ids: list[int | None], texts: list[str], idf: np.ndarray, basis: np.ndarray) -> Passages:
@@ -149,11 +149,11 @@ class Passages:
         latent = np.zeros((len(texts), basis.shape[1]))
         np.add.at(latent, row, value[:, None] * basis[col])
         latent /= np.maximum(1e-9, np.linalg.norm(latent, axis=1))[:, None]
-        weighted = (basis * idf[:, None]).astype(np.float32)
-        used = np.flatnonzero(weighted.any(axis=1))  # the basis is spanned by passages, so buckets of none have no part in it
+        used = np.unique(col)  # the basis is spanned by the passages, so buckets of none have no part in it
+        likeness = ((basis[used] * idf[used, None]) @ latent.T).astype(np.float32)
         place = np.full(BUCKETS, -1, np.int64)
         place[used] = np.arange(len(used))
-        return cls(ids, [hashed[a:z] for a, z in zip(first, first[1:])], idf, place, weighted[used], latent.astype(np.float32))
+        return cls(ids, [hashed[a:z] for a, z in zip(first, first[1:])], idf, place, likeness)
 
     def candidates(self, hashed: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
         """Text, first and last word (in the text), passage and cosine of windows like a passage."""
@@ -164,10 +164,10 @@ class Passages:
         at = bucket(hashed)
         row = self.place[at]
         use = np.flatnonzero(row >= 0)
-        z = np.zeros((start[-1] + 1, self.weighted.shape[1]), np.float32)
+        z = np.zeros((start[-1] + 1, len(self.ids)), np.float32)
         if len(use):
             new = np.flatnonzero(np.diff(half[use], prepend=-1))
-            z[half[use][new]] = np.add.reduceat(self.weighted[row[use]], new, axis=0)
+            z[half[use][new]] = np.add.reduceat(self.likeness[row[use]], new, axis=0)
         text = np.repeat(np.arange(len(first) - 1), halves)
         joined = np.append(text[1:] == text[:-1], False)
         window = z[:-1] + np.where(joined[:, None], z[1:], 0)
@@ -176,7 +176,7 @@ class Passages:
         words_of = np.concatenate([half * BUCKETS + at, (half[second] - 1) * BUCKETS + at[second]])
         words_of, times = np.unique(words_of, return_counts=True)
         norm = np.sqrt(np.bincount(words_of // BUCKETS, (times * self.idf[words_of % BUCKETS]) ** 2, start[-1]))
-        cosine = window @ self.latent.T / np.maximum(1e-9, norm)[:, None]
+        cosine = window / np.maximum(1e-9, norm).astype(np.float32)[:, None]
         w, item = np.nonzero(cosine >= LEAST_COSINE)
         begin = (w - start[text[w]]) * HALF
         return text[w], begin, begin + 2 * HALF, item, cosine[w, item]
@@ -184,7 +184,7 @@ class Passages:
     def matches(self, column: pa.Array) -> list[tuple[int, int, float, float, float]]:
         """Row, passage, share of the passage in order, share of its answer, cosine; the best for each row and passage."""
         hashed, first = word_hashes(column)
-        if not len(hashed) or not len(self.latent):
+        if not len(hashed) or not len(self.ids):
             return []
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
         regions: dict[tuple[int, int], list[list]] = {}
@@ -234,11 +234,12 @@ def blocks(items: DataFrame, docs: DataFrame) -> Iterator[Passages]:
         return
     parts = -(-2 * n // ITEM_BLOCK) if n > ITEM_BLOCK else 1  # by a hash of the text, so a block of a half on average
     idf = rarity(docs)
-    basis = latent_basis(passages, idf)
     for k in range(parts):
         rows = passages.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
         for a in range(0, len(rows), ITEM_BLOCK):
-            yield Passages.of([r.item_id for r in rows[a : a + ITEM_BLOCK]], [r.text for r in rows[a : a + ITEM_BLOCK]], idf, basis)
+            ids, texts = [r.item_id for r in rows[a : a + ITEM_BLOCK]], [r.text for r in rows[a : a + ITEM_BLOCK]]
+            own = items.sparkSession.createDataFrame([(x,) for x in texts], "text string")
+            yield Passages.of(ids, texts, idf, latent_basis(own, idf, len(texts)))
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:

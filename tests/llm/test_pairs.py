@@ -213,3 +213,19 @@ def test_every_word_of_a_passage_counts_in_a_window(spark):
     got = {t: c for t, a, i, c in zip(text, begin, item, cosine) if t == i and a == 0}
     assert set(got) == set(np.flatnonzero(want >= op10_decontaminate.LEAST_COSINE + 1e-5))
     assert np.allclose([want[t] for t in got], list(got.values()), atol=1e-4)
+
+
+def test_every_copy_is_found_however_many_passages(spark):
+    rng = random.Random(19)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(6000)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, text(rng.randint(15, 60))) for i in range(600)]
+    docs = [(i, f"{text(100)} {passage} {text(rng.randint(90, 110))}") for i, passage in items]
+    schema = "{} long, text string".format
+    got = {(r.doc_id, r.item_id): r.cosine for r in op10_decontaminate.leaks(spark.createDataFrame(docs, schema("doc_id")), spark.createDataFrame(items, schema("item_id"))).collect()}
+    assert set(got) >= {(i, i) for i in range(600)}
+    for block in op10_decontaminate.blocks(spark.createDataFrame(items, schema("item_id")), spark.createDataFrame(items, schema("doc_id"))):
+        texts = [dict(items)[i] for i in block.ids]
+        row, col, value = op10_decontaminate.sparse_rows(pa.array(texts), block.idf)
+        own = np.bincount(row, value / block.idf[col] * block.likeness[block.place[col], row])
+        assert np.allclose(own, 1, atol=1e-4)  # each passage finds itself whole
