@@ -8,10 +8,12 @@ the same order, weighed by their rarity (longest common subsequence), make up mo
 of it and the passage's answer, its last words, stands there too. So copies, cut copies and paraphrases are found,
 while passing similarity of topic isn't enough.
 
-Passages are handled in blocks of at most ITEM_BLOCK, each with its own basis, so what is broadcast is bounded and no
+Passages longer than PIECE words are retrieved by pieces of at most so many words, and judged whole.
+
+Passages are handled in blocks of at most ITEM_BLOCK pieces (or one passage of more), each with its own basis, so what is broadcast is bounded and no
 passage is given up however long the benchmark is.
 
-Cases: null, empty or blank passages match nothing; null, empty or blank texts are clean; repeated documents and
+Cases: null, empty or blank passages, and those of ASCII punctuation only, match nothing; null, empty or blank texts are clean; repeated documents and
 passages are judged one by one; a document or a passage with a null id is compared like any other (a null id is
 returned as null); with no passages, or no documents, nothing is found; extra columns are kept by the filter and
 ignored by the query.
@@ -34,7 +36,11 @@ from loredeck.llm.common import slices, table, text_bytes
 BUCKETS, EXTRA, POWERS = 1 << 15, 16, 2
 #: Words of half a window: windows of two halves start at every half.
 HALF = 16
-#: Passages of a block; least cosine of a candidate; shares of the passage that make a leak, alone and with its answer.
+#: Words of a passage that are retrieved as one: a copy of so many always fills whole windows.
+PIECE = 4 * HALF
+#: Any byte of a word, as `words.PUNCTUATED` has it.
+WORD = r"[0-9A-Za-z]|[^\x00-\x7F]"
+#: Pieces of passages in a block; least cosine of a candidate; shares of the passage that make a leak, alone and with its answer.
 ITEM_BLOCK, LEAST_COSINE, WHOLE, PARTLY = 256, 0.25, 0.75, 0.45
 #: Share of a passage's last words taken as its answer, and how much of the answer must be there.
 ANSWER_PART, ANSWER_FOUND = 0.2, 0.5
@@ -48,6 +54,17 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return words.hashes(raw, starts, ends), first
 
 
+def pieces(column: pa.Array) -> list[list[str]]:
+    """Each text as it is, or if it has more than PIECE words, in pieces of about as many words each."""
+    raw, offsets = text_bytes(column)
+    starts, ends, first = words.bounds(raw, offsets, words.PUNCTUATED)
+    out = []
+    for a, z in zip(first.tolist(), first[1:].tolist()):
+        cuts = np.linspace(a, z, max(1, -(-(z - a) // PIECE)) + 1).astype(int).tolist() if z > a else []
+        out.append([raw[starts[i] : ends[j - 1]].tobytes().decode() for i, j in zip(cuts, cuts[1:])])
+    return out
+
+
 def bucket(hashed: np.ndarray) -> np.ndarray:
     return (hashed >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
@@ -137,26 +154,29 @@ class Passages:
 
     ids: list[int | None]
     hashes: list[np.ndarray]
+    whole: np.ndarray  # the passage of each piece
     idf: np.ndarray
     place: np.ndarray  # bucket -> its row of `likeness`, -1 if no passage has it
-    likeness: np.ndarray  # product of a bucket's latent vector times idf with each passage's latent vector of length one
+    likeness: np.ndarray  # product of a bucket's latent vector times idf with each piece's latent vector of length one
 
     @classmethod
     def of(cls, ids: list[int | None], texts: list[str], idf: np.ndarray, basis: np.ndarray) -> Passages:
         column = pa.array(texts, pa.string())
         hashed, first = word_hashes(column)
-        row, col, value = sparse_rows(column, idf)
-        latent = np.zeros((len(texts), basis.shape[1]))
+        parts = pieces(column)
+        whole = np.repeat(np.arange(len(texts)), [len(x) for x in parts])
+        row, col, value = sparse_rows(pa.array([x for part in parts for x in part], pa.string()), idf)
+        latent = np.zeros((len(whole), basis.shape[1]))
         np.add.at(latent, row, value[:, None] * basis[col])
         latent /= np.maximum(1e-9, np.linalg.norm(latent, axis=1))[:, None]
         used = np.unique(col)  # the basis is spanned by the passages, so buckets of none have no part in it
         likeness = ((basis[used] * idf[used, None]) @ latent.T).astype(np.float32)
         place = np.full(BUCKETS, -1, np.int64)
         place[used] = np.arange(len(used))
-        return cls(ids, [hashed[a:z] for a, z in zip(first, first[1:])], idf, place, likeness)
+        return cls(ids, [hashed[a:z] for a, z in zip(first, first[1:])], whole, idf, place, likeness)
 
     def candidates(self, hashed: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Text, first and last word (in the text), passage and cosine of windows like a passage."""
+        """Text, first and last word (in the text), passage and cosine of windows like a piece of a passage."""
         owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
         halves = -(-np.diff(first) // HALF)
         start = np.concatenate([[0], np.cumsum(halves)])  # each text's first half
@@ -164,7 +184,7 @@ class Passages:
         at = bucket(hashed)
         row = self.place[at]
         use = np.flatnonzero(row >= 0)
-        z = np.zeros((start[-1] + 1, len(self.ids)), np.float32)
+        z = np.zeros((start[-1] + 1, len(self.whole)), np.float32)
         if len(use):
             new = np.flatnonzero(np.diff(half[use], prepend=-1))
             z[half[use][new]] = np.add.reduceat(self.likeness[row[use]], new, axis=0)
@@ -177,9 +197,14 @@ class Passages:
         words_of, times = np.unique(words_of, return_counts=True)
         norm = np.sqrt(np.bincount(words_of // BUCKETS, (times * self.idf[words_of % BUCKETS]) ** 2, start[-1]))
         cosine = window / np.maximum(1e-9, norm).astype(np.float32)[:, None]
-        w, item = np.nonzero(cosine >= LEAST_COSINE)
+        w, piece = np.nonzero(cosine >= LEAST_COSINE)
         begin = (w - start[text[w]]) * HALF
-        return text[w], begin, begin + 2 * HALF, item, cosine[w, item]
+        return text[w], begin, begin + 2 * HALF, self.whole[piece], cosine[w, piece]
+
+    def present(self, item: int, region: np.ndarray) -> float:
+        """Share of a passage's weight in words that the region has."""
+        weight = self.idf[bucket(self.hashes[item])]
+        return float(weight[np.isin(self.hashes[item], region)].sum() / max(1e-12, weight.sum()))
 
     def matches(self, column: pa.Array) -> list[tuple[int, int, float, float, float]]:
         """Row, passage, share of the passage in order, share of its answer, cosine; the best for each row and passage."""
@@ -198,8 +223,12 @@ class Passages:
                 spans.append([a, z, c])
         jobs = [(t, i, hashed[first[t] : first[t + 1]][a:z], c) for (t, i), spans in regions.items() for a, z, c in spans]
         jobs.sort(key=lambda j: (len(self.hashes[j[1]]), len(j[2])))
-        for k in range(0, len(jobs), 256):
-            part = jobs[k : k + 256]
+        # words of a long passage that stand anywhere in the region bound what stands there in order
+        jobs = [j for j in jobs if len(self.hashes[j[1]]) <= PIECE or self.present(j[1], j[2]) >= PARTLY]
+        k = 0
+        while k < len(jobs):
+            part = jobs[k : k + max(1, min(256, (1 << 18) // (4 * (len(self.hashes[jobs[min(k + 255, len(jobs) - 1)][1]]) + HALF))))]
+            k += len(part)
             shares = common_share([self.hashes[i] for _, i, _, _ in part], [region for _, _, region, _ in part], self.idf)
             for (t, i, region, c), share in zip(part, shares):
                 if share < PARTLY:
@@ -228,18 +257,33 @@ def common_share(passages: list[np.ndarray], regions: list[np.ndarray], idf: np.
 
 def blocks(items: DataFrame, docs: DataFrame) -> Iterator[Passages]:
     """The benchmark in blocks of bounded size, with statistics of these documents."""
-    passages = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").rlike(r"\w"))
-    n = passages.count()
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in pieces(b.column("text"))], pa.int64())], names=["n"])
+
+    passages = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").rlike(WORD))
+    n = passages.select("text").mapInArrow(count, "n long").agg(F.sum("n")).first()[0]
     if not n:
         return
     parts = -(-2 * n // ITEM_BLOCK) if n > ITEM_BLOCK else 1  # by a hash of the text, so a block of a half on average
     idf = rarity(docs)
+
+    def block(rows: list, texts: list[str]) -> Passages:
+        own = items.sparkSession.createDataFrame([(x,) for x in texts], "text string")
+        return Passages.of([r.item_id for r in rows], [r.text for r in rows], idf, latent_basis(own, idf, len(texts)))
+
     for k in range(parts):
         rows = passages.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
-        for a in range(0, len(rows), ITEM_BLOCK):
-            ids, texts = [r.item_id for r in rows[a : a + ITEM_BLOCK]], [r.text for r in rows[a : a + ITEM_BLOCK]]
-            own = items.sparkSession.createDataFrame([(x,) for x in texts], "text string")
-            yield Passages.of(ids, texts, idf, latent_basis(own, idf, len(texts)))
+        held, texts = [], []
+        for r, own in zip(rows, pieces(pa.array([r.text for r in rows], pa.string()))):
+            if held and len(texts) + len(own) > ITEM_BLOCK:
+                yield block(held, texts)
+                held, texts = [], []
+            held.append(r)
+            texts += own
+        if held:
+            yield block(held, texts)
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -226,6 +226,21 @@ def test_every_copy_is_found_however_many_passages(spark):
     assert set(got) >= {(i, i) for i in range(600)}
     for block in op10_decontaminate.blocks(spark.createDataFrame(items, schema("item_id")), spark.createDataFrame(items, schema("doc_id"))):
         texts = [dict(items)[i] for i in block.ids]
-        row, col, value = op10_decontaminate.sparse_rows(pa.array(texts), block.idf)
-        own = np.bincount(row, value / block.idf[col] * block.likeness[block.place[col], row])
-        assert np.allclose(own, 1, atol=1e-4)  # each passage finds itself whole
+        text, begin, _, item, cosine = block.candidates(*op10_decontaminate.word_hashes(pa.array(texts)))
+        own = {t: c for t, a, i, c in zip(text, begin, item, cosine) if t == i and a == 0 and len(texts[t].split()) <= 32}
+        assert np.allclose(list(own.values()), 1, atol=1e-4)  # each passage finds itself whole
+
+
+def test_long_passages_and_other_scripts_are_found(spark):
+    rng = random.Random(23)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(20_000)]
+    letters = "абвгдежзиклмн"
+    text = lambda n: " ".join(rng.sample(words, n))
+    items = [(i, text(n)) for i, n in enumerate([40, 65, 400, 700, 1000, 2000])]
+    items += [(10, " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(20))), (11, "天地玄黄 宇宙洪荒 日月盈昃 辰宿列张 寒来暑往 秋收冬藏 闰余成岁 律吕调阳")]
+    docs = [(i, f"{text(300)} {passage} {text(107)}") for i, passage in items] + [(99, text(3000)), (98, "-- ?! ...")]
+    items += [(20, "?! -- ..."), (21, " \n")]
+    schema = "{} long, text string".format
+    got = op10_decontaminate.leaks(spark.createDataFrame(docs, schema("doc_id")), spark.createDataFrame(items, schema("item_id"))).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i, _ in items[:8]}
+    assert len(got) == 8 and all(r.score > 0.999 for r in got)
