@@ -22,11 +22,21 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 
 def finished(stream: DataFrame, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run the stream over all that is there now and return its result table."""
-    name = f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).start()
+    """Run the stream over all that is there now and return its result table, kept as files in the checkpoint folder.
+
+    A micro-batch is a folder of its own, which a batch run again replaces. In complete mode the last one is the result.
+    """
+    at, last = f"{checkpoint}/stream-{uuid.uuid4().hex}", []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/rows/{number}")
+        last[:] = [number]
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not last:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/rows/{last[0]}" if mode == "complete" else f"{at}/rows/*")
 
 
 def flushed(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None]) -> None:

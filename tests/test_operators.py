@@ -12,6 +12,7 @@ from loredeck.operators.measures import exclusive_quantile, floor_quantile, perc
 from loredeck.operators.merge import cache_status, delta, upsert
 from loredeck.operators.ranking import best_per, bm25, ladder, weighted
 from loredeck.operators.schedule import fires
+from loredeck.streaming.counters import finished
 
 
 def values(df, column):
@@ -106,3 +107,15 @@ def test_markup():
     chunks = markup.packed_chunks("x" * 60 + "\n" + "y" * 60 + "\n" + "z" * 2000)
     assert [(c["seq"], c["origin"], len(c["chunk"])) for c in chunks] == [(0, "section", 121), (1, "sliding", 800), (2, "sliding", 800), (3, "sliding", 600)]
     assert markup.ratio("abcd", "abce") == 0.75
+
+
+@pytest.mark.parametrize("mode", ["append", "complete"])
+def test_stream_results_are_files_not_rows_of_the_driver(spark, tmp_path, mode):
+    source = spark.range(30).selectExpr("id % 7 AS k").repartition(3)
+    source.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream = stream.dropDuplicates(["k"]) if mode == "append" else stream.groupBy("k").agg(F.count("*").alias("n"))
+    got = finished(stream, str(tmp_path / "state"), mode)
+    assert got.columns == stream.columns and got.inputFiles()
+    want = [(k,) if mode == "append" else (k, 5 if k < 2 else 4) for k in range(7)]
+    assert sorted(tuple(r) for r in got.collect()) == want
