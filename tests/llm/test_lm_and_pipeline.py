@@ -60,6 +60,12 @@ def test_odd_rows(spark, quick):
     assert {(r.n_known, r.train_tokens, r.base_score) for r in lm.scores(alone, PATH).collect()} == {(0, 0, 0.0)}
 
 
+def test_many_rows_without_words_in_one_partition(spark, quick):
+    rows = [(d, None) for d in range(70_000)] + [(70_000, "one two two"), (70_001, "two three"), (70_002, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    close([row(r) for r in lm.scores(docs, PATH).collect()], plain_base(rows))
+
+
 @pytest.fixture(scope="module")
 def model():
     rng = np.random.default_rng(1)
