@@ -190,11 +190,24 @@ def deterministic_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 @operator("typo_ratio")
 def typo_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    """STR-24: part names nearly equal to another of the same brand, by the ratio of matching blocks."""
+    """STR-24: part names nearly equal to another of the same brand, by the ratio of matching blocks; the best ratio of each part."""
+    return nearly_equal(read(spark, sf, "part")).select("p_partkey", "ratio")
+
+
+def nearly_equal(parts: DataFrame, least: float = 0.6, salts: int = 16) -> DataFrame:
+    """Parts with the best ratio, of at least `least`, of their name to another name of the brand.
+
+    Each distinct name of a brand meets every other whose length allows the ratio; a brand's names are dealt over `salts` tasks.
+    """
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([markup.ratio(x, y) for x, y in zip(a.fillna(""), b.fillna(""))])
-
-    w = Window.partitionBy("p_brand").orderBy("p_name", "p_partkey")
-    return read(spark, sf, "part").withColumn("next", F.lead("p_name").over(w)).filter("next is not null and next <> p_name").select("p_partkey", ratio("p_name", "next").alias("ratio")).filter("ratio >= 0.6")
+        return pd.Series([markup.ratio(x, y) for x, y in zip(a, b)], dtype=float)
+
+    names = parts.filter("p_name is not null").select("p_brand", "p_name").distinct()
+    left = names.withColumn("salt", F.pmod(F.xxhash64("p_name"), F.lit(salts)))
+    right = names.select(F.col("p_brand").alias("brand"), F.col("p_name").alias("other"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("to"))
+    n, m = F.length("p_name"), F.length("other")
+    pairs = left.join(right, F.col("p_brand").eqNullSafe(F.col("brand")) & (F.col("salt") == F.col("to")) & (F.col("p_name") != F.col("other")) & (2 * F.least(n, m) >= (n + m) * F.lit(least - 1e-9)))
+    best = pairs.select("brand", F.col("p_name").alias("name"), ratio("p_name", "other").alias("ratio")).filter(F.col("ratio") >= least).groupBy("brand", "name").agg(F.max("ratio").alias("ratio"))
+    return parts.join(best, F.col("p_brand").eqNullSafe(F.col("brand")) & (F.col("p_name") == F.col("name"))).drop("brand", "name")

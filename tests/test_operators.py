@@ -1,6 +1,7 @@
 """Operators on small inline rows."""
 
 import dataclasses
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from loredeck.operators.measures import exclusive_quantile, floor_quantile, perc
 from loredeck.operators.merge import cache_status, delta, upsert
 from loredeck.operators.ranking import best_per, bm25, ladder, weighted
 from loredeck.operators.schedule import fires
+from loredeck.plans.textops import nearly_equal, typo_ratio
 from loredeck.streaming.counters import finished
 
 
@@ -119,3 +121,23 @@ def test_stream_results_are_files_not_rows_of_the_driver(spark, tmp_path, mode):
     assert got.columns == stream.columns and got.inputFiles()
     want = [(k,) if mode == "append" else (k, 5 if k < 2 else 4) for k in range(7)]
     assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_nearly_equal_names_equal_brute_force(spark):
+    parts = [(1, "a", "cold widget"), (2, "a", "old widget"), (3, "a", "cold widget"), (4, "a", "dark pipe"), (5, "a", "qold widgets"), (6, "b", "cold widget"), (7, "b", None), (8, None, "ring"), (9, None, "wring"), (10, "c", "bolt"), (11, "c", "bolt"), (12, "a", "")]
+    want = {}
+    for key, brand, name in parts:
+        near = [markup.ratio(name, o) for _, b, o in parts if b == brand and None not in (name, o) and name != o]
+        if max(near, default=0) >= 0.6:
+            want[key] = max(near)
+    got = nearly_equal(spark.createDataFrame(parts, "p_partkey long, p_brand string, p_name string")).collect()
+    assert {r.p_partkey: r.ratio for r in got} == want and len(got) == len(want) and set(want) == {1, 2, 3, 5, 8, 9}
+
+
+def test_typo_ratio_equals_brute_force(spark):
+    at = "/root/testdata/sf0.001"
+    if not os.path.isdir(at):
+        pytest.skip("no test tables")
+    parts = [(r.p_partkey, r.p_brand, r.p_name) for r in spark.read.parquet(f"{at}/part.parquet").collect()]
+    best = {k: max((markup.ratio(n, o) for _, b, o in parts if b == brand and o != n), default=0.0) for k, brand, n in parts}
+    assert {r.p_partkey: r.ratio for r in typo_ratio(spark, at).collect()} == {k: x for k, x in best.items() if x >= 0.6}
