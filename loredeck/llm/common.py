@@ -39,7 +39,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loredeck/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def delete(*tables: DataFrame) -> None:
+    """Remove the files of materialised tables that nothing reads any more; of other tables, nothing."""
+    for df in tables:
+        if path := vars(df).get("_written_to"):
+            at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def fold(doc_id: str | Column, modulus: int) -> Column:

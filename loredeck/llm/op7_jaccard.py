@@ -1,14 +1,17 @@
 """N-gram Jaccard join: every link of documents whose sets of five-word shingles overlap by 80 % or more.
 
 Sets are ordered by one global order, rare shingles first: shingles seen often (counted over all documents) come
-last, the rest by hash. Two linked sets must share shingles among the first n - ceil(0.8 n) + 1 of each, the more
-the nearer their sizes are, so only those prefixes are shuffled and pairs that share too few are left. Equal sets
-are one node from the start. Where a prefix shingle meets a few nodes, it counts for every pair of them; where it
-meets many, they are first compared with one of them, links found are closed into components, and what is compared
-after that is every pair there of nodes still apart that can share enough. No link between components can be
-missed and copies are not expanded into pairs. Comparing is done against prefix trees: a node's partners, as globally ordered sets in
-a tree, are walked depth first, sharing the overlap of common beginnings, and a subtree is left as soon as the
-shingles that remain can't reach the overlap needed.
+last, the rest by hash; any order gives the same links. Two linked sets share a shingle among the first
+n - ceil(0.8 n) + 1 of each, and what either has from the first shared one on suffices for the overlap needed, so
+only those prefixes are shuffled, with the place of each shingle, and only sets that can still reach the overlap
+meet. Equal sets are one node from the start. Where a prefix shingle meets a few nodes, its pairs are compared;
+where it meets many, they are compared with the most central ones (those whose shingles there come first) and the
+links found closed into components. Nodes of such groups that are still apart and can share enough go, with
+their sets, into cells of bounded size, in which all are joined. No link between components can be missed, and
+groups are not expanded into pairs.
+
+Sets are joined by prefix trees: globally ordered sets are stored as a tree, which a probe walks depth first, sharing the
+overlap of common beginnings; a subtree is left as soon as the shingles that remain can't reach the overlap needed.
 
 Cases: null, empty or blank text has no shingles, no links and its own component; one to four words are one
 shingle; a row with a null doc_id takes no part and has a null component; repeated rows are equal sets; rows that
@@ -18,8 +21,6 @@ ignored.
 
 from __future__ import annotations
 
-import itertools
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,19 +29,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loredeck.llm import words
-from loredeck.llm.common import materialise, slices, table, text_bytes
+from loredeck.llm.common import delete, materialise, slices, table, text_bytes
 
 WIDTH, PERCENT = 5, 80
 #: Shingles counted together inside a task, the count there and in all from which one is known as frequent, and how
 #: many the broadcast table of frequent shingles holds at most. They only settle the order, which any choice keeps exact.
 COUNT_AT_ONCE, LOCAL_COUNT, FREQUENT, FREQUENT_AT_MOST = 1 << 22, 3, 12, 1 << 18
 _HOT = np.int64(1 << 62)
-#: Nodes that a prefix shingle meets up to which it counts for every pair of them.
+#: Nodes that a prefix shingle meets up to which every pair of them is compared.
 FEW = 12
-#: Turns in which nodes still apart are compared with one of those they meet, before all pairs left are.
-TURNS = 2
+#: Rows of a frequent shingle that are dealt together.
+SPLIT = 1024
 #: Partners of a node that are compared in one tree, and nodes of a group.
 TREE_SETS, GROUP_SETS = 256, 512
+#: Nodes, and shingles of their sets, of one half of a cell.
+CELL_SETS, CELL_SHINGLES = 512, 1 << 20
 #: Bits of the filter of documents whose sets are needed; a fuller filter only lets more sets through.
 BLOOM_BITS = 1 << 26
 
@@ -65,14 +68,23 @@ def needed(n: int) -> int:
 
 
 class Order:
-    """The global order: frequent shingles come last, by count."""
+    """The global order: frequent shingles come last, by count; and how often each of those was seen."""
 
     def __init__(self, shingle: np.ndarray, count: np.ndarray):
         at = np.lexsort((shingle, count))
+        self.count = count[at]
         self.key, place = shingle[at], np.arange(len(shingle), dtype=np.int64)
         by_key = np.argsort(self.key)
         self.key, self.place = self.key[by_key], place[by_key]
 
+    def parts(self, ordered: np.ndarray, rows: int) -> np.ndarray:
+        """Parts of about so many rows that each shingle, given as an order value, is dealt in."""
+        out = np.ones(len(ordered), np.int64)
+        hot = ordered >= _HOT
+        if hot.any():
+            out[hot] = -(-self.count[ordered[hot] - _HOT] // rows)
+        return out
+
     def sort(self, x: np.ndarray) -> np.ndarray:
         """A set as ascending order values."""
         if not len(self.key) or not len(x):
@@ -82,6 +94,11 @@ class Order:
         return np.sort(np.where(hit, _HOT + self.place[i], x)) if hit.any() else x
 
 
+def needed_together(n, m):
+    """The least overlap of linked sets of n and m shingles (numbers or arrays)."""
+    return -(-PERCENT * (n + m) // (100 + PERCENT))
+
+
 class PrefixTree:
     """Ordered sets as a prefix tree, laid out depth first: sets in lexicographic order and how much each shares with the one before."""
 
@@ -94,15 +111,17 @@ class PrefixTree:
             differ = np.flatnonzero(sets[a][:n] != sets[b][:n])
             self.shared.append(int(differ[0]) if len(differ) else n)
 
-    def linked(self, probe: np.ndarray, step: int = 64) -> list[int]:
-        """Indices of the sets linked with the probe."""
+    def linked(self, probe: np.ndarray, wanted: np.ndarray | None = None, step: int = 64) -> list[int]:
+        """Indices of the sets, of those wanted or all, linked with the probe."""
         found, n = [], len(probe)
         depth, overlap, passed = 0, np.zeros(1, np.int64), np.zeros(1, np.int64)  # of the path walked: shared so far, and shingles of the probe passed
         for i, shared in zip(self.order, self.shared):
+            depth = min(depth, shared)
+            if wanted is not None and not wanted[i]:
+                continue
             x = self.sets[i]
             m = len(x)
-            need = -(-PERCENT * (n + m) // (100 + PERCENT))
-            depth = min(depth, shared)
+            need = needed_together(n, m)
             overlap, passed = overlap[: depth + 1], passed[: depth + 1]
             while True:
                 if overlap[-1] + min(m - depth, n - passed[-1]) < need:
@@ -119,8 +138,28 @@ class PrefixTree:
         return found
 
 
+class Forest:
+    """Components of names met one after another."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent, top = self.parent, x
+        while (up := parent.get(top, top)) != top:
+            top = up
+        while x != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        self.parent[max(a, b)] = self.parent[min(a, b)] = min(a, b)
+
+
 def scan(docs: DataFrame) -> tuple[DataFrame, Order]:
-    """doc_id, n and node of each document, and the global order."""
+    """doc_id, text_key, n and node of each document, and the global order."""
+    names = ["doc_id", "text_key", "n", "node", "shingle"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -129,7 +168,8 @@ def scan(docs: DataFrame) -> tuple[DataFrame, Order]:
             held += sets
             size += sum(map(len, sets))
             n = [len(x) for x in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array([node(x) if len(x) else None for x in sets], pa.int64()), pa.nulls(len(n), pa.int64())], names=["doc_id", "n", "node", "shingle"])
+            named = pa.array([node(x) if len(x) else None for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(n, pa.int64()), named, pa.nulls(len(n), pa.int64())], names=names)
             if size > COUNT_AT_ONCE:
                 yield frequent(held)
                 held, size = [], 0
@@ -139,9 +179,11 @@ def scan(docs: DataFrame) -> tuple[DataFrame, Order]:
     def frequent(held: list[np.ndarray]) -> pa.RecordBatch:
         x, n = np.unique(np.concatenate(held), return_counts=True)
         x, n = x[n >= LOCAL_COUNT], n[n >= LOCAL_COUNT]
-        return pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()), pa.array(n), pa.nulls(len(x), pa.int64()), pa.array(x)], names=["doc_id", "n", "node", "shingle"])
+        none = pa.nulls(len(x), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, pa.array(n), none, pa.array(x)], names=names)
 
-    found = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, node long, shingle long"), "shingle-sets")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    found = materialise(own.mapInArrow(run, ", ".join(f"{c} long" for c in names)), "shingle-sets")
     counts = found.filter("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
     steps = sorted(((r.step, r.rows) for r in counts.groupBy(F.floor(F.log2("n") * 4).alias("step")).agg(F.count("*").alias("rows")).collect()), reverse=True)
     least, total = None, 0
@@ -152,11 +194,11 @@ def scan(docs: DataFrame) -> tuple[DataFrame, Order]:
         least = step
     hot = counts.filter(F.floor(F.log2("n") * 4) >= least).collect() if least is not None else []
     order = Order(np.array([r.shingle for r in hot], np.int64), np.array([r.n for r in hot], np.int64))
-    return found.filter("shingle is null").select("doc_id", "n", "node"), order
+    return found.filter("shingle is null").drop("shingle"), order
 
 
 def prefixes(docs: DataFrame, order: Order) -> DataFrame:
-    """Nodes that meet in prefix shingles: pairs of a few with the number shared, and (shingle not null) of many each with its lead."""
+    """Where nodes meet in prefix shingles: pairs (a, b) where few do, and (shingle not null) rows of nodes where many do."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,64 +218,62 @@ def prefixes(docs: DataFrame, order: Order) -> DataFrame:
             if parts:
                 length = [len(p) for p in parts]
                 place = np.concatenate([np.arange(k, dtype=np.int32) for k in length])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.repeat(np.array(nodes, np.int64), length)), pa.array(np.repeat(np.array(sizes, np.int32), length)), pa.array(place)], names=["shingle", "node", "n", "place"])
+                shingle, name = np.concatenate(parts), np.repeat(np.array(nodes, np.int64), length)
+                of = shared.value.parts(shingle, SPLIT)
+                part = np.where(of > 1, name % of, -1).astype(np.int32)
+                columns = [pa.array(shingle), pa.array(part), pa.array(name), pa.array(np.repeat(np.array(sizes, np.int32), length)), pa.array(place)]
+                yield pa.RecordBatch.from_arrays(columns, names=["shingle", "part", "node", "n", "place"])
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # sorted by shingle, size and node. Of many nodes the first leads until a set is too large for it; then that set leads
-        counts: Counter[tuple[int, int, int, int]] = Counter()
-        many: list[tuple[int, int, int, int, int, int]] = []
-        group: list[tuple[int, int, int]] = []
-        shingle = last = lead = None
-
-        def close() -> None:
-            if 1 < len(group) <= FEW:
-                counts.update((x[1], y[1], x[0], y[0]) if x[1] < y[1] else (y[1], x[1], y[0], x[0]) for x, y in itertools.combinations(group, 2) if 100 * x[0] >= PERCENT * y[0])
-
-        def rows() -> pa.RecordBatch:
-            small = [(*k, n, None, None) for k, n in counts.items()]
-            big = [(a, b, m, n, 0, s, i) for s, a, b, m, n, i in many]
-            counts.clear()
-            many.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*small, *big)], names=["a", "b", "n_a", "n_b", "shared", "shingle", "place"])
-
+        # sorted by shingle, part and node. A group that may go on is held back
+        held = [np.zeros(0, np.int64)] * 5
         for batch in batches:
-            g, v, n, at = (batch.column(c).to_numpy() for c in ("shingle", "node", "n", "place"))
-            near = np.zeros(len(g), bool)  # only rows next to one of the same shingle can meet anything
-            near[1:] = g[1:] == g[:-1]
-            near[:-1] |= near[1:].copy()
-            near[[0, -1]] = True
-            for s, x, m, i in zip(g[near].tolist(), v[near].tolist(), n[near].tolist(), at[near].tolist()):
-                if s != shingle:
-                    close()
-                    shingle, last, group, lead = s, x, [(m, x, i)], None
-                elif x != last:
-                    last = x
-                    group.append((m, x, i))
-                    if len(group) == FEW + 1:
-                        waiting, lead = group, group[0]
-                    elif len(group) > FEW:
-                        waiting, group = group[-1:], group[: FEW + 1]
-                    else:
-                        continue
-                    for m, x, i in waiting:
-                        lead = lead if 100 * lead[0] >= PERCENT * m else (m, x)
-                        many.append((s, lead[1], x, lead[0], m, i))
-            if len(counts) + len(many) > 200_000:
-                yield rows()
-        close()
-        if counts or many:
-            yield rows()
-
+            rows = [np.concatenate([h, batch.column(c).to_numpy().astype(np.int64)]) for h, c in zip(held, ("shingle", "part", "node", "n", "place"))]
+            shingle, part = rows[:2]
+            before = np.flatnonzero((shingle != shingle[-1:]) | (part != part[-1:]))
+            last = int(before[-1]) + 1 if len(before) else 0
+            held = [r[last:] for r in rows]
+            if last:
+                yield joined(*(r[:last] for r in rows))
+        if len(held[0]):
+            yield joined(*held)
+
+    def joined(shingle: np.ndarray, part: np.ndarray, name: np.ndarray, n: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+        new = np.ones(len(shingle), bool)  # a node's rows of one shingle are alike
+        new[1:] = (shingle[1:] != shingle[:-1]) | (name[1:] != name[:-1])
+        shingle, part, name, n, place = (x[new] for x in (shingle, part, name, n, place))
+        first = np.ones(len(shingle), bool)
+        first[1:] = (shingle[1:] != shingle[:-1]) | (part[1:] != part[:-1])
+        group = np.cumsum(first) - 1
+        size = np.bincount(group)[group]
+        many = (size > FEW) | (part >= 0)
+        pairs = []
+        for d in range(1, FEW):
+            i = np.flatnonzero((group[d:] == group[:-d]) & ~many[d:])
+            i = i[can_link(n[i], place[i], n[i + d], place[i + d])]
+            pairs.append(np.stack([name[i], name[i + d]], 1))
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        none = lambda x: pa.nulls(len(x), pa.int64())
+        few = pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none(pairs), none(pairs), none(pairs)], names=meeting)
+        rest = [pa.array(x[many]) for x in (name, n, place, shingle)]
+        rest = pa.RecordBatch.from_arrays([rest[0], none(rest[0]), *rest[1:]], names=meeting)
+        return pa.concat_batches([few, rest])
+
+    meeting = ["a", "b", "n", "place", "shingle"]
     known = docs.filter("doc_id is not null").select("text")
-    dealt = known.mapInArrow(emit, "shingle long, node long, n int, place int").repartition("shingle").sortWithinPartitions("shingle", "n", "node")
-    return materialise(dealt.mapInArrow(meet, "a long, b long, n_a long, n_b long, shared long, shingle long, place long"), "meetings")
+    dealt = known.mapInArrow(emit, "shingle long, part int, node long, n int, place int").repartition("shingle", "part").sortWithinPartitions("shingle", "part", "node")
+    return materialise(dealt.mapInArrow(meet, ", ".join(f"{c} long" for c in meeting)), "meetings")
+
+
+def can_link(n: np.ndarray, place: np.ndarray, m: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles whose first shared one stands at these places can share enough."""
+    return np.minimum(n - place, m - other) >= needed_together(n, m)
 
 
-def share_needed(n_a: str, n_b: str) -> Column:
-    """The least number of shingles that linked sets of these sizes share in their prefixes."""
-    up = lambda x, k: F.floor((x + (k - 1)) / k)
-    a, b = F.col(n_a), F.col(n_b)
-    return up(PERCENT * (a + b), 100 + PERCENT) - up(PERCENT * F.greatest(a, b), 100) + 1
+def can_link_columns(a: str, b: str) -> Column:
+    """The same of two columns that are structs with n and place."""
+    left, right = F.col(f"{a}.n") - F.col(f"{a}.place"), F.col(f"{b}.n") - F.col(f"{b}.place")
+    return (100 + PERCENT) * F.least(left, right) >= PERCENT * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
 def places(doc_id: int) -> tuple[int, int]:
@@ -310,84 +350,169 @@ def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and comp, the smallest node reachable, of all nodes with edges (a, b): smallest neighbours and pointer jumps until nothing changes."""
-    both = materialise(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")), "edges")
+    """node and comp, the smallest node reachable, of all nodes with edges (a, b).
+
+    Tasks join what they hold into stars; then smallest neighbours and pointer jumps until nothing changes.
+    """
+
+    def stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+
+        def close() -> pa.RecordBatch:
+            names = [x for x in forest.parent if forest.root(x) != x]
+            roots = [forest.root(x) for x in names]
+            return pa.RecordBatch.from_arrays([pa.array(names + roots, pa.int64()), pa.array(roots + names, pa.int64())], names=["node", "other"])
+
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                forest.join(a, b)
+            if len(forest.parent) > 500_000:
+                yield close()
+                forest.parent.clear()
+        yield close()
+
+    both = materialise(edges.mapInArrow(stars, "node long, other long").distinct(), "edges")
     label = materialise(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("comp")), "labels")
     while True:
         near = both.join(label.select(F.col("node").alias("other"), F.col("comp").alias("theirs")), "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
         lower = label.join(near, "node").select("node", F.least("comp", "theirs").alias("next"), F.col("comp").alias("was"))
         jump = label.select(F.col("node").alias("next"), F.col("comp").alias("further"))
-        label = materialise(lower.join(jump, "next", "left").select("node", F.least("next", F.coalesce("further", "next")).alias("comp"), "was"), "labels")
+        after = materialise(lower.join(jump, "next", "left").select("node", F.least("next", F.coalesce("further", "next")).alias("comp"), "was"), "labels")
+        delete(label)
+        label = after
         if label.filter("comp <> was").isEmpty():
-            return label.select("node", "comp")
-        label = label.select("node", "comp")
+            delete(both)
+            return label
 
 
-def linked_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
+def still_apart(many: DataFrame, label: DataFrame) -> DataFrame:
+    """Cells (shingle, i, j) of nodes that meet many others, with those that can be linked with another one there that is in no common component."""
+    rows = many.join(label.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = rows.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows"), F.sum("n").alias("total")).filter("low <> high")
+    mixed = mixed.select("shingle", F.greatest(F.ceil(F.col("rows") / CELL_SETS), F.ceil(F.col("total") / CELL_SHINGLES)).cast("int").alias("parts"))
+    placed = rows.join(mixed, "shingle").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    columns = ["shingle", "i", "j", "second", "node", "n", "place", "comp"]
+    cells = placed.select("shingle", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).alias("second"), "node", "n", "place", "comp")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in runs_of(batches, ["shingle", "i", "j"]):
+            able = partners(cell).any(1)
+            if able.any():
+                yield cell.filter(pa.array(able))
+
+    kinds = "shingle long, i int, j int, second boolean, node long, n long, place long, comp long"
+    found = cells.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "second", "node").mapInArrow(run, kinds)
+    return materialise(found.select(*columns), "apart")
+
+
+def partners(cell: pa.RecordBatch) -> np.ndarray:
+    """For each two rows of a cell whether they are to be compared."""
+    n, place, comp = (cell.column(c).to_numpy() for c in ("n", "place", "comp"))
+    second = cell.column("second").to_numpy(zero_copy_only=False).astype(bool)
+    out = can_link(n[:, None], place[:, None], n, place) & (comp[:, None] != comp)
+    if cell.column("i")[0] != cell.column("j")[0]:  # rows of either half meet in cells of their own
+        out &= second[:, None] != second
+    return out
+
+
+def runs_of(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of one key after another, of batches sorted by the keys."""
+    held: list[pa.RecordBatch] = []
+    was = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = np.stack([b.column(k).to_numpy().astype(np.int64) for k in keys], 1)
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+        for a, z in zip(cuts, cuts[1:]):
+            if held and tuple(key[a]) != was:
+                yield pa.concat_batches(held)
+                held = []
+            was = tuple(key[a])
+            held.append(b.slice(a, z - a))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def cell_links(cells: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join components, of all nodes of a cell: each walks the tree of the cell's sets."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in runs_of(batches, ["shingle", "i", "j"]):
+            names, comps = cell.column("node").to_pylist(), cell.column("comp").to_pylist()
+            held = [np.frombuffer(m, np.int64) for m in cell.column("members").to_pylist()]
+            tree, able, forest, found = PrefixTree(held), np.triu(partners(cell)), Forest(), []
+            for k in np.flatnonzero(able.any(1)).tolist():
+                own, wanted = forest.root(comps[k]), np.zeros(len(names), bool)
+                wanted[[i for i in np.flatnonzero(able[k]).tolist() if forest.root(comps[i]) != own]] = True
+                for i in tree.linked(held[k], wanted) if wanted.any() else []:
+                    forest.join(comps[k], comps[i])
+                    found.append((names[k], names[i]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+    dealt = cells.join(sets, "node").repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "second", "node")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text_key, n and node of every document; and of every node with a link its component, the smallest node reachable."""
     own, order = scan(docs)
     meetings = prefixes(docs, order)
-    many = meetings.filter("shingle is not null").select("shingle", F.col("b").alias("node"), F.col("n_b").alias("n"), F.col("a").alias("lead"), F.col("n_a").alias("lead_n"), "place")
-    often = materialise(many.groupBy("node").agg(F.count("*").alias("often")), "often")  # prefix shingles of a node that meet many
-
-    def able(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b, n_a, n_b, shared) those that can share enough in their prefixes."""
-        for s in ("a", "b"):
-            pairs = pairs.join(often.select(F.col("node").alias(s), F.col("often").alias(f"often_{s}")), s, "left")
-        return pairs.filter(F.col("shared") + F.least(F.coalesce("often_a", F.lit(0)), F.coalesce("often_b", F.lit(0))) >= share_needed("n_a", "n_b")).select("a", "b")
-
-    few = meetings.filter("shingle is null").drop("shingle", "place")
-    small = F.col("lead") < F.col("node")
-    led = many.filter("lead <> node").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"), F.when(small, F.col("lead_n")).otherwise(F.col("n")).alias("n_a"), F.when(small, F.col("n")).otherwise(F.col("lead_n")).alias("n_b"), F.lit(0).cast("long").alias("shared")).distinct()
-    pairs = few.unionByName(led).groupBy("a", "b").agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.sum("shared").alias("shared"))
-    first = materialise(able(pairs), "pairs")
-
-    def sets(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+    def sets(nodes: DataFrame) -> DataFrame:
         named = own.filter("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-        return full_sets(docs, order, materialise(named.join(wanted, "node", "left_semi"), "wanted"))
-
-    found = materialise(links(first, sets(first)), "links")
-    label = components(found)
-    # pairs of nodes still apart that meet where many do, can share enough and weren't compared yet. Pairs that share
-    # k shingles of their prefixes meet in all but the last k - 1 of either, and their sizes are of one class or the next.
-    # First, in turns, with one node of each class only, chosen by chance, which joins most of what belongs together
-    compared = first
-    k = share_needed("n_a", "n_b")
-    near = F.expr("comp_a <> comp_b and 100 * n_a >= 80 * n_b and 100 * n_b >= 80 * n_a") & (F.least("often_a", "often_b") >= k)
-    for s in ("a", "b"):
-        near = near & (F.col(f"place_{s}") <= F.col(f"n_{s}") - F.floor((PERCENT * F.col(f"n_{s}") + 99) / 100) + 1 - k)
-    columns = ["node", "n", "often", "place", "comp"]
-    for turn in range(TURNS + 1):
-        placed = many.join(often, "node").join(label, "node", "left").select("shingle", "node", "n", "often", "place", F.coalesce("comp", "node").alias("comp"), F.floor(F.log("n") / np.log(100 / PERCENT)).alias("class"))
-        mixed = placed.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("shingle")
-        rows = materialise(placed.join(mixed, "shingle", "left_semi"), "apart")
-        left = rows.select("shingle", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"), *(F.col(c).alias(f"{c}_a") for c in columns))
-        if turn < TURNS:
-            chosen = rows.groupBy("shingle", "class").agg(F.min_by(F.struct(*columns), F.xxhash64(F.lit(turn), "node")).alias("r"))
-            right = chosen.select("shingle", "class", *(F.col(f"r.{c}").alias(f"{c}_b") for c in columns))
-        else:
-            right = rows.select("shingle", "class", *(F.col(c).alias(f"{c}_b") for c in columns))
-            near = near & (F.col("node_a") < F.col("node_b"))
-        apart = left.join(right, ["shingle", "class"]).filter(near).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
-        apart = materialise(apart, "pairs")
-        if apart.isEmpty():
-            continue
-        compared = compared.union(apart)
-        label = components(label.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(links(apart, sets(apart))))
-    named = own.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        wanted = materialise(named.join(nodes.distinct(), "node", "left_semi"), "wanted")
+        found = full_sets(docs, order, wanted)
+        delete(wanted)
+        return found
+
+    # where many nodes meet, each is compared with the most central one of its own size and of the sizes next to it
+    size = F.floor(F.log("n") / np.log(100 / PERCENT)).cast("int")
+    row = F.struct("node", "n", "place")
+    many = meetings.filter("shingle is not null").select("shingle", F.col("a").alias("node"), "n", "place", size.alias("size"))
+    central = many.groupBy("shingle", "size").agg(F.min_by(row, F.struct(F.col("place") / F.col("n"), F.col("node"))).alias("lead"))
+    central = central.withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
+    led = many.select("shingle", "size", row.alias("own")).join(central, ["shingle", "size"]).filter((F.col("own.node") != F.col("lead.node")) & can_link_columns("own", "lead"))
+    led = led.select(F.least("own.node", "lead.node").alias("a"), F.greatest("own.node", "lead.node").alias("b"))
+    pairs = materialise(meetings.filter("shingle is null").select("a", "b").union(led).distinct(), "pairs")
+    held = sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
+    label = components(links(pairs, held))
+    delete(pairs, held)
+    apart = still_apart(many.drop("size"), label)
+    if not apart.isEmpty():
+        held = sets(apart.select("node"))
+        known = label.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+        whole = components(known.union(cell_links(apart, held)))
+        delete(held, label)
+        label = whole
+    delete(apart, meetings)
+    return own, label
+
+
+def linked_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
+    own, label = labelled(docs)
+    named = own.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(label.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = named.select("node", "comp").join(least, "comp").select("node", "component_id")
-    return own.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return own.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """One row, the one with the smallest id, of each group; rows with a null id stay."""
-    groups = linked_components(docs.select(F.col(id_column).alias("doc_id"), "text"))
-    gone = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    cast = F.col(id_column).cast("long")
-    known = docs.filter(cast.isNotNull()).join(gone, cast == F.col("__gone"), "left_anti").dropDuplicates([id_column])
-    return known.unionByName(docs.filter(cast.isNull()))
+    """One row of each group: of the smallest id, then of the smallest hash of the text and of the row.
+
+    Groups are of texts, so rows that share an id but not a group all stay; so do rows with a null id or without words.
+    """
+    own, label = labelled(docs.select(F.col(id_column).alias("doc_id"), "text"))
+    known = own.filter("node is not null and doc_id is not null").join(label.select("node", "comp"), "node", "left")
+    chosen = known.groupBy(F.coalesce("comp", "node")).agg(F.min(F.struct("doc_id", "text_key")).alias("r"))
+    chosen = materialise(chosen.select(F.col("r.doc_id").alias("i"), F.col("r.text_key").alias("t")), "chosen")
+    cast, apart = F.col(id_column).cast("long"), F.col(id_column).cast("long").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    # rows alike in id and text are reduced to one before they are moved
+    rows = docs.filter(~apart).groupBy(cast.alias("i"), F.xxhash64("text").alias("t")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("r"))
+    return rows.join(chosen, ["i", "t"], "left_semi").select("r.*").unionByName(docs.filter(apart))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

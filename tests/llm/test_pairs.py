@@ -66,6 +66,10 @@ def test_join_where_every_shingle_meets_many(spark, monkeypatch):
     monkeypatch.setattr(op7_jaccard, "FEW", 2)
     monkeypatch.setattr(op7_jaccard, "GROUP_SETS", 4)
     monkeypatch.setattr(op7_jaccard, "TREE_SETS", 3)
+    monkeypatch.setattr(op7_jaccard, "CELL_SETS", 5)
+    monkeypatch.setattr(op7_jaccard, "SPLIT", 4)
+    monkeypatch.setattr(op7_jaccard, "LOCAL_COUNT", 1)
+    monkeypatch.setattr(op7_jaccard, "FREQUENT", 3)
     rows = [(i, t) for i, t in enumerate(corpus(3, groups=4, copies=30))]
     got = op7_jaccard.linked_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in got) == brute_components(rows)
@@ -82,6 +86,17 @@ def test_join_of_odd_rows(spark):
     assert op7_jaccard.linked_components(docs.limit(0)).count() == 0
 
 
+def test_one_of_a_group_stays_and_rows_that_only_share_an_id(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, text, "a"), (1, text, "b"), (1, "quite another text that stands under the same number", "c"), (2, text, "d"), (3, "", "e"), (3, "", "e"), (None, text, "f"), (None, text, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __gone string")
+    kept = sorted((str(r.doc_id), r.text[:5], r["__gone"]) for r in op7_jaccard.keep_one(docs).collect())
+    assert [k[:2] for k in kept] == [("1", "one t"), ("1", "quite"), ("3", ""), ("3", ""), ("None", "one t"), ("None", "one t")]
+    again = sorted((str(r.doc_id), r.text[:5], r["__gone"]) for r in op7_jaccard.keep_one(docs.repartition(3, "__gone")).collect())
+    assert again == kept
+    assert op7_jaccard.keep_one(docs.limit(0)).count() == 0
+
+
 def test_prefix_tree_equals_comparing_each():
     rng = np.random.default_rng(5)
     base = np.sort(rng.choice(5000, 300, replace=False)).astype(np.int64)
