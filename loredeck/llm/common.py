@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 #: Text handled at once inside a task; the numpy arrays of a slice are some ten times as large.
 SLICE_BYTES = 512 << 10
 
+#: Text of a bounded sample at most.
+SAMPLE_BYTES = 48 << 20
+
 _OWN_DIR: dict[str, str] = {}
 
 
@@ -58,16 +61,31 @@ def fold(doc_id: str | Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % F.lit(modulus), F.lit(-1))
 
 
-def bounded_sample(df: DataFrame, bound: int, key: str) -> DataFrame:
-    """About `bound` rows of df, or all if there are fewer, chosen by a hash of the key (the same for any layout).
+def bounded_sample(df: DataFrame, bound: int, text: str | None = None, max_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """The `bound` distinct rows of df of the least hashes, or all if there are fewer: the same for any layout.
 
-    One cheap count, then a filter; no sort and no limit, so no task sees more than its own rows.
+    The hash is of the whole row, so neither a key that many rows share nor null keys matter, and repeated rows are
+    one. With a text column, so many rows as together have max_bytes of it, but at least one. The hashes of rows
+    that may be chosen are ordered by Spark; at most `bound` of them come to the driver.
     """
+    of = F.xxhash64(F.lit(17), *df.columns)
+    size = F.coalesce(F.octet_length(text), F.lit(0)) if text else F.lit(0)
+
+    def least(rows: DataFrame) -> list:
+        return rows.select(of.alias("h"), size.alias("size")).groupBy("h").agg(F.max("size").alias("size")).orderBy("h").limit(bound).collect()
+
     total = df.count()
-    if total <= bound:
-        return df
-    cut = int(bound / total * (1 << 30))
-    return df.filter(F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(1 << 30)) < cut)
+    share = min(1.0, 4 * bound / max(1, total))
+    found = least(df.filter(of < int((share - 0.5) * (1 << 63) * 2))) if share < 1 else []
+    if len(found) < bound:  # few rows, or few distinct ones
+        found = least(df)
+    kept, held = 0, 0
+    for r in found:
+        held += r["size"]
+        if kept and held > max_bytes:
+            break
+        kept += 1
+    return df.filter(of <= found[kept - 1].h).dropDuplicates() if found else df
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -93,6 +111,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def packed_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls one after another, and the rows' offsets into them."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return raw[at[0] : at[-1]], at - at[0]
+
+
 def batched(rows: Iterable, size: int) -> Iterator[list]:
     rows = iter(rows)
     while part := list(itertools.islice(rows, size)):

@@ -118,7 +118,7 @@ def fit(docs: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array([i.astype("<u2").tobytes() for i, _ in found], pa.binary()), pa.array([n.astype("<f4").tobytes() for _, n in found], pa.binary())], names=["doc_id", "lang", "buckets", "counts"])
 
     rows = docs.mapInArrow(run, "doc_id long, lang string, buckets binary, counts binary").collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.buckets))
+    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.buckets, r.lang))
     rows = [(r.lang, np.frombuffer(r.buckets, "<u2").astype(np.int64), np.frombuffer(r.counts, "<f4")) for r in rows if r.buckets]
     languages = sorted({lang for lang, _, _ in rows})
     if not languages:
@@ -147,7 +147,7 @@ def fit(docs: DataFrame) -> Model:
 def learned(docs: DataFrame) -> Model:
     """The model of a documents table: only rows that are not held out and have a language teach it."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter((fold("doc_id", 4) != HELD_OUT) & F.col("lang").isNotNull())
-    return fit(bounded_sample(rows, FIT_DOCS, "doc_id"))
+    return fit(bounded_sample(rows, FIT_DOCS, "text"))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -119,7 +119,7 @@ def train(rows: list[tuple[int, np.ndarray]]) -> Machine:
 def learned(docs: DataFrame, labels: DataFrame) -> Machine:
     """The machine of a documents table: only labels of rows that are not held out teach it."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter((fold("doc_id", 5) != HELD_OUT) & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
-    sample = bounded_sample(known, FIT_DOCS, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    sample = bounded_sample(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), FIT_DOCS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -130,7 +130,8 @@ def learned(docs: DataFrame, labels: DataFrame) -> Machine:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(own, pa.binary())], names=["doc_id", "toxic", "buckets"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")  # the sample is bounded
-    rows = own.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, buckets binary").collect()
+    own = bounded_sample(own.select("doc_id", "toxic", "text"), FIT_DOCS, "text")  # an id may have many texts
+    rows = own.mapInArrow(run, "doc_id long, toxic int, buckets binary").collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.buckets))
     return train([(r.toxic, np.frombuffer(r.buckets, "<i4")) for r in rows])
 
