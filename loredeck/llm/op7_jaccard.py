@@ -5,13 +5,14 @@ last, the rest by hash; any order gives the same links. Two linked sets share a
 n - ceil(0.8 n) + 1 of each, and what either has from the first shared one on suffices for the overlap needed, so
 only those prefixes are shuffled, with the place of each shingle, and only sets that can still reach the overlap
 meet. Equal sets are one node from the start. Where a prefix shingle meets a few nodes, its pairs are compared;
-where it meets many, they are compared with the most central ones (those whose shingles there come first) and the
-links found closed into components. Nodes of such groups that are still apart and can share enough go, with
-their sets, into cells of bounded size, in which all are joined. No link between components can be missed, and
-groups are not expanded into pairs.
+where it meets many, they are compared with the most central ones (those whose shingles there come first). Nodes
+connected by such pairs, that share enough shingles of their prefixes, are a cluster; the nodes of a cluster go,
+with their sets, into cells of bounded size, and links found there are closed into components. Nodes of large
+groups that are still apart and can share enough are joined in the same way, by cells of the group. No link
+between components can be missed, and groups are not expanded into pairs.
 
-Sets are joined by prefix trees: globally ordered sets are stored as a tree, which a probe walks depth first, sharing the
-overlap of common beginnings; a subtree is left as soon as the shingles that remain can't reach the overlap needed.
+The sets of a cell are joined by a prefix tree: globally ordered sets are stored as a tree, which each set walks depth first, sharing the
+overlap of common beginnings; sets in a common component already are passed over, and a subtree is left as soon as the shingles that remain can't reach the overlap needed.
 
 Cases: null, empty or blank text has no shingles, no links and its own component; one to four words are one
 shingle; a row with a null doc_id takes no part and has a null component; repeated rows are equal sets; rows that
@@ -40,10 +41,10 @@ _HOT = np.int64(1 << 62)
 FEW = 12
 #: Rows of a frequent shingle that are dealt together.
 SPLIT = 1024
-#: Partners of a node that are compared in one tree, and nodes of a group.
-TREE_SETS, GROUP_SETS = 256, 512
 #: Nodes, and shingles of their sets, of one half of a cell.
 CELL_SETS, CELL_SHINGLES = 512, 1 << 20
+#: Pairs of a cell still apart, for each of its nodes, up to which they are compared one by one and only once.
+PAIRS_A_NODE = 8
 #: Bits of the filter of documents whose sets are needed; a fuller filter only lets more sets through.
 BLOOM_BITS = 1 << 26
 
@@ -198,7 +199,11 @@ def scan(docs: DataFrame) -> tuple[DataFrame, Order]:
 
 
 def prefixes(docs: DataFrame, order: Order) -> DataFrame:
-    """Where nodes meet in prefix shingles: pairs (a, b) where few do, and (shingle not null) rows of nodes where many do."""
+    """Where nodes meet in prefix shingles.
+
+    Pairs (a, b) and how often where few do; rows of nodes (a) where many do (shingle not null); and (neither) how many
+    shingles of a node (a) meet any other.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,16 +255,18 @@ def prefixes(docs: DataFrame, order: Order) -> DataFrame:
         pairs = []
         for d in range(1, FEW):
             i = np.flatnonzero((group[d:] == group[:-d]) & ~many[d:])
-            i = i[can_link(n[i], place[i], n[i + d], place[i + d])]
-            pairs.append(np.stack([name[i], name[i + d]], 1))
-        pairs = np.unique(np.concatenate(pairs), axis=0)
-        none = lambda x: pa.nulls(len(x), pa.int64())
-        few = pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none(pairs), none(pairs), none(pairs)], names=meeting)
-        rest = [pa.array(x[many]) for x in (name, n, place, shingle)]
-        rest = pa.RecordBatch.from_arrays([rest[0], none(rest[0]), *rest[1:]], names=meeting)
-        return pa.concat_batches([few, rest])
-
-    meeting = ["a", "b", "n", "place", "shingle"]
+            pairs.append(np.stack([name[i], name[i + d], n[i], n[i + d], can_link(n[i], place[i], n[i + d], place[i + d])], 1))
+        pairs, shared = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
+        none = pa.nulls(len(pairs), pa.int64())
+        few = pa.RecordBatch.from_arrays([*(pa.array(x) for x in pairs.T), pa.array(shared), none, none], names=meeting)
+        rest, none = [pa.array(x[many]) for x in (name, n, place, shingle)], pa.nulls(int(many.sum()), pa.int64())
+        rest = pa.RecordBatch.from_arrays([rest[0], none, rest[1], none, none, none, *rest[2:]], names=meeting)
+        met, times = np.unique(name[(size > 1) | many], return_counts=True)
+        none = pa.nulls(len(met), pa.int64())
+        met = pa.RecordBatch.from_arrays([pa.array(met), none, none, none, none, pa.array(times), none, none], names=meeting)
+        return pa.concat_batches([few, rest, met])
+
+    meeting = ["a", "b", "n_a", "n_b", "able", "shared", "place", "shingle"]
     known = docs.filter("doc_id is not null").select("text")
     dealt = known.mapInArrow(emit, "shingle long, part int, node long, n int, place int").repartition("shingle", "part").sortWithinPartitions("shingle", "part", "node")
     return materialise(dealt.mapInArrow(meet, ", ".join(f"{c} long" for c in meeting)), "meetings")
@@ -276,6 +283,13 @@ def can_link_columns(a: str, b: str) -> Column:
     return (100 + PERCENT) * F.least(left, right) >= PERCENT * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
+def share_needed(n_a: str, n_b: str) -> Column:
+    """The least number of shingles that linked sets of these sizes share in their prefixes."""
+    up = lambda x, k: F.floor((x + (k - 1)) / k)
+    a, b = F.col(n_a), F.col(n_b)
+    return up(PERCENT * (a + b), 100 + PERCENT) - up(PERCENT * F.greatest(a, b), 100) + 1
+
+
 def places(doc_id: int) -> tuple[int, int]:
     """A document's two bits in the filter."""
     h = (doc_id * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & ((1 << 64) - 1)
@@ -295,7 +309,10 @@ def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def full_sets(docs: DataFrame, order: Order, nodes: DataFrame) -> DataFrame:
-    """node and ordered set (packed) of the nodes wanted, given with the doc_id of a document of each."""
+    """doc_id, node and ordered set (packed) of the nodes wanted, given with the doc_id of a document of each, and of a few others.
+
+    A task gives a node once, whatever the number of its rows.
+    """
     by_byte = nodes.mapInArrow(bits, "byte int, bits int").groupBy("byte").agg(F.bit_or("bits").alias("bits"))
     bloom = np.zeros(BLOOM_BITS // 8, np.uint8)  # of this size however many nodes there are
     for r in by_byte.mapInArrow(pack, "packed binary").collect():  # at most a cell for each byte of the filter
@@ -305,48 +322,18 @@ def full_sets(docs: DataFrame, order: Order, nodes: DataFrame) -> DataFrame:
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, bloom = shared.value
+        done: set[tuple[int, int]] = set()
         for b in batches:
             wanted = [all(bloom[i >> 3] >> (i & 7) & 1 for i in places(d)) for d in b.column("doc_id").to_pylist()]
             for part in slices([b.filter(pa.array(wanted, pa.bool_()))]):
-                sets = sets_of(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([node(x) if len(x) else None for x in sets], pa.int64()), pa.array([order.sort(x).tobytes() for x in sets], pa.binary())], names=["doc_id", "node", "members"])
-
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").mapInArrow(emit, "doc_id long, node long, members binary")
-    return materialise(found.join(nodes, ["doc_id", "node"], "left_semi").dropDuplicates(["node"]), "full-sets")
-
-
-def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b), those linked. Partners of a node are compared in groups of bounded size."""
-    pairs = pairs.select(F.col("a").alias("lead"), F.col("b").alias("node"))
-    counted = pairs.groupBy("lead").agg((F.floor(F.count("*") / GROUP_SETS) + 1).cast("int").alias("groups"))
-    partners = pairs.join(counted, "lead").withColumn("part", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int")).join(sets, "node").select("lead", "part", F.lit(1).alias("kind"), "node", "members")
-    leads = counted.select("lead", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part")).join(sets.withColumnRenamed("node", "lead"), "lead").select("lead", "part", F.lit(0).alias("kind"), F.col("lead").alias("node"), "members")
+                rows = [(d, node(x), order.sort(x).tobytes()) for d, x in zip(part.column("doc_id").to_pylist(), sets_of(part.column("text"))) if len(x)]
+                rows = [r for r in rows if r[:2] not in done and not done.add(r[:2])]
+                done = set() if len(done) > 200_000 else done
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "node", "members"])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = probe = None
-        held: list[tuple[int, np.ndarray]] = []
-
-        def close() -> list[tuple[int, int]]:
-            return [(key[0], held[i][0]) for i in PrefixTree([x for _, x in held]).linked(probe)] if held else []
-
-        for b in batches:
-            found: list[tuple[int, int]] = []
-            for lead, part, kind, name, members in zip(*(b.column(c).to_pylist() for c in ("lead", "part", "kind", "node", "members"))):
-                if (lead, part) != key or len(held) == TREE_SETS:
-                    found += close()
-                    held = []
-                    key = (lead, part)
-                x = np.frombuffer(members, np.int64)
-                if kind:
-                    held.append((name, x))
-                else:
-                    probe = x
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
-        if found := close():
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
-
-    return leads.unionByName(partners).repartition("lead", "part").sortWithinPartitions("lead", "part", "kind").mapInArrow(run, "a long, b long")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    return known.mapInArrow(emit, "doc_id long, node long, members binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -385,31 +372,50 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def cells_of(rows: DataFrame, key: str) -> DataFrame:
+    """Rows (key, node, n, place, met, comp, rank) dealt to cells (cell, i, j): every two rows of a key meet in one of bounded size."""
+    sizes = rows.groupBy(key).agg(F.count("*").alias("rows"), F.sum("n").alias("total"))
+    parts = sizes.select(key, F.greatest(F.ceil(F.col("rows") / CELL_SETS), F.ceil(F.col("total") / CELL_SHINGLES)).cast("int").alias("parts"))
+    placed = rows.join(parts, key).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    halves = F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).alias("second")
+    return placed.select(F.col(key).alias("cell"), *halves, "node", "n", "place", "met", "comp", "rank")
+
+
+CELL_ROW = "cell long, i int, j int, second boolean, node long, n long, place long, met long, comp long, rank double"
+
+
 def still_apart(many: DataFrame, label: DataFrame) -> DataFrame:
-    """Cells (shingle, i, j) of nodes that meet many others, with those that can be linked with another one there that is in no common component."""
+    """Of nodes that meet many others, those that can be linked and are in no common component.
+
+    Where these are few for their nodes, pairs (node, other, n, n_b); else cells of nodes (other null).
+    """
     rows = many.join(label.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = rows.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows"), F.sum("n").alias("total")).filter("low <> high")
-    mixed = mixed.select("shingle", F.greatest(F.ceil(F.col("rows") / CELL_SETS), F.ceil(F.col("total") / CELL_SHINGLES)).cast("int").alias("parts"))
-    placed = rows.join(mixed, "shingle").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    columns = ["shingle", "i", "j", "second", "node", "n", "place", "comp"]
-    cells = placed.select("shingle", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).alias("second"), "node", "n", "place", "comp")
+    mixed = rows.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("shingle")
+    cells = cells_of(rows.join(mixed, "shingle", "left_semi").withColumn("rank", F.col("place") / F.col("n")), "shingle")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in runs_of(batches, ["shingle", "i", "j"]):
-            able = partners(cell).any(1)
-            if able.any():
-                yield cell.filter(pa.array(able))
+        for cell in runs_of(batches, ["cell", "i", "j"]):
+            able = np.triu(partners(cell))
+            a, b = np.nonzero(able)
+            if 0 < len(a) <= PAIRS_A_NODE * cell.num_rows:
+                rows = cell.take(pa.array(a))
+                other, n_b = (cell.column(c).take(pa.array(b)) for c in ("node", "n"))
+            else:
+                rows = cell.filter(pa.array(able.any(1) | able.any(0)))
+                other = n_b = pa.nulls(rows.num_rows, pa.int64())
+            if rows.num_rows:
+                yield pa.RecordBatch.from_arrays([*rows.columns, other, n_b], names=[*rows.schema.names, "other", "n_b"])
 
-    kinds = "shingle long, i int, j int, second boolean, node long, n long, place long, comp long"
-    found = cells.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "second", "node").mapInArrow(run, kinds)
-    return materialise(found.select(*columns), "apart")
+    return materialise(cells.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(run, CELL_ROW + ", other long, n_b long"), "apart")
 
 
 def partners(cell: pa.RecordBatch) -> np.ndarray:
     """For each two rows of a cell whether they are to be compared."""
-    n, place, comp = (cell.column(c).to_numpy() for c in ("n", "place", "comp"))
+    n, place, met, comp = (cell.column(c).to_numpy() for c in ("n", "place", "met", "comp"))
     second = cell.column("second").to_numpy(zero_copy_only=False).astype(bool)
     out = can_link(n[:, None], place[:, None], n, place) & (comp[:, None] != comp)
+    # they share as many shingles of their prefixes as either has that meet any other set, at most
+    out &= np.minimum(met[:, None], met) >= needed_together(n[:, None], n) - -(-PERCENT * np.maximum(n[:, None], n) // 100) + 1
     if cell.column("i")[0] != cell.column("j")[0]:  # rows of either half meet in cells of their own
         out &= second[:, None] != second
     return out
@@ -434,59 +440,118 @@ def runs_of(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.R
         yield pa.concat_batches(held)
 
 
-def cell_links(cells: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) that join components, of all nodes of a cell: each walks the tree of the cell's sets."""
+def cell_links(docs: DataFrame, order: Order, own: DataFrame, cells: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) that join components, of the nodes of a cell: each walks the tree of the cell's sets.
+
+    Compared are the pairs (cell, i, j, a, b) given, or else all that can be linked.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in runs_of(batches, ["shingle", "i", "j"]):
+        for cell in runs_of(batches, ["cell", "i", "j"]):
+            kind = cell.column("members").is_valid().to_numpy(zero_copy_only=False)
+            asked, cell = cell.filter(pa.array(~kind)), cell.filter(pa.array(kind))
+            name = cell.column("node").to_numpy()
+            cell = cell.take(pa.array(np.sort(np.unique(name, return_index=True)[1])))  # a set that came from many tasks counts once
             names, comps = cell.column("node").to_pylist(), cell.column("comp").to_pylist()
             held = [np.frombuffer(m, np.int64) for m in cell.column("members").to_pylist()]
-            tree, able, forest, found = PrefixTree(held), np.triu(partners(cell)), Forest(), []
-            for k in np.flatnonzero(able.any(1)).tolist():
-                own, wanted = forest.root(comps[k]), np.zeros(len(names), bool)
-                wanted[[i for i in np.flatnonzero(able[k]).tolist() if forest.root(comps[i]) != own]] = True
+            partner: dict[int, list[int]] = {}
+            if asked.num_rows:
+                place = {x: k for k, x in enumerate(names)}
+                for a, b in zip(asked.column("node").to_pylist(), asked.column("other").to_pylist()):
+                    partner.setdefault(place[a], []).append(place[b])
+                    partner.setdefault(place[b], []).append(place[a])
+                asks = sorted(partner, key=lambda k: (-len(partner[k]), names[k]))  # those with most partners first
+            else:
+                able = np.triu(partners(cell))
+                asks = np.flatnonzero(able.any(1)).tolist()
+            tree, forest, found = PrefixTree(held), Forest(), []
+            for k in asks:
+                root, wanted = forest.root(comps[k]), np.zeros(len(names), bool)
+                with_k = partner[k] if asked.num_rows else np.flatnonzero(able[k]).tolist()
+                wanted[[i for i in with_k if forest.root(comps[i]) != root]] = True
                 for i in tree.linked(held[k], wanted) if wanted.any() else []:
                     forest.join(comps[k], comps[i])
                     found.append((names[k], names[i]))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
-    dealt = cells.join(sets, "node").repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "second", "node")
-    return dealt.mapInArrow(run, "a long, b long")
+    named = own.filter("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    wanted = materialise(named.join(cells.select("node").distinct(), "node", "left_semi"), "wanted")
+    placed = cells.join(wanted.withColumnRenamed("doc_id", "of"), "node")
+    sets = full_sets(docs, order, wanted)
+    rows = placed.join(sets, (placed.node == sets.node) & (placed.of == sets.doc_id)).drop(sets.node).drop("of", "doc_id")
+    if pairs is not None:
+        rows = rows.unionByName(pairs.withColumnsRenamed({"a": "node", "b": "other"}), allowMissingColumns=True)
+    dealt = rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "rank", "node")
+    found = materialise(dealt.mapInArrow(run, "a long, b long"), "links")
+    delete(wanted)
+    return found
+
+
+def clusters(pairs: DataFrame) -> DataFrame:
+    """Cells (cell, i, j) of the pairs: connected nodes share a cell, or cells of bounded size."""
+    cluster = components(pairs)
+    ends = pairs.select(F.col("a").alias("node"), F.col("n_a").alias("n")).union(pairs.select("b", "n_b")).distinct()
+    sizes = ends.join(cluster.select("node", "comp"), "node").groupBy("comp").agg(F.count("*").alias("rows"), F.sum("n").alias("total"))
+    parts = sizes.select("comp", F.greatest(F.ceil(F.col("rows") / CELL_SETS), F.ceil(F.col("total") / CELL_SHINGLES)).cast("int").alias("parts"))
+    of_a = cluster.select(F.col("node").alias("a"), "comp")
+    part = lambda c: F.pmod(F.xxhash64(c), "parts").cast("int")
+    placed = pairs.join(of_a, "a").join(parts, "comp").select(F.col("comp").alias("cell"), F.least(part("a"), part("b")).alias("i"), F.greatest(part("a"), part("b")).alias("j"), "a", "b")
+    out = materialise(placed, "clusters")
+    delete(cluster)
+    return out
+
+
+def candidates(meetings: DataFrame, many: DataFrame, often: DataFrame) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) to compare first: where few meet, and of each node with the most central ones where many do."""
+    row = F.struct("node", "n", "place")
+    size = F.floor(F.log("n") / np.log(100 / PERCENT)).cast("int")
+    sized = many.withColumn("size", size)
+    central = sized.groupBy("shingle", "size").agg(F.min_by(row, F.struct(F.col("place") / F.col("n"), F.col("node"))).alias("lead"))
+    central = central.withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
+    led = sized.select("shingle", "size", row.alias("own")).join(central, ["shingle", "size"]).filter((F.col("own.node") != F.col("lead.node")) & can_link_columns("own", "lead"))
+    first = F.col("own.node") < F.col("lead.node")
+    pair = lambda c, a, b: (F.when(first, F.col(f"own.{c}")).otherwise(F.col(f"lead.{c}")).alias(a), F.when(first, F.col(f"lead.{c}")).otherwise(F.col(f"own.{c}")).alias(b))
+    led = led.select(*pair("node", "a", "b"), *pair("n", "n_a", "n_b"), F.lit(1).cast("long").alias("able"), F.lit(0).cast("long").alias("shared"))
+    few = meetings.filter("b is not null").select("a", "b", "n_a", "n_b", "able", "shared")
+    pairs = few.unionByName(led).groupBy("a", "b", "n_a", "n_b").agg(F.max("able").alias("able"), F.sum("shared").alias("shared"))
+    for s in ("a", "b"):
+        pairs = pairs.join(often.select(F.col("node").alias(s), F.col("often").alias(f"often_{s}")), s, "left")
+    there = F.least(F.coalesce("often_a", F.lit(0)), F.coalesce("often_b", F.lit(0)))
+    return pairs.filter((F.col("able") > 0) & (F.col("shared") + there >= share_needed("n_a", "n_b"))).select("a", "b", "n_a", "n_b")
 
 
 def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """doc_id, text_key, n and node of every document; and of every node with a link its component, the smallest node reachable."""
     own, order = scan(docs)
     meetings = prefixes(docs, order)
+    many = meetings.filter("shingle is not null").select("shingle", F.col("a").alias("node"), F.col("n_a").alias("n"), "place")
+    often = materialise(many.groupBy("node").agg(F.count("*").alias("often")), "often")  # prefix shingles of a node that meet many
+    pairs = materialise(candidates(meetings, many, often), "pairs")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        jobs = clusters(pairs)
+        nodes = jobs.select("cell", "i", "j", F.col("a").alias("node")).union(jobs.select("cell", "i", "j", "b")).distinct()
+        out = cell_links(docs, order, own, nodes.withColumns({"comp": F.col("node"), "rank": F.lit(0.0)}), jobs)
+        delete(jobs)
+        return out
 
-    def sets(nodes: DataFrame) -> DataFrame:
-        named = own.filter("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-        wanted = materialise(named.join(nodes.distinct(), "node", "left_semi"), "wanted")
-        found = full_sets(docs, order, wanted)
-        delete(wanted)
-        return found
-
-    # where many nodes meet, each is compared with the most central one of its own size and of the sizes next to it
-    size = F.floor(F.log("n") / np.log(100 / PERCENT)).cast("int")
-    row = F.struct("node", "n", "place")
-    many = meetings.filter("shingle is not null").select("shingle", F.col("a").alias("node"), "n", "place", size.alias("size"))
-    central = many.groupBy("shingle", "size").agg(F.min_by(row, F.struct(F.col("place") / F.col("n"), F.col("node"))).alias("lead"))
-    central = central.withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
-    led = many.select("shingle", "size", row.alias("own")).join(central, ["shingle", "size"]).filter((F.col("own.node") != F.col("lead.node")) & can_link_columns("own", "lead"))
-    led = led.select(F.least("own.node", "lead.node").alias("a"), F.greatest("own.node", "lead.node").alias("b"))
-    pairs = materialise(meetings.filter("shingle is null").select("a", "b").union(led).distinct(), "pairs")
-    held = sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
-    label = components(links(pairs, held))
-    delete(pairs, held)
-    apart = still_apart(many.drop("size"), label)
-    if not apart.isEmpty():
-        held = sets(apart.select("node"))
-        known = label.select(F.col("node").alias("a"), F.col("comp").alias("b"))
-        whole = components(known.union(cell_links(apart, held)))
-        delete(held, label)
-        label = whole
-    delete(apart, meetings)
+    found = compared(pairs)
+    delete(pairs)
+    label = components(found)
+    met = meetings.filter("shingle is null and b is null").groupBy(F.col("a").alias("node")).agg(F.sum("shared").alias("met"))
+    apart = still_apart(many.join(met, "node"), label)
+    own_cells = apart.filter("other is null").drop("n_b")
+    further = apart.filter("other is not null")
+    a, b = F.struct(F.col("node").alias("x"), "n"), F.struct(F.col("other").alias("x"), F.col("n_b").alias("n"))
+    further = further.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    further = further.select(F.col("a.x").alias("a"), F.col("b.x").alias("b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"))
+    more = [compared(further)] if not further.isEmpty() else []
+    more += [cell_links(docs, order, own, own_cells)] if not own_cells.isEmpty() else []
+    for links in more:
+        found = found.union(links)
+    label = components(found) if more else label
+    delete(apart, often, meetings)
     return own, label
 
 

@@ -64,8 +64,6 @@ def test_join_equals_brute_force(spark, seed):
 
 def test_join_where_every_shingle_meets_many(spark, monkeypatch):
     monkeypatch.setattr(op7_jaccard, "FEW", 2)
-    monkeypatch.setattr(op7_jaccard, "GROUP_SETS", 4)
-    monkeypatch.setattr(op7_jaccard, "TREE_SETS", 3)
     monkeypatch.setattr(op7_jaccard, "CELL_SETS", 5)
     monkeypatch.setattr(op7_jaccard, "SPLIT", 4)
     monkeypatch.setattr(op7_jaccard, "LOCAL_COUNT", 1)
