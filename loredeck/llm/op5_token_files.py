@@ -13,6 +13,8 @@ ordered by their ids; an empty table gives no files and an empty result; extra c
 from __future__ import annotations
 
 import functools
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -20,14 +22,20 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loredeck.llm.common import batched, materialise, slices, table
+from loredeck.llm import words
+from loredeck.llm.common import batched, materialise, slices, table, text_bytes
 
 END_ID = 1
-#: Documents a shard gets, tokens a file gets (or one document), bits a directory entry covers.
-SHARD_DOCS, FILE_TOKENS, RANK_BITS = 4096, 1 << 20, 512
+#: Tokens a file gets (or one document), bits a directory entry covers.
+FILE_TOKENS, RANK_BITS = 1 << 20, 512
+#: Text of a range of doc_ids that is written by one task, ranges and bins of the histogram they are cut by at most.
+RANGE_BYTES, RANGES, HISTOGRAM = 8 << 20, 1 << 13, 1 << 16
+#: Text that is encoded at once.
+ENCODE_BYTES = 2 << 20
 MAGIC = b"DAC1"
 
 
@@ -128,29 +136,74 @@ def read_file(raw: bytes) -> tuple[list[int | None], np.ndarray, Codes]:
     return [int(d) if k else None for d, k in zip(doc_ids, known)], lengths, Codes(chunks, bitmaps)
 
 
+def treats_words_alone(library) -> bool:
+    """Whether a tokenizer lower-cases and gives the words between ASCII white space ids one by one, white space none."""
+
+    def parts(step) -> list[dict]:
+        state = json.loads(step.__getstate__()) if step else {"type": "none"}
+        return state.get("normalizers") or state.get("pretokenizers") or [state]
+
+    normal, split = parts(library.normalizer), parts(library.pre_tokenizer)
+    spaces = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    found = [x for x in split if x["type"] == "Split"]
+    apart = found and all(x["behavior"] == "Removed" and x["invert"] and not re.compile(_CLASSES.sub("a", x["pattern"]["Regex"])).search(" ") for x in found)
+    whole = all(x["type"] == "Split" or x["type"] == "ByteLevel" and not x["add_prefix_space"] for x in split)
+    return bool(apart and whole and {"type": "Lowercase"} in normal and all(x["type"] in ("NFC", "Lowercase") or x == spaces for x in normal))
+
+
+#: Character classes that hold no white space.
+_CLASSES = re.compile(r"\[(?:\^\\s)?(?:\\p\{[LN]\})+\]")
+
+
 class WordTokenizer:
-    """Ids of a `tokenizers` file that never joins text across ASCII white space, with a bounded table of words seen."""
+    """Ids of a `tokenizers` file, with a bounded table of the words seen.
+
+    Where the tokenizer treats words alone, texts are cut into words and the table, by the words' hashes, is asked for
+    all words at once, so only words that are new come to the library; otherwise it gets whole texts.
+    """
 
-    def __init__(self, path: str, keep: int = 700_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.library, self.keep = Tokenizer.from_file(path), keep
-        self.seen: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def encode_all(self, texts: list[bytes]) -> list[bytes]:
-        """Packed little-endian unsigned 32-bit ids of each text; the tokenizer lower-cases, but for special tokens."""
-        if len(self.seen) > self.keep:
-            self.older, self.seen = self.seen, {}
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        new = [w for w in set().union(*split) if w not in self.seen]
-        self.seen.update((w, self.older[w]) for w in new if w in self.older)
-        new = [w for w in new if w not in self.older]
-        for part in batched(new, 4096):
-            for w, e in zip(part, self.library.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                self.seen[w] = np.array(e.ids, "<u4").tobytes()
-        ids = self.seen.__getitem__
-        return [b"".join(map(ids, words)) for words in split]
+        self.library = Tokenizer.from_file(path)
+        self.by_words = treats_words_alone(self.library)
+        self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.table = words.WordTable(self.dtype)
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for part in batched(texts, 4096) for e in self.library.encode_batch_fast(part, add_special_tokens=False)]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, each with the end id, and the texts' offsets."""
+        raw, at = text_bytes(column)
+        special = [] if self.by_words else np.arange(len(column)).tolist()
+        if self.by_words:  # words of special tokens aren't lower-cased, so these texts don't share the table
+            special = np.flatnonzero(pc.fill_null(pc.match_substring(column, "<|"), False)).tolist()
+        ours = np.ones(len(column), bool)
+        ours[special] = False
+        starts, ends, first = words.bounds(raw, at)
+        plain = np.repeat(ours, np.diff(first))
+        data = raw.tobytes()
+
+        def encode(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            found = self.ids([data[a:z].decode() for a, z in zip(starts[plain][new].tolist(), ends[plain][new].tolist())])
+            return np.fromiter(map(len, found), np.int64, len(found)), np.concatenate(found) if found else np.zeros(0, self.dtype)
+
+        ids, size = words.encoded(self.table, words.hashes(raw, starts, ends)[plain], encode)
+        per_word = np.zeros(len(starts) + 1, np.int64)
+        per_word[1:][plain] = size
+        per_text = np.diff(np.cumsum(per_word)[first])
+        whole = self.ids([data[at[k] : at[k + 1]].decode() for k in special])
+        per_text[special] = list(map(len, whole))
+        offsets = np.concatenate([[0], np.cumsum(per_text + 1)])
+        out = np.full(offsets[-1], END_ID, self.dtype)
+        body = np.ones(len(out), bool)
+        body[offsets[1:] - 1] = False
+        for k, x in zip(special, whole):
+            out[offsets[k] : offsets[k] + len(x)] = x
+            body[offsets[k] : offsets[k] + len(x)] = False
+        out[body] = ids
+        return out, offsets
 
 
 @functools.lru_cache(maxsize=2)
@@ -161,21 +214,36 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+def ranges(docs: DataFrame) -> list[int]:
+    """Ascending doc_ids that cut the documents into ranges of about equal text, at most RANGES of them."""
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).filter("doc_id is not null")
+    span = known.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("size").alias("size")).first()
+    if span.size is None:
+        return []
+    width = (span.high - span.low) // HISTOGRAM + 1
+    # a histogram of bounded length: a bin is cut no further, so ids that stand close together share a range
+    bins = known.groupBy(((F.col("doc_id") - span.low) / width).cast("long").alias("bin")).agg(F.sum("size").alias("size")).orderBy("bin").collect()
+    parts = min(RANGES, max(1, -(-span.size // RANGE_BYTES)))
+    cuts, held = [], 0
+    for r in bins:
+        if held * parts >= span.size * (len(cuts) + 1) and len(cuts) < parts - 1:
+            cuts.append(span.low + r.bin * width)
+        held += r.size
+    return cuts
+
+
 def tokenise(docs: DataFrame, path: str) -> DataFrame:
-    """shard, doc_id and ids of each document with the end id; a shard holds a range of doc_ids."""
-    end = np.array([END_ID], "<u4").tobytes()
-    n = docs.count()
-    shards = max(1, -(-n // SHARD_DOCS))
-    cuts = sorted(set(docs.select(F.col("doc_id").cast("double").alias("doc_id")).approxQuantile("doc_id", [k / shards for k in range(1, shards)], 0.1 / shards))) if shards > 1 else []
+    """shard, doc_id and ids of each document with the end id; a shard holds a range of doc_ids, rows of one id first by text."""
+    cuts = ranges(docs)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, at = tokenizer(path), np.array(cuts)
-        for b in slices(batches):
-            texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
-            ids = [x + end for x in own.encode_all(texts)]
-            shard = np.searchsorted(at, b.column("doc_id").fill_null(-(1 << 62)).to_numpy().astype(float), side="right")
-            small = [np.frombuffer(x, "<u4").astype("<u2").tobytes() if own.library.get_vocab_size() <= 1 << 16 else x for x in ids]
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), b.column("doc_id"), pa.array(small, pa.binary())], names=["shard", "doc_id", "ids"])
+        own, at = tokenizer(path), np.array(cuts, np.int64)
+        for b in slices(batches, max_bytes=ENCODE_BYTES):
+            ids, offsets = own.encode(b.column("text"))
+            shard = np.searchsorted(at, b.column("doc_id").fill_null(-(1 << 63)).to_numpy(), side="right")
+            ends = (offsets * own.dtype.itemsize).astype(np.int64)
+            packed = pa.Array.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), b.column("doc_id"), packed.cast(pa.binary())], names=["shard", "doc_id", "ids"])
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "shard int, doc_id long, ids binary")
     return out.repartitionById(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
@@ -183,11 +251,9 @@ def tokenise(docs: DataFrame, path: str) -> DataFrame:
 
 def write(docs: DataFrame, path: str) -> DataFrame:
     """Write the files and return their table: shard, file, n_docs, n_tokens, content."""
-    wide = None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nonlocal wide
-        wide = wide or ("<u2" if tokenizer(path).library.get_vocab_size() <= 1 << 16 else "<u4")
+        wide = tokenizer(path).dtype
         shard, file, doc_ids, ids, held = None, 0, [], [], 0
 
         def close() -> pa.RecordBatch:

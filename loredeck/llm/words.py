@@ -6,6 +6,7 @@ A word is a run of bytes other than space and the controls 0x09 to 0x0D; A-Z cou
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 import numpy as np
 
@@ -70,3 +71,78 @@ def shingles(words: np.ndarray, width: int = 5) -> np.ndarray:
         total = total * np.uint64(0xD6E8FEB86659FD93) + words[k : len(words) - n + 1 + k]
         total = mix(total)
     return np.unique(total)
+
+
+class WordTable:
+    """Packed ids of words by the words' hashes: a hash table of numpy arrays, bounded in words and in ids.
+
+    Many words are looked up at once. A full table starts anew, so memory stays bounded whatever the words are.
+    """
+
+    def __init__(self, dtype: np.dtype | str, slots: int = 1 << 22, ids: int = 1 << 24):
+        self.slots, self.most = slots, ids
+        self.key = np.zeros(slots, np.uint64)  # 0: free
+        self.begin, self.size = np.zeros(slots, np.int32), np.zeros(slots, np.int32)
+        self.store = np.zeros(1 << 16, dtype)
+        self.words = self.used = 0
+
+    def find(self, hashed: np.ndarray) -> np.ndarray:
+        """Each word's slot, -1 if it isn't there."""
+        hashed = np.maximum(hashed, np.uint64(1))
+        out, left = np.full(len(hashed), -1), np.arange(len(hashed))
+        slot = (hashed & np.uint64(self.slots - 1)).astype(np.int64)
+        while len(left):
+            key = self.key[slot]
+            hit = key == hashed[left]
+            out[left[hit]] = slot[hit]
+            on = ~hit & (key != 0)
+            left, slot = left[on], (slot[on] + 1) & (self.slots - 1)
+        return out
+
+    def make_room(self, words: int) -> None:
+        """Start anew if so many more words may be too many."""
+        if self.words + words > self.slots // 2 or self.used > self.most:
+            self.key[:] = 0
+            self.words = self.used = 0
+
+    def add(self, hashed: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        """Words that aren't there, each once, with the number of ids of each and the ids one after another."""
+        while self.used + len(ids) > len(self.store):
+            self.store = np.concatenate([self.store, np.zeros_like(self.store)])
+        self.store[self.used : self.used + len(ids)] = ids
+        begin = self.used + np.cumsum(size) - size
+        self.words, self.used = self.words + len(hashed), self.used + len(ids)
+        hashed = np.maximum(hashed, np.uint64(1))
+        left, slot = np.arange(len(hashed)), (hashed & np.uint64(self.slots - 1)).astype(np.int64)
+        while len(left):
+            free = np.flatnonzero(self.key[slot] == 0)
+            free = free[np.unique(slot[free], return_index=True)[1]]  # one word takes a slot
+            at, own = slot[free], left[free]
+            self.key[at], self.begin[at], self.size[at] = hashed[own], begin[own], size[own]
+            on = np.ones(len(left), bool)
+            on[free] = False
+            left, slot = left[on], (slot[on] + 1) & (self.slots - 1)
+
+    def gather(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in these slots one after another, and the number of each."""
+        size = self.size[slot].astype(np.int64)
+        ends = np.cumsum(size)
+        return self.store[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[slot] - ends + size, size)], size
+
+
+def encoded(table: WordTable, hashed: np.ndarray, encode: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words one after another and the number of each; encode(places) gives sizes and ids of words that are new."""
+    most, parts = table.slots // 2, []
+    for s in range(0, len(hashed), most):
+        part = hashed[s : s + most]
+        table.make_room(len(part))
+        slot = table.find(part)
+        missing = np.flatnonzero(slot < 0)
+        if len(missing):
+            new = missing[np.unique(part[missing], return_index=True)[1]]
+            table.add(part[new], *encode(s + new))
+            slot[missing] = table.find(part[missing])
+        parts.append(table.gather(slot))
+    if len(parts) == 1:
+        return parts[0]
+    return np.concatenate([table.store[:0], *(x for x, _ in parts)]), np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)])

@@ -7,11 +7,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from loredeck.llm import op1_url, op2_bpe, op5_token_files
+from loredeck.llm import op1_url, op2_bpe, op5_token_files, words
 
 BPE, WORDS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
 ALPHABET = "abcdeABC 'stllmd  \t\n\x0b\x0c\x1c\x1f\x85\xa0​0129½².,!?-éñßΣσςİЖ中字🙂́한ﬁ<|>"
@@ -71,10 +72,14 @@ def test_bpe_of_odd_rows(odd_docs, library):
 
 def test_word_table_equals_the_library():
     rng = random.Random(3)
-    library, ours = Tokenizer.from_file(WORDS), op5_token_files.WordTokenizer(WORDS, keep=50)
+    library, ours = Tokenizer.from_file(WORDS), op5_token_files.WordTokenizer(WORDS)
+    assert ours.by_words
+    ours.table = words.WordTable(ours.dtype, slots=128, ids=300)  # starts anew again and again
     for _ in range(1500):
         text = "".join(rng.choice(ALPHABET) if rng.random() < 0.97 else rng.choice(["<|endoftext|>", "<|STARTOFTEXT|>"]) for _ in range(rng.randint(0, 60)))
-        assert np.frombuffer(ours.encode_all([text.encode()])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        ids, offsets = ours.encode(pa.array([text, None, text]))
+        want = library.encode(text, add_special_tokens=False).ids + [op5_token_files.END_ID]
+        assert ids.tolist() == want + [op5_token_files.END_ID] + want and offsets.tolist() == [0, len(want), len(want) + 1, 2 * len(want) + 1]
 
 
 def test_codes_give_back_any_token():
@@ -93,7 +98,7 @@ def test_codes_give_back_any_token():
 
 
 def test_token_files_of_odd_rows(odd_docs, monkeypatch):
-    monkeypatch.setattr(op5_token_files, "SHARD_DOCS", 3)
+    monkeypatch.setattr(op5_token_files, "RANGE_BYTES", 3000)
     monkeypatch.setattr(op5_token_files, "FILE_TOKENS", 1000)
     library = Tokenizer.from_file(WORDS)
     rows = sorted(op5_token_files.read(op5_token_files.write(odd_docs, WORDS)).collect(), key=lambda r: r.start)
