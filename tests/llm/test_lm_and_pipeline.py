@@ -16,12 +16,6 @@ PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.fixture
-def quick(monkeypatch):
-    monkeypatch.setattr(lm, "FIT_IDS", 20_000)
-    monkeypatch.setattr(lm, "PASSES", 2)
-
-
 def plain_base(rows):
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     words = [[w for w in re.split("[\x20\x09-\x0d]+", (t or "").translate(low)) if w] + [None] for _, t in rows]
@@ -42,7 +36,7 @@ def row(r):
     return (str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score)
 
 
-def test_base_equals_plain_counts_and_the_model_learns(spark, quick, monkeypatch):
+def test_base_equals_plain_counts_and_the_model_learns(spark, monkeypatch):
     monkeypatch.setattr(lm, "BLOCK_BYTES", 40_000)
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     got = lm.scores(docs, PATH).collect()
@@ -51,7 +45,7 @@ def test_base_equals_plain_counts_and_the_model_learns(spark, quick, monkeypatch
     assert -9 < mean < -3 and all(r.score < 0 for r in got)
 
 
-def test_odd_rows(spark, quick):
+def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "The the THE"), (4, "the the the"), (None, "no id"), (5, "É é x\x0by"), (6, "long " * 70_000), (7, "z" * 5000)]
     docs = spark.createDataFrame([(*r, 3, "x") for r in rows], "doc_id long, text string, score int, word string")
     close([row(r) for r in lm.scores(docs, PATH).collect()], plain_base(rows))
@@ -60,7 +54,7 @@ def test_odd_rows(spark, quick):
     assert {(r.n_known, r.train_tokens, r.base_score) for r in lm.scores(alone, PATH).collect()} == {(0, 0, 0.0)}
 
 
-def test_many_rows_without_words_in_one_partition(spark, quick):
+def test_many_rows_without_words_in_one_partition(spark):
     rows = [(d, None) for d in range(70_000)] + [(70_000, "one two two"), (70_001, "two three"), (70_002, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     close([row(r) for r in lm.scores(docs, PATH).collect()], plain_base(rows))
@@ -69,7 +63,7 @@ def test_many_rows_without_words_in_one_partition(spark, quick):
 @pytest.fixture(scope="module")
 def model():
     rng = np.random.default_rng(1)
-    m = lm.Attention.fresh(rng.integers(0, 3000, 5000), 4000)
+    m = lm.Attention.fresh(np.bincount(rng.integers(0, 3000, 5000), minlength=4000), rng.integers(0, 9, (lm.CLASSES, lm.CLASSES)))
     for k, w in m.weights.items():
         m.weights[k] = (w + 0.1 * rng.normal(size=w.shape)).astype(np.float64)
     return m
@@ -99,7 +93,8 @@ def test_every_id_is_scored_once_by_what_stands_before_it(model):
             y = x[-1] + a @ (x @ w["v"]) @ w["o"]
             z = y + np.maximum(y @ w["up"], 0) @ w["down"]
             g, m = divmod(c[i], lm.MEMBERS)
-            for logits, k in ((z @ w["group"] + w["group_bias"], g), (z @ w["member"][g] + w["member_bias"][g], m)):
+            told = model.group_told[before[i]], model.member_told[g][before[i]]
+            for logits, k in ((z @ w["group"] + w["group_bias"] + told[0], g), (z @ w["member"][g] + w["member_bias"][g] + told[1], m)):
                 want += logits[k] - np.log(np.exp(logits).sum())
             want += model.rest[ids[i]] if c[i] == lm.CLASSES - 1 else 0
         assert np.isclose(total * np.log(10), want)
@@ -107,7 +102,7 @@ def test_every_id_is_scored_once_by_what_stands_before_it(model):
 
 def test_probabilities_of_all_ids_add_up_to_one(model):
     z = np.random.default_rng(3).normal(size=(1, lm.WIDTH))
-    log, _ = model.heads(np.repeat(z, lm.CLASSES, 0), np.arange(lm.CLASSES))
+    log, _ = model.heads(np.repeat(z, lm.CLASSES, 0), np.arange(lm.CLASSES), np.full(lm.CLASSES, 7))
     p = np.exp(log)[model.classes] * np.where(model.classes == lm.CLASSES - 1, np.exp(model.rest), 1)
     assert np.isclose(p.sum(), 1, atol=1e-5)
 
