@@ -100,11 +100,15 @@ def sparse_rows(column: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return row, col, value / np.maximum(1e-12, np.sqrt(np.bincount(row, value**2, len(column)))[row])
 
 
-def latent_basis(items: DataFrame, idf: np.ndarray, rank: int, extra: int = EXTRA) -> np.ndarray:
-    """Right singular vectors (buckets by rank) of the passages' TF-IDF matrix, by randomised subspace iteration."""
+def latent_basis(items: DataFrame, idf: np.ndarray, rank: int, extra: int = EXTRA, used: np.ndarray | None = None) -> np.ndarray:
+    """Right singular vectors (used buckets by rank) of the passages' TF-IDF matrix, by randomised subspace iteration.
+
+    `used` are all buckets of the passages, in ascending order (or else every bucket); the vectors are zero elsewhere.
+    """
+    used = np.arange(BUCKETS) if used is None else used
     context = items.sparkSession.sparkContext
     width = rank + extra
-    basis = np.random.Generator(np.random.PCG64(9)).normal(size=(BUCKETS, width))
+    basis = np.random.Generator(np.random.PCG64(9)).normal(size=(len(used), width))
 
     def product(right: np.ndarray) -> np.ndarray:
         """A'A times right: each task sends the rows it touched, packed; the sums have a row a bucket."""
@@ -114,6 +118,7 @@ def latent_basis(items: DataFrame, idf: np.ndarray, rank: int, extra: int = EXTR
             idf, right = shared.value
             for b in slices(batches):
                 row, col, value = sparse_rows(b.column("text"), idf)
+                col = np.searchsorted(used, col)
                 image = np.zeros((b.num_rows, width))
                 np.add.at(image, row, value[:, None] * right[col])
                 at, i = np.unique(col, return_inverse=True)
@@ -133,7 +138,7 @@ def latent_basis(items: DataFrame, idf: np.ndarray, rank: int, extra: int = EXTR
                 yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["bucket", "x"])
 
         parts = items.select("text").mapInArrow(run, "bucket int, x binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "bucket int, x binary")
-        out = np.zeros((BUCKETS, width))
+        out = np.zeros((len(used), width))
         for r in parts.collect():
             out[r.bucket] = np.frombuffer(r.x)
         shared.destroy()
@@ -160,17 +165,18 @@ class Passages:
     likeness: np.ndarray  # product of a bucket's latent vector times idf with each piece's latent vector of length one
 
     @classmethod
-    def of(cls, ids: list[int | None], texts: list[str], idf: np.ndarray, basis: np.ndarray) -> Passages:
+    def of(cls, ids: list[int | None], texts: list[str], idf: np.ndarray, basis: np.ndarray, buckets: np.ndarray | None = None) -> Passages:
+        buckets = np.arange(BUCKETS) if buckets is None else buckets
         column = pa.array(texts, pa.string())
         hashed, first = word_hashes(column)
         parts = pieces(column)
         whole = np.repeat(np.arange(len(texts)), [len(x) for x in parts])
         row, col, value = sparse_rows(pa.array([x for part in parts for x in part], pa.string()), idf)
         latent = np.zeros((len(whole), basis.shape[1]))
-        np.add.at(latent, row, value[:, None] * basis[col])
+        np.add.at(latent, row, value[:, None] * basis[np.searchsorted(buckets, col)])
         latent /= np.maximum(1e-9, np.linalg.norm(latent, axis=1))[:, None]
         used = np.unique(col)  # the basis is spanned by the passages, so buckets of none have no part in it
-        likeness = ((basis[used] * idf[used, None]) @ latent.T).astype(np.float32)
+        likeness = ((basis[np.searchsorted(buckets, used)] * idf[used, None]) @ latent.T).astype(np.float32)
         place = np.full(BUCKETS, -1, np.int64)
         place[used] = np.arange(len(used))
         return cls(ids, [hashed[a:z] for a, z in zip(first, first[1:])], whole, idf, place, likeness)
@@ -271,7 +277,8 @@ def blocks(items: DataFrame, docs: DataFrame) -> Iterator[Passages]:
 
     def block(rows: list, texts: list[str]) -> Passages:
         own = items.sparkSession.createDataFrame([(x,) for x in texts], "text string")
-        return Passages.of([r.item_id for r in rows], [r.text for r in rows], idf, latent_basis(own, idf, len(texts)))
+        used = np.unique(bucket(word_hashes(pa.array(texts, pa.string()))[0]))
+        return Passages.of([r.item_id for r in rows], [r.text for r in rows], idf, latent_basis(own, idf, len(texts), used=used), used)
 
     for k in range(parts):
         rows = passages.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
