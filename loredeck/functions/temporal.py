@@ -1,99 +1,171 @@
-"""Time expressions in a question as ranges of days, relative to a given day."""
+"""Time expressions in a question as ranges of days around a given day.
+
+Spark expressions throughout. Periods are described by the words that name them; a text is searched for one period
+after another, in order of precedence, and what one period has named is out of reach of those that follow.
+"""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from datetime import date, timedelta
+from collections.abc import Callable
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The spellings the ranges must be found by.
-NUMERALS = {"일": 1, "이": 2, "삼": 3, "사": 4, "오": 5, "육": 6, "칠": 7, "팔": 8, "구": 9, "십": 10}
+# The words that name numbers, places in a row, units (in days) and times.
+NUMBERS = {"일": 1, "이": 2, "삼": 3, "사": 4, "오": 5, "육": 6, "칠": 7, "팔": 8, "구": 9, "십": 10}
 ORDINALS = {"첫": 1, "둘": 2, "셋": 3, "넷": 4, "다섯": 5}
-LAST = "마지막"
-UNITS = {"일": 1, "주": 7, "주일": 7, "달": 30, "개월": 30, "한달": 30}
+LAST, RECENT, QUARTER, THIS = "마지막", "최근", "분기", "이번"
+BEFORE = ("지난", "저번", "전")
+DAYS = {"일": 1, "주": 7, "주일": 7, "달": 30, "한달": 30, "개월": 30}
+TODAY, YESTERDAY = "오늘", "어제"
+
+Dates = Callable[[Column, Column], tuple[Column, Column]]
+
+
+def _any(words) -> str:
+    """Any of the words, longer ones first."""
+    return "(?:" + "|".join(sorted(words, key=len, reverse=True)) + ")"
+
+
+def _number(label: Column, pattern: str, words: dict[str, int] | None = None) -> Column:
+    """The number that a pattern's group holds, in digits or as a word; null if there is none."""
+    found = F.regexp_extract(label, pattern, 1)
+    named = F.element_at(F.create_map(*(F.lit(x) for pair in words.items() for x in pair)), found) if words else F.lit(None)
+    return F.coalesce(named, F.when(found.rlike("^[0-9]+$"), found.cast("int")))
+
+
+def month_range(year: Column, month: Column) -> tuple[Column, Column]:
+    first = F.make_date(year, month, F.lit(1))
+    return first, F.last_day(first)
+
+
+def quarter_range(year: Column, quarter: Column) -> tuple[Column, Column]:
+    return F.make_date(year, quarter * 3 - 2, F.lit(1)), F.last_day(F.make_date(year, quarter * 3, F.lit(1)))
 
-RANGES = "array<struct<start:date,end:date,label:string,confidence:double>>"
 
+def monday(day: Column) -> Column:
+    return F.date_sub(day, F.weekday(day))
 
-def month(year: int, number: int) -> tuple[date, date]:
-    """First and last day of a month; numbers beyond 1 to 12 run on into other years."""
-    first = date(year + (number - 1) // 12, (number - 1) % 12 + 1, 1)
-    return first, (first + timedelta(days=31)).replace(day=1) - timedelta(days=1)
 
+def week_range(day: Column) -> tuple[Column, Column]:
+    return monday(day), F.date_add(monday(day), 6)
 
-def quarter(year: int, number: int) -> tuple[date, date]:
-    return month(year, 3 * number - 2)[0], month(year, 3 * number)[1]
 
+def week_of_month(year: Column, month: Column, nth: Column) -> tuple[Column, Column]:
+    """From the nth Monday of a month; without a number, the week that holds the month's end."""
+    first, last = month_range(year, month)
+    start = F.coalesce(F.date_add(F.next_day(F.date_sub(first, 1), "Mon"), (nth - 1) * 7), monday(last))
+    return start, F.date_add(start, 6)
 
-def week(day: date) -> tuple[date, date]:
-    """Monday to Sunday around a day."""
-    monday = day - timedelta(days=day.weekday())
-    return monday, monday + timedelta(days=6)
 
+def _recent(label: Column, day: Column) -> tuple[Column, Column]:
+    count = F.coalesce(_number(label, rf"^{RECENT}\s*([0-9]+|[{''.join(NUMBERS)}](?!$))", NUMBERS), F.lit(1))
+    unit = F.element_at(F.create_map(*(F.lit(x) for pair in DAYS.items() for x in pair)), F.regexp_extract(label, f"({_any(DAYS)})$", 1))
+    return F.date_sub(day, count * unit - 1), day
 
-def week_of_month(year: int, number: int, nth: str) -> tuple[date, date]:
-    """From the nth Monday of a month; the last week is the one that holds the month's end."""
-    first, end = month(year, number)
-    if nth == LAST:
-        return week(end)
-    monday = first + timedelta(days=-first.weekday() % 7 + 7 * (ORDINALS.get(nth) or int(nth)) - 7)
-    return monday, monday + timedelta(days=6)
 
+def _this_or_before(label: Column, day: Column) -> tuple[Column, Column]:
+    back = F.when(label.startswith(THIS), 0).otherwise(1)
+    week = week_range(F.date_sub(day, back * 7))
+    first = F.add_months(F.trunc(day, "month"), -back)
+    of_week = label.endswith("주")
+    return F.when(of_week, week[0]).otherwise(first), F.when(of_week, week[1]).otherwise(F.last_day(first))
 
-def _this_or_last(day: date, which: str, unit: str) -> tuple[date, date]:
-    back = which != "이번"
-    return week(day - timedelta(days=7 * back)) if unit == "주" else month(day.year, day.month - back)
 
+@dataclass(frozen=True)
+class Period:
+    """Spellings of a kind of period, what it means on a day, and how sure that is."""
 
-def _recent(day: date, count: str | None, unit: str) -> tuple[date, date]:
-    n = 1 if not count else int(count) if count.isdigit() else NUMERALS[count]
-    return day - timedelta(days=n * UNITS[unit] - 1), day
+    spellings: tuple[str, ...]
+    dates: Dates
+    confidence: float
 
+    @property
+    def pattern(self) -> str:
+        return "(" + "|".join(self.spellings) + ")"
 
-#: Families in order of precedence: pattern, range from the reference day and the match, confidence.
-FAMILIES = [
-    (r"(?P<y>20\d{2})년?\s*(?P<q>[1-4])\s*분기|Q(?P<q2>[1-4])\s*(?P<y2>20\d{2})|(?P<y3>20\d{2})년\s*Q(?P<q3>[1-4])", lambda d, m: quarter(int(m["y"] or m["y2"] or m["y3"]), int(m["q"] or m["q2"] or m["q3"])), 1.0),
-    (r"(?<!\d)(?P<q>[1-4])\s*분기|[Qq](?P<q2>[1-4])(?!\d)", lambda d, m: quarter(d.year, int(m["q"] or m["q2"])), 0.9),
-    (rf"(?P<m>1[0-2]|[1-9])월\s*(?P<n>{'|'.join(ORDINALS)}|{LAST}|[1-5])째\s*주", lambda d, m: week_of_month(d.year, int(m["m"]), m["n"]), 0.85),
-    (r"(?<!\d)(?P<m>1[0-2]|[1-9])월(?!\s*[0-9])", lambda d, m: month(d.year, int(m["m"])), 0.8),
-    (rf"최근\s*(?P<n>\d+|[{''.join(NUMERALS)}])?\s*(?P<u>주일|한달|개월|일|주|달)", lambda d, m: _recent(d, m["n"], m["u"]), 0.8),
-    (r"(?P<w>이번|저번|지난|전)\s*(?P<u>주|달|월)", lambda d, m: _this_or_last(d, m["w"], m["u"]), 0.9),
-    (r"(?P<t>오늘|어제)", lambda d, m: (d - timedelta(days=m["t"] == "어제"),) * 2, 1.0),
-]
-_COMPILED = [(re.compile(p), f, c) for p, f, c in FAMILIES]
+    def on(self, day: Column) -> Callable[[Column], Column]:
+        """What a label means on a day."""
 
+        def named(label: Column) -> Column:
+            start, end = self.dates(label, day)
+            return F.struct(start.alias("start"), end.alias("end"), label.alias("label"), F.lit(self.confidence).alias("confidence"))
 
-def resolve(text: str | None, day: date) -> list[dict]:
-    """Ranges of a text by family and place; what overlaps an earlier find is skipped."""
-    taken: list[tuple[int, int]] = []
-    out = []
-    for pattern, span, confidence in _COMPILED:
-        for m in pattern.finditer(text or ""):
-            if any(m.start() < z and a < m.end() for a, z in taken):
-                continue
-            taken.append(m.span())
-            start, end = span(day, m)
-            out.append({"start": start, "end": end, "label": m[0], "confidence": confidence})
-    return out
+        return named
 
 
-def ranges(text: Column, day: str) -> Column:
-    """DT-01: the ranges of each text."""
-    at = date.fromisoformat(day)
+_YEAR, _MONTH = r"20[0-9]{2}", r"(?<![0-9])(?:1[0-2]|[1-9])월"
+_QUARTER_OF = r"(?:^|[^0-9])([1-4])(?![0-9])"
+PERIODS = (
+    Period(
+        (rf"{_YEAR}년?\s*[1-4]\s*{QUARTER}", rf"Q[1-4]\s*{_YEAR}", rf"{_YEAR}년\s*Q[1-4]"),
+        lambda t, d: quarter_range(_number(t, f"({_YEAR})"), _number(F.regexp_replace(t, _YEAR, " "), _QUARTER_OF)),
+        1.0,
+    ),
+    Period((rf"(?<![0-9])[1-4]\s*{QUARTER}", r"[Qq][1-4](?![0-9])"), lambda t, d: quarter_range(F.year(d), _number(t, _QUARTER_OF)), 0.9),
+    Period(
+        (rf"{_MONTH}\s*(?:{_any([*ORDINALS, LAST])}|[1-5])째\s*주",),
+        lambda t, d: week_of_month(F.year(d), _number(t, "^([0-9]+)월"), _number(t, rf"월\s*(.+?)째", ORDINALS)),
+        0.85,
+    ),
+    Period((rf"{_MONTH}(?!\s*[0-9])",), lambda t, d: month_range(F.year(d), _number(t, "^([0-9]+)월")), 0.8),
+    Period((rf"{RECENT}\s*(?:[0-9]+|[{''.join(NUMBERS)}])?\s*{_any(DAYS)}",), _recent, 0.8),
+    Period((rf"{_any([THIS, *BEFORE])}\s*(?:주|달|월)",), _this_or_before, 0.9),
+    Period((TODAY, YESTERDAY), lambda t, d: (F.date_sub(d, F.when(t == YESTERDAY, 1).otherwise(0)),) * 2, 1.0),
+)
 
-    @F.pandas_udf(RANGES)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for b in batches:
-            yield b.map(lambda t: resolve(t if isinstance(t, str) else None, at))
 
-    return run(text)
+def ranges(text: Column, day: Column) -> Column:
+    """DT-01: start, end, label and confidence of each time expression, by precedence and place."""
+    rest, found = F.coalesce(text, F.lit("")), []
+    for p in PERIODS:
+        found.append(F.transform(F.regexp_extract_all(rest, F.lit(p.pattern), F.lit(1)), p.on(day)))
+        rest = F.regexp_replace(rest, p.pattern, "¦")
+    return F.concat(*found)
 
 
 def only_recent(text: Column) -> Column:
-    """DT-02: whether "recent" stands alone, with no count or unit and no this or last period."""
-    bare = text.rlike(r"(?<![가-힣])(가장\s*)?최근(?!\s*\d)(?!\s*[일주달월개])")
-    return bare & ~text.rlike(_COMPILED[4][0].pattern.replace("(?P<n>", "(").replace("(?P<u>", "(")) & ~text.rlike(_COMPILED[5][0].pattern.replace("(?P<w>", "(").replace("(?P<u>", "("))
+    """DT-02: whether "recent" stands alone, with no count or unit, and no this or last period."""
+    alone = text.rlike(rf"(?<![가-힣]){RECENT}(?!\s*[0-9])(?!\s*(?:일|주|달|월|개))")
+    return alone & ~text.rlike(PERIODS[4].pattern) & ~text.rlike(PERIODS[5].pattern)
+
+
+def without_times(segments: Column) -> tuple[Column, Column]:
+    """FLT-14: the segments of a path that are no time expressions, and those that are: a day, a period around now, a count of units, a month or a date."""
+    unit, number = _any(["일", "주", "달", "개월", "년"]), "[0-9]+"
+    whole = [
+        _any([TODAY, YESTERDAY, "그제", "내일", "모레"]), rf"{_any([THIS, '지난', '다음'])}\s*{_any(['주', '달', QUARTER, '연도', '년'])}", rf"{RECENT}\s*{number}\s*(?:{unit}|시간)",
+        rf"{number}\s*{unit}\s*{_any(['전', '이내', '이후'])}?", r"[0-9]{1,2}\s*월(?:\s*[0-9]{1,2}\s*일)?", r"[0-9]{4}\s*년(?:\s*[0-9]{1,2}\s*월)?", r"[0-9]{4}-[0-9]{2}-[0-9]{2}",
+    ]
+    is_time = lambda s: F.trim(s).rlike(f"^(?:{'|'.join(whole)})$")
+    return F.filter(segments, lambda s: ~is_time(s)), F.filter(segments, is_time)
+
+
+# Words by which a question asks for the field, and periods with the issue tracker's names for them.
+UPDATED = ("수정", "업데이트", "변경", "갱신")
+NAMED_STARTS = {
+    "이번 주": "startOfWeek()", "지난 주": "startOfWeek(-1)", "이번 달": "startOfMonth()", "지난 달": "startOfMonth(-1)",
+    "올해": "startOfYear()", "어제": "startOfDay(-1)", "오늘": "startOfDay()",
+}
+
+
+def issue_dates(question: Column, day: Column) -> Column:
+    """DT-07: the date clause of a question about issues; null if it names no time.
+
+    A whole date comes before a month and day, that before a count of units, that before a named period.
+    """
+    q = F.coalesce(question, F.lit(""))
+    part = lambda pattern, k: F.regexp_extract(q, pattern, k)
+    padded = lambda pattern, k: F.lpad(part(pattern, k), 2, "0")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    whole, short = rf"({_YEAR})[-./]([0-9]{{1,2}})[-./]([0-9]{{1,2}})", r"([0-9]{1,2})월\s*([0-9]{1,2})일"
+    counted = rf"(?:{RECENT}\s*([0-9]+)\s*({_any(DAYS)})|([0-9]+)\s*({_any(DAYS)})\s*(?:전|이내))"
+    count, unit = (F.concat(part(counted, a), part(counted, b)) for a, b in ((1, 3), (2, 4)))
+    value = F.when(q.rlike(whole), quoted(F.concat_ws("-", part(whole, 1), padded(whole, 2), padded(whole, 3))))
+    value = value.when(q.rlike(short), quoted(F.concat_ws("-", F.year(day).cast("string"), padded(short, 1), padded(short, 2))))
+    back = F.when(unit.startswith("주"), quoted(F.concat(F.lit("-"), count, F.lit("w")))).when(unit == "일", quoted(F.concat(F.lit("-"), count, F.lit("d"))))
+    value = value.when(q.rlike(counted), back.otherwise(F.concat(F.lit("startOfMonth(-"), count, F.lit(")"))))
+    for words, start in NAMED_STARTS.items():
+        value = value.when(q.rlike(words.replace(" ", " ?")), F.lit(start))
+    return F.concat(F.when(q.rlike(_any(UPDATED)), "updated").otherwise("created"), F.lit(" >= "), value)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loredeck.functions.temporal import issue_dates, only_recent, ranges, without_times
 from loredeck.operators.schedule import fires, nth_weekday
 from loredeck.registry import operator
 from loredeck.sources.tables import EVENTS_SQL, events, read
@@ -51,7 +52,7 @@ def missed_schedules(spark: SparkSession, sf: str) -> DataFrame:
 
 @operator("nth_weekday", f"WITH {_DAYS} SELECT strftime(d, '%Y-%m-%d') AS day, CAST(ceil(day(d) / 7.0) AS INTEGER) AS nth, day(d) + 7 > day(last_day(d)) AS is_last, CAST((day(d) - 1) // 7 + 1 AS INTEGER) AS week_of_month FROM days")
 def nth_weekday_of_month(spark: SparkSession, sf: str) -> DataFrame:
-    """WIN-16, DT-03, REM-29: the ordinal of a weekday in its month."""
+    """WIN-16, REM-29: the ordinal of a weekday in its month."""
     d = F.col("d")
     return days(spark, sf).select(d.cast("string").alias("day"), nth_weekday(d).alias("nth"), (F.dayofmonth(d) + 7 > F.dayofmonth(F.last_day(d))).alias("is_last"), (F.floor((F.dayofmonth(d) - 1) / 7) + 1).cast("int").alias("week_of_month"))
 
@@ -84,9 +85,93 @@ def claim_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf).filter("event_type = 'error'").select("event_id", F.concat(F.lit("CLM-"), F.date_format("ts", "yyyyMMdd"), F.lit("-"), F.when(F.length(rn) < 3, F.lpad(rn, 3, "0")).otherwise(rn)).alias("claim"))
 
 
-@operator("temporal_ranges", "SELECT doc_id, m, q, strftime(make_date(2024, m, 1), '%Y-%m-%d') AS month_from, strftime(last_day(make_date(2024, m, 1)), '%Y-%m-%d') AS month_to, strftime(make_date(2024, 3 * q - 2, 1), '%Y-%m-%d') AS quarter_from, strftime(last_day(make_date(2024, 3 * q, 1)), '%Y-%m-%d') AS quarter_to FROM (SELECT doc_id, CAST(n_chars % 12 + 1 AS INTEGER) AS m, CAST(n_chars % 4 + 1 AS INTEGER) AS q FROM documents)")
+#: Questions with a time expression, and what it means: kind of period, and its numbers.
+EXPRESSIONS = [
+    ("2023년 4분기", "year_quarter", 2023, 4, 1.0), ("Q1 2024", "year_quarter", 2024, 1, 1.0), ("2022년 Q3", "year_quarter", 2022, 3, 1.0), ("2분기", "quarter", 0, 2, 0.9),
+    ("3월 둘째 주", "week", 3, 2, 0.85), ("11월 5째 주", "week", 11, 5, 0.85), ("2월 마지막째 주", "last_week", 2, 0, 0.85), ("12월", "month", 0, 12, 0.8), ("최근 7일", "recent", 0, 7, 0.8),
+    ("최근 삼 개월", "recent", 0, 90, 0.8), ("최근 2주", "recent", 0, 14, 0.8), ("지난 주", "week_back", 0, 1, 0.9), ("이번주", "week_back", 0, 0, 0.9), ("지난달", "month_back", 0, 1, 0.9),
+    ("이번 달", "month_back", 0, 0, 0.9), ("어제", "day_back", 0, 1, 1.0), ("오늘", "day_back", 0, 0, 1.0), ("", None, None, None, None),
+]
+_ASKED = """
+x(k, expression, kind, a, b, confidence) AS (VALUES {rows}),
+q AS (SELECT conv_id, turn, role, CAST(DATE '2024-01-01' + CAST(conv_id % 400 AS INTEGER) AS DATE) AS d, x.*
+      FROM conversations JOIN x ON k = (conv_id * 7 + turn) % {n} WHERE conv_id IS NOT NULL AND turn IS NOT NULL)""".format(
+    rows=", ".join("({}, {}, {}, {}, {}, {})".format(k, *("NULL" if v is None else f"'{v}'" if isinstance(v, str) else v for v in x)) for k, x in enumerate(EXPRESSIONS)), n=len(EXPRESSIONS)
+)
+
+
+def asked(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns of conversations with a time expression behind the text, and the day they are asked on."""
+    fixed = spark.createDataFrame([(k, x[0]) for k, x in enumerate(EXPRESSIONS)], "k int, expression string")
+    c = read(spark, sf, "conversations").filter("conv_id is not null and turn is not null").withColumn("k", ((F.col("conv_id") * 7 + F.col("turn")) % len(EXPRESSIONS)).cast("int"))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 400).cast("int"))
+    question = F.concat_ws(" ", F.coalesce("text", F.lit("")), "expression")
+    return c.join(F.broadcast(fixed), "k").select("conv_id", "turn", day.alias("d"), question.alias("question"), "expression", "role")  # a fixed list
+
+
+@operator(
+    "temporal_ranges",
+    f"""
+WITH {_ASKED},
+r AS (SELECT *, CASE kind WHEN 'week' THEN a WHEN 'last_week' THEN a WHEN 'month' THEN b END AS m,
+             CASE kind WHEN 'year_quarter' THEN a ELSE year(d) END AS y FROM q),
+f AS (SELECT *, make_date(y, m, 1) AS first FROM r),
+s AS (SELECT conv_id, turn, expression AS label, confidence, kind, b, d, y, m, first, CAST(CASE
+        WHEN kind IN ('year_quarter', 'quarter') THEN make_date(y, 3 * b - 2, 1)
+        WHEN kind = 'week' THEN first + CAST((8 - isodow(first)) % 7 + 7 * (b - 1) AS INTEGER)
+        WHEN kind = 'last_week' THEN date_trunc('week', last_day(first))
+        WHEN kind = 'month' THEN first
+        WHEN kind = 'recent' THEN d - CAST(b - 1 AS INTEGER)
+        WHEN kind = 'week_back' THEN date_trunc('week', d) - INTERVAL 7 DAY * b
+        WHEN kind = 'month_back' THEN date_trunc('month', d) - INTERVAL 1 MONTH * b
+        ELSE d - CAST(b AS INTEGER) END AS DATE) AS start FROM f WHERE kind IS NOT NULL)
+SELECT conv_id, turn, label, CAST(confidence AS DOUBLE) AS confidence, strftime(start, '%Y-%m-%d') AS date_from, strftime(CAST(CASE
+        WHEN kind IN ('year_quarter', 'quarter') THEN last_day(start + INTERVAL 2 MONTH)
+        WHEN kind IN ('week', 'last_week', 'week_back') THEN start + 6
+        WHEN kind IN ('month', 'month_back') THEN last_day(start)
+        WHEN kind = 'recent' THEN d ELSE start END AS DATE), '%Y-%m-%d') AS date_to FROM s
+""",
+)
 def temporal_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    """DT-01/03: month and quarter expressions as ranges of days."""
-    t = read(spark, sf, "documents").select("doc_id", (F.col("n_chars") % 12 + 1).cast("int").alias("m"), (F.col("n_chars") % 4 + 1).cast("int").alias("q"))
-    first = lambda month: F.make_date(F.lit(2024), month, F.lit(1))
-    return t.select("doc_id", "m", "q", first(F.col("m")).cast("string").alias("month_from"), F.last_day(first(F.col("m"))).cast("string").alias("month_to"), first(F.col("q") * 3 - 2).cast("string").alias("quarter_from"), F.last_day(first(F.col("q") * 3)).cast("string").alias("quarter_to"))
+    """DT-01/03: the ranges of days that a turn's time expressions mean, around the day it is asked on."""
+    found = asked(spark, sf).select("conv_id", "turn", F.explode(ranges(F.col("question"), F.col("d"))).alias("r"))
+    return found.select("conv_id", "turn", "r.label", "r.confidence", F.col("r.start").cast("string").alias("date_from"), F.col("r.end").cast("string").alias("date_to"))
+
+
+@operator("recent_alone", f"WITH {_ASKED} SELECT CASE WHEN kind = 'recent' THEN 'counted' ELSE 'none' END AS kind, false AS only_recent, count(*) AS n FROM q GROUP BY 1")
+def recent_alone(spark: SparkSession, sf: str) -> DataFrame:
+    """DT-02: turns that only say "recent", by whether they count units."""
+    kind = F.when(F.col("expression").startswith("최근"), "counted").otherwise("none")
+    return asked(spark, sf).groupBy(kind.alias("kind"), only_recent(F.col("question")).alias("only_recent")).agg(F.count("*").alias("n"))
+
+
+@operator(
+    "path_time_segments",
+    f"WITH {_ASKED} SELECT role, count(*) AS turns, count(*) FILTER (kind IN ('month', 'week_back', 'month_back', 'day_back') OR kind = 'recent' AND b <> 90) AS times, count(*) FILTER (NOT coalesce(kind IN ('month', 'week_back', 'month_back', 'day_back') OR kind = 'recent' AND b <> 90, false)) AS kept FROM q GROUP BY role",
+)
+def path_time_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """FLT-14: path segments that name a time are put aside."""
+    kept, gone = without_times(F.slice(F.split(F.concat_ws("/", F.lit("notes"), "expression"), "/"), 2, 9))
+    return asked(spark, sf).groupBy("role").agg(F.count("*").alias("turns"), F.sum(F.size(gone)).alias("times"), F.sum(F.size(kept)).alias("kept"))
+
+
+#: Questions about issues, and the date clause each asks for; {year} is the year of the day asked on.
+ISSUE_QUESTIONS = [
+    ("2026-4-7 이후 수정된 이슈", 'updated >= "2026-04-07"'), ("4월 27일 등록된 이슈", 'created >= "{year}-04-27"'), ("최근 2주 버그", 'created >= "-2w"'), ("최근 10일 변경", 'updated >= "-10d"'),
+    ("3일 전 이슈", 'created >= "-3d"'), ("2개월 이내 갱신", "updated >= startOfMonth(-2)"), ("지난주 이슈", "created >= startOfWeek(-1)"), ("이번 달 이슈", "created >= startOfMonth()"),
+    ("올해 업데이트", "updated >= startOfYear()"), ("어제 등록", "created >= startOfDay(-1)"), ("이슈 목록", None),
+]
+
+
+@operator(
+    "issue_date_filter",
+    "WITH x(k, clause) AS (VALUES {}) SELECT conv_id, turn, replace(clause, '{{year}}', CAST(year(DATE '2024-01-01' + CAST(conv_id % 400 AS INTEGER)) AS VARCHAR)) AS clause FROM conversations JOIN x ON k = (conv_id * 5 + turn) % {}".format(
+        ", ".join("({}, {})".format(k, "NULL" if c is None else f"'{c}'") for k, (_, c) in enumerate(ISSUE_QUESTIONS)), len(ISSUE_QUESTIONS)
+    ),
+)
+def issue_date_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """DT-07: the date clause that a question about issues asks for."""
+    fixed = spark.createDataFrame([(k, q) for k, (q, _) in enumerate(ISSUE_QUESTIONS)], "k int, asked string")
+    c = read(spark, sf, "conversations").withColumn("k", ((F.col("conv_id") * 5 + F.col("turn")) % len(ISSUE_QUESTIONS)).cast("int"))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 400).cast("int"))
+    return c.join(F.broadcast(fixed), "k").select("conv_id", "turn", issue_dates(F.col("asked"), day).alias("clause"))  # a fixed list
