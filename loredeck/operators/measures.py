@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,22 +17,44 @@ def percent_sql(part: str, whole: str, places: int = 1) -> str:
     return f"CASE WHEN {whole} > 0 THEN round(100.0 * {part} / {whole}, {places}) ELSE 0.0 END"
 
 
+#: Bins in which a key's values are counted to find where a place lies.
+BINS = 4096
+
+
+def at_places(df: DataFrame, key: str, value: str, places: list[Callable[[Column], Column]]) -> DataFrame:
+    """key, n, most, and v0, v1, ...: the values at places (counted from 0, of the number n) among each key's sorted values.
+
+    Values are counted in bins between the least and the largest, and only those of the bins that hold a place are
+    ordered, so that no task sorts all values of a key. Nulls don't count; a place beyond the ends is null.
+    """
+    rows = df.select(key, value).filter(F.col(value).isNotNull())
+    span = rows.groupBy(key).agg(F.min(value).alias("low"), F.max(value).alias("most"), F.count("*").alias("n"))
+    bin_of = F.when(F.col("most") > F.col("low"), F.floor((F.col(value) - F.col("low")) / (F.col("most") - F.col("low")) * BINS)).otherwise(0).cast("int")
+    placed = rows.join(span, key).withColumn("bin", bin_of)
+    bins = placed.groupBy(key, "bin").agg(F.count("*").alias("held"))  # at most BINS + 1 rows a key
+    bins = bins.withColumn("before", F.sum("held").over(Window.partitionBy(key).orderBy("bin")) - F.col("held")).join(span.select(key, "n"), key)
+    asked = F.filter(F.array(*(f(F.col("n")).cast("long") for f in places)), lambda p: (p >= F.col("before")) & (p < F.col("before") + F.col("held")))
+    hit = bins.filter(F.size(asked) > 0).select(key, "bin", "before")
+    counted = placed.join(hit, [key, "bin"]).groupBy(key, "bin", value).agg(F.count("*").alias("times"), F.max("before").alias("before"), F.max("n").alias("n"))
+    upto = F.col("before") + F.sum("times").over(Window.partitionBy(key, "bin").orderBy(value))
+    counted = counted.withColumn("upto", upto).withColumn("after", F.col("upto") - F.col("times"))
+    found = [F.max(F.when((f(F.col("n")) >= F.col("after")) & (f(F.col("n")) < F.col("upto")), F.col(value))).alias(f"v{k}") for k, f in enumerate(places)]
+    return span.select(key, "n", "most").join(counted.groupBy(key).agg(*found), key, "left")
+
+
 def floor_quantile(df: DataFrame, key: str, value: str, q: float, name: str) -> DataFrame:
     """The value at place min(floor(q n), n - 1) of each key's sorted values."""
-    w = Window.partitionBy(key)
-    ranked = df.select(key, value, F.row_number().over(w.orderBy(value)).alias("__rn"), F.count("*").over(w).alias("__n"))
-    return ranked.filter(F.col("__rn") - 1 == F.least(F.floor(F.lit(q) * F.col("__n")), F.col("__n") - 1)).select(key, F.col(value).alias(name))
+    found = at_places(df, key, value, [lambda n: F.least(F.floor(F.lit(q) * n), n - 1)])
+    return found.select(key, F.col("v0").alias(name))
 
 
 def exclusive_quantile(df: DataFrame, key: str, value: str, part: int, parts: int, name: str) -> DataFrame:
     """Quantile part/parts with ends left out, (n + 1) p interpolated; the maximum where there are too few values."""
-    w = Window.partitionBy(key)
-    ranked = df.select(key, value, F.row_number().over(w.orderBy(value)).alias("__rn"), F.count("*").over(w).alias("__n"))
-    h = (F.col("__n") + 1) * part / F.lit(parts)
-    low = F.max(F.when(F.col("__rn") == F.floor(h), F.col(value)))
-    high = F.max(F.when(F.col("__rn") == F.floor(h) + 1, F.col(value)))
-    got = ranked.groupBy(key).agg(F.max("__n").alias("__n"), low.alias("__low"), high.alias("__high"), F.max(value).alias("__max"))
-    return got.select(key, F.when(F.col("__n") < parts, F.col("__max")).otherwise(F.col("__low") + (h - F.floor(h)) * (F.coalesce("__high", "__low") - F.col("__low"))).alias(name))
+    place = lambda n: (n + 1) * part / F.lit(parts)
+    found = at_places(df, key, value, [lambda n: F.floor(place(n)) - 1, lambda n: F.floor(place(n))])
+    h = place(F.col("n"))
+    between = F.col("v0") + (h - F.floor(h)) * (F.coalesce("v1", "v0") - F.col("v0"))
+    return found.select(key, F.when(F.col("n") < parts, F.col("most")).otherwise(between).alias(name))
 
 
 def risk(p99: Column, error_rate: Column, hit_rate: Column) -> Column:

@@ -82,7 +82,7 @@ def kpi_miss_rate(spark: SparkSession, sf: str) -> DataFrame:
 
 @operator("token_set_loss", "SELECT page_id, CAST(len(a) AS BIGINT) AS words, CAST(len(list_filter(a, lambda x: NOT list_contains(b, x))) AS BIGINT) AS lost FROM (SELECT page_id, list_distinct(regexp_extract_all(lower(html), '[a-z]{3,}')) AS a, list_distinct(regexp_extract_all(lower(regexp_replace(html, '<[^>]+>', ' ', 'g')), '[a-z]{3,}')) AS b FROM pages)")
 def token_set_loss(spark: SparkSession, sf: str) -> DataFrame:
-    """SET-03, EVL-12/13, REM-36: tokens of the source missing in the result."""
+    """SET-03: tokens of the source missing in the result."""
     tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), F.lit(0)))
     a, b = tokens(F.col("html")), tokens(F.regexp_replace("html", "<[^>]+>", " "))
     return read(spark, sf, "pages").select("page_id", F.size(a).cast("long").alias("words"), F.size(F.array_except(a, b)).cast("long").alias("lost"))

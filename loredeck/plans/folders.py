@@ -123,14 +123,14 @@ def taxonomy_search(spark: SparkSession, sf: str) -> DataFrame:
 def tree_listing(spark: SparkSession, sf: str) -> DataFrame:
     """SRC-04: every node in the order of path and title, numbered within its space.
 
-    Ranges of the order are sorted apart and counted, so that a space is never one task's.
+    Nodes are counted by the title's beginning first, so that only those alike in it are ordered by one task.
     """
-    n = nodes(spark, sf).select("space_key", "title", "node_id")
-    dealt = n.repartitionByRange("space_key", "title", "node_id").sortWithinPartitions("space_key", "title", "node_id").withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
-    starts = dealt.groupBy("space_key", "part").agg(F.count("*").alias("rows"), F.min("row").alias("first"))
+    n = nodes(spark, sf).select("space_key", "title", "node_id", F.substring("title", 1, 3).alias("part"))
+    parts = n.groupBy("space_key", "part").agg(F.count("*").alias("rows"))
     before = F.sum("rows").over(Window.partitionBy("space_key").orderBy("part")) - F.col("rows")
-    starts = starts.select("space_key", "part", "first", before.alias("before"))  # a row a space and part
-    return dealt.join(starts, ["space_key", "part"]).select((F.col("row") - F.col("first") + F.col("before") + 1).alias("place"), "space_key", "node_id", "title")
+    rank = F.row_number().over(Window.partitionBy("space_key", "part").orderBy("title", "node_id"))
+    placed = n.withColumn("rank", rank).join(parts.select("space_key", "part", before.alias("before")), ["space_key", "part"])
+    return placed.select((F.col("before") + F.col("rank")).alias("place"), "space_key", "node_id", "title")
 
 
 @operator("title_substring", f"WITH {NODES_SQL} SELECT space_key, min(node_id) AS node_id, count(*) AS hits FROM nodes WHERE contains(title, 'tion') GROUP BY space_key")

@@ -171,13 +171,13 @@ _JQL = "project = BUILDING AND status NOT IN (F) AND priority IN (1-URGENT, 2-HI
 
 @operator("jql_filter_suite", f"WITH {ISSUES_SQL} SELECT issue_key, status, priority FROM issues WHERE project = 'BUILDING' AND status NOT IN ('F') AND priority IN ('1-URGENT', '2-HIGH') AND contains(lower(assignee), 'customer') AND updated >= '1997-05-01' AND updated < '1997-07-01'")
 def jql_filter_suite(spark: SparkSession, sf: str) -> DataFrame:
-    """FLT-24/26, FTS-17: an issue query as columns, dates relative to 1997-06-15."""
+    """FLT-24/26: an issue query as columns, dates relative to 1997-06-15."""
     return issues(spark, sf).filter(issue_filter(parse_issue_query(_JQL), today="1997-06-15")).select("issue_key", "status", "priority")
 
 
 @operator("issue_mirror_search", f"WITH {ISSUES_SQL} SELECT issue_key, assignee FROM issues WHERE contains(lower(assignee), '00') AND contains(lower(project), 'auto') ORDER BY updated DESC, issue_key LIMIT 30")
 def issue_mirror_search(spark: SparkSession, sf: str) -> DataFrame:
-    """FLT-36, REM-17/18: every word in its column, newest first."""
+    """FLT-36, REM-18: every word in its column, newest first."""
     return top(issues(spark, sf).filter(all_of([has("assignee", "00"), has("project", "auto")])), 30, F.desc("updated"), F.col("issue_key")).select("issue_key", "assignee")
 
 

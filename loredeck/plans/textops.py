@@ -117,7 +117,7 @@ def path_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 @operator("normalize_dates", r"SELECT o_orderkey, concat(s[1], lpad(s[2], 2, '0'), lpad(s[3], 2, '0')) AS compact FROM (SELECT o_orderkey, str_split(CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y/%-m/%-d') ELSE strftime(o_orderdate, '%Y.%m.%d') END, CASE WHEN o_orderkey % 2 = 0 THEN '/' ELSE '.' END) AS s FROM orders)")
 def normalize_dates(spark: SparkSession, sf: str) -> DataFrame:
-    """DT-04..06: spellings of a date as eight digits."""
+    """DT-04: spellings of a date as eight digits."""
     written = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy/M/d")).otherwise(F.date_format("o_orderdate", "yyyy.MM.dd"))
     part = lambda i: F.regexp_extract(written, r"(?<!\d)(20\d\d|19\d\d)[-/.](\d{1,2})[-/.](\d{1,2})(?!\d)", i)
     return read(spark, sf, "orders").select("o_orderkey", F.concat(part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")).alias("compact"))
@@ -130,10 +130,10 @@ def csv_guard(spark: SparkSession, sf: str) -> DataFrame:
     return pages(spark, sf).select("page_id", guarded_csv(F.concat(first, F.col("url"))).alias("field"))
 
 
-@operator("log_sanitize", "SELECT doc_id, replace(replace(replace(left(text, 400), '|', '｜'), chr(10), ' '), chr(13), ' ') AS field FROM documents")
+@operator("log_sanitize", "SELECT doc_id, replace(replace(replace(text, '|', '｜'), chr(10), ' '), chr(13), ' ') AS field FROM documents")
 def log_sanitize(spark: SparkSession, sf: str) -> DataFrame:
     """SNK-23: a field that can't end a log field or line."""
-    return read(spark, sf, "documents").select("doc_id", log_field(F.substring("text", 1, 400)).alias("field"))
+    return read(spark, sf, "documents").select("doc_id", log_field(F.col("text")).alias("field"))
 
 
 @operator("header_dedupe_suffix", "SELECT conv_id, turn, CASE WHEN rn = 1 THEN role ELSE concat(role, '_', rn) END AS header FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS rn FROM conversations)")
@@ -150,10 +150,10 @@ def fill_down(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "lineitem").withColumn("flag", F.when(F.col("l_quantity") > 30, F.col("l_returnflag"))).select("l_orderkey", "l_linenumber", F.last("flag", ignorenulls=True).over(w).alias("category"), "l_partkey")
 
 
-@operator("xml_and_cell_escape", r"SELECT doc_id, replace(replace(replace(replace(left(text, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;') AS xml, CASE WHEN length(text) > 80 THEN concat(left(replace(replace(text, '|', '\|'), chr(10), ' '), 79), '…') ELSE replace(replace(text, '|', '\|'), chr(10), ' ') END AS cell FROM documents")
+@operator("xml_and_cell_escape", r"SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;') AS xml, CASE WHEN length(text) > 80 THEN concat(left(replace(replace(text, '|', '\|'), chr(10), ' '), 79), '…') ELSE replace(replace(text, '|', '\|'), chr(10), ' ') END AS cell FROM documents")
 def xml_and_cell_escape(spark: SparkSession, sf: str) -> DataFrame:
     """STR-28/29/30: text for XML and for a table cell."""
-    x = F.substring("text", 1, 200)
+    x = F.col("text")
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         x = F.replace(x, F.lit(a), F.lit(b))
     cell = F.replace(F.replace(F.col("text"), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
@@ -170,8 +170,13 @@ def key_value_parse(spark: SparkSession, sf: str) -> DataFrame:
 @operator("context_budget_prefix", "SELECT source, CAST(count(*) AS BIGINT) AS docs, CAST(max(total) AS BIGINT) AS chars FROM (SELECT source, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS total FROM documents) WHERE total <= 20000 GROUP BY source")
 def context_budget_prefix(spark: SparkSession, sf: str) -> DataFrame:
     """SRT-12/13, STR-39: the longest prefix within a budget of characters."""
+    d = read(spark, sf, "documents").select("source", "doc_id", "n_chars", F.floor(F.col("doc_id") / 512).alias("range"))
+    # whole ranges of ids first; only those that begin within the budget are looked at row by row
+    ranges = d.groupBy("source", "range").agg(F.sum("n_chars").alias("chars"))
+    before = F.sum("chars").over(Window.partitionBy("source").orderBy("range")) - F.col("chars")
+    ranges = ranges.withColumn("before", before).filter("before <= 20000").select("source", "range")
     total = F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id"))
-    return read(spark, sf, "documents").withColumn("total", total).filter("total <= 20000").groupBy("source").agg(F.count("*").alias("docs"), F.max("total").alias("chars"))
+    return d.join(ranges, ["source", "range"]).withColumn("total", total).filter("total <= 20000").groupBy("source").agg(F.count("*").alias("docs"), F.max("total").alias("chars"))
 
 
 @operator("answer_rendering", "SELECT source, string_agg(concat('- ', left(text, 30)), chr(10) ORDER BY doc_id) AS answer FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 5 GROUP BY source")

@@ -30,9 +30,14 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cut into overlapping chunks; short remains are dropped."""
-    last = F.greatest(F.ceil((F.length("text") - 100) / F.lit(CHUNK_STEP)), F.lit(1)) - 1
-    cut = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("seq"), "text", "lang", "source")
-    return cut.select("node_id", "seq", F.expr(f"substring(text, cast(1 + {CHUNK_STEP} * seq as int), {CHUNK_SIZE})").alias("chunk"), "lang", "source").filter(F.length("chunk") >= CHUNK_LEAST)
+    # pieces of one step, each with the beginning of the next; the text itself goes no further
+    pieces, size = F.regexp_extract_all("text", F.lit("(?s).{1,%d}" % CHUNK_STEP), F.lit(0)), F.length("text")
+    last = F.greatest(F.ceil((size - 100) / F.lit(CHUNK_STEP)), F.lit(1)) - 1
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), "lang", "source", pieces.alias("pieces"), last.cast("int").alias("last"))
+    piece = lambda i: F.coalesce(F.get("pieces", i), F.lit(""))
+    cut = F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.concat(piece(i), F.substring(piece(i + 1), 1, CHUNK_SIZE - CHUNK_STEP)))
+    out = d.select("node_id", F.posexplode(cut).alias("seq", "chunk"), "lang", "source")
+    return out.select("node_id", F.col("seq").cast("long").alias("seq"), "chunk", "lang", "source").filter(F.length("chunk") >= CHUNK_LEAST)
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

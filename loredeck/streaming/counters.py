@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,22 +22,27 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
 
 
-def finished(stream: DataFrame, checkpoint: str, mode: str = "complete") -> DataFrame:
+def finished(stream: DataFrame, checkpoint: str, mode: str = "complete", keys: list[str] | None = None) -> DataFrame:
     """Run the stream over all that is there now and return its result table, kept as files in the checkpoint folder.
 
-    A micro-batch is a folder of its own, which a batch run again replaces. In complete mode the last one is the result.
+    A micro-batch is a folder of its own, which a batch run again replaces. In complete mode the last one is the result;
+    in update mode, in which only what changed is written, the last row of each of the keys.
     """
     at, last = f"{checkpoint}/stream-{uuid.uuid4().hex}", []
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/rows/{number}")
+        batch.withColumn("__batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{at}/rows/{number}")
         last[:] = [number]
 
     query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     if not last:
         return stream.sparkSession.createDataFrame([], stream.schema)
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/rows/{last[0]}" if mode == "complete" else f"{at}/rows/*")
+    schema = StructType([*stream.schema.fields, StructField("__batch", LongType())])
+    rows = stream.sparkSession.read.schema(schema).parquet(f"{at}/rows/{last[0]}" if mode == "complete" else f"{at}/rows/*")
+    if mode == "update":
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "__batch").alias("r")).select("r.*")
+    return rows.select(*stream.columns)
 
 
 def flushed(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None]) -> None:
