@@ -8,7 +8,8 @@ survives is measured exactly, in double precision, on the original vectors. Larg
 are cut into cells of bounded size.
 
 Cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
-part; rows with a null id neither; a query's own id is no candidate; rows that repeat an id count once; ties go to the smaller
+part; rows with a null id neither; a query's own id is no candidate; of rows that repeat an id the nearest
+vector counts, and as a query the least in order of components; ties go to the smaller
 id; with fewer than ten candidates all are returned; an empty table gives an empty result; extra columns are ignored.
 """
 
