@@ -169,3 +169,38 @@ def issue_dates(question: Column, day: Column) -> Column:
     for words, start in NAMED_STARTS.items():
         value = value.when(q.rlike(words.replace(" ", " ?")), F.lit(start))
     return F.concat(F.when(q.rlike(_any(UPDATED)), "updated").otherwise("created"), F.lit(" >= "), value)
+
+
+# Words after a number and a number that make them no date.
+UNIT_WORDS = ["분기", *"월주일년점배위명개건회번차기판단절권장원달층등쪽부항행열칸줄자글곳채폼뷰모앱탭버팝"]
+_ONE, _TWO = (("[1-9]", "0"), ("[1-9]", "0")), (("0[1-9]|1[0-2]", ""), ("0[1-9]|[12][0-9]|3[01]", ""))
+
+
+def normal_dates(text: Column, day: Column) -> Column:
+    """DT-04: dates in a text as eight digits: whole years first, then two-digit years, then month and day of the day's year."""
+
+    def forms(year: str, gap: str, after: str = "") -> list[tuple[str, str]]:
+        """Patterns of a date with one or two digits for month and day, and the zeros each lacks."""
+        return [
+            (rf"(?<![0-9]){year}(?<m>{m}){gap}(?<d>{d})(?![0-9]){after}", f"{zero_m}${{m}}{zero_d}${{d}}")
+            for m, zero_m in (_TWO[0], _ONE[0]) for d, zero_d in (_TWO[1], _ONE[1])
+        ]
+
+    for pattern, put in forms(r"(?<y>20[0-9]{2})[-/.]", "[-/.]"):
+        text = F.regexp_replace(text, pattern, "${y}" + put)
+    for gap in (r"\.", ""):
+        pattern, put = forms(rf"(?<y>[0-9]{{2}}){gap}", gap)[0]
+        text = F.regexp_replace(text, pattern, "20${y}" + put)
+    for pattern, put in (x for gap in ("/", r"\.", "-") for x in forms("", gap, f"(?!{_any(UNIT_WORDS)})")):
+        text = F.regexp_replace(text, F.lit(pattern), F.concat(F.year(day).cast("string"), F.lit(put)))
+    return text
+
+
+def means_range(question: Column) -> Column:
+    """STR-25: whether a question means a range of time: a week of a month, a period around now, a quarter, recent units, a rhythm, or a month."""
+    month = "[0-9]+월"
+    kinds = [
+        rf"{month}\s*(?:{_any([f'{w}째' for w in ORDINALS])}|{LAST})\s*주", rf"{_any([THIS, '지난', '저번'])}\s*{_any(['주', '달', '월', QUARTER])}", rf"Q[1-4]|[1-4]{QUARTER}",
+        rf"{_any([RECENT, '지난'])}\s*[0-9]+\s*{_any(['일', '주', '개월'])}", _any(["월별", "주별", "주차별"]), rf"[0-9]+년\s*{month}", month,
+    ]
+    return F.coalesce(question, F.lit("")).rlike("|".join(kinds))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loredeck.functions.temporal import issue_dates, only_recent, ranges, without_times
+from loredeck.functions.temporal import issue_dates, means_range, normal_dates, only_recent, ranges, without_times
 from loredeck.operators.schedule import fires, nth_weekday
 from loredeck.registry import operator
 from loredeck.sources.tables import EVENTS_SQL, events, read
@@ -175,3 +175,37 @@ def issue_date_filter(spark: SparkSession, sf: str) -> DataFrame:
     c = read(spark, sf, "conversations").withColumn("k", ((F.col("conv_id") * 5 + F.col("turn")) % len(ISSUE_QUESTIONS)).cast("int"))
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 400).cast("int"))
     return c.join(F.broadcast(fixed), "k").select("conv_id", "turn", issue_dates(F.col("asked"), day).alias("clause"))  # a fixed list
+
+
+#: Texts with dates, and the texts with them as eight digits.
+DATE_TEXTS = [
+    ("2026-02-25 회의", "20260225 회의"), ("2026/2/5", "20260205"), ("2026.11.3 빌드", "20261103 빌드"), ("20260225", "20260225"), ("26.02.25 빌드", "20260225 빌드"), ("260225", "20260225"),
+    ("113571 이슈", "113571 이슈"), ("2/25타겟", "{year}0225타겟"), ("3/4분기", "3/4분기"), ("2.5 업데이트", "{year}0205 업데이트"), ("12-3", "{year}1203"), ("3-1차", "3-1차"), ("no date 7", "no date 7"),
+]
+_DATES = ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(DATE_TEXTS))
+
+
+@operator(
+    "date_spellings",
+    f"WITH x(k, written, wanted) AS (VALUES {_DATES}) SELECT o_orderkey, replace(wanted, '{{year}}', CAST(year(o_orderdate) AS VARCHAR)) AS text FROM orders JOIN x ON k = (o_orderkey + o_custkey) % {len(DATE_TEXTS)}",
+)
+def date_spellings(spark: SparkSession, sf: str) -> DataFrame:
+    """DT-04: seven spellings of dates in a text; numbers with a unit after them are no dates."""
+    fixed = spark.createDataFrame([(k, a) for k, (a, _) in enumerate(DATE_TEXTS)], "k int, written string")
+    o = read(spark, sf, "orders").withColumn("k", ((F.col("o_orderkey") + F.col("o_custkey")) % len(DATE_TEXTS)).cast("int"))
+    return o.join(F.broadcast(fixed), "k").select("o_orderkey", normal_dates(F.col("written"), F.col("o_orderdate")).alias("text"))  # a fixed list
+
+
+#: Questions, and whether they mean a range of time.
+RANGE_QUESTIONS = [
+    ("3월 둘째 주 현황", True), ("이번 주 이슈", True), ("지난 분기", True), ("Q3 결과", True), ("최근 7일", True), ("월별 통계", True), ("2026년 3월", True), ("4월 27일", True), ("업무 목록", False), ("오늘 할 일", False),
+]
+_RANGE_ROWS = ", ".join(f"({k}, {str(b).lower()})" for k, (_, b) in enumerate(RANGE_QUESTIONS))
+
+
+@operator("time_range_flag", f"WITH x(k, flag) AS (VALUES {_RANGE_ROWS}) SELECT role, flag, count(*) AS asked FROM conversations JOIN x ON k = (conv_id + turn) % {len(RANGE_QUESTIONS)} GROUP BY ALL")
+def time_range_flag(spark: SparkSession, sf: str) -> DataFrame:
+    """STR-25: questions that mean a range of time, by role."""
+    fixed = spark.createDataFrame([(k, q) for k, (q, _) in enumerate(RANGE_QUESTIONS)], "k int, asked string")
+    c = read(spark, sf, "conversations").withColumn("k", ((F.col("conv_id") + F.col("turn")) % len(RANGE_QUESTIONS)).cast("int")).join(F.broadcast(fixed), "k")  # a fixed list
+    return c.groupBy("role", means_range(F.col("asked")).alias("flag")).agg(F.count("*").alias("asked"))
