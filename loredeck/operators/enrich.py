@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 #: Least text that is enriched, most characters of a summary, most keywords (fixed values).
 LEAST_BODY, MOST_SUMMARY, MOST_KEYWORDS = 20, 300, 10
+#: Letters of each script, and the least and most of them in a keyword (fixed values).
+SCRIPTS = [("A-Za-z", 3, ""), ("가-힣", 2, 6)]
 
 
 def sentences(text: Column, n: int) -> Column:
     """STR-05: the first n sentences, joined by a full stop and a space, though they keep their own end."""
-    parts = F.filter(F.transform(F.split(text, r"(?<=[.?!])\s+"), lambda x: F.trim(x)), lambda x: x != "")
+    marked = F.regexp_replace(text, r"([.?!])\s+", "$1\u0001")  # where a sentence ends
+    parts = F.filter(F.transform(F.split(marked, "\u0001"), lambda x: F.trim(x)), lambda x: x != "")
     return F.substring(F.array_join(F.slice(parts, 1, n), ". "), 1, MOST_SUMMARY)
 
 
@@ -50,6 +53,7 @@ def enriched(nodes: DataFrame) -> DataFrame:
     body = F.trim(F.coalesce("body", F.lit("")))
     long_enough = F.length(body) >= LEAST_BODY
     summary = F.when(F.col("source_type") == "wiki", sentences(body, 3)).when(F.col("source_type") == "gdi", F.substring(F.concat(F.lit("["), category(F.col("path")), F.lit("] "), sentences(body, 2)), 1, MOST_SUMMARY)).otherwise(sentences(body, 2))
-    words = lambda c, n: F.slice(F.array_distinct(F.regexp_extract_all(c, F.lit(r"[A-Za-z]{3,}|[가-힣]{2,6}"), F.lit(0))), 1, n)
+    word = "|".join(f"[{letters}]{{{least},{most}}}" for letters, least, most in SCRIPTS)
+    words = lambda c, n: F.slice(F.array_distinct(F.regexp_extract_all(c, F.lit(word), F.lit(0))), 1, n)
     keywords = first_by_lower(F.concat(path_tokens(F.coalesce("path", F.lit(""))), words(F.coalesce("title", F.lit("")), 3), words(body, MOST_KEYWORDS)))
     return nodes.withColumn("summary", F.when(long_enough, summary)).withColumn("keywords", F.when(long_enough, keywords))
