@@ -89,7 +89,10 @@ def bounded_sample(df: DataFrame, bound: int, text: str | None = None, max_bytes
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that the text in each slice stays within max_bytes (or is one row)."""
+    """Cut Arrow batches so that the text in each slice stays within max_bytes (or is one row).
+
+    At the end memory that Arrow holds in reserve is given back, as workers live on for other tasks.
+    """
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         start, total = 0, 0
@@ -100,6 +103,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: i
             total += n
         if start < batch.num_rows:
             yield batch.slice(start)
+    pa.default_memory_pool().release_unused()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

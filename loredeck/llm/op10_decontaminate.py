@@ -38,6 +38,8 @@ BUCKETS, EXTRA, POWERS = 1 << 15, 16, 2
 HALF = 16
 #: Words of a passage that are retrieved as one: a copy of so many always fills whole windows.
 PIECE = 4 * HALF
+#: Text that is compared at once: arrays have a cell for each of its words and each piece.
+COMPARED_BYTES = 160 << 10
 #: Any byte of a word, as `words.PUNCTUATED` has it.
 WORD = r"[0-9A-Za-z]|[^\x00-\x7F]"
 #: Pieces of passages in a block; least cosine of a candidate; shares of the passage that make a leak, alone and with its answer.
@@ -301,7 +303,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches):
+            for b in slices(batches, max_bytes=COMPARED_BYTES):
                 found = shared.value.matches(b.column("text"))
                 if found:
                     row, item, *figures = zip(*found)
@@ -318,7 +320,7 @@ def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches):
+            for b in slices(batches, max_bytes=COMPARED_BYTES):
                 keep = np.ones(b.num_rows, bool)
                 keep[[m[0] for m in shared.value.matches(b.column("text"))]] = False
                 yield b.filter(pa.array(keep))
