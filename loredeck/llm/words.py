@@ -50,12 +50,16 @@ def bounds(raw: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tup
     return starts, np.flatnonzero(solid & ~after) + 1, np.searchsorted(starts, offsets)
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the base up to n or more, and their inverses."""
+    return _powers(max(1 << 20, 1 << int(n).bit_length()))
+
+
 def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of raw[start:end], equal for equal lower-cased bytes."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    size = max(1 << 20, 1 << int(len(raw)).bit_length())
-    up, down = _powers(size)
+    up, down = powers(len(raw))
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_CODES[raw] * up[: len(raw)], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
