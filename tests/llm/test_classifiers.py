@@ -139,3 +139,29 @@ def test_toxicity_of_odd_rows(spark, odd):
     assert op9_toxicity.keep_civil(odd, none).columns == odd.columns
     assert op9_toxicity.score(odd.limit(0), none).count() == 0
     assert len(op9_toxicity.terms(pa.array([None, "", "a-b"], pa.string()))[0]) == 2
+
+
+def test_follow_the_leader_equals_a_plain_loop():
+    op, rng = op6_language, np.random.default_rng(12)
+    state, z, n = op.FollowTheLeader(3), {}, {}
+
+    def weight(i, c):
+        at = z.get((i, c), 0.0)
+        return 0.0 if abs(at) <= op.L1 else -(at - np.sign(at) * op.L1) / ((op.BETA + n.get((i, c), 0.0) ** 0.5) / op.ALPHA + op.L2)
+
+    for _ in range(60):
+        features, x, y = rng.choice(40, 6, replace=False), rng.uniform(-1, 2, 6), int(rng.integers(0, 3))
+        state.learn(features, x, y)
+        w = {(i, c): weight(i, c) for i in features.tolist() for c in range(3)}
+        raw = [sum(w[i, c] * v for i, v in zip(features.tolist(), x)) for c in range(3)]
+        p = [np.exp(r - max(raw)) for r in raw]
+        for c in range(3):
+            for i, v in zip(features.tolist(), x):
+                g = v * (p[c] / sum(p) - (c == y))
+                was = n.get((i, c), 0.0)
+                z[i, c] = z.get((i, c), 0.0) + g - ((was + g * g) ** 0.5 - was**0.5) / op.ALPHA * w[i, c]
+                n[i, c] = was + g * g
+    assert any(abs(v) > op.L1 for v in z.values())
+    for (i, c), v in z.items():
+        assert np.isclose(state.z[i, c], v) and np.isclose(state.n[i, c], n[i, c])
+        assert np.isclose(state.weights(slice(None))[i, c], weight(i, c))

@@ -257,3 +257,31 @@ def test_long_passages_and_other_scripts_are_found(spark):
     got = op10_decontaminate.leaks(spark.createDataFrame(docs, schema("doc_id")), spark.createDataFrame(items, schema("item_id"))).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i, _ in items[:8]}
     assert len(got) == 8 and all(r.score > 0.999 for r in got)
+
+
+def test_candidates_equal_all_windows_by_all_passages():
+    """With a basis that keeps the passages whole, the latent cosine of a window is the TF-IDF cosine itself."""
+    op, rng = op10_decontaminate, random.Random(11)
+    words = [f"q{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(10, 60))) for _ in range(40)]
+    docs = []
+    for k in range(30):
+        t = [rng.choice(words) for _ in range(rng.randint(0, 200))]
+        at = rng.randint(0, len(t))
+        docs.append(" ".join(t[:at] + (texts[k].split() if k % 2 else []) + t[at:]))
+    idf = np.random.default_rng(1).uniform(0.5, 5, op.BUCKETS)
+    row, col, value = op.sparse_rows(pa.array(texts), idf)
+    a = np.zeros((len(texts), op.BUCKETS))
+    a[row, col] = value
+    _, s, right = np.linalg.svd(a, full_matrices=False)
+    block = op.Passages.of(list(range(len(texts))), texts, idf, right[s > 1e-9].T)
+    hashed, first = op.word_hashes(pa.array(docs))
+    got = {(t, begin, i) for t, begin, _, i, _ in zip(*(x.tolist() for x in block.candidates(hashed, first)))}
+    sure, near = set(), set()
+    for t in range(len(docs)):
+        own = op.bucket(hashed[first[t] : first[t + 1]])
+        for begin in range(0, len(own), op.HALF):
+            w = np.bincount(own[begin : begin + 2 * op.HALF], minlength=op.BUCKETS) * idf
+            for i, c in enumerate((a @ w / np.linalg.norm(w)).tolist()):
+                (sure if c >= op.LEAST_COSINE + 1e-4 else near if c >= op.LEAST_COSINE - 1e-4 else set()).add((t, begin, i))
+    assert len(sure) > 60 and sure <= got <= sure | near
