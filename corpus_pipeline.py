@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame: the documents ke
 the last stage the documents' byte-level BPE ids, digested as in query op2.
 
 Cases, for every stage: null and empty texts have no language and go in the first stage; rows with a null doc_id
-are judged by their text and pass the join; rows that repeat a doc_id are one document to the join, which keeps one
-of them; an empty table stays empty; further columns pass through all but the last stage.
+are judged by their text and pass the join; rows that repeat a doc_id and its text are reduced to one by the join, rows
+that share a doc_id only are documents of their own; an empty table stays empty; further columns pass through all but the last stage.
 """
 
 from __future__ import annotations
