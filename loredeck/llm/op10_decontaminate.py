@@ -109,7 +109,7 @@ def latent_basis(items: DataFrame, idf: np.ndarray, rank: int, extra: int = EXTR
     """
     used = np.arange(BUCKETS) if used is None else used
     context = items.sparkSession.sparkContext
-    width = rank + extra
+    width = min(rank + extra, len(used))
     basis = np.random.Generator(np.random.PCG64(9)).normal(size=(len(used), width))
 
     def product(right: np.ndarray) -> np.ndarray:
