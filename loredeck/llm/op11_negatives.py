@@ -35,7 +35,7 @@ from loredeck.llm.common import bounded_sample, delete, materialise, table
 POSITIVES, NEGATIVES, ANCHOR_EVERY, SCALE = 5, 3, 50, 256
 #: Rows and bytes of the sample at most, codes of a half at most, rows of a cell aimed at, of a part, anchors of a block.
 FIT_ROWS, FIT_BYTES, CODES, AIM, PART_ROWS, BLOCK_ANCHORS = 20_000, 16 << 20, 256, 256, 4096, 512
-LOWEST = -(1 << 62)
+LOWEST, TOP = -(1 << 62), (1 << 62) - 1
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -166,13 +166,21 @@ def indexed(own: DataFrame) -> tuple[Index, DataFrame]:
     return index, cells.drop("r", "s")
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best scores, ties to the smaller id."""
-    if len(scores) > 8 * k:
-        some = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
-    else:
-        some = np.arange(len(scores))
-    return some[np.lexsort((ids[some], -scores[some]))][:k]
+def best(rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best scores of each row number, ties to the smaller id."""
+    order = np.lexsort((ids, -scores, rows))
+    own = rows[order]
+    place = np.arange(len(own)) - np.searchsorted(own, own)
+    return order[place < k]
+
+
+def padded(lists: pa.Array, fill: int) -> np.ndarray:
+    """A list column as a matrix, short rows filled up."""
+    size = np.diff(lists.offsets.to_numpy())
+    out = np.full((len(lists), max(1, int(size.max(initial=0)))), fill, np.int64)
+    row = np.repeat(np.arange(len(lists)), size)
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = lists.flatten().to_numpy()
+    return out
 
 
 def measured(probes: DataFrame, cells: DataFrame, index: Index, same: bool) -> DataFrame:
@@ -219,24 +227,21 @@ def measured(probes: DataFrame, cells: DataFrame, index: Index, same: bool) -> D
                 if whole is None:
                     whole = tuple(np.concatenate(p) for p in zip(*held))
                 scores = products(x, whole[2])
-                lows, highs = own.column("low").to_pylist(), own.column("high").to_pylist()
-                for n in range(len(ids)):
-                    fits = (whole[1] == labels[n]) == same
-                    fits &= whole[0] != ids[n]
-                    for low, high in zip(lows[n], highs[n]):
-                        some = np.flatnonzero(fits & (scores[n] >= low) & (scores[n] <= high))
-                        some = some[best(scores[n][some], whole[0][some], k)]
-                        out += [(ids[n], low, high, whole[0][m], scores[n][m]) for m in some]
+                fits = ((whole[1] == labels[:, None]) == same) & (whole[0] != ids[:, None])
+                for low, high in zip(padded(own.column("low"), TOP).T, padded(own.column("high"), LOWEST).T):
+                    n, m = np.nonzero(fits & (scores >= low[:, None]) & (scores <= high[:, None]))
+                    some = best(n, scores[n, m], whole[0][m], k)
+                    n, m = n[some], m[some]
+                    out.append((ids[n], low[n], high[n], whole[0][m], scores[n, m]))
             if out:
                 names = ["anchor_id", "low", "high", "vec_id", "score"]
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*out)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=names)
 
     dealt = rows.unionByName(asked).repartition("cell", "part", "block").sortWithinPartitions("cell", "part", "block", "kind")
     return dealt.mapInArrow(run, "anchor_id long, low long, high long, vec_id long, score long")
 
 
 PROBES = "cell int, anchor_id long, label long, v array<long>, low array<long>, high array<long>"
-TOP = (1 << 62) - 1
 
 
 def probes_of(spark: SparkSession, anchors: DataFrame, index: Index, same: bool) -> DataFrame:
@@ -262,9 +267,9 @@ def probes_of(spark: SparkSession, anchors: DataFrame, index: Index, same: bool)
                 lows.append(certain)
                 highs.append(high)
                 a, z = np.array(certain), np.array(high)
-                for cell, up, down in own.visit(x[n], float(a.min())):
-                    if ((up >= a) & (down <= z)).any():
-                        out.append((cell, n))
+                cells, up, down = np.array(list(own.visit(x[n], float(a.min()))) or np.zeros((0, 3))).T
+                reached = cells[((up[:, None] >= a) & (down[:, None] <= z)).any(1)]
+                out += [(int(cell), n) for cell in reached.tolist()]
             if out:
                 at = pa.array([n for _, n in out], pa.int64())
                 kind = pa.list_(pa.int64())
@@ -282,7 +287,8 @@ def mined(own: DataFrame, is_anchor: Column) -> DataFrame:
     if own.isEmpty():
         return spark.createDataFrame([], schema)
     index, cells = indexed(own)
-    anchors = cells.filter(is_anchor).select("vec_id", "label", "v").repartition("vec_id")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few rows, each with much to do
+    anchors = cells.filter(is_anchor).select("vec_id", "label", "v").repartition(tasks, "vec_id")
     asked = probes_of(spark, anchors, index, True)
     order = Window.partitionBy("anchor_id").orderBy(F.desc("score"), "vec_id")
     positives = measured(asked, cells, index, True).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= POSITIVES)
