@@ -100,27 +100,6 @@ def test_every_id_is_scored_once_by_what_stands_before_it(model):
         assert np.isclose(total * np.log(10), want)
 
 
-def test_chunks_are_the_same_wherever_a_passage_stands(model):
-    rng = np.random.default_rng(9)
-    passage = rng.integers(1, 4000, 3000)
-    texts = [np.concatenate([rng.integers(1, 4000, n), passage, [lm._END]]) for n in (0, 7, 400)] + [np.array([lm._END])]
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    ids = np.concatenate(texts)
-    logs = model.logs(ids, offsets)
-    of, chunk, gain = lm.chunks(ids, offsets, logs)
-    held = [set(chunk[of == k].tolist()) for k in range(4)]
-    assert not held[3] and all(len(held[0] & h) > 0.7 * len(held[0]) > 8 for h in held[1:3])
-    assert (gain > 0).all() and (logs < 0).all()
-
-
-def test_a_text_that_occurs_twice_is_remembered(spark):
-    text = " ".join(f"w{i}" for i in range(200))
-    rows = [(d, text if d in (11, 20) else text.replace("w", f"v{d}x")) for d in range(30) if zlib.crc32(str(d).encode()) % 5 != 1]
-    got = {r.doc_id: r.score / r.n_tokens for r in lm.scores(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()}
-    twice = [got.pop(d) for d in (11, 20) if d in got]
-    assert len(twice) == 2 and min(twice) > max(got.values()) + 0.5
-
-
 def test_probabilities_of_all_ids_add_up_to_one(model):
     z = np.random.default_rng(3).normal(size=(1, lm.WIDTH))
     log, _ = model.heads(np.repeat(z, lm.CLASSES, 0), np.arange(lm.CLASSES), np.full(lm.CLASSES, 7))
