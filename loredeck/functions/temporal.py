@@ -1,7 +1,8 @@
 """Time expressions in a question as ranges of days around a given day.
 
-Spark expressions throughout. Periods are described by the words that name them; a text is searched for one period
-after another, in order of precedence, and what one period has named is out of reach of those that follow.
+A text is cut into tokens once: numbers, units, words that point to a time, marks. Each token has a kind, one letter,
+and the kinds of a text are a string of as many letters. A period is a short sequence of kinds, so every question
+about times is a question to that string; a period's days follow from the tokens it covers. Spark expressions throughout.
 """
 
 from __future__ import annotations
@@ -15,12 +16,24 @@ from pyspark.sql import functions as F
 # The words that name numbers, places in a row, units (in days) and times.
 NUMBERS = {"일": 1, "이": 2, "삼": 3, "사": 4, "오": 5, "육": 6, "칠": 7, "팔": 8, "구": 9, "십": 10}
 ORDINALS = {"첫": 1, "둘": 2, "셋": 3, "넷": 4, "다섯": 5}
-LAST, RECENT, QUARTER, THIS = "마지막", "최근", "분기", "이번"
-BEFORE = ("지난", "저번", "전")
+RECENT = "최근"
 DAYS = {"일": 1, "주": 7, "주일": 7, "달": 30, "한달": 30, "개월": 30}
-TODAY, YESTERDAY = "오늘", "어제"
 
-Dates = Callable[[Column, Column], tuple[Column, Column]]
+#: Kinds of words, a letter each. "일" is a unit and a number; "주일" is two tokens.
+WORDS = {
+    "R": [RECENT], "N": ["이번"], "P": ["지난"], "S": ["저번"], "B": ["전"], "X": ["다음"], "L": ["마지막"], "t": ["오늘"], "v": ["어제"],
+    "o": ["그제", "내일", "모레"], "d": ["일"], "w": ["주"], "m": ["달"], "h": ["한달"], "g": ["개월"], "f": ["개"], "y": ["년"], "u": ["연도"],
+    "q": ["분기"], "M": ["월"], "H": ["시간"], "j": ["째"], "O": list(ORDINALS), "k": [n for n in NUMBERS if n != "일"], "z": ["이내", "이후"],
+    "e": ["별"], "c": ["차"], "Q": ["Q"], "p": ["q"], "-": ["-"],
+}
+KINDS = {word: kind for kind, words in WORDS.items() for word in words}
+#: Numbers: a year, what can be a quarter, the fifth, other months, others; all of them; what can be a month; a blank, Hangul, anything else.
+YEAR, ANY_NUMBER, MONTH, BLANK = "Y", "[Y1569]", "[156]", " ?"
+HANGUL = "[RNPSBXLtvodwmhgfyuqMHjOkzec가]"
+TOKEN = "[0-9]+|" + "|".join(sorted(KINDS, key=len, reverse=True)) + r"|\s+|(?s)."
+
+Tokens = Column
+Dates = Callable[[Tokens, Column], tuple[Column, Column]]
 
 
 def _any(words) -> str:
@@ -28,11 +41,40 @@ def _any(words) -> str:
     return "(?:" + "|".join(sorted(words, key=len, reverse=True)) + ")"
 
 
-def _number(label: Column, pattern: str, words: dict[str, int] | None = None) -> Column:
-    """The number that a pattern's group holds, in digits or as a word; null if there is none."""
-    found = F.regexp_extract(label, pattern, 1)
-    named = F.element_at(F.create_map(*(F.lit(x) for pair in words.items() for x in pair)), found) if words else F.lit(None)
-    return F.coalesce(named, F.when(found.rlike("^[0-9]+$"), found.cast("int")))
+def _looked_up(values: dict, key: Column) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), key)
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _kind(token: Column) -> Column:
+    number = F.when(F.length(token) <= 9, token.cast("int"))
+    of_number = (
+        F.when(token.rlike("^20[0-9]{2}$"), YEAR).when(number.between(1, 4), "1").when(number == 5, "5").when(number.between(6, 12), "6").otherwise("9")
+    )
+    other = F.when(token.rlike(r"^\s"), " ").when(token.rlike("^[가-힣]"), "가").otherwise(".")
+    return F.when(token.rlike("^[0-9]"), of_number).otherwise(F.coalesce(_looked_up(KINDS, token), other))
+
+
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+
+
+def _kinds(tokens: Column) -> Column:
+    return F.array_join(F.transform(tokens, _kind), "")
+
+
+def says(text: Column, *sequences: str) -> Column:
+    """Whether a text has one of the sequences of kinds."""
+    return _kinds(_tokens(text)).rlike("|".join(sequences))
+
+
+def _of_kind(tokens: Tokens, kinds: str, k: int = 1) -> Column:
+    """The k-th token of some kinds; null if there are fewer."""
+    return F.get(F.filter(tokens, lambda t: _kind(t).rlike(kinds)), F.lit(k - 1))
 
 
 def month_range(year: Column, month: Column) -> tuple[Column, Column]:
@@ -59,89 +101,121 @@ def week_of_month(year: Column, month: Column, nth: Column) -> tuple[Column, Col
     return start, F.date_add(start, 6)
 
 
-def _recent(label: Column, day: Column) -> tuple[Column, Column]:
-    count = F.coalesce(_number(label, rf"^{RECENT}\s*([0-9]+|[{''.join(NUMBERS)}](?!$))", NUMBERS), F.lit(1))
-    unit = F.element_at(F.create_map(*(F.lit(x) for pair in DAYS.items() for x in pair)), F.regexp_extract(label, f"({_any(DAYS)})$", 1))
-    return F.date_sub(day, count * unit - 1), day
+def _quarter(tokens: Tokens, day: Column) -> tuple[Column, Column]:
+    return quarter_range(F.coalesce(_of_kind(tokens, YEAR).cast("int"), F.year(day)), _of_kind(tokens, "1").cast("int"))
+
+
+def _month(tokens: Tokens, day: Column) -> tuple[Column, Column]:
+    return month_range(F.year(day), _of_kind(tokens, MONTH).cast("int"))
+
 
+def _week_of_month(tokens: Tokens, day: Column) -> tuple[Column, Column]:
+    nth = F.coalesce(_looked_up(ORDINALS, _of_kind(tokens, "O")), _of_kind(tokens, MONTH, 2).cast("int"))
+    return week_of_month(F.year(day), _of_kind(tokens, MONTH).cast("int"), nth)
 
-def _this_or_before(label: Column, day: Column) -> tuple[Column, Column]:
-    back = F.when(label.startswith(THIS), 0).otherwise(1)
-    week = week_range(F.date_sub(day, back * 7))
-    first = F.add_months(F.trunc(day, "month"), -back)
-    of_week = label.endswith("주")
+
+def _recent(tokens: Tokens, day: Column) -> tuple[Column, Column]:
+    """The tokens after "recent" are a unit, or a count and a unit."""
+    rest = F.filter(tokens, lambda t: ~_kind(t).isin("R", " "))
+    first, unit = F.get(rest, F.lit(0)), F.when(F.array_contains(rest, "주"), "주").otherwise(F.element_at(rest, -1))
+    named = F.when((_kind(first) == "k") | (_kind(first) == "d") & (F.size(rest) > 1), _looked_up(NUMBERS, first))
+    count = F.coalesce(F.when(first.rlike("^[0-9]"), first.cast("int")), named, F.lit(1))
+    return F.date_sub(day, count * _looked_up(DAYS, unit) - 1), day
+
+
+def _this_or_before(tokens: Tokens, day: Column) -> tuple[Column, Column]:
+    back = F.when(_of_kind(tokens, "N").isNotNull(), 0).otherwise(1)
+    week, first = week_range(F.date_sub(day, back * 7)), F.add_months(F.trunc(day, "month"), -back)
+    of_week = _of_kind(tokens, "w").isNotNull()
     return F.when(of_week, week[0]).otherwise(first), F.when(of_week, week[1]).otherwise(F.last_day(first))
 
 
+def _day(tokens: Tokens, day: Column) -> tuple[Column, Column]:
+    return (F.date_sub(day, F.when(_of_kind(tokens, "v").isNotNull(), 1).otherwise(0)),) * 2
+
+
 @dataclass(frozen=True)
 class Period:
-    """Spellings of a kind of period, what it means on a day, and how sure that is."""
+    """A sequence of kinds, the days it means, and how sure that is (a fixed value)."""
 
-    spellings: tuple[str, ...]
+    sequence: str
     dates: Dates
     confidence: float
 
-    @property
-    def pattern(self) -> str:
-        return "(" + "|".join(self.spellings) + ")"
+    def parts(self, kinds: Column) -> Column:
+        """The kinds cut at the period's places: what is outside and what is inside by turns."""
+        return F.split(F.regexp_replace(kinds, f"({self.sequence})", "<$1>"), "[<>]")
 
-    def on(self, day: Column) -> Callable[[Column], Column]:
-        """What a label means on a day."""
+    def found(self, parts: Column, tokens: Column, day: Column) -> Column:
+        def named(k: Column) -> Column:
+            before = F.length(F.array_join(F.slice(parts, F.lit(1), k), ""))
+            return _let(F.slice(tokens, before + 1, F.length(F.get(parts, k))), meant)
 
-        def named(label: Column) -> Column:
-            start, end = self.dates(label, day)
+        def meant(own: Column) -> Column:
+            start, end = self.dates(own, day)
+            label = F.array_join(own, "")
             return F.struct(start.alias("start"), end.alias("end"), label.alias("label"), F.lit(self.confidence).alias("confidence"))
 
-        return named
+        return F.transform(F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: k % 2 == 1), named)
 
 
-_YEAR, _MONTH = r"20[0-9]{2}", r"(?<![0-9])(?:1[0-2]|[1-9])월"
-_QUARTER_OF = r"(?:^|[^0-9])([1-4])(?![0-9])"
+def _rest(parts: Column) -> Column:
+    """The kinds, those inside made unknown."""
+    return F.array_join(F.transform(parts, lambda p, k: F.when(k % 2 == 1, F.repeat(F.lit("."), F.length(p))).otherwise(p)), "")
+
+
+UNIT = "(?:d|wd?|m|h|g)"
+COUNTED_RECENT, AROUND = f"R{BLANK}(?:{ANY_NUMBER}|[kd])?{BLANK}{UNIT}", f"[NPSB]{BLANK}[wmM]"
+#: In order of precedence: what one has named is out of reach of those that follow.
 PERIODS = (
-    Period(
-        (rf"{_YEAR}년?\s*[1-4]\s*{QUARTER}", rf"Q[1-4]\s*{_YEAR}", rf"{_YEAR}년\s*Q[1-4]"),
-        lambda t, d: quarter_range(_number(t, f"({_YEAR})"), _number(F.regexp_replace(t, _YEAR, " "), _QUARTER_OF)),
-        1.0,
-    ),
-    Period((rf"(?<![0-9])[1-4]\s*{QUARTER}", r"[Qq][1-4](?![0-9])"), lambda t, d: quarter_range(F.year(d), _number(t, _QUARTER_OF)), 0.9),
-    Period(
-        (rf"{_MONTH}\s*(?:{_any([*ORDINALS, LAST])}|[1-5])째\s*주",),
-        lambda t, d: week_of_month(F.year(d), _number(t, "^([0-9]+)월"), _number(t, rf"월\s*(.+?)째", ORDINALS)),
-        0.85,
-    ),
-    Period((rf"{_MONTH}(?!\s*[0-9])",), lambda t, d: month_range(F.year(d), _number(t, "^([0-9]+)월")), 0.8),
-    Period((rf"{RECENT}\s*(?:[0-9]+|[{''.join(NUMBERS)}])?\s*{_any(DAYS)}",), _recent, 0.8),
-    Period((rf"{_any([THIS, *BEFORE])}\s*(?:주|달|월)",), _this_or_before, 0.9),
-    Period((TODAY, YESTERDAY), lambda t, d: (F.date_sub(d, F.when(t == YESTERDAY, 1).otherwise(0)),) * 2, 1.0),
+    Period(f"{YEAR}y?{BLANK}1{BLANK}q|Q1{BLANK}{YEAR}|{YEAR}y{BLANK}Q1", _quarter, 1.0),
+    Period(f"1{BLANK}q|[Qp]1", _quarter, 0.9),
+    Period(f"{MONTH}M{BLANK}[OL15]j{BLANK}w", _week_of_month, 0.85),
+    Period(f"{MONTH}M(?!{BLANK}{ANY_NUMBER})", _month, 0.8),
+    Period(COUNTED_RECENT, _recent, 0.8),
+    Period(AROUND, _this_or_before, 0.9),
+    Period("[tv]", _day, 1.0),
 )
 
 
 def ranges(text: Column, day: Column) -> Column:
     """DT-01: start, end, label and confidence of each time expression, by precedence and place."""
-    rest, found = F.coalesce(text, F.lit("")), []
-    for p in PERIODS:
-        found.append(F.transform(F.regexp_extract_all(rest, F.lit(p.pattern), F.lit(1)), p.on(day)))
-        rest = F.regexp_replace(rest, p.pattern, "¦")
-    return F.concat(*found)
+
+    def search(tokens: Column) -> Column:
+        def after(k: int, kinds: Column) -> Column:
+            def with_parts(parts: Column) -> Column:
+                own = PERIODS[k].found(parts, tokens, day)
+                return F.concat(own, after(k + 1, _rest(parts))) if k + 1 < len(PERIODS) else own
+
+            return _let(PERIODS[k].parts(kinds), with_parts)
+
+        return after(0, _kinds(tokens))
+
+    return _let(_tokens(text), search)
 
 
 def only_recent(text: Column) -> Column:
     """DT-02: whether "recent" stands alone, with no count or unit, and no this or last period."""
-    alone = text.rlike(rf"(?<![가-힣]){RECENT}(?!\s*[0-9])(?!\s*(?:일|주|달|월|개))")
-    return alone & ~text.rlike(PERIODS[4].pattern) & ~text.rlike(PERIODS[5].pattern)
+    alone = says(text, f"(?<!{HANGUL})R(?!{BLANK}(?:{ANY_NUMBER}|[dwmhgfM]))") & ~says(text, COUNTED_RECENT, AROUND)
+    return F.when(text.isNotNull(), alone)
 
 
 def without_times(segments: Column) -> tuple[Column, Column]:
-    """FLT-14: the segments of a path that are no time expressions, and those that are: a day, a period around now, a count of units, a month or a date."""
-    unit, number = _any(["일", "주", "달", "개월", "년"]), "[0-9]+"
-    whole = [
-        _any([TODAY, YESTERDAY, "그제", "내일", "모레"]), rf"{_any([THIS, '지난', '다음'])}\s*{_any(['주', '달', QUARTER, '연도', '년'])}", rf"{RECENT}\s*{number}\s*(?:{unit}|시간)",
-        rf"{number}\s*{unit}\s*{_any(['전', '이내', '이후'])}?", r"[0-9]{1,2}\s*월(?:\s*[0-9]{1,2}\s*일)?", r"[0-9]{4}\s*년(?:\s*[0-9]{1,2}\s*월)?", r"[0-9]{4}-[0-9]{2}-[0-9]{2}",
-    ]
-    is_time = lambda s: F.trim(s).rlike(f"^(?:{'|'.join(whole)})$")
+    """FLT-14: the segments of a path that are no time expressions, and those that are."""
+    unit = "[dwmgy]"
+    day, around, recent = "[tvo]", f"[NPX]{BLANK}[wmquy]", f"R{BLANK}{ANY_NUMBER}{BLANK}(?:{unit}|H)"
+    count, date = f"{ANY_NUMBER}{BLANK}{unit}{BLANK}[Bz]?", f"(?:{YEAR}{BLANK}y{BLANK})?(?:{MONTH}{BLANK}M(?:{BLANK}[1569]{BLANK}d)?)?|{YEAR}-{MONTH}-[1569]"
+    whole = f"^(?:{day}|{around}|{recent}|{count}|(?=.){date})$"
+    is_time = lambda s: says(F.trim(s), whole)
     return F.filter(segments, lambda s: ~is_time(s)), F.filter(segments, is_time)
 
 
+def means_range(question: Column) -> Column:
+    """STR-25: whether a question means a range of time: a month (so also a week of it), a quarter, a period around now, counted units before now, or a rhythm."""
+    return says(question, "[1569]M", "Q1|1q", f"[NPS]{BLANK}[wmMq]", f"[RP]{BLANK}{ANY_NUMBER}{BLANK}[dwg]", "(?:M|wc?)e")
+
+
+_YEAR = r"20[0-9]{2}"
 # Words by which a question asks for the field, and periods with the issue tracker's names for them.
 UPDATED = ("수정", "업데이트", "변경", "갱신")
 NAMED_STARTS = {
@@ -194,13 +268,3 @@ def normal_dates(text: Column, day: Column) -> Column:
     for pattern, put in (x for gap in ("/", r"\.", "-") for x in forms("", gap, f"(?!{_any(UNIT_WORDS)})")):
         text = F.regexp_replace(text, F.lit(pattern), F.concat(F.year(day).cast("string"), F.lit(put)))
     return text
-
-
-def means_range(question: Column) -> Column:
-    """STR-25: whether a question means a range of time: a week of a month, a period around now, a quarter, recent units, a rhythm, or a month."""
-    month = "[0-9]+월"
-    kinds = [
-        rf"{month}\s*(?:{_any([f'{w}째' for w in ORDINALS])}|{LAST})\s*주", rf"{_any([THIS, '지난', '저번'])}\s*{_any(['주', '달', '월', QUARTER])}", rf"Q[1-4]|[1-4]{QUARTER}",
-        rf"{_any([RECENT, '지난'])}\s*[0-9]+\s*{_any(['일', '주', '개월'])}", _any(["월별", "주별", "주차별"]), rf"[0-9]+년\s*{month}", month,
-    ]
-    return F.coalesce(question, F.lit("")).rlike("|".join(kinds))

@@ -34,20 +34,26 @@ def builds(spark: SparkSession, sf: str) -> DataFrame:
     return o.join(F.broadcast(fixed), "k").select(F.col("o_orderkey").alias("folder_id"), name.alias("folder"))  # a fixed list
 
 
-# How build folders are named, in order of precedence.
+# Families of builds by their words, shapes of names (a 0 stands for any number) and kinds of dated folders.
+FAMILIES = {"정규": "regular", "hotfix": "hotfix", "hotifx": "hotfix", "핫픽스": "hotfix"}
+SHAPES = {"0차": "simple", "0-0차": "range", "0차 빌드": "build_suffix", "0차빌드": "build_suffix", "완료": "status", "진행": "status", "진행중": "status"}
+SHAPES |= {word + tail: "hotfix" for word in ("hotfix", "hotifx") for tail in (" 0차", "#0", "#0~0", "#0-0")}
 _DATED = r"^[0-9]{4}\.[0-9]{2}\.[0-9]{2}\s+"
-FOLDER_KINDS = [
-    ("regular", r"^정규\s+.+차$"), ("hotfix", r"(?i)^hot(?:fix|ifx)\s+[0-9]+차$"), ("hotfix", r"(?i)^hot(?:fix|ifx)\s*#\s*[0-9]+(?:[~-][0-9]+)?$"), ("range", r"^[0-9]+-[0-9]+차$"),
-    ("hotfix_delivery", rf"(?i){_DATED}.*(?:핫픽스|hotfix)"), ("regular_delivery", rf"{_DATED}.*정규"), ("delivery", rf"{_DATED}\S"), ("build_suffix", r"^[0-9]+차\s*빌드$"),
-    ("simple", r"^[0-9]+차$"), ("client_version", r"^[01]\.[0-9]+\.[0-9]+\s+\S"), ("qa", "^QA"), ("status", "^(?:완료|진행중?)$"),
-]
 
 
 def folder_kind(name: Column) -> Column:
-    kind = F.when(F.lit(False), "")
-    for label, pattern in FOLDER_KINDS:
-        kind = kind.when(name.rlike(pattern), label)
-    return kind.otherwise("unknown")
+    """FLT-17: a folder's kind, from its date, family word and shape."""
+    dated, rest = name.rlike(_DATED + r"\S"), F.regexp_replace(name, _DATED, "")
+    word = F.regexp_extract(F.lower(rest), "(" + "|".join(FAMILIES) + ")", 1)
+    family = F.when(F.lower(rest).contains("핫픽스") | F.lower(rest).contains("hotfix"), "hotfix").when(rest.contains("정규"), "regular")
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(name), "[0-9]+", "0"), r"\s+", " "), " ?# ?", "#")
+    named = F.element_at(F.create_map(*(F.lit(x) for pair in SHAPES.items() for x in pair)), shape)
+    regular = (word == "정규") & shape.rlike("^정규 .+차$")
+    version = shape.rlike(r"^0\.0\.0 .") & name.rlike(r"^[01]\.")
+    of_date = F.when(family.isNull(), "delivery").otherwise(F.concat(family, F.lit("_delivery")))
+    return F.when(dated, of_date).otherwise(
+        F.when(regular, "regular").otherwise(F.coalesce(named, F.when(version, "client_version").when(name.startswith("QA"), "qa").otherwise("unknown")))
+    )
 
 
 def folder_numbers(name: Column) -> Column:

@@ -17,15 +17,36 @@ MARKUP = [
 ]
 
 
+# Marks of issue texts. An entity's character, or nothing for the other kinds.
+_EMPHASIS = r"[*_\-]{1,2}[^*_\-]+[*_\-]{1,2}"
+_PIECE = r"\{[^}]+\}|h[1-6]\.\s*|![^!|]+\|[^!]*!|\[[^\]]+\]|<[^>]+>|&(?:lt|gt|quot|#39|nbsp|amp);"
+_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
+
+
+def _plain(piece: Column) -> Column:
+    """What is left of a piece, by the mark it begins with."""
+    mark = F.substring(piece, 1, 1)
+    entity = F.element_at(F.create_map(*(F.lit(x) for pair in _ENTITIES.items() for x in pair)), piece)
+    inside = F.substring(piece, F.lit(2), F.length(piece) - 2)
+    label = F.regexp_extract(inside, r"^([^|]+)\|.", 1)
+    return (
+        F.when(F.length(piece) == 1, piece).when(mark.isin("{", "<"), " ").when(mark == "[", F.when(label != "", label).otherwise(inside))
+        .when(mark == "&", F.coalesce(entity, piece)).when(piece.rlike(r"^h[1-6]\.|^!"), "").otherwise(piece)
+    )
+
+
 def strip_markup(c: Column) -> Column:
-    """Issue markup to text: macros and tags become blanks, headings, pictures and emphasis marks go, links keep their text."""
-    steps = [
-        (r"\{[^}]+\}", " "), (r"h[1-6]\.\s*", ""), (r"!([^!|]+)(\|[^!]*)?!", ""), (r"\[([^\]|]+)\|[^\]]+\]", "$1"), (r"\[([^\]]+)\]", "$1"),
-        (r"[*_]{1,2}([^*_]+)[*_]{1,2}", "$1"), (r"<[^>]+>", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"),
-    ]
-    for pattern, put in steps:
-        c = F.regexp_replace(c, pattern, put)
-    return F.trim(c)
+    """Issue markup to text: macros and tags become blanks, headings, pictures and emphasis marks go, links keep their text.
+
+    The text is cut into pieces once, each piece is put into words by its kind; emphasis, which may go around other
+    pieces, is cut out of the text before.
+    """
+    cut = lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    bare = lambda run: F.when(run.rlike(f"^{_EMPHASIS}$"), F.regexp_replace(run, r"^[*_\-]{1,2}|[*_\-]{1,2}$", "")).otherwise(run)
+    protected = rf"(?s){_PIECE}|{_EMPHASIS}|."  # marks inside links, tags and macros are no emphasis
+    inner = F.array_join(F.transform(cut(c, protected), bare), "")
+    out = F.array_join(F.transform(cut(inner, rf"(?s){_PIECE}|[^{{h!\[<&]+|."), _plain), "")
+    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
 
 
 def fixed(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
