@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from loredeck.functions.text import has
 from loredeck.operators.intent import Intent, compile_intent, issue_filter, parse_issue_query
-from loredeck.operators.ranking import WEIGHTS, all_of, any_of, best_per, bm25, bm25_sql, ladder, matches, top, weighted
+from loredeck.operators.ranking import WEIGHTS, all_of, any_of, best_per, bm25_sql, ladder, matches, top, weighted
 from loredeck.registry import operator
-from loredeck.sources.tables import CHUNKS_SQL, ISSUES_SQL, NODES_SQL, chunks, issues, nodes, pages, read
+from loredeck.sources.index import StoredIndex, ranked
+from loredeck.sources.tables import CHUNK_PIECES, CHUNKS_SQL, ISSUES_SQL, NODES_SQL, chunks, issues, nodes, pages, read, text_index
 
 KEYWORDS = ["thnd", "ation"]
 _ORDER = "ORDER BY relevance DESC, node_id LIMIT 10"
@@ -20,8 +21,11 @@ _ORDER = "ORDER BY relevance DESC, node_id LIMIT 10"
 @operator("search_bm25_topk", f"WITH {NODES_SQL}, hits AS ({bm25_sql('nodes', KEYWORDS, ['title', 'body'], 'node_id, title, body')}) SELECT node_id, title, left(body, 200) AS snippet, round(relevance, 6) AS relevance FROM hits {_ORDER}")
 def search_bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     """FTS-01/02, FLT-12/30, SRT-01, MTH-02: ranked keyword search with snippets."""
-    hits = bm25(nodes(spark, sf), KEYWORDS, ["title", "body"])
-    return top(hits, 10, F.desc("relevance"), F.col("node_id")).select("node_id", "title", F.substring("body", 1, 200).alias("snippet"), F.round("relevance", 6).alias("relevance"))
+    hits = top(ranked(text_index(spark, sf), KEYWORDS), 10, F.desc("relevance"), F.col("key")).select(F.col("key").alias("node_id"), "relevance").collect()  # ten rows
+    best = spark.createDataFrame(hits, "node_id long, relevance double")
+    texts = nodes(spark, sf).filter(F.col("node_id").isin([h.node_id for h in hits]))  # so that only their pages of the file are read
+    found = top(texts.join(F.broadcast(best), "node_id"), 10, F.desc("relevance"), F.col("node_id"))
+    return found.select("node_id", "title", F.substring("body", 1, 200).alias("snippet"), F.round("relevance", 6).alias("relevance"))
 
 
 @operator("search_like_and", f"WITH {NODES_SQL} SELECT node_id, title FROM nodes WHERE (contains(lower(title), 'th') OR contains(lower(body), 'th')) AND contains(lower(body), 'erest')")
@@ -33,15 +37,30 @@ def search_like_and(spark: SparkSession, sf: str) -> DataFrame:
 @operator("search_match_phrase_and", f"WITH {NODES_SQL} SELECT space_key, CAST(count(*) AS BIGINT) AS n, min(node_id) AS first_node FROM nodes WHERE contains(lower(body), 'of the') AND contains(lower(body), 'and') GROUP BY space_key")
 def search_match_phrase_and(spark: SparkSession, sf: str) -> DataFrame:
     """FLT-12, FTS-06: phrases joined by AND."""
-    return nodes(spark, sf).filter(matches(["of the", "and"], ["body"])).groupBy("space_key").agg(F.count("*").alias("n"), F.min("node_id").alias("first_node"))
+    hits = text_index(spark, sf).hits(["of the", "and"], inside="body").filter("key is not null").select(F.col("key").alias("node_id"))
+    return hits.join(nodes(spark, sf).select("node_id", "space_key"), "node_id").groupBy("space_key").agg(F.count("*").alias("n"), F.min("node_id").alias("first_node"))
+
+
+def routed(index: StoredIndex, keywords: list[str]) -> DataFrame:
+    """FTS-03: key and route of the hits of keywords of any length.
+
+    Long keywords by match, short ones (of at most two characters) on what is found; all keywords by likeness in the body
+    if that leaves none, or if all are short.
+    """
+    long, short = [k for k in keywords if len(k) >= 3], [k for k in keywords if len(k) < 3]
+    found = index.hits(long or keywords, tuple(short) if long else (), inside=None if long else "body").filter("key is not null")
+    if not long:
+        return found.select("key", F.lit("all like").alias("route"))
+    after = F.forall(F.slice("counts", len(long) + 1, max(1, len(short))), lambda c: c > 0) if short else F.lit(True)
+    matched = found.filter(after).select("key", F.lit("A+short" if short else "match").alias("route"))
+    like = index.hits(long, inside="body").filter("key is not null").select("key", F.lit("all like").alias("route"))
+    return ladder([matched, like]).drop("level") if short else matched
 
 
 @operator("search_case_abc", f"WITH {NODES_SQL}, a AS ({bm25_sql('nodes', ['reonea'], ['title', 'body'], 'node_id, body, title')}), both_ AS (SELECT node_id FROM a WHERE contains(lower(title), 'è') OR contains(lower(body), 'è')), b AS (SELECT node_id FROM nodes WHERE contains(lower(body), 'reonea')) SELECT node_id, 'A+short' AS route FROM both_ UNION ALL SELECT node_id, 'all like' FROM b WHERE NOT EXISTS (SELECT 1 FROM both_)")
 def search_case_abc(spark: SparkSession, sf: str) -> DataFrame:
     """FTS-03, FLT-13/15: long keywords by match, short ones after it, all by LIKE if that leaves none."""
-    n = nodes(spark, sf)
-    both = bm25(n, ["reonea"], ["title", "body"]).filter(matches(["è"], ["title", "body"])).select("node_id", F.lit("A+short").alias("route"))
-    return ladder([both, n.filter(has("body", "reonea")).select("node_id", F.lit("all like").alias("route"))]).drop("level")
+    return routed(text_index(spark, sf), ["reonea", "è"]).select(F.col("key").alias("node_id"), "route")
 
 
 @operator("search_short_exists_chunk", f"WITH {CHUNKS_SQL} SELECT doc_id, source FROM documents WHERE lang = 'de' AND doc_id IN (SELECT node_id FROM chunks WHERE contains(lower(chunk), 'öß'))")
@@ -54,7 +73,7 @@ def search_short_exists_chunk(spark: SparkSession, sf: str) -> DataFrame:
 @operator("chunk_best_per_node", f"WITH {CHUNKS_SQL}, hits AS ({bm25_sql('chunks', ['erest'], ['chunk'], 'node_id, seq')}), best AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY relevance DESC, seq) AS rn FROM hits) SELECT node_id, CAST(seq AS BIGINT) AS seq, round(relevance, 6) AS relevance FROM best WHERE rn = 1 {_ORDER}")
 def chunk_best_per_node(spark: SparkSession, sf: str) -> DataFrame:
     """FTS-04, WIN-01/02, JOIN-02: the best chunk of each node, then the best nodes."""
-    hits = bm25(chunks(spark, sf), ["erest"], ["chunk"])
+    hits = ranked(text_index(spark, sf), ["erest"], pieces=CHUNK_PIECES).select(F.col("key").alias("node_id"), F.col("piece").cast("long").alias("seq"), "relevance")
     best = best_per(hits, "node_id", F.desc("relevance"), F.col("seq"))
     return top(best, 10, F.desc("relevance"), F.col("node_id")).select("node_id", "seq", F.round("relevance", 6).alias("relevance"))
 
@@ -66,8 +85,10 @@ _WEIGHTS = ", ".join(f"('{r}', '{o}', {w})" for r, by in WEIGHTS.items() for o,
 @operator("rerank_weight_matrix", f"WITH {CHUNKS_SQL}, {NODES_SQL}, w(folder_role, chunk_origin, weight) AS (VALUES {_WEIGHTS}), hits AS (SELECT h.*, {_ORIGIN} AS chunk_origin FROM ({bm25_sql('chunks', ['ent'], ['chunk'], 'node_id, seq, chunk')}) h), s AS (SELECT hits.node_id, seq, relevance * coalesce(weight, 1.0) AS score FROM hits JOIN nodes USING (node_id) LEFT JOIN w USING (folder_role, chunk_origin)), b AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY score DESC, seq) AS rn FROM s) SELECT node_id, CAST(seq AS BIGINT) AS seq, round(score, 6) AS score FROM b WHERE rn = 1 ORDER BY b.score DESC, node_id LIMIT 20")
 def rerank_weight_matrix(spark: SparkSession, sf: str) -> DataFrame:
     """JOIN-17, SRT-04: relevance times the weight of role and chunk origin; best per node, then the limit."""
-    origin = F.when(F.col("seq") == 0, "preamble").when(F.col("chunk").contains(" | "), "table").when(F.col("chunk").contains("\n"), "section").otherwise("sliding")
-    hits = bm25(chunks(spark, sf), ["ent"], ["chunk"]).withColumn("chunk_origin", origin).join(nodes(spark, sf).select("node_id", "folder_role"), "node_id")
+    bars, lines = F.col("counts")[1], F.col("counts")[2]
+    origin = F.when(F.col("piece") == 0, "preamble").when(bars > 0, "table").when(lines > 0, "section").otherwise("sliding")
+    hits = ranked(text_index(spark, sf), ["ent"], (" | ", "\n"), CHUNK_PIECES)
+    hits = hits.select(F.col("key").alias("node_id"), F.col("piece").cast("long").alias("seq"), "relevance", origin.alias("chunk_origin")).join(nodes(spark, sf).select("node_id", "folder_role"), "node_id")
     best = best_per(weighted(hits), "node_id", F.desc("score"), F.col("seq"))
     return top(best, 20, F.desc("score"), F.col("node_id")).select("node_id", "seq", F.round("score", 6).alias("score"))
 

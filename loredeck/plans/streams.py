@@ -2,45 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loredeck.registry import operator
+from loredeck.sources.shared import shared_folder
 from loredeck.streaming.counters import event_stream, finished
 
 
-def _checkpoint(spark: SparkSession) -> str:
-    """The shared folder; a temporary one only on one machine (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return at or tempfile.mkdtemp(prefix="spark-loredeck-")
-
-
 @operator("counters_stream", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS metric, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL")
 def counters_stream(spark: SparkSession, sf: str) -> DataFrame:
     """STM-06, SNK-06: counters kept by day and metric."""
     s = event_stream(spark, sf).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("event_type").alias("metric")).agg(F.count("*").alias("n"))
-    return finished(s, _checkpoint(spark), "update", ["day", "metric"])
+    return finished(s, shared_folder(spark), "update", ["day", "metric"])
 
 
 @operator("tumbling_stream", "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M') AS at, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def tumbling_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Extension: windows of six hours under a watermark."""
     s = event_stream(spark, sf).withWatermark("ts", "1 day").groupBy(F.window("ts", "6 hours")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    return finished(s, _checkpoint(spark), "update", ["window"]).select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("at"), "n", F.round("total", 4).alias("total"))
+    return finished(s, shared_folder(spark), "update", ["window"]).select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("at"), "n", F.round("total", 4).alias("total"))
 
 
 @operator("dedup_stream", "SELECT DISTINCT user_id, event_type FROM events")
 def dedup_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Extension: each pair once."""
-    return finished(event_stream(spark, sf).select("user_id", "event_type").dropDuplicates(["user_id", "event_type"]), _checkpoint(spark), "append")
+    return finished(event_stream(spark, sf).select("user_id", "event_type").dropDuplicates(["user_id", "event_type"]), shared_folder(spark), "append")
 
 
 @operator("session_stream", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 3 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS began, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY user_id, sid")
 def session_stream(spark: SparkSession, sf: str) -> DataFrame:
     """STM-09: sessions that end after three hours without activity."""
     s = event_stream(spark, sf).withWatermark("ts", "1 day").groupBy(F.session_window("ts", "3 hours"), "user_id").agg(F.count("*").alias("n"))
-    return finished(s, _checkpoint(spark)).select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("began"), "n")
+    return finished(s, shared_folder(spark)).select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("began"), "n")

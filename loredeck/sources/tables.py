@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loredeck.sources.index import Pieces, StoredIndex
+from loredeck.sources.shared import shared_folder
+
 #: Folder role of a document by its language (fixed values).
 ROLES = {"en": "planning", "de": "qa_result", "fr": "live_issue", "es": "game_data"}
 #: Result of a response event, and outcome of a cache event, by event type (fixed values).
@@ -18,6 +23,11 @@ CHUNKS_SQL = f"""chunks AS (SELECT * FROM (SELECT doc_id AS node_id, seq, substr
   SELECT *, unnest(range(0, greatest(CAST(ceil((length(text) - 100) / {CHUNK_STEP}.0) AS BIGINT), 1))) AS seq FROM documents)) WHERE length(chunk) >= {CHUNK_LEAST})"""
 
 
+#: The same cuts, of the index's places.
+CHUNK_PIECES = Pieces("body", CHUNK_SIZE, CHUNK_STEP, CHUNK_LEAST)
+_INDEXES: dict[str, StoredIndex] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,6 +50,14 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("node_id", F.col("seq").cast("long").alias("seq"), "chunk", "lang", "source").filter(F.length("chunk") >= CHUNK_LEAST)
 
 
+def text_index(spark: SparkSession, sf_dir: str) -> StoredIndex:
+    """The index of titles and bodies of nodes; built by the first search of an application, kept in the shared folder."""
+    name = f"{shared_folder(spark)}/loredeck-index/{spark.sparkContext.applicationId}-{hashlib.md5(sf_dir.encode()).hexdigest()}"
+    if name not in _INDEXES:
+        _INDEXES[name] = StoredIndex.build(nodes(spark, sf_dir), "node_id", ["title", "body"], name)
+    return _INDEXES[name]
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages")
 
