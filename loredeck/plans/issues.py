@@ -97,23 +97,6 @@ def issue_projection(spark: SparkSession, sf: str) -> DataFrame:
     return i.select(F.col("i.key").alias("issue_key"), F.split_part(F.col("i.key"), F.lit("-"), F.lit(1)).alias("project_key"), text("summary").alias("summary"), text("status.name").alias("status"), text("assignee.displayName").alias("assignee"), text("updated").alias("updated"))
 
 
-@operator(
-    "issue_upsert",
-    f"""WITH {ISSUES_SQL}, t AS (SELECT issue_key, status, updated FROM issues), s AS (SELECT issue_key, 'X' AS status, updated FROM issues WHERE issue_key % 5 = 0),
-m AS (SELECT coalesce(s.issue_key, t.issue_key) AS issue_key, coalesce(s.status, t.status) AS status, coalesce(s.updated, t.updated) AS updated FROM t FULL JOIN s USING (issue_key))
-SELECT 'nodes' AS target, count(*) AS rows, count(*) FILTER (status = 'X') AS changed FROM m UNION ALL SELECT 'meta', count(*), count(*) FILTER (status = 'X') FROM m
-UNION ALL SELECT 'content', count(*), count(*) FILTER (status = 'X') FROM m UNION ALL SELECT 'issues', count(*), count(*) FILTER (status = 'X') FROM m""",
-)
-def issue_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    """SNK-09/10, REM-13: one batch of issues upserted into the four tables that hold a part each; rows and changed rows of each."""
-    held = issues(spark, sf).select("issue_key", "status", "updated")
-    batch = held.filter("issue_key % 5 = 0").withColumn("status", F.lit("X"))
-    merged = batch.unionByName(held.join(batch, "issue_key", "left_anti"))
-    parts = {"nodes": ["issue_key"], "meta": ["issue_key", "updated"], "content": ["issue_key"], "issues": ["issue_key", "status"]}
-    targets = F.explode(F.array(*(F.lit(t) for t in parts)))
-    return merged.select(targets.alias("target"), (F.col("status") == "X").alias("changed")).groupBy("target").agg(F.count("*").alias("rows"), F.count_if("changed").alias("changed"))
-
-
 # What counts as done, and words that ask for issues in work or done.
 DONE = ("Closed", "Done", "완료", "종료", "해결됨", "닫힘")
 ACTIVE_WORDS, CLOSED_WORDS = ("액티브", "활성", "진행 중", "진행중", "미해결", "열린", "active", "open"), ("완료", "종료", "해결된", "닫힌", "closed", "done")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a bucket aimed at; rows and characters of a block at most; marks that end a column and a text.
-BUCKET_ROWS, BLOCK_ROWS, BLOCK_CHARS = 1024, 2048, 4 << 20
+BUCKET_ROWS, BLOCK_ROWS, BLOCK_CHARS = 512, 2048, 4 << 20
 BREAK, END = "\u0001", "\u0003"
 SCHEMA = "bucket int, block int, gram string, docs binary, places binary, keys array<long>, sizes array<int>"
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -56,6 +56,11 @@ class Pieces:
 # ---- building
 
 
+def _places_type(sizes: np.ndarray) -> np.dtype:
+    """What documents, numbers of places and places of a block are kept in."""
+    return np.dtype("<u2" if sizes.max(initial=0) < 1 << 16 else "<u4")
+
+
 def _gram_rows(bucket: int, block: int, keys: list[int], texts: list[list[str]]) -> pa.RecordBatch:
     """A block's rows in the order of trigrams, the header first."""
     names = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -68,18 +73,24 @@ def _gram_rows(bucket: int, block: int, keys: list[int], texts: list[list[str]])
     order = np.argsort(gram, kind="stable")
     gram, doc, place = gram[order], doc[order], place[order]
     first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, np.int64)
-    step = np.diff(doc, prepend=0)
-    step[first] = doc[first]  # documents as steps from the one before
+    runs = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1]))) if len(gram) else np.zeros(0, np.int64)
     chars = np.stack([(gram[first] >> np.uint64(s)) & np.uint64(0x1FFFFF) for s in (42, 21, 0)], 1).astype("<u4")
-    ends = np.append(first, len(gram)).astype(np.int64) * 4
-    packed = lambda x: pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(x.astype("<i4").tobytes())]).cast(pa.binary())
+    kind = _places_type(size)
+    pairs = np.stack([doc[runs], np.diff(np.append(runs, len(gram)))], 1).astype(kind)  # a document and how many places
+
+    def packed(x: np.ndarray, ends: np.ndarray) -> pa.Array:
+        buffers = [None, pa.py_buffer((ends * kind.itemsize).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(x))]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), buffers).cast(pa.binary())
+
+    docs = packed(pairs, 2 * np.append(np.searchsorted(runs, first), len(runs)))
+    places = packed(place.astype(kind), np.append(first, len(gram)))
     n = len(first)
     header = pa.RecordBatch.from_arrays(
         [pa.array([bucket], pa.int32()), pa.array([block], pa.int32()), pa.array([""]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()),
          pa.array([keys], pa.list_(pa.int64())), pa.array([[len(c) for t in texts for c in t]], pa.list_(pa.int32()))], names=names)
     rows = pa.RecordBatch.from_arrays(
         [pa.array(np.full(n, bucket, np.int32)), pa.array(np.full(n, block, np.int32)), pa.array(np.ascontiguousarray(chars).view("<U3").ravel().tolist(), pa.string()),
-         packed(step), packed(place), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int32()))], names=names)
+         docs, places, pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int32()))], names=names)
     return pa.Table.from_batches([header, rows]).combine_chunks().to_batches()[0]
 
 
@@ -194,8 +205,11 @@ class _Finder:
                     key, held = (bucket, block), {}
                 if gram == "":
                     held[""] = (keys, sizes)
+                    whole = np.array(sizes, np.int64).reshape(len(keys), len(self.columns)) + 1
+                    kind = _places_type(whole.sum(1) - 1)
                 else:
-                    held[gram] = (np.cumsum(np.frombuffer(docs, "<i4").astype(np.int64)) << 32) | np.frombuffer(places, "<i4")
+                    pairs = np.frombuffer(docs, kind).reshape(-1, 2).astype(np.int64)
+                    held[gram] = (np.repeat(pairs[:, 0], pairs[:, 1]) << 32) | np.frombuffer(places, kind)
         if held:
             yield self.block(held)
 

@@ -31,26 +31,3 @@ def write_log(df: DataFrame, path: str) -> None:
 def without(table: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """SNK-15/16: a table, or a child of it, without the keys deleted."""
     return table.join(gone.select(key).distinct(), key, "left_anti")
-
-
-def postings(docs: DataFrame, key: str, *columns: str, width: int = 3) -> DataFrame:
-    """SNK-04/12, FTS-01: an index of the character n-grams of some columns: gram, key and occurrences.
-
-    Text that is null or shorter than a gram has no entries, so an emptied body leaves the index.
-    """
-    text = F.lower(F.concat_ws("\n", *columns))
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - width + 1, F.lit(1)))
-    grams = F.transform(starts, lambda i: F.substring(text, i, F.lit(width)))
-    return docs.filter(F.length(text) >= width).select(key, F.explode(grams).alias("gram")).groupBy("gram", key).agg(F.count("*").alias("occurrences"))
-
-
-def reindexed(index: DataFrame, changed: DataFrame, key: str, *columns: str, width: int = 3) -> DataFrame:
-    """SNK-04: the index with the entries of changed rows replaced."""
-    return without(index, changed, key).unionByName(postings(changed, key, *columns, width=width))
-
-
-def candidates(index: DataFrame, phrase: str, key: str, width: int = 3) -> DataFrame:
-    """FTS-01: keys that hold every gram of a phrase; what the phrase is checked on."""
-    low = phrase.lower()
-    wanted = sorted({low[i : i + width] for i in range(len(low) - width + 1)})
-    return index.filter(F.col("gram").isin(wanted)).groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") == len(wanted)).select(key)
