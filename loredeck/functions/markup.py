@@ -1,4 +1,4 @@
-"""Row functions that need a parser or a scan with state: HTML to Markdown, greedy packing, similarity of words."""
+"""Row functions that need a parser or a scan with state: HTML to Markdown, similarity of words."""
 
 from __future__ import annotations
 
@@ -54,23 +54,6 @@ def to_markdown(html: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", "".join(parser.out))).strip()
 
 
-def packed_chunks(text: str, size: int = 800, overlap: int = 100, least: int = 50) -> list[dict]:
-    """Paragraphs packed up to `size`; a longer one is cut into windows that overlap."""
-    out: list[tuple[str, str]] = []
-    held = ""
-    for part in filter(str.strip, re.split(r"\n+", text)):
-        if held and len(held) + 1 + len(part) > size:
-            out.append((held, "section"))
-            held = ""
-        if len(part) > size:
-            out += [(part[i : i + size], "sliding") for i in range(0, max(1, len(part) - overlap), size - overlap)]
-        else:
-            held = f"{held}\n{part}" if held else part
-    if held:
-        out.append((held, "section"))
-    return [{"seq": i, "chunk": c, "origin": o} for i, (c, o) in enumerate(x for x in out if len(x[0]) >= least)]
-
-
 def ratio(a: str, b: str) -> float:
     """Twice the matching characters over all, by longest matching blocks."""
     return difflib.SequenceMatcher(None, a, b).ratio()

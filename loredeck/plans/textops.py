@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loredeck.functions import markup
+from loredeck.functions.chunker import chunked
 from loredeck.functions.text import STRIP_HTML_SQL, content_hash, guarded_csv, log_field, strip_html
 from loredeck.operators.ranking import top
 from loredeck.registry import operator
@@ -69,16 +70,54 @@ def chunk_stats(spark: SparkSession, sf: str) -> DataFrame:
     return chunks(spark, sf).groupBy("source").agg(F.count("*").alias("chunks"), F.countDistinct("node_id").alias("nodes"), F.round(F.avg(F.length("chunk")), 2).alias("mean_chars"), F.max("seq").alias("last_seq"))
 
 
-@operator("semantic_chunks")
-def semantic_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """WIN-15, REM-04..06, STR-42: lines packed greedily into chunks of at most 800 characters, long ones by sliding windows."""
+_TRIM = "trim({}, concat(' ', chr(9), chr(10), chr(13), chr(12), chr(11)))"
+_HELD = "CASE WHEN s.held <> '' THEN list_append(s.out, s.held) ELSE s.out END"
+SEMANTIC_SQL = f"""WITH p AS (SELECT doc_id, list_filter(list_transform(flatten(list_transform(string_split({_TRIM.format('text')}, concat(chr(10), chr(9))),
+    lambda x: string_split({_TRIM.format('x')}, concat(chr(10), chr(10))))), lambda x: {_TRIM.format('x')}), lambda x: x <> '') AS parts FROM documents),
+f AS (SELECT doc_id, list_reduce(list_transform(parts, lambda x: {{'held': x, 'size': length(x), 'out': []::VARCHAR[]}}), lambda s, x: CASE
+    WHEN x.size > 800 THEN {{'held': '', 'size': 0, 'out': list_append({_HELD}, x.held)}}
+    WHEN s.size + x.size + 2 > 800 AND s.held <> '' THEN {{'held': x.held, 'size': x.size, 'out': {_HELD}}}
+    ELSE {{'held': CASE WHEN s.held <> '' THEN concat(s.held, chr(10), chr(10), x.held) ELSE x.held END, 'size': s.size + x.size + 2, 'out': s.out}} END,
+  {{'held': '', 'size': 0::BIGINT, 'out': []::VARCHAR[]}}) AS s FROM p),
+g AS (SELECT doc_id, unnest({_HELD}) AS part, unnest(range(len({_HELD}))) AS n FROM f),
+w AS (SELECT doc_id, n, CASE WHEN length(part) <= 800 THEN 'preamble' ELSE 'sliding' END AS origin, k,
+  CASE WHEN length(part) <= 800 THEN part ELSE substr(part, CAST(1 + 700 * k AS BIGINT), 800) END AS chunk
+  FROM (SELECT *, unnest(range(CASE WHEN length(part) <= 800 THEN 1 ELSE 1 + CAST(ceil((length(part) - 800) / 700.0) AS BIGINT) END)) AS k FROM g))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n, k) - 1 AS seq, chunk, origin FROM w WHERE length(chunk) >= 50"""
+
 
-    @F.pandas_udf("array<struct<seq:int,chunk:string,origin:string>>")
-    def pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for text in batches:
-            yield text.fillna("").map(markup.packed_chunks)
+@operator("semantic_chunks", SEMANTIC_SQL)
+def semantic_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """WIN-15, REM-04..06, STR-42: chunks of whole documents by sheets, tables, paragraphs and windows, one row function in the JVM.
 
-    return read(spark, sf, "documents").select("doc_id", F.explode(pack("text")).alias("c")).select("doc_id", "c.seq", "c.chunk", "c.origin")
+    The SQL has the rules for text without sheets, tables and markers, as the documents are; `tests/test_chunker.py` has all.
+    """
+    found = read(spark, sf, "documents").select("doc_id", F.posexplode(chunked(F.col("text"))).alias("seq", "c"))
+    return found.select("doc_id", "seq", "c.chunk", "c.origin")
+
+
+_HEAD = "| order | day | priority |\n|---|---|---|"
+
+
+@operator(
+    "sheet_chunks",
+    f"""WITH r AS (SELECT c_custkey, any_value(c_name) AS name, list(concat('| ', o_orderkey, ' | ', strftime(o_orderdate, '%Y-%m-%d'), ' | ', o_orderpriority, ' |') ORDER BY o_orderkey) AS rows
+  FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey),
+f AS (SELECT c_custkey, name, list_reduce(list_transform(rows, lambda x: {{'held': x, 'size': length(x) + 1, 'out': []::VARCHAR[]}}), lambda s, x:
+    CASE WHEN {len(_HEAD) + 1} + s.size + x.size > 800 AND s.size > 0 THEN {{'held': x.held, 'size': x.size, 'out': list_append(s.out, s.held)}}
+    ELSE {{'held': CASE WHEN s.size > 0 THEN concat(s.held, chr(10), x.held) ELSE x.held END, 'size': s.size + x.size, 'out': s.out}} END, {{'held': '', 'size': 0::BIGINT, 'out': []::VARCHAR[]}}) AS s FROM r),
+g AS (SELECT c_custkey, name, unnest(list_append(s.out, s.held)) AS part, unnest(range(len(s.out) + 1)) AS seq FROM f)
+SELECT c_custkey, seq, concat('Sheet:', name) AS section, 'table' AS origin,
+  concat(CASE WHEN seq = 0 THEN concat('## Sheet:', name, chr(10)) ELSE '' END, '| order | day | priority |', chr(10), '|---|---|---|', chr(10), part) AS chunk FROM g""",
+)
+def sheet_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """STR-42, WIN-15, REM-06: each customer's orders as a sheet with one table; its chunks repeat the table's heading."""
+    o, c = read(spark, sf, "orders"), read(spark, sf, "customer").select("c_custkey", "c_name")
+    row = F.concat(F.lit("| "), F.col("o_orderkey").cast("string"), F.lit(" | "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" | "), "o_orderpriority", F.lit(" |"))
+    rows = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("row")))).alias("rows"))
+    sheet = F.concat(F.lit("## Sheet: "), "c_name", F.lit(f"\n{_HEAD}\n"), F.array_join("rows.row", "\n"))
+    found = rows.join(c, "c_custkey").select("c_custkey", F.posexplode(chunked(sheet)).alias("seq", "c"))
+    return found.select("c_custkey", "seq", "c.section", "c.origin", "c.chunk")
 
 
 @operator("entity_extract", r"WITH e AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+')) AS value, 'mail' AS kind FROM documents UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '\d{4}-\d{2}-\d{2}')), 'date' FROM documents UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z]{2,10}-\d{1,6}')), 'issue' FROM documents) SELECT doc_id, kind, value, CAST(count(*) AS BIGINT) AS n FROM e GROUP BY ALL")

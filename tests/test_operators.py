@@ -106,8 +106,6 @@ def test_text_functions(spark):
 
 def test_markup():
     assert markup.to_markdown("<h2>T</h2><nav>no</nav><ul><li>a<li>b</ul><table><tr><td>1</td><td>2</td></tr></table>") == "## T\n\n- a\n- b\n\n| 1 | 2 |"
-    chunks = markup.packed_chunks("x" * 60 + "\n" + "y" * 60 + "\n" + "z" * 2000)
-    assert [(c["seq"], c["origin"], len(c["chunk"])) for c in chunks] == [(0, "section", 121), (1, "sliding", 800), (2, "sliding", 800), (3, "sliding", 600)]
     assert markup.ratio("abcd", "abce") == 0.75
 
 
