@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loredeck.operators.places import placed
 from loredeck.operators.measures import percent
 from loredeck.plans.issues import fixed, values
 from loredeck.registry import operator
@@ -72,11 +73,17 @@ def ghost_index(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "labels").join(held, "doc_id", "left_anti").select(F.col("doc_id").alias("node_id"), "toxic")
 
 
-@operator("keyset_batches", "SELECT doc_id // 64 AS batch, min(doc_id) AS first, max(doc_id) AS last, count(*) AS rows FROM documents WHERE doc_id > 40 AND (lang IS NOT NULL) GROUP BY 1")
+@operator(
+    "keyset_batches",
+    """WITH t AS (SELECT d.doc_id, row_number() OVER (ORDER BY d.doc_id) - 1 AS n FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE d.doc_id > 40 AND (l.quality IS NULL OR l.toxic IS NULL))
+SELECT n // 64 AS batch, min(doc_id) AS first, max(doc_id) AS last, count(*) AS rows FROM t GROUP BY 1""",
+)
 def keyset_batches(spark: SparkSession, sf: str) -> DataFrame:
-    """SRT-05, REM-02: rows after the last one done, in batches of a range of keys; one pass stands for all pages."""
-    d = read(spark, sf, "documents").filter("doc_id > 40 and lang is not null")
-    return d.groupBy(F.floor(F.col("doc_id") / 64).alias("batch")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("rows"))
+    """SRT-05, REM-02, STM-13: documents that lack a label, after the last one done, as the pages of `id > last LIMIT 64` come: all of 64 rows but the last."""
+    labels = read(spark, sf, "labels").filter("quality is not null and toxic is not null")
+    lacking = read(spark, sf, "documents").filter("doc_id > 40").select("doc_id").join(labels, "doc_id", "left_anti")
+    pages_ = placed(lacking, ["doc_id"]).withColumn("batch", F.floor((F.col("place") - 1) / 64))
+    return pages_.groupBy("batch").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("rows"))
 
 
 @operator(

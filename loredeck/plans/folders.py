@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loredeck.operators.places import placed
 from loredeck.operators.ranking import ladder
 from loredeck.registry import operator
 from loredeck.sources.tables import NODES_SQL, nodes, pages, read
@@ -127,16 +128,9 @@ def taxonomy_search(spark: SparkSession, sf: str) -> DataFrame:
 
 @operator("tree_listing", f"WITH {NODES_SQL} SELECT row_number() OVER (PARTITION BY space_key ORDER BY title, node_id) AS place, space_key, node_id, title FROM nodes")
 def tree_listing(spark: SparkSession, sf: str) -> DataFrame:
-    """SRC-04: every node in the order of path and title, numbered within its space.
-
-    Nodes are counted by the title's beginning first, so that only those alike in it are ordered by one task.
-    """
-    n = nodes(spark, sf).select("space_key", "title", "node_id", F.substring("title", 1, 3).alias("part"))
-    parts = n.groupBy("space_key", "part").agg(F.count("*").alias("rows"))
-    before = F.sum("rows").over(Window.partitionBy("space_key").orderBy("part")) - F.col("rows")
-    rank = F.row_number().over(Window.partitionBy("space_key", "part").orderBy("title", "node_id"))
-    placed = n.withColumn("rank", rank).join(parts.select("space_key", "part", before.alias("before")), ["space_key", "part"])
-    return placed.select((F.col("before") + F.col("rank")).alias("place"), "space_key", "node_id", "title")
+    """SRC-04: every node in the order of path and title, numbered within its space."""
+    n = nodes(spark, sf).select("space_key", "title", "node_id")
+    return placed(n, ["title", "node_id"], within="space_key")
 
 
 @operator("title_substring", f"WITH {NODES_SQL} SELECT space_key, min(node_id) AS node_id, count(*) AS hits FROM nodes WHERE contains(title, 'tion') GROUP BY space_key")

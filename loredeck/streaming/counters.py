@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+
+from loredeck.operators.places import placed
+from loredeck.sources.shared import exists
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +47,27 @@ def finished(stream: DataFrame, checkpoint: str, mode: str = "complete", keys: l
     return rows.select(*stream.columns)
 
 
-def flushed(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None]) -> None:
-    """Micro-batches handed to a sink."""
-    query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{checkpoint}/flush-{uuid.uuid4().hex}").trigger(availableNow=True).start()
-    query.awaitTermination()
+FLUSH_ROWS, QUEUE_ROWS = 200, 5_000
+
+
+def flushed(stream: DataFrame, order: list[str], root: str, state: str, most: int = FLUSH_ROWS, room: int = QUEUE_ROWS) -> DataFrame:
+    """STM-07: rows written in batches of at most `most`, in order; of a micro-batch rows beyond `room` are dropped and counted.
+
+    The rows go to `root`/rows, by micro-batch and batch. The ledger has a row for each micro-batch, written after its
+    rows: one that is there already is not written again when a stream begins anew, and one whose rows are there without
+    it is written over. Gives the ledger: number, batches, written, dropped.
+    """
+    spark = stream.sparkSession
+
+    def sink(batch: DataFrame, number: int) -> None:
+        if exists(spark, f"{root}/ledger/number={number}/_SUCCESS"):
+            return
+        rows = placed(batch, order).withColumn("batch", F.floor((F.col("place") - 1) / most).cast("int"))
+        rows.filter(F.col("place") <= room).write.mode("overwrite").parquet(f"{root}/rows/number={number}")
+        written = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).parquet(f"{root}/rows/number={number}")
+        total = batch.agg(F.count("*").alias("total"))
+        done = written.agg(F.count_distinct("batch").alias("batches"), F.count("*").alias("written")).join(total)  # one row each
+        done.select(F.lit(number).cast("long").alias("number"), "batches", "written", (F.col("total") - F.col("written")).alias("dropped")).coalesce(1).write.mode("overwrite").parquet(f"{root}/ledger/number={number}")
+
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("number long, batches long, written long, dropped long").parquet(f"{root}/ledger/*")
