@@ -1,17 +1,19 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark passages become TF-IDF vectors over hashed words, with document frequencies counted over all documents.
-A randomised SVD of these vectors, computed as Spark jobs over the passages of a block, gives the block a latent basis
-that keeps its passages whole, so a window equal to a passage has cosine one. Every document is read in overlapping windows of words; a window's latent vector is compared with every passage's, and
-pairs above a low cosine are candidates. A candidate counts as a leak if the words it shares with the passage in
-the same order, weighed by their rarity (longest common subsequence), make up most of the passage, or about half
-of it and the passage's answer, its last words, stands there too. So copies, cut copies and paraphrases are found,
-while passing similarity of topic isn't enough.
+Benchmark passages become TF-IDF vectors over hashed words, with document frequencies counted over all documents. One
+randomised SVD of all passages, by subspace iteration whose products are Spark jobs over the passages, gives a latent
+space of far fewer dimensions than there are passages (RANK at most, half the passages at most). Every document is read
+in overlapping windows of words; a window is laid into the latent space and compared with every passage there, both
+by their latent length: words that no passage has don't count, words that stand together in passages count for each
+other, and a window equal to a passage has cosine one at any rank. Pairs above a cosine are candidates. A candidate
+counts as a leak if the words it shares with the passage in the same order, weighed by their rarity (longest common
+subsequence), make up most of the passage, or about half of it and the passage's answer, its last words, stands there
+too. So copies, cut copies and paraphrases are found, while passing similarity of topic isn't enough.
 
 Passages longer than PIECE words are retrieved by pieces of at most so many words, and judged whole.
 
-Passages are handled in blocks of at most ITEM_BLOCK pieces (or one passage of more), each with its own basis, so what is broadcast is bounded and no
-passage is given up however long the benchmark is.
+Documents are read once for all passages of a block: BLOCK_PIECES pieces on average (or one passage of more), so what
+is broadcast is bounded and no passage is given up however long the benchmark is.
 
 Cases: null, empty or blank passages, and those of ASCII punctuation only, match nothing; null, empty or blank texts are clean; repeated documents and
 passages are judged one by one; a document or a passage with a null id is compared like any other (a null id is
@@ -38,12 +40,13 @@ BUCKETS, EXTRA, POWERS = 1 << 15, 16, 2
 HALF = 16
 #: Words of a passage that are retrieved as one: a copy of so many always fills whole windows.
 PIECE = 4 * HALF
-#: Text that is compared at once: arrays have a cell for each of its words and each piece.
-COMPARED_BYTES = 160 << 10
+#: Text that is compared at once, and passages its windows are compared with at once.
+COMPARED_BYTES, COMPARED_PIECES = 256 << 10, 2048
 #: Any byte of a word, as `words.PUNCTUATED` has it.
 WORD = r"[0-9A-Za-z]|[^\x00-\x7F]"
-#: Pieces of passages in a block; least cosine of a candidate; shares of the passage that make a leak, alone and with its answer.
-ITEM_BLOCK, LEAST_COSINE, WHOLE, PARTLY = 256, 0.25, 0.75, 0.45
+#: Dimensions of the latent space at most, pieces of passages in a block on average; least cosine of a candidate; shares of the
+#: passage that make a leak, alone and with its answer.
+RANK, BLOCK_PIECES, LEAST_COSINE, WHOLE, PARTLY = 128, 1 << 15, 0.4, 0.75, 0.45
 #: Share of a passage's last words taken as its answer, and how much of the answer must be there.
 ANSWER_PART, ANSWER_FOUND = 0.2, 0.5
 MATCHES = "doc_id long, item_id long, score double, answer double, cosine double"
@@ -159,29 +162,28 @@ def latent_basis(items: DataFrame, idf: np.ndarray, rank: int, extra: int = EXTR
 class Passages:
     """A block of passages with all that a task needs to find them."""
 
-    ids: list[int | None]
+    ids: list[list[int | None]]  # of the passages that share a text
     hashes: list[np.ndarray]
     whole: np.ndarray  # the passage of each piece
     idf: np.ndarray
-    place: np.ndarray  # bucket -> its row of `likeness`, -1 if no passage has it
-    likeness: np.ndarray  # product of a bucket's latent vector times idf with each piece's latent vector of length one
+    place: np.ndarray  # bucket -> its row of `coordinates`, -1 if no passage has it
+    coordinates: np.ndarray  # a bucket's latent vector times idf
+    latent: np.ndarray  # each piece's latent vector, of length one
 
     @classmethod
-    def of(cls, ids: list[int | None], texts: list[str], idf: np.ndarray, basis: np.ndarray, buckets: np.ndarray | None = None) -> Passages:
+    def of(cls, ids: list[list[int | None]], texts: list[str], idf: np.ndarray, basis: np.ndarray, buckets: np.ndarray | None = None) -> Passages:
         buckets = np.arange(BUCKETS) if buckets is None else buckets
-        column = pa.array(texts, pa.string())
-        hashed, first = word_hashes(column)
-        parts = pieces(column)
+        hashed, first = word_hashes(pa.array(texts, pa.string()))
+        parts = pieces(pa.array(texts, pa.string()))
         whole = np.repeat(np.arange(len(texts)), [len(x) for x in parts])
         row, col, value = sparse_rows(pa.array([x for part in parts for x in part], pa.string()), idf)
         latent = np.zeros((len(whole), basis.shape[1]))
         np.add.at(latent, row, value[:, None] * basis[np.searchsorted(buckets, col)])
         latent /= np.maximum(1e-9, np.linalg.norm(latent, axis=1))[:, None]
-        used = np.unique(col)  # the basis is spanned by the passages, so buckets of none have no part in it
-        likeness = ((basis[np.searchsorted(buckets, used)] * idf[used, None]) @ latent.T).astype(np.float32)
         place = np.full(BUCKETS, -1, np.int64)
-        place[used] = np.arange(len(used))
-        return cls(ids, [hashed[a:z] for a, z in zip(first, first[1:])], whole, idf, place, likeness)
+        place[buckets] = np.arange(len(buckets))
+        coordinates = (basis * idf[buckets, None]).astype(np.float32)
+        return cls(ids, [hashed[a:z] for a, z in zip(first, first[1:])], whole, idf, place, coordinates, latent.astype(np.float32))
 
     def candidates(self, hashed: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
         """Text, first and last word (in the text), passage and cosine of windows like a piece of a passage."""
@@ -192,22 +194,22 @@ class Passages:
         at = bucket(hashed)
         row = self.place[at]
         use = np.flatnonzero(row >= 0)
-        z = np.zeros((start[-1] + 1, len(self.whole)), np.float32)
+        z = np.zeros((start[-1] + 1, self.coordinates.shape[1]), np.float32)
         if len(use):
             new = np.flatnonzero(np.diff(half[use], prepend=-1))
-            z[half[use][new]] = np.add.reduceat(self.likeness[row[use]], new, axis=0)
+            z[half[use][new]] = np.add.reduceat(self.coordinates[row[use]], new, axis=0)
         text = np.repeat(np.arange(len(first) - 1), halves)
         joined = np.append(text[1:] == text[:-1], False)
         window = z[:-1] + np.where(joined[:, None], z[1:], 0)
-        # a word's weight counts as often as it stands in the window, so a window of few words again and again is no match
-        second = joined[half - 1] & (half > 0)  # halves that end the window before, too
-        words_of = np.concatenate([half * BUCKETS + at, (half[second] - 1) * BUCKETS + at[second]])
-        words_of, times = np.unique(words_of, return_counts=True)
-        norm = np.sqrt(np.bincount(words_of // BUCKETS, (times * self.idf[words_of % BUCKETS]) ** 2, start[-1]))
-        cosine = window / np.maximum(1e-9, norm).astype(np.float32)[:, None]
-        w, piece = np.nonzero(cosine >= LEAST_COSINE)
+        window /= np.maximum(1e-6, np.linalg.norm(window, axis=1))[:, None]
+        found = []
+        for a in range(0, len(self.whole), COMPARED_PIECES):
+            cosine = window @ self.latent[a : a + COMPARED_PIECES].T
+            w, piece = np.nonzero(cosine >= LEAST_COSINE)
+            found.append((w, piece + a, cosine[w, piece]))
+        w, piece, cosine = (np.concatenate(x) for x in zip(*found))
         begin = (w - start[text[w]]) * HALF
-        return text[w], begin, begin + 2 * HALF, self.whole[piece], cosine[w, piece]
+        return text[w], begin, begin + 2 * HALF, self.whole[piece], cosine
 
     def present(self, item: int, region: np.ndarray) -> float:
         """Share of a passage's weight in words that the region has."""
@@ -231,8 +233,8 @@ class Passages:
                 spans.append([a, z, c])
         jobs = [(t, i, hashed[first[t] : first[t + 1]][a:z], c) for (t, i), spans in regions.items() for a, z, c in spans]
         jobs.sort(key=lambda j: (len(self.hashes[j[1]]), len(j[2])))
-        # words of a long passage that stand anywhere in the region bound what stands there in order
-        jobs = [j for j in jobs if len(self.hashes[j[1]]) <= PIECE or self.present(j[1], j[2]) >= PARTLY]
+        # words of a passage that stand anywhere in the region bound what stands there in order
+        jobs = [j for j in jobs if self.present(j[1], j[2]) >= PARTLY]
         k = 0
         while k < len(jobs):
             part = jobs[k : k + max(1, min(256, (1 << 18) // (4 * (len(self.hashes[jobs[min(k + 255, len(jobs) - 1)][1]]) + HALF))))]
@@ -264,35 +266,33 @@ def common_share(passages: list[np.ndarray], regions: list[np.ndarray], idf: np.
 
 
 def blocks(items: DataFrame, docs: DataFrame) -> Iterator[Passages]:
-    """The benchmark in blocks of bounded size, with statistics of these documents."""
+    """The benchmark in blocks of bounded size, in one latent space of all passages, with statistics of these documents."""
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([x for part in pieces(b.column("text")) for x in part], pa.string())], names=["text"])
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in pieces(b.column("text"))], pa.int64())], names=["n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(bucket(word_hashes(b.column("text"))[0])))], names=["bucket"])
 
     passages = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").rlike(WORD))
-    n = passages.select("text").mapInArrow(count, "n long").agg(F.sum("n")).first()[0]
+    parts = passages.select("text").mapInArrow(cut, "text string")
+    n = parts.count()
     if not n:
         return
-    parts = -(-2 * n // ITEM_BLOCK) if n > ITEM_BLOCK else 1  # by a hash of the text, so a block of a half on average
     idf = rarity(docs)
-
-    def block(rows: list, texts: list[str]) -> Passages:
-        own = items.sparkSession.createDataFrame([(x,) for x in texts], "text string")
-        used = np.unique(bucket(word_hashes(pa.array(texts, pa.string()))[0]))
-        return Passages.of([r.item_id for r in rows], [r.text for r in rows], idf, latent_basis(own, idf, len(texts), used=used), used)
-
-    for k in range(parts):
-        rows = passages.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
-        held, texts = [], []
-        for r, own in zip(rows, pieces(pa.array([r.text for r in rows], pa.string()))):
-            if held and len(texts) + len(own) > ITEM_BLOCK:
-                yield block(held, texts)
-                held, texts = [], []
-            held.append(r)
-            texts += own
-        if held:
-            yield block(held, texts)
+    used = np.array(sorted(r.bucket for r in parts.mapInArrow(buckets, "bucket long").distinct().collect()), np.int64)  # at most BUCKETS
+    basis = latent_basis(parts, idf, max(1, min(RANK, n // 2)), used=used)
+    dealt = -(-n // BLOCK_PIECES)  # by a hash of the text
+    for k in range(dealt):
+        rows = (passages.filter(F.pmod(F.xxhash64("text"), F.lit(dealt)) == k) if dealt > 1 else passages).orderBy("item_id", "text").collect()
+        # of a text that many passages share, all ids are kept, but it is compared once
+        by_text: dict[str, list[int | None]] = {}
+        for r in rows:
+            by_text.setdefault(r.text, []).append(r.item_id)
+        if by_text:
+            yield Passages.of(list(by_text.values()), list(by_text), idf, basis, used)
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -304,10 +304,11 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, max_bytes=COMPARED_BYTES):
-                found = shared.value.matches(b.column("text"))
+                found = [(t, item, *x) for t, i, *x in shared.value.matches(b.column("text")) for item in shared.value.ids[i]]
                 if found:
                     row, item, *figures = zip(*found)
-                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), pa.array([shared.value.ids[i] for i in item], pa.int64()), *(pa.array(x, pa.float64()) for x in figures)], names=["doc_id", "item_id", "score", "answer", "cosine"])
+                    arrays = [b.column("doc_id").take(pa.array(row)), pa.array(item, pa.int64()), *(pa.array(x, pa.float64()) for x in figures)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "item_id", "score", "answer", "cosine"])
 
         out = out.unionByName(own.mapInArrow(run, MATCHES))
     return out

@@ -170,7 +170,8 @@ def test_leaks_are_found_and_clean_documents_left(leaks):
 def test_leaks_with_blocks_of_passages(leaks, monkeypatch):
     docs, items, want = leaks
     whole = {(r.doc_id, r.item_id) for r in op10_decontaminate.leaks(docs, items).collect()}
-    monkeypatch.setattr(op10_decontaminate, "ITEM_BLOCK", 25)
+    monkeypatch.setattr(op10_decontaminate, "BLOCK_PIECES", 25)
+    monkeypatch.setattr(op10_decontaminate, "COMPARED_PIECES", 7)
     assert {(r.doc_id, r.item_id) for r in op10_decontaminate.leaks(docs, items).collect()} == whole
 
 
@@ -209,23 +210,20 @@ def test_basis_equals_the_exact_decomposition(leaks):
     assert np.allclose(np.linalg.norm(a @ basis, axis=0), exact, rtol=0.02)
 
 
-def test_every_word_of_a_passage_counts_in_a_window(spark):
-    """The cosine of a window is that of its whole latent vector, common words too."""
-    rng = random.Random(17)
-    common, rare = [f"c{i}" for i in range(12)], [f"r{i}" for i in range(4000)]
-    texts = [" ".join(rng.choice(common) if rng.random() < 0.7 else rng.choice(rare) for _ in range(32)) for _ in range(500)]
-    column = pa.array(texts, pa.string())
-    idf = np.where(np.isin(np.arange(op10_decontaminate.BUCKETS), op10_decontaminate.bucket(op10_decontaminate.word_hashes(pa.array(common))[0])), 0.3, 4.0)
-    basis = op10_decontaminate.latent_basis(spark.createDataFrame([(t,) for t in texts], "text string"), idf, rank=128)
-    block = op10_decontaminate.Passages.of(list(range(500)), texts, idf, basis)
-    row, col, value = op10_decontaminate.sparse_rows(column, idf)
-    kept = np.zeros((500, basis.shape[1]))
-    np.add.at(kept, row, value[:, None] * basis[col])
-    want = np.linalg.norm(kept, axis=1)
-    text, begin, _, item, cosine = block.candidates(*op10_decontaminate.word_hashes(column))
-    got = {t: c for t, a, i, c in zip(text, begin, item, cosine) if t == i and a == 0}
-    assert set(got) == set(np.flatnonzero(want >= op10_decontaminate.LEAST_COSINE + 1e-5))
-    assert np.allclose([want[t] for t in got], list(got.values()), atol=1e-4)
+def test_words_that_stand_together_find_a_paraphrase_without_a_common_word(spark):
+    """What the decomposition is for: with the identity in its place the cosine would be nought."""
+    op, rng = op10_decontaminate, random.Random(17)
+    topics = [[f"t{k}w{i}" for i in range(24)] for k in range(8)]
+    texts = [" ".join(rng.sample(topics[k % 8], 12)) for k in range(160)]
+    idf = np.ones(op.BUCKETS)
+    used = np.unique(op.bucket(op.word_hashes(pa.array(texts))[0]))
+    basis = op.latent_basis(spark.createDataFrame([(t,) for t in texts], "text string"), idf, rank=8, used=used)
+    block = op.Passages.of([[k] for k in range(160)], texts, idf, basis, used)
+    other = " ".join(w for w in topics[3] if w not in texts[3].split())
+    found = {i: c for _, _, _, i, c in zip(*block.candidates(*op.word_hashes(pa.array([other]))))}
+    assert found[3] > 0.8 and set(found) == {k for k in range(160) if k % 8 == 3}
+    identity = op.Passages.of([[k] for k in range(160)], texts, idf, np.eye(len(used)), used)
+    assert 3 not in {i for _, _, _, i, _ in zip(*identity.candidates(*op.word_hashes(pa.array([other]))))}
 
 
 def test_every_copy_is_found_however_many_passages(spark):
@@ -238,7 +236,8 @@ def test_every_copy_is_found_however_many_passages(spark):
     got = {(r.doc_id, r.item_id): r.cosine for r in op10_decontaminate.leaks(spark.createDataFrame(docs, schema("doc_id")), spark.createDataFrame(items, schema("item_id"))).collect()}
     assert set(got) >= {(i, i) for i in range(600)}
     for block in op10_decontaminate.blocks(spark.createDataFrame(items, schema("item_id")), spark.createDataFrame(items, schema("doc_id"))):
-        texts = [dict(items)[i] for i in block.ids]
+        assert block.latent.shape[1] == op10_decontaminate.RANK
+        texts = [dict(items)[i] for (i,) in block.ids]
         text, begin, _, item, cosine = block.candidates(*op10_decontaminate.word_hashes(pa.array(texts)))
         own = {t: c for t, a, i, c in zip(text, begin, item, cosine) if t == i and a == 0 and len(texts[t].split()) <= 32}
         assert np.allclose(list(own.values()), 1, atol=1e-4)  # each passage finds itself whole
@@ -260,7 +259,7 @@ def test_long_passages_and_other_scripts_are_found(spark):
 
 
 def test_candidates_equal_all_windows_by_all_passages():
-    """With a basis that keeps the passages whole, the latent cosine of a window is the TF-IDF cosine itself."""
+    """Latent cosines of windows computed one by one."""
     op, rng = op10_decontaminate, random.Random(11)
     words = [f"q{i}" for i in range(300)]
     texts = [" ".join(rng.choice(words) for _ in range(rng.randint(10, 60))) for _ in range(40)]
@@ -273,8 +272,10 @@ def test_candidates_equal_all_windows_by_all_passages():
     row, col, value = op.sparse_rows(pa.array(texts), idf)
     a = np.zeros((len(texts), op.BUCKETS))
     a[row, col] = value
-    _, s, right = np.linalg.svd(a, full_matrices=False)
-    block = op.Passages.of(list(range(len(texts))), texts, idf, right[s > 1e-9].T)
+    basis = np.linalg.svd(a, full_matrices=False)[2][:16].T
+    block = op.Passages.of([[k] for k in range(len(texts))], texts, idf, basis)
+    whole = a @ basis
+    whole /= np.linalg.norm(whole, axis=1)[:, None]
     hashed, first = op.word_hashes(pa.array(docs))
     got = {(t, begin, i) for t, begin, _, i, _ in zip(*(x.tolist() for x in block.candidates(hashed, first)))}
     sure, near = set(), set()
@@ -282,6 +283,7 @@ def test_candidates_equal_all_windows_by_all_passages():
         own = op.bucket(hashed[first[t] : first[t + 1]])
         for begin in range(0, len(own), op.HALF):
             w = np.bincount(own[begin : begin + 2 * op.HALF], minlength=op.BUCKETS) * idf
-            for i, c in enumerate((a @ w / np.linalg.norm(w)).tolist()):
+            v = w @ basis
+            for i, c in enumerate((whole @ v / np.linalg.norm(v)).tolist() if v.any() else []):
                 (sure if c >= op.LEAST_COSINE + 1e-4 else near if c >= op.LEAST_COSINE - 1e-4 else set()).add((t, begin, i))
     assert len(sure) > 60 and sure <= got <= sure | near
