@@ -5,7 +5,8 @@ randomised SVD of all passages, by subspace iteration whose products are Spark j
 space of far fewer dimensions than there are passages (RANK at most, half the passages at most). Every document is read
 in overlapping windows of words; a window is laid into the latent space and compared with every passage there, both
 by their latent length: words that no passage has don't count, words that stand together in passages count for each
-other, and a window equal to a passage has cosine one at any rank. Pairs above a cosine are candidates. A candidate
+other, and a window equal to a passage has cosine one at any rank. Pairs above a cosine, whose window also reaches
+far enough along the passage (a word or two don't), are candidates. A candidate
 counts as a leak if the words it shares with the passage in the same order, weighed by their rarity (longest common
 subsequence), make up most of the passage, or about half of it and the passage's answer, its last words, stands there
 too. So copies, cut copies and paraphrases are found, while passing similarity of topic isn't enough.
@@ -47,6 +48,8 @@ WORD = r"[0-9A-Za-z]|[^\x00-\x7F]"
 #: Dimensions of the latent space at most, pieces of passages in a block on average; least cosine of a candidate; shares of the
 #: passage that make a leak, alone and with its answer.
 RANK, BLOCK_PIECES, LEAST_COSINE, WHOLE, PARTLY = 128, 1 << 15, 0.4, 0.75, 0.45
+#: How far a candidate window reaches along the passage, as a share of the passage's latent length; a window holds half a piece or more.
+LEAST_REACH = 0.2
 #: Share of a passage's last words taken as its answer, and how much of the answer must be there.
 ANSWER_PART, ANSWER_FOUND = 0.2, 0.5
 MATCHES = "doc_id long, item_id long, score double, answer double, cosine double"
@@ -95,14 +98,24 @@ def rarity(docs: DataFrame) -> np.ndarray:
     return np.log((n[-1] + 1) / (n[:-1] + 1)) + 0.1
 
 
-def sparse_rows(column: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """TF-IDF vectors of length one as (row, bucket, value)."""
+def weighed(column: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows' words as (row, bucket, times it stands there by rarity)."""
     hashed, first = word_hashes(column)
     owner = np.repeat(np.arange(len(column)), np.diff(first))
     key, n = np.unique(owner * BUCKETS + bucket(hashed), return_counts=True)
     row, col = np.divmod(key, BUCKETS)
-    value = n * idf[col]
-    return row, col, value / np.maximum(1e-12, np.sqrt(np.bincount(row, value**2, len(column)))[row])
+    return row, col, n * idf[col]
+
+
+def vector_lengths(column: pa.Array, idf: np.ndarray) -> np.ndarray:
+    row, _, value = weighed(column, idf)
+    return np.maximum(1e-12, np.sqrt(np.bincount(row, value**2, len(column))))
+
+
+def sparse_rows(column: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """TF-IDF vectors of length one as (row, bucket, value)."""
+    row, col, value = weighed(column, idf)
+    return row, col, value / vector_lengths(column, idf)[row]
 
 
 def latent_basis(items: DataFrame, idf: np.ndarray, rank: int, extra: int = EXTRA, used: np.ndarray | None = None) -> np.ndarray:
@@ -169,6 +182,7 @@ class Passages:
     place: np.ndarray  # bucket -> its row of `coordinates`, -1 if no passage has it
     coordinates: np.ndarray  # a bucket's latent vector times idf
     latent: np.ndarray  # each piece's latent vector, of length one
+    length: np.ndarray  # what its length was, with words weighed as in a window
 
     @classmethod
     def of(cls, ids: list[list[int | None]], texts: list[str], idf: np.ndarray, basis: np.ndarray, buckets: np.ndarray | None = None) -> Passages:
@@ -179,11 +193,13 @@ class Passages:
         row, col, value = sparse_rows(pa.array([x for part in parts for x in part], pa.string()), idf)
         latent = np.zeros((len(whole), basis.shape[1]))
         np.add.at(latent, row, value[:, None] * basis[np.searchsorted(buckets, col)])
-        latent /= np.maximum(1e-9, np.linalg.norm(latent, axis=1))[:, None]
+        length = np.maximum(1e-9, np.linalg.norm(latent, axis=1))
+        latent /= length[:, None]
+        length *= vector_lengths(pa.array([x for part in parts for x in part], pa.string()), idf)
         place = np.full(BUCKETS, -1, np.int64)
         place[buckets] = np.arange(len(buckets))
         coordinates = (basis * idf[buckets, None]).astype(np.float32)
-        return cls(ids, [hashed[a:z] for a, z in zip(first, first[1:])], whole, idf, place, coordinates, latent.astype(np.float32))
+        return cls(ids, [hashed[a:z] for a, z in zip(first, first[1:])], whole, idf, place, coordinates, latent.astype(np.float32), length.astype(np.float32))
 
     def candidates(self, hashed: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
         """Text, first and last word (in the text), passage and cosine of windows like a piece of a passage."""
@@ -201,20 +217,38 @@ class Passages:
         text = np.repeat(np.arange(len(first) - 1), halves)
         joined = np.append(text[1:] == text[:-1], False)
         window = z[:-1] + np.where(joined[:, None], z[1:], 0)
-        window /= np.maximum(1e-6, np.linalg.norm(window, axis=1))[:, None]
+        size = np.maximum(1e-6, np.linalg.norm(window, axis=1))
+        window /= size[:, None]
         found = []
         for a in range(0, len(self.whole), COMPARED_PIECES):
             cosine = window @ self.latent[a : a + COMPARED_PIECES].T
-            w, piece = np.nonzero(cosine >= LEAST_COSINE)
+            w, piece = np.nonzero(cosine >= np.maximum(LEAST_COSINE, LEAST_REACH * self.length[None, a : a + COMPARED_PIECES] / size[:, None]))
             found.append((w, piece + a, cosine[w, piece]))
         w, piece, cosine = (np.concatenate(x) for x in zip(*found))
         begin = (w - start[text[w]]) * HALF
         return text[w], begin, begin + 2 * HALF, self.whole[piece], cosine
 
-    def present(self, item: int, region: np.ndarray) -> float:
-        """Share of a passage's weight in words that the region has."""
-        weight = self.idf[bucket(self.hashes[item])]
-        return float(weight[np.isin(self.hashes[item], region)].sum() / max(1e-12, weight.sum()))
+    def plausible(self, jobs: list[tuple], hashed: np.ndarray, first: np.ndarray) -> list[tuple]:
+        """The jobs (text, passage, first and last word, cosine) whose words stand for PARTLY of the passage, in whatever order."""
+        known = np.unique(np.concatenate(self.hashes))
+        number = np.searchsorted(known, hashed)
+        number[known[np.minimum(number, len(known) - 1)] != hashed] = len(known)
+        seen = np.zeros(len(known) + 1, bool)
+        own: dict[int, tuple[np.ndarray, np.ndarray, float]] = {}
+        out = []
+        for job in jobs:
+            t, i, a, z, _ = job
+            if i not in own:
+                weight = self.idf[bucket(self.hashes[i])]
+                own[i] = np.searchsorted(known, self.hashes[i]), weight, PARTLY * weight.sum()
+            region = number[first[t] + a : min(first[t] + z, first[t + 1])]
+            seen[region] = True
+            seen[-1] = False
+            words_of, weight, least = own[i]
+            if weight[seen[words_of]].sum() >= least:
+                out.append(job)
+            seen[region] = False
+        return out
 
     def matches(self, column: pa.Array) -> list[tuple[int, int, float, float, float]]:
         """Row, passage, share of the passage in order, share of its answer, cosine; the best for each row and passage."""
@@ -231,10 +265,9 @@ class Passages:
                 spans[-1][1], spans[-1][2] = z, max(c, spans[-1][2])
             else:
                 spans.append([a, z, c])
-        jobs = [(t, i, hashed[first[t] : first[t + 1]][a:z], c) for (t, i), spans in regions.items() for a, z, c in spans]
+        jobs = self.plausible([(t, i, *x) for (t, i), spans in regions.items() for x in spans], hashed, first)
+        jobs = [(t, i, hashed[first[t] : first[t + 1]][a:z], c) for t, i, a, z, c in jobs]
         jobs.sort(key=lambda j: (len(self.hashes[j[1]]), len(j[2])))
-        # words of a passage that stand anywhere in the region bound what stands there in order
-        jobs = [j for j in jobs if self.present(j[1], j[2]) >= PARTLY]
         k = 0
         while k < len(jobs):
             part = jobs[k : k + max(1, min(256, (1 << 18) // (4 * (len(self.hashes[jobs[min(k + 255, len(jobs) - 1)][1]]) + HALF))))]

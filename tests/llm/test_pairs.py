@@ -275,6 +275,7 @@ def test_candidates_equal_all_windows_by_all_passages():
     basis = np.linalg.svd(a, full_matrices=False)[2][:16].T
     block = op.Passages.of([[k] for k in range(len(texts))], texts, idf, basis)
     whole = a @ basis
+    size = np.linalg.norm(whole, axis=1) * op.vector_lengths(pa.array(texts), idf)
     whole /= np.linalg.norm(whole, axis=1)[:, None]
     hashed, first = op.word_hashes(pa.array(docs))
     got = {(t, begin, i) for t, begin, _, i, _ in zip(*(x.tolist() for x in block.candidates(hashed, first)))}
@@ -285,5 +286,6 @@ def test_candidates_equal_all_windows_by_all_passages():
             w = np.bincount(own[begin : begin + 2 * op.HALF], minlength=op.BUCKETS) * idf
             v = w @ basis
             for i, c in enumerate((whole @ v / np.linalg.norm(v)).tolist() if v.any() else []):
-                (sure if c >= op.LEAST_COSINE + 1e-4 else near if c >= op.LEAST_COSINE - 1e-4 else set()).add((t, begin, i))
+                least = max(op.LEAST_COSINE, op.LEAST_REACH * size[i] / np.linalg.norm(v))
+                (sure if c >= least + 1e-4 else near if c >= least - 1e-4 else set()).add((t, begin, i))
     assert len(sure) > 60 and sure <= got <= sure | near
