@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import functools
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loredeck.functions.text import normal_path
+from loredeck.operators.trees import descendants
 from loredeck.registry import operator
+from loredeck.sources.shared import shared_folder
 from loredeck.sources.tables import NODES_SQL, nodes, pages, read
 
 
@@ -32,20 +34,12 @@ _EDGES = "SELECT concat('n', n_nationkey) AS id, concat('r', n_regionkey) AS par
 
 @operator("descendants_recursive", f"WITH RECURSIVE edges AS ({_EDGES}), tree(root, id, depth) AS (SELECT concat('r', r_regionkey), concat('r', r_regionkey), 0 FROM region UNION ALL SELECT t.root, e.id, t.depth + 1 FROM tree t JOIN edges e ON e.parent = t.id) SELECT root, CAST(depth AS INTEGER) AS depth, CAST(count(*) AS BIGINT) AS n FROM tree GROUP BY ALL")
 def descendants_recursive(spark: SparkSession, sf: str) -> DataFrame:
-    """FTS-14: all descendants, level by level until there are none; levels above are counted, not carried."""
+    """FTS-14: all descendants, level by level until there are none."""
     id_of = lambda t, c, p, q: read(spark, sf, t).select(F.concat(F.lit(p), F.col(c[0]).cast("string")).alias("id"), F.concat(F.lit(q), F.col(c[1]).cast("string")).alias("parent"))
     edges = id_of("nation", ("n_nationkey", "n_regionkey"), "n", "r").unionByName(id_of("customer", ("c_custkey", "c_nationkey"), "c", "n")).unionByName(id_of("supplier", ("s_suppkey", "s_nationkey"), "s", "n"))
-    root = F.concat(F.lit("r"), F.col("r_regionkey").cast("string"))
-    level = read(spark, sf, "region").select(root.alias("root"), root.alias("id"))
-    parents = edges.select(F.col("parent").alias("id")).distinct()
-    counts, depth = [], 0
-    while True:
-        counts.append(level.groupBy("root").agg(F.count("*").alias("n")).select("root", F.lit(depth).alias("depth"), "n"))
-        inner = level.join(parents, "id", "left_semi")  # leaves have nothing below them
-        if depth and inner.isEmpty():
-            break
-        level, depth = edges.join(inner.withColumnRenamed("id", "parent"), "parent").select("root", "id"), depth + 1
-    return functools.reduce(DataFrame.unionByName, counts)
+    roots = read(spark, sf, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("root"))
+    found = descendants(edges, roots, f"{shared_folder(spark)}/loredeck-tree-{uuid.uuid4().hex}")
+    return found.groupBy("root", "depth").agg(F.count("*").alias("n"))
 
 
 @operator("latest_descendant", "SELECT c_nationkey AS root, max(o_orderdate)::VARCHAR[:10] AS latest, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest_key FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_nationkey".replace("max(o_orderdate)::VARCHAR[:10]", "strftime(max(o_orderdate), '%Y-%m-%d')"))

@@ -13,6 +13,7 @@ from loredeck.operators.measures import exclusive_quantile, floor_quantile, perc
 from loredeck.operators.merge import cache_status, delta, upsert
 from loredeck.operators.ranking import best_per, bm25, ladder, weighted
 from loredeck.operators.schedule import fires
+from loredeck.operators.trees import descendants
 from loredeck.plans.textops import nearly_equal, typo_ratio
 from loredeck.streaming.counters import finished
 
@@ -139,3 +140,10 @@ def test_typo_ratio_equals_brute_force(spark):
     parts = [(r.p_partkey, r.p_brand, r.p_name) for r in spark.read.parquet(f"{at}/part.parquet").collect()]
     best = {k: max((markup.ratio(n, o) for _, b, o in parts if b == brand and o != n), default=0.0) for k, brand, n in parts}
     assert {r.p_partkey: r.ratio for r in typo_ratio(spark, at).collect()} == {k: x for k, x in best.items() if x >= 0.6}
+
+
+def test_descendants_of_a_graph_with_a_cycle(spark, tmp_path):
+    edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("a", "c"), ("d", "c"), ("d", "a"), ("y", "x")], "id string, parent string")
+    roots = spark.createDataFrame([("a",), ("x",), ("z",)], "root string")
+    got = sorted(tuple(r) for r in descendants(edges, roots, str(tmp_path / "tree")).collect())
+    assert got == [("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("a", "d", 1), ("x", "x", 0), ("x", "y", 1), ("z", "z", 0)]
