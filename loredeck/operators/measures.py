@@ -17,26 +17,43 @@ def percent_sql(part: str, whole: str, places: int = 1) -> str:
     return f"CASE WHEN {whole} > 0 THEN round(100.0 * {part} / {whole}, {places}) ELSE 0.0 END"
 
 
-#: Bins in which a key's values are counted to find where a place lies.
-BINS = 4096
+#: Bins in which a key's values are counted to find where a place lies; steps of a doubling.
+BINS, STEPS = 4096, 16
+
+
+def magnitude(value: Column) -> Column:
+    """A number that rises with the value, STEPS for each doubling away from 0: however far values lie apart, there are few."""
+    v, steps = value.cast("double"), lambda x: F.floor(F.log2(x) * STEPS).cast("int") + 20_000
+    inf = F.lit(float("inf"))
+    return F.when(F.isnan(v), 50_000).when(v == inf, 40_000).when(v == -inf, -40_000).when(v == 0, 0).when(v > 0, steps(v)).otherwise(-steps(-v))
 
 
 def at_places(df: DataFrame, key: str, value: str, places: list[Callable[[Column], Column]]) -> DataFrame:
     """key, n, most, and v0, v1, ...: the values at places (counted from 0, of the number n) among each key's sorted values.
 
-    Values are counted in bins between the least and the largest, and only those of the bins that hold a place are
-    ordered, so that no task sorts all values of a key. Nulls don't count; a place beyond the ends is null.
+    Values are counted by magnitude, those of a magnitude that holds a place in bins of equal width, and only those of the bins that
+    hold a place are ordered: no task sorts all values of a key, and a few values far out don't crowd the others into
+    one bin. Nulls don't count; a place beyond the ends is null; NaN is the largest value.
     """
-    rows = df.select(key, value).filter(F.col(value).isNotNull())
-    span = rows.groupBy(key).agg(F.min(value).alias("low"), F.max(value).alias("most"), F.count("*").alias("n"))
-    bin_of = F.when(F.col("most") > F.col("low"), F.floor((F.col(value) - F.col("low")) / (F.col("most") - F.col("low")) * BINS)).otherwise(0).cast("int")
-    placed = rows.join(span, key).withColumn("bin", bin_of)
-    bins = placed.groupBy(key, "bin").agg(F.count("*").alias("held"))  # at most BINS + 1 rows a key
-    bins = bins.withColumn("before", F.sum("held").over(Window.partitionBy(key).orderBy("bin")) - F.col("held")).join(span.select(key, "n"), key)
-    asked = F.filter(F.array(*(f(F.col("n")).cast("long") for f in places)), lambda p: (p >= F.col("before")) & (p < F.col("before") + F.col("held")))
-    hit = bins.filter(F.size(asked) > 0).select(key, "bin", "before")
-    counted = placed.join(hit, [key, "bin"]).groupBy(key, "bin", value).agg(F.count("*").alias("times"), F.max("before").alias("before"), F.max("n").alias("n"))
-    upto = F.col("before") + F.sum("times").over(Window.partitionBy(key, "bin").orderBy(value))
+
+    def reached(bins: DataFrame, by: list[str], bin_: str, start: Column) -> DataFrame:
+        """The bins in which a place lies, with the number of values before them."""
+        before = start + F.sum("held").over(Window.partitionBy(*by).orderBy(bin_)) - F.col("held")
+        own = bins.withColumn("before", before)
+        asked = F.filter(F.array(*(f(F.col("n")).cast("long") for f in places)), lambda p: (p >= F.col("before")) & (p < F.col("before") + F.col("held")))
+        return own.filter(F.size(asked) > 0)
+
+    rows = df.select(key, value).filter(F.col(value).isNotNull()).withColumn("rough", magnitude(F.col(value)))
+    span = rows.groupBy(key).agg(F.max(value).alias("most"), F.count("*").alias("n"))
+    rough = rows.groupBy(key, "rough").agg(F.count("*").alias("held"), F.min(value).alias("low"), F.max(value).alias("high"))
+    hit = reached(rough.join(span.select(key, "n"), key), [key], "rough", F.lit(0)).drop("held")
+    width = F.col("high") - F.col("low")
+    bin_of = F.when(width > 0, F.floor((F.col(value) - F.col("low")) / width * BINS)).otherwise(0).cast("int")
+    inside = rows.join(hit, [key, "rough"]).withColumn("bin", bin_of)
+    bins = inside.groupBy(key, "rough", "bin").agg(F.count("*").alias("held"), F.max("before").alias("below"), F.max("n").alias("n"))
+    fine = reached(bins, [key, "rough"], "bin", F.col("below")).select(key, "rough", "bin", F.col("before").alias("first"))
+    counted = inside.join(fine, [key, "rough", "bin"]).groupBy(key, "rough", "bin", value).agg(F.count("*").alias("times"), F.max("first").alias("first"), F.max("n").alias("n"))
+    upto = F.col("first") + F.sum("times").over(Window.partitionBy(key, "rough", "bin").orderBy(value))
     counted = counted.withColumn("upto", upto).withColumn("after", F.col("upto") - F.col("times"))
     found = [F.max(F.when((f(F.col("n")) >= F.col("after")) & (f(F.col("n")) < F.col("upto")), F.col(value))).alias(f"v{k}") for k, f in enumerate(places)]
     return span.select(key, "n", "most").join(counted.groupBy(key).agg(*found), key, "left")

@@ -90,3 +90,16 @@ def ladder(levels: list[DataFrame], key: str | None = None) -> DataFrame:
         first = tagged.groupBy(key).agg(F.min("level").alias("__first"))
         return tagged.join(first, key).filter("level = __first").drop("__first")
     return tagged.join(F.broadcast(tagged.agg(F.min("level").alias("__first")))).filter("level = __first").drop("__first")
+
+
+def first_rung(df: DataFrame, rungs: list[Column], key: str | None = None) -> DataFrame:
+    """FTS-07..11: the rows that fit the first rung of a ladder that any row (of the same key, if given) fits, with the rung as level.
+
+    All rungs are conditions on one row, so the rows are read with a mask of them; a null key is a key of its own.
+    """
+    masked = df.withColumn("__rungs", F.array(*(F.coalesce(c, F.lit(False)) for c in rungs))).filter(F.exists("__rungs", lambda x: x))
+    least = F.min((F.array_position("__rungs", True) - 1).cast("int")).alias("level")
+    first = masked.groupBy(F.col(key).alias("__key")).agg(least) if key else masked.agg(least)
+    joined = masked.join(first, F.col(key).eqNullSafe(F.col("__key"))).drop("__key") if key else masked.join(F.broadcast(first))  # one row
+    return joined.filter(F.get("__rungs", F.col("level"))).drop("__rungs")
+

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loredeck.operators.places import placed
-from loredeck.operators.ranking import ladder
+from loredeck.operators.ranking import first_rung
 from loredeck.registry import operator
 from loredeck.sources.tables import NODES_SQL, nodes, pages, read
 
@@ -174,25 +174,23 @@ def year_preference(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _PATHS = "paths AS (SELECT c_custkey, c_name, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+#: A path as it is asked for: region, nation, a text in the leaf's name.
+ASIA, CHINA, LEAF = "ASIA", "CHINA", "77"
 
 
 @operator(
     "path_search",
-    f"""WITH {_PATHS}, leaf AS (SELECT * FROM paths WHERE contains(c_name, '7')),
-l0 AS (SELECT c_custkey, 0 AS level FROM leaf WHERE n_name = 'NO SUCH [x]' AND r_name = (SELECT min(r_name) FROM region)),
-l1 AS (SELECT c_custkey, 1 AS level FROM leaf WHERE r_name = (SELECT min(r_name) FROM region)),
-l2 AS (SELECT c_custkey, 2 AS level FROM leaf),
-u AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2)
+    f"""WITH {_PATHS}, leaf AS (SELECT *, CASE WHEN n_name = '{CHINA}' AND r_name = '{ASIA}' THEN 0 WHEN n_name = '{CHINA}' THEN 1 WHEN r_name = '{ASIA}' THEN 2 ELSE 3 END AS own FROM paths WHERE contains(c_name, '{LEAF}')),
+u AS (SELECT c_custkey, 0 AS level FROM leaf WHERE own = 0 UNION ALL SELECT c_custkey, 1 FROM leaf WHERE n_name = '{CHINA}' UNION ALL SELECT c_custkey, 2 FROM leaf WHERE r_name = '{ASIA}' UNION ALL SELECT c_custkey, 3 FROM leaf)
 SELECT c_custkey, level FROM u WHERE level = (SELECT min(level) FROM u)""",
 )
 def path_search(spark: SparkSession, sf: str) -> DataFrame:
-    """FTS-12: leaves by title under all ancestors, then without those whose names can't be asked for, then by title alone."""
+    """FTS-12: leaves by title under all ancestors of a path, then under the nearest one, then under the farthest, then by title alone."""
+    asked = F.split(F.lit(f"{ASIA} > {CHINA} > {LEAF}"), r"\s*>\s*")
     c, n, r = (read(spark, sf, t) for t in ("customer", "nation", "region"))
-    first = r.agg(F.min("r_name").alias("first"))
-    leaf = c.filter(F.col("c_name").contains("7")).join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).join(F.broadcast(first))
-    under = F.col("r_name") == F.col("first")
-    levels = [leaf.filter(under & (F.col("n_name") == "NO SUCH [x]")), leaf.filter(under), leaf]
-    return ladder([x.select("c_custkey") for x in levels]).select("c_custkey", F.col("level").cast("int").alias("level"))
+    leaf = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).filter(F.col("c_name").contains(F.get(asked, F.lit(2))))
+    far, near = F.col("r_name") == F.get(asked, F.lit(0)), F.col("n_name") == F.get(asked, F.lit(1))
+    return first_rung(leaf, [far & near, near, far, F.lit(True)]).select("c_custkey", "level")
 
 
 @operator(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loredeck.functions.text import has
 from loredeck.operators.intent import Intent, compile_intent, issue_filter, parse_issue_query
-from loredeck.operators.ranking import WEIGHTS, all_of, any_of, best_per, bm25_sql, ladder, matches, top, weighted
+from loredeck.operators.ranking import WEIGHTS, all_of, any_of, best_per, bm25_sql, first_rung, ladder, matches, top, weighted
 from loredeck.registry import operator
 from loredeck.sources.index import StoredIndex, ranked
 from loredeck.sources.tables import CHUNK_PIECES, CHUNKS_SQL, ISSUES_SQL, NODES_SQL, chunks, issues, nodes, pages, read, text_index
@@ -102,22 +102,34 @@ def ladder_min_level(spark: SparkSession, sf: str) -> DataFrame:
     n = nodes(spark, sf)
     intent = Intent(title_keywords=("th", "qqq"), body_keywords=("zzzq",))
     levels = [replace(intent, title_keywords=("th",)), replace(intent, body_keywords=()), replace(intent, body_keywords=(), title_keywords=("th",))]
-    return ladder([n.filter(compile_intent(x)) for x in levels]).select("node_id", "level")
+    return first_rung(n, [compile_intent(x) for x in levels]).select("node_id", "level")
 
 
 @operator("metadata_fallback", f"WITH {NODES_SQL}, t AS (SELECT space_key, node_id, 0 AS level FROM nodes WHERE lang = 'es' AND contains(lower(title), 'que') UNION ALL SELECT space_key, node_id, 1 FROM nodes WHERE contains(lower(body), 'que')), f AS (SELECT space_key, min(level) AS level FROM t GROUP BY space_key) SELECT t.space_key, node_id, CAST(t.level AS INTEGER) AS level FROM t JOIN f ON t.space_key = f.space_key AND t.level = f.level")
 def metadata_fallback(spark: SparkSession, sf: str) -> DataFrame:
     """FTS-08/13/16: metadata first, content where a key has none."""
     n = nodes(spark, sf).select("space_key", "node_id", "lang", "title", "body")
-    return ladder([n.filter((F.col("lang") == "es") & has("title", "que")).select("space_key", "node_id"), n.filter(has("body", "que")).select("space_key", "node_id")], "space_key")
+    return first_rung(n, [(F.col("lang") == "es") & has("title", "que"), has("body", "que")], "space_key").select("space_key", "node_id", "level")
 
 
-@operator("issue_ladder", f"WITH {ISSUES_SQL}, t AS (SELECT issue_key, project, 0 AS level FROM issues WHERE status = 'P' AND priority = '1-URGENT' AND price > 400000 UNION ALL SELECT issue_key, project, 1 FROM issues WHERE priority = '1-URGENT' AND price > 400000 UNION ALL SELECT issue_key, project, 2 FROM issues WHERE price > 400000), f AS (SELECT project, min(level) AS level FROM t GROUP BY project) SELECT t.issue_key, t.project, CAST(t.level AS INTEGER) AS level FROM t JOIN f USING (project, level)")
+_WEEK, _NEAR = "updated >= DATE '1995-03-01' AND updated < DATE '1995-03-08'", "updated >= DATE '1995-02-22' AND updated < DATE '1995-03-15'"
+_RUNGS = [f"status = 'P' AND priority = '1-URGENT' AND {_WEEK}", f"priority = '1-URGENT' AND {_WEEK}", _WEEK, f"priority = '1-URGENT' AND {_NEAR}", _NEAR]
+
+
+@operator(
+    "issue_ladder",
+    f"WITH {ISSUES_SQL}, i AS (SELECT * FROM issues WHERE price > 200000), t AS ("
+    + " UNION ALL ".join(f"SELECT issue_key, project, {k} AS level FROM i WHERE {c}" for k, c in enumerate(_RUNGS))
+    + "), f AS (SELECT project, min(level) AS level FROM t GROUP BY project) SELECT t.issue_key, t.project, CAST(t.level AS INTEGER) AS level FROM t JOIN f ON t.level = f.level AND t.project IS NOT DISTINCT FROM f.project",
+)
 def issue_ladder(spark: SparkSession, sf: str) -> DataFrame:
-    """FTS-09: drop the status, then the priority, by project."""
-    i = issues(spark, sf).filter("price > 400000")
-    rungs = [i.filter("status = 'P' AND priority = '1-URGENT'"), i.filter("priority = '1-URGENT'"), i]
-    return ladder([r.select("issue_key", "project") for r in rungs], "project")
+    """FTS-09: what was asked for, then without the status, then without the priority, then the same with a week more before and after, by project."""
+    day = lambda text: F.lit(text).cast("timestamp_ntz")
+    between = lambda a, z: (F.col("updated") >= day(a)) & (F.col("updated") < day(z))
+    week, near = between("1995-03-01", "1995-03-08"), between("1995-02-22", "1995-03-15")
+    status, urgent = F.col("status") == "P", F.col("priority") == "1-URGENT"
+    rungs = [status & urgent & week, urgent & week, week, urgent & near, near]
+    return first_rung(issues(spark, sf).filter("price > 200000"), rungs, "project").select("issue_key", "project", "level")
 
 
 @operator("keyword_broadening", "WITH i AS (SELECT item_id, list_filter(str_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' '), lambda x: length(x) >= 5)[1:3] AS kw FROM benchmark), w AS (SELECT item_id, unnest(kw) AS word, unnest(range(len(kw))) AS pos FROM i), d AS (SELECT DISTINCT doc_id, unnest(str_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ')) AS word FROM documents), m AS (SELECT item_id, doc_id, sum(CAST(pow(2, pos) AS BIGINT)) AS mask FROM (SELECT DISTINCT * FROM w) JOIN d USING (word) GROUP BY ALL), n AS (SELECT item_id, doc_id, CASE WHEN mask & 7 = 7 THEN 0 WHEN mask & 3 = 3 THEN 1 WHEN mask & 1 = 1 THEN 2 END AS level FROM m), f AS (SELECT item_id, min(level) AS level FROM n GROUP BY item_id) SELECT n.item_id, CAST(n.level AS INTEGER) AS level, CAST(count(*) AS BIGINT) AS docs FROM n JOIN f ON n.item_id = f.item_id AND n.level = f.level GROUP BY ALL")
@@ -128,13 +140,8 @@ def keyword_broadening(spark: SparkSession, sf: str) -> DataFrame:
     w = read(spark, sf, "benchmark").select("item_id", F.posexplode(kw).alias("pos", "word")).distinct()
     d = read(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(split("text"))).alias("word"))
     mask = d.join(w, "word").groupBy("item_id", "doc_id").agg(F.sum(F.pow(F.lit(2), F.col("pos")).cast("long")).alias("mask"))
-    bits = lambda k: F.col("mask").bitwiseAND(F.lit(k)) == k
-    rungs = [mask.filter(bits(k)).select("item_id", "doc_id") for k in (7, 3, 1)]
-    return best_level(rungs)
-
-
-def best_level(rungs: list[DataFrame]) -> DataFrame:
-    return ladder(rungs, "item_id").groupBy("item_id", "level").agg(F.countDistinct("doc_id").alias("docs"))
+    rungs = [F.col("mask").bitwiseAND(F.lit(k)) == k for k in (7, 3, 1)]
+    return first_rung(mask, rungs, "item_id").groupBy("item_id", "level").agg(F.count("*").alias("docs"))
 
 
 @operator("role_filter_default_exclusion", f"WITH {NODES_SQL} SELECT folder_role, CAST(count(*) AS BIGINT) AS n FROM nodes WHERE coalesce(folder_role, 'unknown') <> 'game_data' AND NOT contains(lower(title), 'ble') AND (space_key IS NULL OR space_key <> 'src0') GROUP BY folder_role")

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from loredeck.functions import markup
 from loredeck.functions.text import content_hash, escape_like, guarded_csv, log_field, normal_path, occurrences, strip_html
 from loredeck.operators.intent import Intent, compile_intent, issue_filter, parse_issue_query
-from loredeck.operators.measures import exclusive_quantile, floor_quantile, percent
+from loredeck.operators.measures import at_places, exclusive_quantile, floor_quantile, percent
 from loredeck.operators.merge import cache_status, delta, upsert
-from loredeck.operators.ranking import best_per, bm25, ladder, weighted
+from loredeck.operators.ranking import best_per, bm25, first_rung, ladder, weighted
 from loredeck.operators.schedule import fires
 from loredeck.operators.trees import descendants
 from loredeck.plans.textops import nearly_equal, typo_ratio
@@ -147,3 +147,21 @@ def test_descendants_of_a_graph_with_a_cycle(spark, tmp_path):
     roots = spark.createDataFrame([("a",), ("x",), ("z",)], "root string")
     got = sorted(tuple(r) for r in descendants(edges, roots, str(tmp_path / "tree")).collect())
     assert got == [("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("a", "d", 1), ("x", "x", 0), ("x", "y", 1), ("z", "z", 0)]
+
+
+def test_quantiles_with_values_far_out(spark):
+    far = [1e-9, 0.0, -5.0, -1e300, 1e300, float("inf"), float("-inf"), float("nan")]
+    values_ = [float(i % 97) + 0.5 for i in range(2000)] + far
+    df = spark.createDataFrame([("a", v) for v in values_], "k string, v double")
+    order = sorted(v for v in values_ if v == v) + [float("nan")]
+    got = at_places(df, "k", "v", [lambda n, p=p: F.lit(p) for p in (0, 1, 2, 4, 1000, 1999, 2005, 2006)]).first()
+    assert [got[f"v{k}"] for k in range(8)] == [order[p] for p in (0, 1, 2, 4, 1000, 1999, 2005, 2006)] and got.n == 2008
+
+
+def test_first_rung_is_one_pass_over_the_rows(spark):
+    df = spark.createDataFrame([(1, "a", 5), (2, "a", 3), (3, "b", 1), (4, "b", 4), (5, None, 0)], "id int, k string, v int")
+    rungs = [F.col("v") > 9, F.col("v") > 3, F.col("v") >= 0]
+    assert sorted((r.id, r.level) for r in first_rung(df, rungs).collect()) == [(1, 1), (4, 1)]
+    by_key = first_rung(df, [F.col("v") > 4, F.col("v") > 0, F.lit(True)], "k")
+    assert sorted((r.id, r.level) for r in by_key.collect()) == [(1, 0), (3, 1), (4, 1), (5, 2)]
+    assert first_rung(df, [F.lit(False)]).count() == 0 and first_rung(df, [F.lit(None).cast("boolean"), F.col("v") > 3]).count() == 2
