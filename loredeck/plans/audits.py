@@ -176,22 +176,45 @@ def grid_summary(spark: SparkSession, sf: str) -> DataFrame:
     return g.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "folder_role"))).filter("place <= 8")
 
 
-#: Beginnings of chunks, and what is put in their place.
-PREFIXES = [("index_mode: full\nfile_type: tsv\ncontent_type: row\n", ""), ("Mode: generic_xlsx > Sheet: Main > Row: 7 > ", "[Main] "), ("Mode: pptx > Slide: 3 > ", "[Slide 3] "), ("", "")]
+#: Marks that a reader puts before chunks of sheets and slides, lines it puts before those of tables.
+META_LINE = r"(?m)^(?:index_mode|file_type|content_type): .+\n?"
+BLANKS = r"[ \t\n\r\f\x0B]+"
+
+
+def clean_chunk(chunk: Column) -> Column:
+    """STR-12: a chunk without lines of metadata; of what stands before a sheet's row or a slide only the sheet or the slide's number, in brackets.
+
+    What stands before is a list of fields, "name: value", joined by " > ". A slide's tail without notes goes; nulls stay null.
+    """
+    bare = F.regexp_replace(chunk, META_LINE, "")
+    fields = F.split(bare, " > ")
+    place = lambda test: F.coalesce(F.array_position(F.transform(fields, test), True), F.lit(0)).cast("int")
+    rest = lambda k: F.array_join(F.slice(fields, k + 1, F.greatest(F.size(fields) - k, F.lit(0))), " > ")
+    row, kind = place(lambda f: f.startswith("Row: ")), F.get(fields, F.lit(0))
+    sheets = F.filter(F.slice(fields, F.lit(1), F.greatest(row, F.lit(1))), lambda f: f.startswith("Sheet: "))
+    sheet = F.coalesce(F.substring(F.element_at(F.array_append(F.array(F.lit("Sheet: ")), F.get(sheets, F.size(sheets) - 1)), -1), 8, 1 << 20), F.lit(""))
+    of_sheet = F.concat(F.lit("["), sheet, F.lit("] "), rest(row))
+    content = place(lambda f: f == "ContentType: generic_pptx")
+    number = F.regexp_extract(F.coalesce(F.get(fields, content), F.lit("")), "^Slide: ([0-9]+)$", 1)
+    of_slide = F.concat(F.lit("[Slide "), number, F.lit("] "), F.regexp_replace(rest(content + 1), r"\n?### Notes:\s*$", ""))
+    is_slide = (kind == "Mode: generic_pptx") & F.get(fields, F.lit(1)).startswith("FileType: ") & (content > 2) & (number != "") & (F.size(fields) > content + 1)
+    cleaned = F.when(is_slide, of_slide).when(bare.startswith("Mode: generic_xlsx") & (row > 0), of_sheet).otherwise(bare)
+    return F.regexp_replace(cleaned, f"^{BLANKS}|{BLANKS}$", "")
 
 
-def clean_chunk(c: Column) -> Column:
-    """STR-12: a chunk without its lines of metadata; slide or sheet in brackets."""
-    c = F.regexp_replace(c, r"(?m)^(?:index_mode|file_type|content_type):.*\n?", "")
-    c = F.regexp_replace(c, r"^Mode: generic_xlsx > Sheet: ([^>]*?) > (?:[^>]* > )*?Row: [^>]* > ", "[$1] ")
-    return F.regexp_replace(c, r"^Mode: pptx > Slide: ([0-9]+) > ", "[Slide $1] ")
-
-
-@operator("chunk_prefix_cleanup", f"WITH {CHUNKS_SQL}, {values('x', 'prefix, put', PREFIXES)} SELECT node_id, seq, concat(put, chunk) AS chunk FROM chunks JOIN x ON k = (node_id + seq) % {len(PREFIXES)}")
+@operator(
+    "chunk_prefix_cleanup",
+    f"""WITH {CHUNKS_SQL} SELECT node_id, seq, trim(concat(CASE (node_id + seq) % 5 WHEN 1 THEN concat('[', source, '] ') WHEN 2 THEN concat('[Slide ', seq, '] ') ELSE '' END, chunk), concat(' ', chr(9), chr(10), chr(13), chr(12), chr(11))) AS chunk FROM chunks""",
+)
 def chunk_prefix_cleanup(spark: SparkSession, sf: str) -> DataFrame:
-    """STR-12: chunks of all kinds without what their reader put before them."""
-    c = chunks(spark, sf).withColumn("k", ((F.col("node_id") + F.col("seq")) % len(PREFIXES)).cast("int")).join(fixed(spark, [x[:1] for x in PREFIXES], "prefix string"), "k")
-    return c.select("node_id", "seq", clean_chunk(F.concat("prefix", "chunk")).alias("chunk"))
+    """STR-12: chunks without what their reader put before them: of tables, of a sheet named by the source, of slides numbered by the chunk, or nothing."""
+    kind, seq = (F.col("node_id") + F.col("seq")) % 5, F.col("seq").cast("string")
+    file = F.concat(F.col("source"), F.lit("-"), F.col("node_id").cast("string"))
+    lines = F.concat(F.lit("index_mode: generic_tsv\nfile_type: "), file, F.lit(".tsv\ncontent_type: generic_tsv\n"), "chunk")
+    sheet = F.concat(F.lit("Mode: generic_xlsx > FileType: "), file, F.lit(".xlsx > Sheet: "), "source", F.lit(" > Row: "), seq, F.lit(" > "), "chunk")
+    slide = F.concat(F.lit("Mode: generic_pptx > FileType: "), file, F.lit(".pptx > ContentType: generic_pptx > Slide: "), seq, F.lit(" > "), "chunk", F.lit("\n### Notes: "))
+    text = F.when(kind == 0, lines).when(kind == 1, sheet).when(kind == 2, slide).otherwise(F.col("chunk"))
+    return chunks(spark, sf).select("node_id", "seq", clean_chunk(text).alias("chunk"))
 
 
 @operator(

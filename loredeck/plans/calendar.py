@@ -138,11 +138,16 @@ def temporal_ranges(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("conv_id", "turn", "r.label", "r.confidence", F.col("r.start").cast("string").alias("date_from"), F.col("r.end").cast("string").alias("date_to"))
 
 
-@operator("recent_alone", f"WITH {_ASKED} SELECT CASE WHEN kind = 'recent' THEN 'counted' ELSE 'none' END AS kind, false AS only_recent, count(*) AS n FROM q GROUP BY 1")
+@operator(
+    "recent_alone",
+    f"""WITH {_ASKED}, k AS (SELECT turn, CASE WHEN kind = 'recent' THEN 'counted' WHEN kind IN ('week_back', 'month_back') THEN 'around' ELSE 'other' END AS kind FROM q)
+SELECT kind, turn % 3 = 0 AND kind = 'other' AS only_recent, count(*) AS n FROM k GROUP BY ALL""",
+)
 def recent_alone(spark: SparkSession, sf: str) -> DataFrame:
-    """DT-02: turns that only say "recent", by whether they count units."""
-    kind = F.when(F.col("expression").startswith("최근"), "counted").otherwise("none")
-    return asked(spark, sf).groupBy(kind.alias("kind"), only_recent(F.col("question")).alias("only_recent")).agg(F.count("*").alias("n"))
+    """DT-02: turns that only say "recent", by the kind of expression they have; every third one asks for recent documents."""
+    q = F.when(F.col("turn") % 3 == 0, F.concat("question", F.lit(" 최근 문서"))).otherwise(F.col("question"))
+    kind = F.when(F.col("expression").startswith("최근"), "counted").when(F.col("expression").rlike("^(?:이번|지난)"), "around").otherwise("other")
+    return asked(spark, sf).groupBy(kind.alias("kind"), only_recent(q).alias("only_recent")).agg(F.count("*").alias("n"))
 
 
 @operator(

@@ -14,6 +14,7 @@ from loredeck.operators.merge import cache_status, delta, upsert
 from loredeck.operators.ranking import best_per, bm25, first_rung, ladder, weighted
 from loredeck.operators.schedule import fires
 from loredeck.operators.trees import descendants
+from loredeck.plans.audits import clean_chunk
 from loredeck.plans.textops import nearly_equal, typo_ratio
 from loredeck.streaming.counters import finished
 
@@ -165,3 +166,18 @@ def test_first_rung_is_one_pass_over_the_rows(spark):
     by_key = first_rung(df, [F.col("v") > 4, F.col("v") > 0, F.lit(True)], "k")
     assert sorted((r.id, r.level) for r in by_key.collect()) == [(1, 0), (3, 1), (4, 1), (5, 2)]
     assert first_rung(df, [F.lit(False)]).count() == 0 and first_rung(df, [F.lit(None).cast("boolean"), F.col("v") > 3]).count() == 2
+
+
+def test_clean_chunk(spark):
+    cases = {
+        "index_mode: generic_tsv\nfile_type: a.tsv\ncontent_type: generic_tsv\nid: 1\n": "id: 1",
+        "Mode: generic_pptx > FileType: a > b.pptx > ContentType: generic_pptx > Slide: 3 > Title > more\n### Notes: ": "[Slide 3] Title > more",
+        "Mode: generic_pptx > FileType: a.pptx > ContentType: generic_pptx > Slide: 3 > T\n### Notes: kept": "[Slide 3] T\n### Notes: kept",
+        "Mode: generic_xlsx > FileType: a.xlsx > Sheet: Main > Row: 7 > id: 1 > b: 2 ": "[Main] id: 1 > b: 2", "Mode: generic_xlsx > Row: 7 > id: 1": "[] id: 1",
+        "Mode: generic_xlsx > Sheet: Main": "Mode: generic_xlsx > Sheet: Main", "Mode: generic_pptx > Slide: x > y": "Mode: generic_pptx > Slide: x > y",
+        " plain > text ": "plain > text", "": "", None: None,
+    }
+    df = spark.createDataFrame(list(cases.items()), "raw string, want string").withColumn("got", clean_chunk(F.col("raw")))
+    for r in df.collect():
+        assert r.got == r.want, r
+
