@@ -100,35 +100,39 @@ def issue_projection(spark: SparkSession, sf: str) -> DataFrame:
 # What counts as done, and words that ask for issues in work or done.
 DONE = ("Closed", "Done", "완료", "종료", "해결됨", "닫힘")
 ACTIVE_WORDS, CLOSED_WORDS = ("액티브", "활성", "진행 중", "진행중", "미해결", "열린", "active", "open"), ("완료", "종료", "해결된", "닫힌", "closed", "done")
-#: Questions, the query each becomes, and kinds: text, key or query.
-QUESTIONS = [
-    ("현재 액티브 이슈", "text", "active"), ("완료된 이슈", "text", "closed"), ("project = GAME AND text ~ \"login fails\"", "query", None), ("GAME-123", "key", None),
-    ("say \"hello\" now", "text", None), ("status IN (Open) ORDER BY updated", "query", "active"), ("game-7", "key", None), ("", "text", None),
-]
 IS_QUERY = r"(?i)\b(?:project|status|assignee|text|summary)\s*(?:=|!=|~|\bin\b|\bnot\s+in\b)|\border\s+by\b"
 
 
+def questions(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions about issues, put together from the issue's own fields in six ways (n): queries, keys and texts."""
+    n, key, who, project = F.col("issue_key") % 6, F.col("issue_key").cast("string"), F.coalesce("assignee", F.lit("")), F.coalesce("project", F.lit("none"))
+    q = F.when(n == 0, F.concat(F.lit("project = "), project, F.lit(' AND text ~ "'), who, F.lit('"')))
+    q = q.when(n == 1, F.concat(F.lower(project), F.lit("-"), key)).when(n == 2, F.concat(F.lit("active issues of "), who))
+    q = q.when(n == 3, F.concat(who, F.lit(' said "'), "priority", F.lit('", 완료된 이슈'))).when(n == 4, F.concat(F.lit("assignee in ("), who, F.lit(") ORDER BY updated"))).otherwise(who)
+    return issues(spark, sf).select("issue_key", q.alias("q"))
+
+
 @operator(
     "question_to_query",
-    f"""WITH {values('x', 'q, kind, wanted', QUESTIONS)}, a AS (SELECT role, x.* FROM conversations JOIN x ON k = (conv_id + 3 * turn) % {len(QUESTIONS)})
-SELECT role, q, kind, CASE wanted WHEN 'active' THEN 'NOT IN' WHEN 'closed' THEN 'IN' END AS status,
-  CASE WHEN kind = 'query' THEN q ELSE concat('summary ~ "', replace(q, '"', concat(chr(92), '"')), '" ORDER BY updated DESC') END AS query,
-  CASE WHEN q LIKE '%login%' THEN 'login fails' ELSE q END AS search_text, CASE WHEN q LIKE '%project = GAME%' THEN 'GAME' ELSE '' END AS project, count(*) AS asked
-FROM a GROUP BY ALL""",
+    f"""WITH {ISSUES_SQL}, a AS (SELECT issue_key, issue_key % 6 AS n, coalesce(assignee, '') AS who, coalesce(project, 'none') AS project, priority FROM issues),
+b AS (SELECT *, CASE n WHEN 0 THEN concat('project = ', project, ' AND text ~ "', who, '"') WHEN 1 THEN concat(lower(project), '-', issue_key) WHEN 2 THEN concat('active issues of ', who)
+  WHEN 3 THEN concat(who, ' said "', priority, '", 완료된 이슈') WHEN 4 THEN concat('assignee in (', who, ') ORDER BY updated') ELSE who END AS q FROM a)
+SELECT issue_key, q, CASE WHEN n IN (0, 4) THEN 'query' WHEN n = 1 THEN 'key' ELSE 'text' END AS kind, CASE n WHEN 2 THEN 'NOT IN' WHEN 3 THEN 'IN' END AS status,
+  CASE WHEN n IN (0, 4) THEN q ELSE concat('summary ~ "', replace(q, '"', concat(chr(92), '"')), '" ORDER BY updated DESC') END AS query,
+  CASE WHEN n = 0 AND who <> '' THEN who ELSE q END AS search_text, CASE WHEN n = 0 THEN upper(project) ELSE '' END AS project FROM b""",
 )
 def question_to_query(spark: SparkSession, sf: str) -> DataFrame:
     """REM-16/17, FLT-25/28: questions that are queries, issue keys or texts; the query, its text and project, and the status asked for."""
     q = F.col("q")
-    a = read(spark, sf, "conversations").withColumn("k", ((F.col("conv_id") + 3 * F.col("turn")) % len(QUESTIONS)).cast("int"))
-    a = a.join(fixed(spark, [x[:1] for x in QUESTIONS], "q string"), "k")
     kind = F.when(F.upper(F.trim(q)).rlike(r"^[A-Z][A-Z0-9]+-[0-9]+$"), "key").when(q.rlike(IS_QUERY), "query").otherwise("text")
     asks = lambda words: q.rlike("(?i)" + "|".join(words))
     status = F.when(asks(ACTIVE_WORDS), "NOT IN").when(asks(CLOSED_WORDS), "IN")
     query = F.when(kind == "query", q).otherwise(F.concat(F.lit('summary ~ "'), F.replace(q, F.lit('"'), F.lit('\\"')), F.lit('" ORDER BY updated DESC')))
     text = F.regexp_extract(q, r"(?i)(?:text|summary)\s*~\s*[\"'](.+?)[\"']", 1)
     project = F.upper(F.regexp_extract(q, r"(?i)project\s*=\s*[\"']?([A-Z][A-Z0-9_-]+)", 1))
-    columns = [F.col("role"), q, kind.alias("kind"), status.alias("status"), query.alias("query"), F.when(text != "", text).otherwise(q).alias("search_text"), project.alias("project")]
-    return a.select(*columns).groupBy("role", "q", "kind", "status", "query", "search_text", "project").agg(F.count("*").alias("asked"))
+    return questions(spark, sf).select(
+        "issue_key", "q", kind.alias("kind"), status.alias("status"), query.alias("query"), F.when(text != "", text).otherwise(q).alias("search_text"), project.alias("project")
+    )
 
 
 #: Clauses of a page query: field, operator, value.
@@ -161,19 +165,18 @@ def page_query(spark: SparkSession, sf: str) -> DataFrame:
     return p.filter(page_filter(PAGE_QUERY)).select("node_id", "title", F.col("modified").cast("string").alias("modified"))
 
 
-#: Literals and how a query has to write them.
-LITERALS = [("plain",), ('a "quoted" title',), ("back\\slash",), ('both \\" of them',)]
-
-
 @operator(
     "escaped_literals",
-    f"WITH {values('x', 'v', LITERALS)} SELECT r_regionkey, v, concat('title ~ \"', replace(replace(v, chr(92), concat(chr(92), chr(92))), '\"', concat(chr(92), '\"')), '\"') AS clause FROM region JOIN x ON k = r_regionkey % {len(LITERALS)}",
+    """WITH v AS (SELECT c_custkey, concat(c_name, CASE WHEN c_custkey % 2 = 0 THEN concat(' "', c_mktsegment, '"') ELSE '' END, CASE WHEN c_custkey % 3 = 0 THEN concat(chr(92), c_mktsegment, chr(92), '"') ELSE '' END) AS v FROM customer)
+SELECT c_custkey, v, concat('title ~ "', regexp_replace(v, '(["\\\\])', '\\\\\\1', 'g'), '"') AS clause FROM v""",
 )
 def escaped_literals(spark: SparkSession, sf: str) -> DataFrame:
     """FLT-28: values as literals of a page query: first backslashes, then quotes are escaped."""
-    r = read(spark, sf, "region").withColumn("k", F.col("r_regionkey") % len(LITERALS)).join(fixed(spark, LITERALS, "v string"), "k")
+    quoted = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(' "'), "c_mktsegment", F.lit('"'))).otherwise("")
+    slashed = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("\\"), "c_mktsegment", F.lit('\\"'))).otherwise("")
+    r = read(spark, sf, "customer").select("c_custkey", F.concat("c_name", quoted, slashed).alias("v"))
     escaped = F.replace(F.replace("v", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    return r.select("r_regionkey", "v", F.concat(F.lit('title ~ "'), escaped, F.lit('"')).alias("clause"))
+    return r.select("c_custkey", "v", F.concat(F.lit('title ~ "'), escaped, F.lit('"')).alias("clause"))
 
 
 #: Intents as JSON that a model may give, and what is kept: domain, limit, keywords.
