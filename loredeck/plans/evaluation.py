@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loredeck.operators.retrieval import best_documents
 from loredeck.registry import operator
 from loredeck.sources.tables import EVENTS_SQL, events, read
 
@@ -22,46 +23,44 @@ def words(c: str) -> Column:
 
 
 def ranked(spark: SparkSession, sf: str) -> DataFrame:
-    """item_id, doc_id, hits, size and rank of documents that share a word with a passage."""
-    q = read(spark, sf, "benchmark").select("item_id", words("text").alias("w")).select("item_id", F.size("w").alias("size"), F.explode("w").alias("word"))
-    d = read(spark, sf, "documents").select("doc_id", F.explode(words("text")).alias("word"))
-    h = d.join(q, "word").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"), F.max("size").alias("size"))
-    return h.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("hits"), "doc_id")))
+    """item_id, size, enough and top: of each passage the ten documents with most of its words, and how many are expected."""
+    return best_documents(read(spark, sf, "documents"), words("text"), read(spark, sf, "benchmark"), words("text"), K)
 
 
-def expected(r: DataFrame) -> Column:
-    return F.col("hits") >= 0.9 * F.col("size")
+def expected(hit: Column) -> Column:
+    return hit["hits"] >= 0.9 * F.col("size")
+
+
+def got() -> Column:
+    """How many of the returned documents are expected."""
+    return F.size(F.filter("top", expected))
 
 
 @operator("ingest_coverage", f"WITH {_RANKED} SELECT item_id, round(max(hits) / CAST(max(size) AS DOUBLE), 6) AS coverage FROM r GROUP BY item_id")
 def ingest_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """EVL-03: the share of a query's words found in its best document."""
-    return ranked(spark, sf).groupBy("item_id").agg(F.round(F.max("hits") / F.max("size"), 6).alias("coverage"))
+    return ranked(spark, sf).select("item_id", F.round(F.col("top")[0]["hits"] / F.col("size"), 6).alias("coverage"))
 
 
 @operator("recall_precision_at_k", f"WITH {_RANKED}, x AS (SELECT item_id, count(*) AS n, count(*) FILTER (rank <= {K}) AS got FROM r JOIN e USING (item_id, doc_id) GROUP BY item_id), t AS (SELECT item_id, least(count(*), {K}) AS returned FROM r GROUP BY item_id) SELECT item_id, round(got / CAST(n AS DOUBLE), 6) AS recall, round(got / CAST(returned AS DOUBLE), 6) AS precision FROM x JOIN t USING (item_id)")
 def recall_precision_at_k(spark: SparkSession, sf: str) -> DataFrame:
     """EVL-01/02/04, SET-04: of the expected, and of the returned, those found among the first ten."""
-    r = ranked(spark, sf)
-    want, got = F.count_if(expected(r)), F.count_if(expected(r) & (F.col("rank") <= K))
-    return r.groupBy("item_id").agg(want.alias("n"), got.alias("got"), F.least(F.count("*"), F.lit(K)).alias("returned")).filter("n > 0").select("item_id", F.round(F.col("got") / F.col("n"), 6).alias("recall"), F.round(F.col("got") / F.col("returned"), 6).alias("precision"))
+    return ranked(spark, sf).filter("enough > 0").select("item_id", F.round(got() / F.col("enough"), 6).alias("recall"), F.round(got() / F.size("top"), 6).alias("precision"))
 
 
 @operator("ndcg_at_k", f"WITH {_RANKED}, x AS (SELECT item_id, count(*) AS n, sum(CASE WHEN rank <= {K} THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM r JOIN e USING (item_id, doc_id) GROUP BY item_id), i AS (SELECT item_id, sum(1 / log2(p + 1)) AS ideal FROM (SELECT item_id, unnest(range(1, least(n, {K}) + 1)) AS p FROM x) GROUP BY item_id) SELECT item_id, round(dcg / ideal, 6) AS ndcg FROM x JOIN i USING (item_id)")
 def ndcg_at_k(spark: SparkSession, sf: str) -> DataFrame:
     """EVL-06, WIN-03, MTH-03: discounted gain over the best possible."""
-    r = ranked(spark, sf)
-    gain = F.sum(F.when(expected(r) & (F.col("rank") <= K), 1 / F.log2(F.col("rank") + 1)).otherwise(0.0))
-    x = r.groupBy("item_id").agg(F.count_if(expected(r)).alias("n"), gain.alias("dcg")).filter("n > 0")
-    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(K)).cast("int")), F.lit(0.0), lambda a, p: a + 1 / F.log2(p + 1))
-    return x.select("item_id", F.round(F.col("dcg") / ideal, 6).alias("ndcg"))
+    gain = lambda p: 1 / F.log2(p + 1)
+    places = F.transform("top", lambda hit, i: F.when(expected(hit), gain(i + 1)).otherwise(0.0))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("enough"), F.lit(K)).cast("int")), F.lit(0.0), lambda a, p: a + gain(p))
+    return ranked(spark, sf).filter("enough > 0").select("item_id", F.round(F.aggregate(places, F.lit(0.0), lambda a, g: a + g) / ideal, 6).alias("ndcg"))
 
 
 @operator("routing_hit", f"WITH {_RANKED} SELECT item_id, max(CASE WHEN rank = 1 AND e.doc_id IS NOT NULL THEN 1 ELSE 0 END) AS hit FROM r LEFT JOIN e USING (item_id, doc_id) GROUP BY item_id")
 def routing_hit(spark: SparkSession, sf: str) -> DataFrame:
     """EVL-05/14: whether the first document is an expected one."""
-    r = ranked(spark, sf)
-    return r.groupBy("item_id").agg(F.max(F.when((F.col("rank") == 1) & expected(r), 1).otherwise(0)).alias("hit"))
+    return ranked(spark, sf).select("item_id", F.when(expected(F.col("top")[0]), 1).otherwise(0).alias("hit"))
 
 
 @operator("stratum_means", "SELECT lang, CASE WHEN n_chars < 800 THEN 'short' WHEN n_chars < 3000 THEN 'middle' ELSE 'long' END AS stratum, CAST(count(*) AS BIGINT) AS n, round(avg(quality), 6) AS quality, round(avg(toxic), 6) AS toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL")
@@ -74,9 +73,8 @@ def stratum_means(spark: SparkSession, sf: str) -> DataFrame:
 @operator("kpi_miss_rate", f"WITH {_RANKED}, x AS (SELECT n.item_id, max(CASE WHEN e.doc_id IS NOT NULL AND rank <= {K} THEN 1 ELSE 0 END) AS hit FROM n LEFT JOIN r USING (item_id) LEFT JOIN e USING (item_id, doc_id) GROUP BY n.item_id) SELECT CAST(count(*) AS BIGINT) AS queries, round((1 - avg(hit)) * 100, 3) AS miss_rate FROM x")
 def kpi_miss_rate(spark: SparkSession, sf: str) -> DataFrame:
     """AGG-21, EVL-11: queries whose first ten hold nothing expected."""
-    r = ranked(spark, sf)
     q = read(spark, sf, "benchmark").filter(F.size(words("text")) > 0).select("item_id")
-    hit = r.groupBy("item_id").agg(F.max(F.when(expected(r) & (F.col("rank") <= K), 1).otherwise(0)).alias("hit"))
+    hit = ranked(spark, sf).select("item_id", F.when(got() > 0, 1).otherwise(0).alias("hit"))
     return q.join(hit, "item_id", "left").agg(F.count("*").alias("queries"), F.round((1 - F.avg(F.coalesce("hit", F.lit(0)))) * 100, 3).alias("miss_rate"))
 
 
