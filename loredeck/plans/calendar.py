@@ -18,14 +18,14 @@ def days(spark: SparkSession, sf: str) -> DataFrame:
 
 #: Schedules: id, kind, weekday (0 Monday), day or ordinals, interval in weeks, start.
 SCHEDULES = [
-    ("daily", "daily", None, None, None, None), ("weekly", "weekly", 2, None, None, None), ("monthly", "monthly", None, [15], None, None),
+    ("daily", "daily", None, None, None, None), ("mission", "mission", None, None, None, None), ("specific", "specific", None, None, None, "1996-03-05"), ("weekly", "weekly", 2, None, None, None), ("monthly", "monthly", None, [15], None, None),
     ("second_fourth", "nth_weekday", 4, [2, 4], None, None), ("last_friday", "last_weekday", 4, None, None, None),
     ("biweekly", "nweekly", 0, None, 2, "1995-01-02"), ("triweekly", "nweekly", 3, None, 3, "1996-01-04"), ("quarterly", "quarterly", None, None, None, None),
 ]
 _DAYS = "days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)"
 _WD = "(isodow(d) - 1)"
 _SQL = {
-    "daily": f"{_WD} < 5", "weekly": f"{_WD} = 2", "monthly": "day(d) = 15", "second_fourth": f"{_WD} = 4 AND CAST(ceil(day(d) / 7.0) AS INTEGER) IN (2, 4)",
+    "daily": f"{_WD} < 5", "mission": f"{_WD} < 5", "specific": "FALSE", "weekly": f"{_WD} = 2", "monthly": "day(d) = 15", "second_fourth": f"{_WD} = 4 AND CAST(ceil(day(d) / 7.0) AS INTEGER) IN (2, 4)",
     "last_friday": f"{_WD} = 4 AND day(d) + 7 > day(last_day(d))", "biweekly": f"{_WD} = 0 AND CAST(floor((d - DATE '1995-01-02') / 7.0) AS BIGINT) % 2 = 0",
     "triweekly": f"{_WD} = 3 AND CAST(floor((d - DATE '1996-01-04') / 7.0) AS BIGINT) % 3 = 0", "quarterly": f"month(d) IN (1, 4, 7, 10) AND day(d) <= 7 AND {_WD} = 0",
 }
