@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = ("lookups", "search", "textops", "metrics", "evaluation", "calendar", "maintenance", "streams", "folders", "issues", "audits", "stores", "rules", "answers", "golden", "reports")
+_MODULES = ("lookups", "search", "textops", "metrics", "evaluation", "calendar", "maintenance", "streams", "folders", "issues", "audits", "stores", "rules", "answers", "golden", "reports", "parses")
 
 
 def operator(name: str, sql: str | None = None) -> Callable[[Query], Query]:
