@@ -8,8 +8,8 @@ windows that overlap by CONTEXT ids, scored in batches, each id once and with at
 
 All training documents teach it. Ids, and pairs of classes that follow each other, are counted over all of them by
 Spark; weights are trained in ROUNDS: in each, every task starts from the same weights and goes through one window in
-SHARE (at least one) of each of its training documents, other windows in every round, and the tasks' weights are averaged, each by its
-windows. So what is learnt from grows with the input, and nothing but sums of fixed size meets in the driver.
+ROUNDS of each of its training documents, other windows in every round, and the tasks' weights are averaged, each by its
+windows. So every window is learnt from once, and nothing but sums of fixed size meets in the driver.
 
 The base is the smoothed unigram score of whole words. Its counts are taken over all training documents: tasks
 send each word once for a block of documents, with the documents it is in; the counts are joined to these rows and
@@ -40,8 +40,8 @@ from loredeck.llm import words
 from loredeck.llm.common import fold, materialise, packed_bytes, slices, table, text_bytes
 
 FOLDS, HELD_OUT = 5, 1
-#: Rounds of training, of how many windows of a document one is used in a round, windows of a step, rate.
-ROUNDS, SHARE, STEP, RATE = 3, 32, 192, 0.01
+#: Rounds of training, windows of a step, rate.
+ROUNDS, STEP, RATE = 3, 192, 0.01
 #: Output classes and members of a group of classes, width of the model and of its rectified layer, ids of a window,
 #: of those that are context only.
 CLASSES, MEMBERS, WIDTH, HIDDEN, WINDOW, CONTEXT = 1024, 32, 32, 64, 32, 8
@@ -142,14 +142,15 @@ class Attention:
         return log, kept
 
     def gradients(self, before: np.ndarray, after: np.ndarray, first: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss of the scored places and its gradients; after is -1 where nothing is scored."""
+        """Mean loss of the scored places and its gradients; after is -1 where nothing is scored, as in the context."""
         w = self.weights
-        whole, (x, q, k, v, a, a_sum, c, y, h) = self.body(before, first)
-        a = a / a_sum
+        whole, (x, q, k, v, a, a_sum, c, y, h) = self.body(before, first, CONTEXT)
+        a /= a_sum
+        after, last = after[:, CONTEXT:], before[:, CONTEXT:]
         i, j = np.nonzero(after >= 0)
         z, target = whole[i, j], after[i, j]
         n = np.float32(max(1, len(i)))
-        log, ((p, total), *parts) = self.heads(z, target, before[i, j])
+        log, ((p, total), *parts) = self.heads(z, target, last[i, j])
         g = {name: np.zeros_like(w[name]) for name in ("member", "member_bias", "embed")}
         p /= total[:, None]
         p[np.arange(len(p)), target // MEMBERS] -= 1
@@ -164,18 +165,23 @@ class Attention:
         d = np.zeros_like(whole)
         d[i, j] = dz
         flat = lambda m: m.reshape(-1, m.shape[-1])
-        dh = (d @ w["down"].T) * (h > 0)
+        dh = times(d, w["down"].T)
+        dh *= h > 0
         g["down"], g["up"] = flat(h).T @ flat(d), flat(y).T @ flat(dh)
-        dy = d + dh @ w["up"].T
+        dy = d + times(dh, w["up"].T)
         g["o"] = flat(c).T @ flat(dy)
-        dc = dy @ w["o"].T
+        dc = times(dy, w["o"].T)
         da = dc @ v.transpose(0, 2, 1)
         dv = a.transpose(0, 2, 1) @ dc
-        ds = a * (da - (da * a).sum(2, keepdims=True))
-        g["place"] = ds.sum(0)
+        da -= (dc * c).sum(2, keepdims=True)  # the same as the sum of da * a
+        ds = np.multiply(da, a, out=da)
+        g["place"] = np.concatenate([np.zeros((CONTEXT, WINDOW), ds.dtype), ds.sum(0)])
         dq, dk = ds @ k * np.float32(WIDTH**-0.5), ds.transpose(0, 2, 1) @ q
-        g["q"], g["k"], g["v"] = flat(x).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-        dx = dy + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
+        g["q"], g["k"], g["v"] = flat(x[:, CONTEXT:]).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
+        dx = times(dk, w["k"].T)
+        dx += times(dv, w["v"].T)
+        dx[:, CONTEXT:] += dy
+        dx[:, CONTEXT:] += times(dq, w["q"].T)
         order = np.argsort(before.ravel(), kind="stable")
         names, rows = runs(before.ravel()[order])
         g["embed"][names] = np.add.reduceat(flat(dx)[order], [r.start for r in rows], axis=0)
@@ -454,9 +460,11 @@ class Training:
         self.held: list[tuple[np.ndarray, ...]] = []
 
     def learn(self, ids: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> None:
-        owner, number, n = numbered(offsets)
-        place = (words.mix(rows.astype(np.uint64)) + np.uint64(self.turn)) % np.clip(n, 1, SHARE).astype(np.uint64)
-        chosen = np.flatnonzero(number % SHARE == place.astype(np.int64)[owner])
+        owner, number, _ = numbered(offsets)
+        place = (words.mix(rows.astype(np.uint64)) % np.uint64(ROUNDS)).astype(np.int64) + self.turn
+        chosen = np.flatnonzero((number - place[owner]) % ROUNDS == 0)
+        if not len(chosen):
+            return
         before, after, first, _ = windows(self.model.classes[ids], offsets, (owner[chosen], number[chosen]))
         self.held.append((before, after, first))
         if sum(len(x) for x, _, _ in self.held) >= 32 * STEP:
