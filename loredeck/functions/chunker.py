@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 SIZE, OVERLAP, LEAST, SMALL = 800, 100, 50, 400
 MARKER = r"\[=[^\]\n]{1,500}\]|\[이미지[^\]\n]{1,500}\]"
 SHEET, SLIDE = r"^##\s+Sheet:\s+(.+)$", r"^##\s+Slide\s+([0-9]+)\s*$"
-BLANKS = r"[ \t\n\r\f\x0B]+"
-TEXTS, CHUNKS = "array<string>", "array<struct<chunk:string,origin:string>>"
+BLANKS = " \t\n\r\f\x0b"
+TEXTS, CHUNKS, STARTS = "array<string>", "array<struct<chunk:string,origin:string>>", "array<struct<kinds:string,at:int>>"
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -31,7 +31,7 @@ def empty(kind: str) -> Column:
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{BLANKS}|{BLANKS}$", "")
+    return F.trim(text, F.lit(BLANKS))
 
 
 def filled(texts: Column) -> Column:
@@ -42,16 +42,22 @@ def filled(texts: Column) -> Column:
 def runs(items: Column, kinds: Column, pattern: str) -> Column:
     """Items, each with a letter in kinds, cut into runs by a pattern over the letters: (kinds, items)."""
     pieces = F.regexp_extract_all(kinds, F.lit(pattern), F.lit(0))
-    start = lambda k: F.length(F.array_join(F.slice(pieces, F.lit(1), k), ""))
-    return let(pieces, lambda own: F.transform(own, lambda p, k: F.struct(p.alias("kinds"), F.slice(items, start(k) + 1, F.length(p)).alias("items"))))
+    state = F.struct(F.lit(1).alias("at"), empty(STARTS).alias("out"))
+    one = lambda s, p: F.struct(p.alias("kinds"), s["at"].alias("at"))
+    step = lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.array_append(s["out"], one(s, p)).alias("out"))
+    placed = F.aggregate(pieces, state, step, lambda s: s["out"])
+    return F.transform(placed, lambda p: F.struct(p["kinds"].alias("kinds"), F.slice(items, p["at"], F.length(p["kinds"])).alias("items")))
 
 
 def line_kind(line: Column) -> Column:
     """R: a row of a table, S: the line under its heading, H: a heading of a sheet or slide, x: text."""
-    bare = stripped(line)
-    barred = bare.startswith("|") & bare.endswith("|")
-    bars = F.length(bare) - F.length(F.replace(bare, F.lit("|"), F.lit("")))
-    return F.when(barred & bare.contains("---"), "S").when(barred & (bars >= 2), "R").when(line.rlike(SHEET) | line.rlike(SLIDE), "H").otherwise("x")
+
+
+    def barred(bare: Column) -> Column:
+        return F.when(~(bare.startswith("|") & bare.endswith("|")), "x").when(bare.contains("---"), "S").when(bare != "|", "R").otherwise("x")
+
+    heads = line.startswith("##") & (line.rlike(SHEET) | line.rlike(SLIDE))
+    return F.when(heads, "H").when(line.contains("|"), let(stripped(line), barred)).otherwise("x")
 
 
 def windows(text: Column) -> Column:
