@@ -19,12 +19,14 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of patterns in a part, characters of text searched at once.
-PART_CHARS, SLICE_CHARS = 4 << 20, 1 << 20
+from loredeck.functions.batches import parts as batches_of
+
+#: Characters of patterns in a part, bytes of text searched at once (a longer text alone).
+PART_CHARS, SLICE_CHARS = 4 << 20, 1 << 18
 BASE = 0x9E3779B97F4A7C15
 SPANS = "array<struct<start:int,stop:int,rule:long>>"
 
@@ -102,26 +104,25 @@ class Patterns:
         order = np.lexsort((rule, -n, at))
         return text[order], (at - begin[text])[order], (at - begin[text] + n)[order], rule[order]
 
-    def column(self, text: Column) -> Column:
-        """All occurrences in each text, by start, longer ones first."""
 
-        @F.pandas_udf(SPANS)
-        def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for batch in batches:
-                texts = [(_lower(t) if self.any_case else t) if t is not None else "" for t in batch]
-                out: list[list[dict]] = [[] for _ in texts]
-                a = 0
-                while a < len(texts):
-                    z, chars = a, 0
-                    while z < len(texts) and (z == a or chars + len(texts[z]) <= SLICE_CHARS):
-                        chars += len(texts[z])
-                        z += 1
-                    for t, start, stop, rule in zip(*(x.tolist() for x in self.occurrences(texts[a:z]))):
-                        out[a + t].append({"start": start, "stop": stop, "rule": rule})
-                    a = z
-                yield pd.Series(out)
+def column(parts: list[Patterns], text: Column) -> Column:
+    """All occurrences of the patterns of all parts in each text; of a part by start, longer ones first."""
+
+    def find(texts: list[str]) -> pa.Array:
+        found = [p.occurrences([(_lower(t) if p.any_case else t) for t in texts]) for p in parts]
+        of, start, stop, rule = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(of, kind="stable")
+        spans = pa.StructArray.from_arrays([pa.array(x[order], kind) for x, kind in ((start, pa.int32()), (stop, pa.int32()), (rule, pa.int64()))], names=["start", "stop", "rule"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(of[order], np.arange(len(texts) + 1)), pa.int32()), spans)
+
+    @F.arrow_udf(SPANS)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for some in batches_of(batch, SLICE_CHARS):
+                yield find(some.fill_null("").to_pylist())
+            pa.default_memory_pool().release_unused()  # workers live on for other tasks
 
-        return find(text)
+    return run(text)
 
 
 def parts_of(rules: DataFrame, whole_words: bool, any_case: bool) -> list[Patterns]:
@@ -135,10 +136,7 @@ def parts_of(rules: DataFrame, whole_words: bool, any_case: bool) -> list[Patter
 
 def occurrences(docs: DataFrame, text: str, rules: DataFrame, whole_words: bool = True, any_case: bool = True) -> DataFrame:
     """docs with `spans`: every occurrence of every pattern (start and stop in characters, from 0)."""
-    found = [p.column(F.col(text)) for p in parts_of(rules, whole_words, any_case)]
-    out = docs.withColumns({f"__spans{i}": c for i, c in enumerate(found)})
-    names = [f"__spans{i}" for i in range(len(found))]
-    return out.withColumn("spans", F.concat(*names)).drop(*names)
+    return docs.withColumn("spans", column(parts_of(rules, whole_words, any_case), F.col(text)))
 
 
 def leftmost_longest(spans: Column) -> Column:
