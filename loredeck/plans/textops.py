@@ -5,16 +5,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loredeck.functions import markup
+from loredeck.functions.batches import parts
 from loredeck.functions.chunker import chunked
 from loredeck.functions.text import STRIP_HTML_SQL, content_hash, guarded_csv, log_field, strip_html
 from loredeck.operators.ranking import top
 from loredeck.registry import operator
 from loredeck.sources.tables import CHUNKS_SQL, chunks, pages, read
 
+#: Markup that a task converts at once.
+MARKUP_BYTES = 1 << 20
+
 
 @operator("strip_html_regex", f"SELECT page_id, length(t) AS chars, sha256(t) AS digest FROM (SELECT page_id, {STRIP_HTML_SQL} AS t FROM pages)")
 def strip_html_regex(spark: SparkSession, sf: str) -> DataFrame:
@@ -27,10 +32,12 @@ def strip_html_regex(spark: SparkSession, sf: str) -> DataFrame:
 def html_to_markdown(spark: SparkSession, sf: str) -> DataFrame:
     """STR-02, SRC-30: markup to Markdown by its structure."""
 
-    @F.pandas_udf("string")
-    def convert(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for html in batches:
-            yield html.fillna("").map(markup.to_markdown)
+    @F.arrow_udf("string")
+    def convert(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for html in parts(batch, MARKUP_BYTES):
+                yield pa.array([markup.to_markdown(h) for h in html.fill_null("").to_pylist()], pa.string())
+            pa.default_memory_pool().release_unused()  # workers live on for other tasks
 
     return pages(spark, sf).select("page_id", convert("html").alias("markdown"))
 
