@@ -1,8 +1,8 @@
 """A stored index of character trigrams with their places: keyword search that doesn't read the texts.
 
 Rows are dealt to buckets by a hash of their key, a bucket's rows to blocks of bounded size. For each block there is a
-row for each trigram of its lower-cased texts, with the documents (numbers inside the block) and the places it stands
-at, and a header row with the keys and the lengths. A bucket is a partition folder whose rows are sorted by trigram,
+row for each trigram of its lower-cased texts, with the places it stands at, counted through the block's texts and
+kept as gaps of seven bits a byte, and a header row with the keys and the lengths, from which follow the documents. A bucket is a partition folder whose rows are sorted by trigram,
 so a search reads the row groups of its trigrams and no others; places decide whether the trigrams of a keyword stand
 side by side, so the texts themselves aren't needed. A keyword shorter than a trigram is a range of trigrams.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 #: Rows of a bucket aimed at; rows and characters of a block at most; marks that end a column and a text.
 BUCKET_ROWS, BLOCK_ROWS, BLOCK_CHARS = 512, 2048, 4 << 20
 BREAK, END = "\u0001", "\u0003"
-SCHEMA = "bucket int, block int, gram string, docs binary, places binary, keys array<long>, sizes array<int>"
+SCHEMA = "bucket int, block int, gram string, places binary, keys array<long>, sizes array<int>"
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
@@ -56,9 +56,27 @@ class Pieces:
 # ---- building
 
 
-def _places_type(sizes: np.ndarray) -> np.dtype:
-    """What documents, numbers of places and places of a block are kept in."""
-    return np.dtype("<u2" if sizes.max(initial=0) < 1 << 16 else "<u4")
+def packed_gaps(gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers as groups of seven bits, the lowest first, all but the last with the eighth bit set; and the bytes of each."""
+    n = np.ones(len(gaps), np.int64)
+    for bits in range(7, 63, 7):
+        n += gaps >> bits > 0
+    ends = np.cumsum(n)
+    out = np.zeros(int(ends[-1]) if len(n) else 0, np.uint8)
+    for k in range(int(n.max(initial=0))):
+        some = np.flatnonzero(n > k)
+        out[ends[some] - n[some] + k] = (gaps[some] >> (7 * k) & 127) | np.where(n[some] > k + 1, 128, 0)
+    return out, n
+
+
+def unpacked_gaps(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).astype(np.int64)
+    if not len(raw):
+        return raw
+    last = np.flatnonzero(raw < 128)
+    first = np.append(0, last[:-1] + 1)
+    shift = 7 * (np.arange(len(raw)) - np.repeat(first, last - first + 1))
+    return np.add.reduceat((raw & 127) << shift, first)
 
 
 def _gram_rows(bucket: int, block: int, keys: list[int], texts: list[list[str]]) -> pa.RecordBatch:
@@ -66,31 +84,25 @@ def _gram_rows(bucket: int, block: int, keys: list[int], texts: list[list[str]])
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     codes = np.frombuffer("".join(BREAK.join(t) + END * 2 for t in texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     size = np.array([sum(map(len, t)) + len(t) - 1 for t in texts], np.int64)
-    doc = np.repeat(np.arange(len(texts)), size)
-    place = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
-    at = place + np.repeat(np.cumsum(size + 2) - size - 2, size)
+    place = np.arange(size.sum())
+    at = place + 2 * np.repeat(np.arange(len(texts)), size)  # two marks end each text before
     gram = (codes[at] << np.uint64(42)) | (codes[at + 1] << np.uint64(21)) | codes[at + 2]
     order = np.argsort(gram, kind="stable")
-    gram, doc, place = gram[order], doc[order], place[order]
+    gram, place = gram[order], place[order]
     first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, np.int64)
-    runs = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1]))) if len(gram) else np.zeros(0, np.int64)
     chars = np.stack([(gram[first] >> np.uint64(s)) & np.uint64(0x1FFFFF) for s in (42, 21, 0)], 1).astype("<u4")
-    kind = _places_type(size)
-    pairs = np.stack([doc[runs], np.diff(np.append(runs, len(gram)))], 1).astype(kind)  # a document and how many places
-
-    def packed(x: np.ndarray, ends: np.ndarray) -> pa.Array:
-        buffers = [None, pa.py_buffer((ends * kind.itemsize).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(x))]
-        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), buffers).cast(pa.binary())
-
-    docs = packed(pairs, 2 * np.append(np.searchsorted(runs, first), len(runs)))
-    places = packed(place.astype(kind), np.append(first, len(gram)))
+    gaps = np.diff(place, prepend=0)
+    gaps[first] = place[first]
+    raw, width = packed_gaps(gaps)
+    ends = np.append(np.append(0, np.cumsum(width))[first], len(raw))
+    places = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
     n = len(first)
     header = pa.RecordBatch.from_arrays(
-        [pa.array([bucket], pa.int32()), pa.array([block], pa.int32()), pa.array([""]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()),
+        [pa.array([bucket], pa.int32()), pa.array([block], pa.int32()), pa.array([""]), pa.nulls(1, pa.binary()),
          pa.array([keys], pa.list_(pa.int64())), pa.array([[len(c) for t in texts for c in t]], pa.list_(pa.int32()))], names=names)
     rows = pa.RecordBatch.from_arrays(
         [pa.array(np.full(n, bucket, np.int32)), pa.array(np.full(n, block, np.int32)), pa.array(np.ascontiguousarray(chars).view("<U3").ravel().tolist(), pa.string()),
-         docs, places, pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int32()))], names=names)
+         places, pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int32()))], names=names)
     return pa.Table.from_batches([header, rows]).combine_chunks().to_batches()[0]
 
 
@@ -145,7 +157,7 @@ class StoredIndex:
         touched = changed.select(_bucket(self.key, self.buckets).alias("bucket")).distinct()
         of = docs.withColumn("__bucket", _bucket(self.key, self.buckets))
         own = of.join(touched.withColumnRenamed("bucket", "__bucket"), "__bucket", "left_semi").drop("__bucket")
-        empty = touched.selectExpr("bucket", "-1 block", "'' gram", "null docs", "null places", "array() keys", "array() sizes")  # so that an emptied bucket is written too
+        empty = touched.selectExpr("bucket", "-1 block", "'' gram", "null places", "array() keys", "array() sizes")  # so that an emptied bucket is written too
         _write(_blocks(own, self.key, list(self.columns), self.buckets).unionByName(empty), self.path)
 
     def rows(self) -> DataFrame:
@@ -197,19 +209,20 @@ class _Finder:
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, {}
         for b in batches:
-            names = [b.column(c).to_pylist() for c in ("bucket", "block", "gram", "docs", "places", "keys", "sizes")]
-            for bucket, block, gram, docs, places, keys, sizes in zip(*names):
+            names = [b.column(c).to_pylist() for c in ("bucket", "block", "gram", "places", "keys", "sizes")]
+            for bucket, block, gram, places, keys, sizes in zip(*names):
                 if (bucket, block) != key:
                     if held:
                         yield self.block(held)
                     key, held = (bucket, block), {}
                 if gram == "":
                     held[""] = (keys, sizes)
-                    whole = np.array(sizes, np.int64).reshape(len(keys), len(self.columns)) + 1
-                    kind = _places_type(whole.sum(1) - 1)
+                    whole = np.array(sizes, np.int64).reshape(len(keys), len(self.columns)).sum(1) + len(self.columns) - 1
+                    begin = np.cumsum(whole) - whole
                 else:
-                    pairs = np.frombuffer(docs, kind).reshape(-1, 2).astype(np.int64)
-                    held[gram] = (np.repeat(pairs[:, 0], pairs[:, 1]) << 32) | np.frombuffer(places, kind)
+                    at = np.cumsum(unpacked_gaps(places))
+                    doc = np.searchsorted(begin, at, "right") - 1
+                    held[gram] = (doc << 32) | (at - begin[doc])
         if held:
             yield self.block(held)
 
