@@ -42,6 +42,8 @@ from loredeck.llm.common import fold, materialise, packed_bytes, slices, table,
 FOLDS, HELD_OUT = 5, 1
 #: Rounds of training, windows of a step, rate.
 ROUNDS, STEP, RATE = 3, 192, 0.01
+#: Windows whose vectors are found at once, so that they stay in a core's cache.
+CHUNK = 96
 #: Output classes and members of a group of classes, width of the model and of its rectified layer, ids of a window,
 #: of those that are context only.
 CLASSES, MEMBERS, WIDTH, HIDDEN, WINDOW, CONTEXT = 1024, 32, 32, 64, 32, 8
@@ -69,6 +71,11 @@ class Attention:
     group_told: np.ndarray
     member_told: np.ndarray
 
+    @property
+    def small(self) -> np.ndarray:
+        """The classes of ids in two bytes each."""
+        return self.classes.astype(np.int16)
+
     @classmethod
     def fresh(cls, count: np.ndarray, pairs: np.ndarray | None = None) -> Attention:
         """Untrained: count of each id, and of pairs of classes one after another (CLASSES by CLASSES)."""
@@ -90,115 +97,133 @@ class Attention:
         return cls(classes, rest, w, group_told, np.ascontiguousarray(member_told))
 
     def by_class(self) -> tuple[np.ndarray, ...]:
-        """Query, key and value of each class, and the bias of places."""
+        """Query of each class, key and what its value adds to a vector side by side, and the bias of the scored places."""
         w, t = self.weights, np.arange(WINDOW)
-        return w["embed"] @ (w["q"] * np.float32(WIDTH**-0.5)), w["embed"] @ w["k"], w["embed"] @ w["v"], np.where(t[:, None] >= t, w["place"], np.float32(-1e9))
+        bias = np.where(t[CONTEXT:, None] >= t, w["place"][CONTEXT:], w["place"].dtype.type(-1e9))
+        return w["embed"] @ (w["q"] * np.float32(WIDTH**-0.5)), w["embed"] @ np.concatenate([w["k"], w["v"] @ w["o"]], 1), bias
 
-    def body(self, before: np.ndarray, first: np.ndarray, start: int = 0, tables: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, ...]:
-        """Vectors after places start to WINDOW of ids `before` (classes, a window a row), and what training needs."""
-        w, t = self.weights, np.arange(WINDOW)
-        of_q, of_k, of_v, bias = tables or self.by_class()
-        x = np.take(w["embed"], before, axis=0)
-        q, k, v = np.take(of_q, before[:, start:], axis=0), np.take(of_k, before, axis=0), np.take(of_v, before, axis=0)
-        a = q @ k.transpose(0, 2, 1)
-        a += bias[start:]
+    def body(self, before: np.ndarray, first: np.ndarray, tables: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, ...]:
+        """Vectors after the scored places of ids `before` (classes, a window a row), a place a row, and what training needs."""
+        w = self.weights
+        of_q, of_kv, bias = tables or self.by_class()
+        here = before[:, CONTEXT:]
+        x, q, kv = np.take(w["embed"], here, axis=0), np.take(of_q, here, axis=0), np.take(of_kv, before, axis=0)
+        a = q @ kv[:, :, :WIDTH].transpose(0, 2, 1)
+        a += bias
         a[first, :, :CONTEXT] = -1e9  # a document's first window has no context
-        if start < CONTEXT:
-            a[:, np.arange(CONTEXT - start), t[start:CONTEXT]] = 0
         np.exp(a, out=a)
-        a_sum = times(a, np.ones((WINDOW, 1), a.dtype))
-        c = a @ v
-        c /= a_sum
-        y = x[:, start:] + times(c, w["o"])
-        h = times(y, w["up"])
-        np.maximum(h, 0, out=h)
-        return y + times(h, w["down"]), (x, q, k, v, a, a_sum, c, y, h)
-
-    def heads(self, z: np.ndarray, target: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
-        """Log probability of each row's target class after class `last`, as its group's times its own within the group; and the distributions."""
-        w = self.weights
-        group, member = np.divmod(target, MEMBERS)
-        ones_g, ones_m = np.ones(CLASSES // MEMBERS, z.dtype), np.ones(MEMBERS, z.dtype)
-        p = z @ w["group"]
-        p += w["group_bias"]
-        p += np.take(self.group_told, last, axis=0)
-        log = p[np.arange(len(p)), group]
+        share = 1 / (flat(a) @ np.ones(WINDOW, a.dtype))[:, None]
+        c = flat(a @ kv[:, :, WIDTH:])
+        c *= share
+        y = flat(x) + c
+        h = y @ w["up"]
+        h *= h > 0
+        out = h @ w["down"]
+        out += y
+        return out, (q, kv, a, share, c, y, h)
+
+    def heads(self, z: np.ndarray, target: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """Log probability of each row's target class after class `last`, as its group's times its own within the group; and the distributions.
+
+        Rows without a target (-1) have 0. The others are ordered by the target's group: distributions of groups and
+        of members stand side by side, and so do their weights, with the biases as a last row.
+        """
+        w, groups = self.weights, CLASSES // MEMBERS
+        group = target.astype(np.uint16) // MEMBERS  # -1 comes last
+        order = np.argsort(group, kind="stable")
+        ends = np.searchsorted(group[order], np.arange(groups), "right")
+        order = order[: ends[-1]]
+        n, group, last = len(order), group[order].astype(np.intp), np.take(last, order)
+        both = np.empty((groups, WIDTH + 1, groups + MEMBERS), z.dtype)
+        both[:, :-1, :groups], both[:, -1, :groups], both[:, :-1, groups:], both[:, -1, groups:] = w["group"], w["group_bias"], w["member"], w["member_bias"]
+        rows = np.ones((n, WIDTH + 1), z.dtype)
+        rows[:, :WIDTH] = np.take(z, order, axis=0)
+        p = np.empty((n, groups + MEMBERS), z.dtype)
+        parts = [(g, slice(s, e)) for g, (s, e) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())) if s < e]
+        for g, at in parts:
+            np.matmul(rows[at], both[g], out=p[at])
+        p[:, :groups] += np.take(self.group_told, last, axis=0)
+        p[:, groups:] += np.take(self.member_told.reshape(-1, MEMBERS), group * CLASSES + last, axis=0)
+        at = np.arange(n) * (groups + MEMBERS)
+        own = at + group, at + groups + np.take(target, order) % MEMBERS
+        log = np.zeros(len(z), z.dtype)
+        chosen = np.take(p, own[0]) + np.take(p, own[1])
         np.exp(p, out=p)
-        total = p @ ones_g
-        order = np.argsort(group.astype(np.uint16), kind="stable")
-        z, chosen, last, in_group = z[order], member[order], last[order], np.empty(len(z), z.dtype)
-        kept = [(p, total)]
-        for g, rows in zip(*runs(group[order])):
-            m = z[rows] @ w["member"][g]
-            m += w["member_bias"][g]
-            m += np.take(self.member_told[g], last[rows], axis=0)
-            own = m[np.arange(len(m)), chosen[rows]]
-            np.exp(m, out=m)
-            sums = m @ ones_m
-            in_group[rows] = own - np.log(sums)
-            kept.append((g, order[rows], m, sums))
-        log -= np.log(total)
-        log[order] += in_group
-        return log, kept
+        total = np.stack([p[:, :groups] @ np.ones(groups, z.dtype), p[:, groups:] @ np.ones(MEMBERS, z.dtype)], 1)
+        log[order] = chosen - np.log(total) @ np.ones(2, z.dtype)
+        return log, (order, parts, rows, both, p, total, own)
 
     def gradients(self, before: np.ndarray, after: np.ndarray, first: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss of the scored places and its gradients; after is -1 where nothing is scored, as in the context."""
-        w = self.weights
-        whole, (x, q, k, v, a, a_sum, c, y, h) = self.body(before, first, CONTEXT)
-        a /= a_sum
-        after, last = after[:, CONTEXT:], before[:, CONTEXT:]
-        i, j = np.nonzero(after >= 0)
-        z, target = whole[i, j], after[i, j]
-        n = np.float32(max(1, len(i)))
-        log, ((p, total), *parts) = self.heads(z, target, last[i, j])
-        g = {name: np.zeros_like(w[name]) for name in ("member", "member_bias", "embed")}
-        p /= total[:, None]
-        p[np.arange(len(p)), target // MEMBERS] -= 1
-        p /= n
-        g["group"], g["group_bias"], dz = z.T @ p, p.sum(0), p @ w["group"].T
-        for k_, at, m, t in parts:
-            m /= t[:, None]
-            m[np.arange(len(m)), target[at] % MEMBERS] -= 1
-            m /= n
-            g["member"][k_], g["member_bias"][k_] = z[at].T @ m, m.sum(0)
-            dz[at] += m @ w["member"][k_].T
-        d = np.zeros_like(whole)
-        d[i, j] = dz
-        flat = lambda m: m.reshape(-1, m.shape[-1])
-        dh = times(d, w["down"].T)
-        dh *= h > 0
-        g["down"], g["up"] = flat(h).T @ flat(d), flat(y).T @ flat(dh)
-        dy = d + times(dh, w["up"].T)
-        g["o"] = flat(c).T @ flat(dy)
-        dc = times(dy, w["o"].T)
-        da = dc @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ dc
-        da -= (dc * c).sum(2, keepdims=True)  # the same as the sum of da * a
-        ds = np.multiply(da, a, out=da)
-        g["place"] = np.concatenate([np.zeros((CONTEXT, WINDOW), ds.dtype), ds.sum(0)])
-        dq, dk = ds @ k * np.float32(WIDTH**-0.5), ds.transpose(0, 2, 1) @ q
-        g["q"], g["k"], g["v"] = flat(x[:, CONTEXT:]).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-        dx = times(dk, w["k"].T)
-        dx += times(dv, w["v"].T)
-        dx[:, CONTEXT:] += dy
-        dx[:, CONTEXT:] += times(dq, w["q"].T)
-        order = np.argsort(before.ravel(), kind="stable")
-        names, rows = runs(before.ravel()[order])
-        g["embed"][names] = np.add.reduceat(flat(dx)[order], [r.start for r in rows], axis=0)
-        return -float(log.mean()) if len(log) else 0.0, g
+        w, groups, step = self.weights, CLASSES // MEMBERS, WINDOW - CONTEXT
+        tables, chunks = self.by_class(), [slice(s, s + CHUNK) for s in range(0, len(before), CHUNK)]
+        bodies = [self.body(before[at], first[at], tables) for at in chunks]
+        vectors = np.concatenate([b[0] for b in bodies])
+        log, (order, parts, rows, both, p, total, own) = self.heads(vectors, after[:, CONTEXT:].ravel(), before[:, CONTEXT:].ravel())
+        n, dtype = max(1, len(order)), vectors.dtype
+        g = {name: np.zeros_like(w[name]) for name in ("member", "member_bias", "embed", "place", "up", "down")}
+        total *= n
+        halves = p.reshape(-1, MEMBERS)
+        halves /= total.reshape(-1, 1)
+        for at in own:
+            p.reshape(-1)[at] -= dtype.type(1 / n)
+        of_group, of_vector = np.zeros((WIDTH + 1, groups), dtype), np.zeros_like(vectors)
+        dz = np.empty((len(order), WIDTH), dtype)
+        for k, at in parts:
+            d = rows[at].T @ p[at]
+            of_group += d[:, :groups]
+            g["member"][k], g["member_bias"][k] = d[:-1, groups:], d[-1, groups:]
+            np.matmul(p[at], both[k, :-1].T, out=dz[at])
+        g["group"], g["group_bias"] = of_group[:-1], of_group[-1]
+        of_vector[order] = dz
+        dx, of_kv, of_q = np.empty((*before.shape, WIDTH), dtype), 0, 0
+        scale, adds = np.float32(WIDTH**-0.5), w["v"] @ w["o"]
+        back_q, back_kv = w["q"].T * scale, np.concatenate([w["k"], adds], 1).T
+        for at, (_, (q, kv, a, share, c, y, h)) in zip(chunks, bodies):
+            d = of_vector[at.start * step : at.stop * step]
+            dh = d @ w["down"].T
+            dh *= h > 0
+            g["down"] += h.T @ d
+            g["up"] += y.T @ dh
+            dy = dh @ w["up"].T
+            dy += d
+            dc = dy * share
+            inner = np.einsum("ij,ij->i", dc, c)
+            dc = dc.reshape(q.shape)
+            ds = dc @ kv[:, :, WIDTH:].transpose(0, 2, 1)
+            ds -= inner.reshape(*ds.shape[:2], 1)  # the same as the sum of the shares times ds
+            ds *= a
+            g["place"][CONTEXT:] += ds.sum(0)
+            dq = flat(ds @ kv[:, :, :WIDTH])
+            np.matmul(ds.transpose(0, 2, 1), q, out=kv[:, :, :WIDTH])
+            np.matmul(a.transpose(0, 2, 1), dc, out=kv[:, :, WIDTH:])  # gradients take the places of keys and values
+            x = np.take(w["embed"], before[at], axis=0)
+            of_kv += flat(x).T @ flat(kv)
+            of_q += flat(x[:, CONTEXT:]).T @ dq
+            np.matmul(flat(kv), back_kv, out=flat(dx[at]))
+            dy += dq @ back_q
+            dx[at, CONTEXT:] += dy.reshape(q.shape)
+        g["q"], g["k"], g["v"], g["o"] = of_q * scale, of_kv[:, :WIDTH], of_kv[:, WIDTH:] @ w["o"].T, w["v"].T @ of_kv[:, WIDTH:]
+        names = before.ravel().astype(np.uint16)
+        order = np.argsort(names, kind="stable")
+        names = names[order]
+        new = np.flatnonzero(np.diff(names.astype(np.int32), prepend=-1))
+        pairs = np.take(flat(dx), order, axis=0).view(np.result_type(dtype, np.complex64))  # two numbers are added at once
+        g["embed"][names[new]] = np.add.reduceat(pairs, new, axis=0).view(dtype)
+        return -float(log.sum() / n), g
 
     def logs(self, ids: np.ndarray, offsets: np.ndarray, batch: int = 240) -> np.ndarray:
         """log10 probability of each id of documents given as ids one after another, each with its end id."""
-        classes = self.classes[ids]
+        classes = self.small[ids]
         before, after, first, _ = windows(classes, offsets)
-        parts, tables = [np.zeros(0, np.float32)], self.by_class()
+        out, tables = [np.zeros(0, np.float32)], self.by_class()
         for s in range(0, len(before), batch):
-            z, _ = self.body(before[s : s + batch], first[s : s + batch], CONTEXT, tables)
-            target = after[s : s + batch, CONTEXT:]
-            scored = target >= 0
-            parts.append(self.heads(z[scored], target[scored], before[s : s + batch, CONTEXT:][scored])[0])
-        out = np.concatenate(parts)  # windows score the ids in their order
-        out += np.where(classes == CLASSES - 1, self.rest[ids], np.float32(0))
+            e = min(s + batch, len(before))
+            z = np.concatenate([self.body(before[c : min(c + CHUNK, e)], first[c : min(c + CHUNK, e)], tables)[0] for c in range(s, e, CHUNK)])
+            target = after[s:e, CONTEXT:].ravel()
+            out.append(self.heads(z, target, before[s:e, CONTEXT:].ravel())[0][target >= 0])
+        out = np.concatenate(out)  # windows score the ids in their order
+        out += np.take(self.rest, ids) * (classes == CLASSES - 1)
         return out * np.float32(1 / math.log(10))
 
     def score(self, ids: np.ndarray, offsets: np.ndarray, batch: int = 240) -> np.ndarray:
@@ -225,9 +250,8 @@ def runs(values: np.ndarray) -> tuple[list[int], list[slice]]:
     return values[first].tolist(), [slice(a, z) for a, z in zip(first.tolist(), ends)]
 
 
-def times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """x @ w as one product of two matrices, whatever the dimensions of x."""
-    return (x.reshape(-1, x.shape[-1]) @ w).reshape(*x.shape[:-1], -1)
+def flat(x: np.ndarray) -> np.ndarray:
+    return x.reshape(-1, x.shape[-1])
 
 
 def numbered(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -245,13 +269,18 @@ def windows(classes: np.ndarray, offsets: np.ndarray, chosen: tuple[np.ndarray,
     """
     step = WINDOW - CONTEXT
     owner, number = chosen or numbered(offsets)[:2]
-    place = number[:, None] * step + np.arange(WINDOW) - CONTEXT  # of the id scored, within its document
-    size = np.diff(offsets)[owner][:, None]
-    at = offsets[owner][:, None] + place
-    last = max(0, len(classes) - 1)
-    end = classes[offsets[1] - 1] if len(offsets) > 1 else 0  # every document ends with the end id
-    before = np.where((place > 0) & (place <= size), classes[np.clip(at - 1, 0, last)], end)
-    after = np.where((place >= 0) & (place < size) & (np.arange(WINDOW) >= CONTEXT), classes[np.clip(at, 0, last)], -1)
+    size = np.diff(offsets)[owner] - number * step  # ids from the window's first scored place on
+    end = classes[offsets[1] - 1 : offsets[1]] if len(offsets) > 1 else np.zeros(1, classes.dtype)  # every document ends with the end id
+    around = np.concatenate([np.repeat(end, CONTEXT + 1), classes, np.repeat(end, WINDOW)])
+    each = np.lib.stride_tricks.sliding_window_view(around, WINDOW)
+    at = offsets[owner] + number * step
+    before, after = each[at], each[at + 1]
+    before[number == 0, : CONTEXT + 1] = end
+    after[:, :CONTEXT] = -1
+    short = np.flatnonzero(size < step)
+    place, size = np.arange(-CONTEXT, step), size[short, None]
+    before[short] = np.where(place <= size, before[short], end)
+    after[short] = np.where(place < size, after[short], -1)
     return before, after, number == 0, owner
 
 
@@ -453,10 +482,13 @@ class Training:
     """A task's share of a round: Adam over the windows chosen, from the round's weights on, the rate falling."""
 
     def __init__(self, model: Attention, turn: int):
-        self.model = Attention(model.classes, model.rest, {k: w.copy() for k, w in model.weights.items()}, model.group_told, model.member_told)
+        self.all = np.concatenate([w.ravel() for w in model.weights.values()])
+        ends = np.cumsum([w.size for w in model.weights.values()])[:-1]
+        views = {k: v.reshape(w.shape) for (k, w), v in zip(model.weights.items(), np.split(self.all, ends))}
+        self.model = Attention(model.classes, model.rest, views, model.group_told, model.member_told)
+        self.small = model.small
         self.turn, self.steps, self.windows = turn, 0, 0
-        self.m = {k: np.zeros_like(w) for k, w in model.weights.items()}
-        self.s = {k: np.zeros_like(w) for k, w in model.weights.items()}
+        self.m, self.s = np.zeros_like(self.all), np.zeros_like(self.all)
         self.held: list[tuple[np.ndarray, ...]] = []
 
     def learn(self, ids: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> None:
@@ -465,7 +497,7 @@ class Training:
         chosen = np.flatnonzero((number - place[owner]) % ROUNDS == 0)
         if not len(chosen):
             return
-        before, after, first, _ = windows(self.model.classes[ids], offsets, (owner[chosen], number[chosen]))
+        before, after, first, _ = windows(self.small[ids], offsets, (owner[chosen], number[chosen]))
         self.held.append((before, after, first))
         if sum(len(x) for x, _, _ in self.held) >= 32 * STEP:
             self.finish()
@@ -484,13 +516,16 @@ class Training:
 
     def step(self, before: np.ndarray, after: np.ndarray, first: np.ndarray) -> None:
         self.steps += 1
-        t, w = self.steps, self.model.weights
+        t = self.steps
         rate = RATE / (1 + self.turn) * min(1, t / 20)
         _, g = self.model.gradients(before, after, first)
-        for k, d in g.items():
-            self.m[k] = 0.9 * self.m[k] + 0.1 * d
-            self.s[k] = 0.98 * self.s[k] + 0.02 * d * d
-            w[k] -= np.float32(rate) * (self.m[k] / np.float32(1 - 0.9**t)) / (np.sqrt(self.s[k] / np.float32(1 - 0.98**t)) + np.float32(1e-7))
+        d = np.concatenate([g[k].ravel() for k in self.model.weights])
+        self.m += (d - self.m) * np.float32(0.1)
+        d *= d
+        self.s += (d - self.s) * np.float32(0.02)
+        down = np.sqrt(self.s / np.float32(1 - 0.98**t))
+        down += np.float32(1e-7)
+        self.all -= self.m * np.float32(rate / (1 - 0.9**t)) / down
 
 
 def scored(found: DataFrame, model: Attention, dtype: np.dtype) -> DataFrame:
